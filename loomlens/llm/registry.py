@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, secret_scan
+from . import decontaminate, exact_dedup, language_id, pii, quality, secret_scan
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op4_decontamination": decontaminate.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
