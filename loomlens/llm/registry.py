@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, pii, quality, secret_scan
+from . import decontaminate, exact_dedup, language_id, pieces, pii, quality, secret_scan, token_counts
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op3_pieces": pieces.op3_pieces,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
