@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) is not sc:
+        package = Path(__file__).resolve().parents[1]
+        home = tempfile.mkdtemp(prefix="loomlens-code-")  # of the driver; Spark serves the file itself
+        sc.addPyFile(shutil.make_archive(f"{home}/loomlens", "zip", package.parent, package.name))
+        ship.done = sc
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, pieces, pii, quality, secret_scan, token_counts
+from . import decontaminate, exact_dedup, language_id, pieces, pii, ppm, quality, secret_scan, token_counts
 
 QUERIES = {
+    "op1_ppm": ppm.op1_ppm,
     "op2_pii": pii.op2_pii,
     "op3_pieces": pieces.op3_pieces,
     "op4_decontamination": decontaminate.op4_decontamination,
