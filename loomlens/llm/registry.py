@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, pieces, pii, ppm, quality, secret_scan, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, language_id, pieces, pii, ppm, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
     "op2_pii": pii.op2_pii,
     "op3_pieces": pieces.op3_pieces,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_decontamination": decontaminate.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
