@@ -99,16 +99,18 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marked = classify(docs, id_col=id_col, text_col=text_col)
     table = stored(marked.where("kept").select("doc_id", "text_sha256"), f"{work_dir(docs.sparkSession)}/kept")
-    once = table.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    lost = F.col(id_col).cast("long").eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha"))
-    keys = once.select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"), "_n")
-    out = keyed.join(keys, lost, "inner")
-    if not once.where("_n > 1").isEmpty():
-        order = Window.partitionBy(F.col(id_col), "_sha").orderBy(F.length(text_col).desc(), F.col(text_col))
-        again = out.where("_n > 1").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-        out = out.where("_n = 1").unionByName(again)
-    return out.select(*docs.columns)
+    once = table.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    # the columns travel in one struct, so that no name of theirs can clash
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"),
+        F.col(text_col).alias("text"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"),
+    )
+    out = keyed.join(once, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")))
+    if not once.where("n > 1").isEmpty():
+        order = Window.partitionBy("id", "sha").orderBy(F.length("text").desc_nulls_last(), "text")
+        again = out.where("n > 1").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        out = out.where("n = 1").unionByName(again)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

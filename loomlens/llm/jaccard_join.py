@@ -307,6 +307,18 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The documents without those that a link or a chain of links joins to one with a smaller id.
+
+    All columns stay; rows with a null id stay.
+    """
+    marked = join(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    gone = stored(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), f"{work_dir(docs.sparkSession)}/gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    kept = rows.join(gone, rows["id"] == gone["gone"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 
