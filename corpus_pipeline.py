@@ -1,4 +1,66 @@
-"""Placeholder."""
+"""From raw documents to token ids: language, exact copies, near copies, test items, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is
+written as Parquet in the cluster's shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlens.llm import decontaminate, exact_dedup, jaccard_join, language_id, pieces
+from loomlens.llm.common import read, ship, work_dir
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter."""
+    ship(spark)
+    marked = language_id.predict(docs, language_id.train(docs), keep=docs.columns)
+    kept = marked.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the longest original of each group of texts that differ in white space at most."""
+    ship(spark)
+    return exact_dedup.dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each component of near copies."""
+    ship(spark)
+    return jaccard_join.one_per_component(docs)
+
+
+def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words a twentieth or more stand in passages of test items."""
+    ship(spark)
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, n_bytes, decoded_ok and the token ids."""
+    ship(spark)
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("test_items", test_items),
+    ("encoding", encoding),
+]
+
+#: SQL has no language model and no piece encoder; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, home = read(spark, sf_dir, "documents"), work_dir(spark)
+    for name, stage in STAGES:
+        path = f"{home}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
