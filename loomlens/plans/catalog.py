@@ -1,6 +1,344 @@
-"""All session-analytics queries by name, with the SQL that states their results."""
+"""All session-analytics queries by name over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import INVENTED_WORDS, PRIORITY, matched
+from ..functions.text import is_validation_command, normalize, one_line, parse_turn_ref, project_id
+from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
+from ..sources import sessions
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+#: Chunk sizes, block headers and traces for the table of documents.
+POLICY = chunking.Policy(least=4_000, soft=8_000, hard=9_000)
+DOC_HEADER = r"^(The|An|Of|De|Der) "
+BY_PATH = {"reads": "The|Of", "changes": "An", "commands": "De"}
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _messages(spark, sf):
+    return sessions.messages_from_conversations(_read(spark, sf, "conversations"))
+
+
+def _events(spark, sf):
+    return corrections.events(_messages(spark, sf))
+
+
+def _calls(spark, sf):
+    return sessions.tool_calls_from_events(_read(spark, sf, "events"))
+
+
+def _turns(spark, sf):
+    return blindspot.user_turns(_messages(spark, sf))
+
+
+def _labelled(spark, sf):
+    return blindspot.with_labels(_turns(spark, sf))
+
+
+def _joined(c: str, sep: str = ",") -> F.Column:
+    return F.array_join(c, sep).alias(c)
+
+
+def session_meta(spark, sf):
+    m = _messages(spark, sf)
+    return m.groupBy("session_file").agg(F.count(F.lit(1)).alias("message_count"), F.count_if(F.col("role") == "user").alias("user_turn_count"), F.sum(F.col("tool_calls").cast("long")).alias("tool_call_count"), F.max("line_no").alias("last_line"))
+
+
+def message_ordinals(spark, sf):
+    return corrections.ordinals(_messages(spark, sf)).select("session_file", "line_no", "role", "role_turn", "tool_calls")
+
+
+def user_turns(spark, sf):
+    return _turns(spark, sf).select("session_file", "turn_index", "preview", F.length("text").alias("n_chars"))
+
+
+def one_line_preview(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", one_line(F.col("text"), 180).alias("preview"), one_line(F.col("text"), 160).alias("short"))
+
+
+def normalize_text(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.sha2(normalize(F.col("text")), 256).alias("normalized_sha256"), F.length(normalize(F.col("text"))).alias("n_chars"))
+
+
+def category_match(spark, sf):
+    rows = _messages(spark, sf).select("session_file", "line_no", F.array_join(matched(F.col("text"), INVENTED_WORDS.categories, PRIORITY), ",").alias("categories"))
+    return rows.where("categories <> ''")
+
+
+def correction_events(spark, sf):
+    return _events(spark, sf).withColumn("secondary_types", F.array_join("secondary_types", ","))
+
+
+def _value_counts(column):
+    return lambda spark, sf: corrections.value_counts(_events(spark, sf), column)
+
+
+def event_profile(spark, sf):
+    return corrections.profile(_events(spark, sf)).withColumn("refs", F.array_join("refs", ","))
+
+
+def user_profiles(spark, sf):
+    return corrections.user_profiles(_events(spark, sf)).withColumn("support", F.array_join("support", ","))
+
+
+def representative_events(spark, sf):
+    return corrections.representative(_events(spark, sf)).select("session_file", "trigger_turn", "event_type", "confidence", "assistant_tool_calls")
+
+
+def rule_hits(spark, sf):
+    return blindspot.rule_hits(_labelled(spark, sf))
+
+
+def rule_summary(spark, sf):
+    return blindspot.rule_summary(blindspot.rule_hits(_labelled(spark, sf))).withColumn("examples", F.array_join("examples", ","))
+
+
+def correction_chains(spark, sf):
+    return blindspot.chains(_labelled(spark, sf)).select("session_file", "first_prompt", F.array_join("later_constraints", "|").alias("later_constraints"), F.array_join(F.col("correction_turns").cast("array<string>"), ",").alias("correction_turns"))
+
+
+def blindspot_profile(spark, sf):
+    return blindspot.profile(_labelled(spark, sf))
+
+
+def tool_turns(spark, sf):
+    t = workflow.turns(_calls(spark, sf))
+    return t.select("session", "turn", F.array_join("sequence", ">").alias("sequence"), *[_joined(c) for c in ("read_paths", "edit_paths", "write_paths", "commands")])
+
+
+def _counts(key):
+    return lambda spark, sf: workflow.counts(_calls(spark, sf), key)
+
+
+def tool_path_counts(spark, sf):
+    return _calls(spark, sf).where("path IS NOT NULL").groupBy("tool", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_sequences(spark, sf):
+    return workflow.top(workflow.sequences(workflow.turns(_calls(spark, sf)))).select(F.array_join("sequence", ">").alias("sequence"), "n")
+
+
+def read_edit_turns(spark, sf):
+    return workflow.path_stats(_calls(spark, sf)).where("read_edit > 0").select("path", "read_edit")
+
+
+def edit_validate_turns(spark, sf):
+    return workflow.path_stats(_calls(spark, sf)).where("edit_validate > 0").select("path", "edit_validate")
+
+
+def hot_files(spark, sf):
+    return workflow.hot_files(_calls(spark, sf)).select("path", "interactions", "read_count", "edit_count", "read_edit", "edit_validate", _joined("tools"), "confidence", _joined("evidence"))
+
+
+def repeated_sequences(spark, sf):
+    return workflow.repeated_sequences(workflow.turns(_calls(spark, sf))).select(F.array_join("sequence", ">").alias("sequence"), "n", "confidence", _joined("evidence"))
+
+
+def repeated_commands(spark, sf):
+    return workflow.repeated_commands(_calls(spark, sf)).select("command", "n", "confidence", _joined("evidence"))
+
+
+def candidate_patterns(spark, sf):
+    return workflow.candidates(_calls(spark, sf)).select("type", "name", "n", "confidence", _joined("evidence"))
+
+
+def representative_turns(spark, sf):
+    return workflow.representative_turns(_calls(spark, sf)).select("source", "session", "turn", "score")
+
+
+def compact_counters(spark, sf):
+    return packet.compact_counter(workflow.counts(_calls(spark, sf), "command"), "command")
+
+
+def asset_suggestions(spark, sf):
+    return packet.asset_suggestions(corrections.value_counts(_events(spark, sf), "event_type"), workflow.candidates(_calls(spark, sf)))
+
+
+def validation_commands(spark, sf):
+    return _calls(spark, sf).where("command IS NOT NULL").groupBy("command").agg(F.count(F.lit(1)).alias("n")).withColumn("validates", is_validation_command(F.col("command")))
+
+
+def _index(spark, sf):
+    """The current index, and an earlier one in which some sessions were absent, other or since deleted."""
+    now = _messages(spark, sf).groupBy("session_file").agg(F.concat_ws(":", F.sum(F.length("text")).cast("string"), F.max("line_no").cast("string")).alias("fingerprint"))
+    n = F.col("session_file").cast("long")
+    gone = now.where(n % 11 == 0).select(F.concat(F.lit("old-"), F.col("session_file")).alias("session_file"), "fingerprint")
+    before = now.where(n % 7 != 0).select("session_file", F.when(n % 5 == 0, F.concat(F.lit("was-"), F.col("fingerprint"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return before.unionByName(gone), now
+
+
+def index_diff(spark, sf):
+    return incremental.index_diff(*_index(spark, sf))
+
+
+def worklist(spark, sf):
+    before, now = _index(spark, sf)
+    cache = now.where(F.col("session_file").cast("long") % 3 != 0)
+    return incremental.worklist(incremental.index_diff(before, now), now, cache)
+
+
+def partial_final_counters(spark, sf):
+    return workflow.finals(workflow.partials(_calls(spark, sf)))
+
+
+def trace_metadata(spark, sf):
+    docs = _read(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"(?m)^(The|Of|An|De) (\S+).*$", '* $1 "$2"'))
+    t = chunking.traces(docs, **BY_PATH)
+    return t.select("doc_id", _joined("referenced"), _joined("changed"), _joined("commands"))
+
+
+def _blocks(spark, sf):
+    return chunking.blocks(_read(spark, sf, "documents"), header=DOC_HEADER)
+
+
+def blocks(spark, sf):
+    return _blocks(spark, sf)
+
+
+def _packed(spark, sf):
+    docs = _read(spark, sf, "documents").select("doc_id", "source")
+    cut = chunking.segments(_blocks(spark, sf), POLICY).join(docs, "doc_id")
+    rows = cut.select(F.col("source").alias("project"), F.col("doc_id").alias("session"), (F.col("doc_id") * 100_000 + F.col("segment")).alias("ord"), "segment", "n_chars")
+    return chunking.pack(rows, POLICY)
+
+
+def chunk_pack(spark, sf):
+    return _packed(spark, sf).select("project", "session", "segment", "n_chars", "chunk")
+
+
+def _chunks(spark, sf):
+    docs = _read(spark, sf, "documents")
+    meta = docs.select(F.col("doc_id").alias("session"), F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 3 == 0).cast("long").alias("n_referenced"), (F.col("doc_id") % 29 == 0).cast("long").alias("n_changed"), F.lit(0).cast("long").alias("n_commands"))
+    return chunking.chunk_records(_packed(spark, sf), meta)
+
+
+def chunk_records(spark, sf):
+    return _chunks(spark, sf).select("project", "chunk", "n_segments", "n_sessions", "n_chars", "tokens", "content_hash", "relevance")
+
+
+def _reports(spark, sf):
+    status = F.when(F.col("chunk") % 4 == 0, "cached").when(F.col("chunk") % 4 == 3, "failed").otherwise("completed")
+    return _chunks(spark, sf).select("project", "chunk", "content_hash", "relevance", status.alias("status"))
+
+
+def synthesis_selection(spark, sf):
+    return chunking.select_for_synthesis(_reports(spark, sf)).select("project", "chunk", "status", "relevance")
+
+
+def cache_hits(spark, sf):
+    chunks = _reports(spark, sf).withColumn("chunk_id", F.concat_ws("/", "project", F.col("chunk").cast("string")))
+    state = chunks.select("chunk_id", F.when(F.col("chunk") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), "status", F.when(F.col("chunk") % 7 == 1, "v0").otherwise("v1").alias("prompt_version"))
+    return incremental.cache_hits(chunks, state, {"prompt_version": "v1"}).select("chunk_id", "hit")
+
+
+def _matches(spark, sf):
+    return reminders.matches(_turns(spark, sf))
+
+
+def reminder_matches(spark, sf):
+    return _matches(spark, sf).select("session_file", "turn_index", "rule_id", "score", "rank")
+
+
+def reminder_visible(spark, sf):
+    return reminders.visible(_matches(spark, sf)).select("session_file", "turn_index", "rule_id", "place")
+
+
+def reminder_cooldown(spark, sf):
+    ignored = spark.createDataFrame([("length",)], "rule_id string")
+    return reminders.cooled(reminders.without_ignored(_matches(spark, sf), ignored)).select("session_file", "turn_index", "rule_id")
+
+
+def _gram_counts(spark, sf):
+    return phrases.gram_counts(_turns(spark, sf), ["session_file", "turn_index"])
+
+
+def char_ngrams(spark, sf):
+    return phrases.phrase_candidates(_gram_counts(spark, sf)).select("gram", "n", "weight")
+
+
+def frequent_phrases(spark, sf):
+    return phrases.frequent_phrases(_gram_counts(spark, sf))
+
+
+def _weights(spark, sf):
+    return phrases.tfidf(_turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"), "normalized"), ["turn"])
+
+
+def tfidf_weights(spark, sf):
+    w = _weights(spark, sf)
+    return w.groupBy("turn").agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.max("w"), 6).alias("largest"), F.round(F.sum("w"), 6).alias("total"))
+
+
+def _pairs(spark, sf):
+    return phrases.similar_pairs(_weights(spark, sf), "turn")
+
+
+def similar_pairs(spark, sf):
+    return _pairs(spark, sf).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+def dbscan_clusters(spark, sf):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomlens-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    nodes = _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"))
+    return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
+
+
+def kmeans_clusters(spark, sf):
+    return phrases.kmeans(_weights(spark, sf), "turn")
+
+
+def validation_parse(spark, sf):
+    n = F.col("conv_id") * 7 + F.col("turn")
+    payload = F.when(n % 3 == 0, F.to_json(F.struct((n % 51).cast("double").alias("raw_score"), F.lit("fine").alias("critique")))).when(n % 3 == 1, F.to_json(F.struct((n % 11).cast("double").alias("normalized_score"), F.array(F.lit("Signal")).alias("failed_dimensions")))).otherwise("no verdict")
+    text = F.concat(F.lit("```json\n"), payload, F.lit("\n```"))
+    return _read(spark, sf, "conversations").select("conv_id", "turn", runners.parse_validation(text).alias("v")).select("conv_id", "turn", "v.score", "v.passed", "v.critique")
+
+
+def runner_event_fold(spark, sf):
+    conv = _read(spark, sf, "conversations")
+    delta = F.to_json(F.struct(F.lit("message_update").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("role").alias("delta")).alias("assistantMessageEvent")))
+    end = F.to_json(F.struct(F.lit("message_end").alias("type"), F.struct("role", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("model"), F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text"))).alias("content")).alias("message")))
+    line = F.when(F.col("turn") % 3 == 2, "not json").when(F.col("role") == "assistant", end).otherwise(delta)
+    rows = conv.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), line.alias("line"))
+    return runners.fold_runner_events(rows)
+
+
+def chunk_model_reports(spark, sf):
+    texts = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return runners.map_chunks(texts)
+
+
+def turn_refs(spark, sf):
+    ref = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s#turn1x"), F.col("conv_id").cast("string"), F.lit("#turn"), F.col("turn").cast("string"))).otherwise(F.col("role"))
+    session, turn = parse_turn_ref(ref)
+    return _read(spark, sf, "conversations").select("conv_id", "turn", session.alias("session"), turn.alias("turn_index"), project_id(F.concat(F.lit("/home//x y/"), F.col("role"))).alias("project_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, user_profiles, representative_events,
+        rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
+        repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, validation_commands, index_diff, worklist,
+        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
+        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, kmeans_clusters, validation_parse, runner_event_fold, chunk_model_reports, turn_refs,
+    )
+}
+QUERIES |= {
+    "event_type_counts": _value_counts("event_type"), "impact_counts": _value_counts("impact"), "missing_constraint_counts": _value_counts("missing_constraint"),
+    "tool_counts": _counts("tool"), "path_counts": _counts("path"), "command_counts": _counts("command"),
+}
