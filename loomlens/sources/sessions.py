@@ -22,7 +22,7 @@ def entries(spark: SparkSession, folder: str, *, strict: bool = True) -> DataFra
     Files are read whole, so that line numbers hold; ``strict`` raises on a malformed line, else it
     has a null entry. A missing folder raises.
     """
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(folder)
+    text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl")
     lines = text.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("session_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     entry = F.from_json("line", ENTRY, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     return lines.select("session_file", "line_no", entry.alias("entry"))
@@ -101,6 +101,6 @@ def file_stats(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataF
 
 def compiled_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Compiled session texts (*.min.txt): session_name, start_time and text, in order of start time."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.min.txt").text(folder)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.min.txt")
     name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.min\.txt$", "")
     return raw.select(name.alias("session_name"), F.substring_index(name, "_", 1).alias("start_time"), F.col("value").alias("text")).orderBy("start_time", "session_name")
