@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -288,11 +289,8 @@ def similar_pairs(spark, sf):
 
 
 def dbscan_clusters(spark, sf):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomlens-"))
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if not spark.sparkContext.getCheckpointDir():  # a cluster names a shared folder; alone, a local one will do
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlens-"))
     nodes = _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"))
     return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
 
