@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.text import estimate_tokens, relevance, trace
 
 #: Tools whose arguments tell what a text read, changed and ran; headers of blocks.
@@ -48,6 +49,7 @@ def _fold(rows: DataFrame, group: str, step, out: str) -> DataFrame:
     Rows are narrow, sorted within partitions (the sort spills) and never held as a group: the
     fold's state is a few numbers, whatever the size of a group.
     """
+    ship(rows.sparkSession)
     cols = rows.columns
     ordered = rows.repartition(group).sortWithinPartitions(group, "ord")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.text import bullets, json_object
 
 PAYLOAD = "struct<raw_score:double,normalized_score:double,passed:boolean,critique:string,failed_dimensions:array<string>,must_fix:array<string>>"
@@ -36,6 +37,8 @@ def stand_in(request: Request) -> str:
 def map_chunks(chunks: DataFrame, runner: Runner = stand_in, task: str = "chunk", key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Runs a model over every chunk; a failure becomes a row with its message, and the run goes on."""
 
+    ship(chunks.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             reports, states = [], []

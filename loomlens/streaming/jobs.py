@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..functions.shipping import ship
 from ..operators import corrections, reminders
 
 
@@ -44,6 +45,7 @@ def _cool(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 def cooled_matches(turns: DataFrame, rules: list[reminders.Rule] = reminders.TABLE_RULES) -> DataFrame:
     """Streaming matches after cooldown; the state of a session is the ids it has seen (at most one per rule)."""
+    ship(turns.sparkSession)
     found = reminders.matches(turns, rules).select("session_file", "turn_index", "rule_id", "cooldown")
     return found.groupBy("session_file").applyInPandasWithState(_cool, "session_file string, turn_index int, rule_id string", "seen string", "append", "NoTimeout")
 
