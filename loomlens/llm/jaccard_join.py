@@ -13,9 +13,9 @@ have no partner. The rest is verified pair by pair: the overlap is counted in ea
 the order apart, and the partial counts are summed per pair.
 
 Groups of near copies are not expanded into all pairs. In each bucket one set, the centre, is
-compared with all others; linked sets become one component; then another centre follows, until
-every bucket lies within one component. A pair is skipped only if its sets are connected
-already, so components are exact. Equal sets are one node from the start.
+compared with all others, and linked sets become one component. After two such rounds (more, if
+a great many pairs are left) the pairs of sets in different components whose sizes, and number of
+shared segments, allow a link are compared. A pair is skipped only if its sets are connected already, so components are exact. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ THRESHOLD = 90
 RATIO = 1.6
 #: Fragments of the global order in which the overlaps of a pair are counted apart.
 FRAGMENTS = 8
-#: Rounds in which each bucket compares its next centre, before the remaining pairs are compared at once if they are few.
-ROUNDS = 3
-PAIRS_PER_SET = 2
+#: Rounds in which each bucket compares its next centre, before all remaining pairs are compared.
+ROUNDS = 2
+#: Further rounds follow while more pairs per set than this share open buckets.
+PAIRS_PER_SET = 1000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +123,16 @@ def keys_of(h: np.ndarray, owner: np.ndarray, n: int, threshold: int) -> tuple[n
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def filled_segments(h: np.ndarray, owner: np.ndarray, n: int, threshold: int) -> np.ndarray:
+    """How many segments of its own class each set has that are not empty."""
+    count = np.bincount(owner, minlength=n)
+    parts, _ = fragments(np.maximum(np.searchsorted(EDGES, count, side="right") - 1, 0), threshold)
+    part = ((h >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+    return np.bincount(owner[new], minlength=n)
+
+
 def _fingerprints(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     count = np.bincount(owner, minlength=n)
     some = np.flatnonzero(count)
@@ -177,8 +188,8 @@ def _keys(docs: DataFrame, text_col: str, threshold: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "key long, node long")
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """node and its sorted n-gram hashes, for the nodes given with one document each."""
+def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, threshold: int) -> DataFrame:
+    """node, size, filled segments and sorted n-gram hashes, for the nodes given with one document each."""
 
     def work(batches):
         for batch in batches:
@@ -187,30 +198,28 @@ def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) ->
                 n = hi - lo
                 h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 fp = _fingerprints(h, owner, n)
-                yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), _lists(h, owner, n)], names=["node", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(filled_segments(h, owner, n, threshold).astype(np.int64)), _lists(h, owner, n)], names=["node", "size", "filled", "grams"])
 
     wanted = nodes.select(F.col("first_id").alias("doc_id"), F.col("node").alias("wanted"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
     # an id may have rows of other sets, and a set several such rows
-    got = rows.select("text").mapInArrow(work, "node long, size long, grams array<long>")
+    got = rows.select("text").mapInArrow(work, "node long, size long, filled long, grams array<long>")
     return got
 
 
 def _cut(grams: DataFrame) -> DataFrame:
-    """(node, size, part, own): each set's segments in the fragments of the global order."""
-    part = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
+    """(node, size, parts): each set's segments in the fragments of the global order, in the fragments' order."""
     bits = FRAGMENTS.bit_length() - 1
-    cut = grams.select("node", "size", "grams", part.alias("part"))
-    return cut.select("node", "size", "part", F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - bits) == F.col("part")).alias("own"))
+    part = lambda i: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - bits) == i)
+    return grams.select("node", "size", F.array(*[part(i) for i in range(FRAGMENTS)]).alias("parts"))
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("node").alias("a"), F.col("size").alias("size_a"), "part", F.col("own").alias("own_a"))
-    right = segments.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "part", F.col("own").alias("own_b"))
-    parts = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("own_a", "own_b")).alias("common"))
-    summed = parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-    return summed.where(F.col("common") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold).select("a", "b")
+    side = lambda x: segments.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parts").alias(f"parts_{x}"))
+    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", F.aggregate(partial, F.lit(0), lambda t, x: t + x).alias("common"))
+    return counted.where(F.col("common") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold).select("a", "b")
 
 
 def components(labels: DataFrame, links: DataFrame, home: str) -> DataFrame:
@@ -245,11 +254,11 @@ def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str
     several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = stored(keys.join(several, "key").distinct(), f"{home}/members")
     nodes = stored(members.select("node").distinct().join(known, "node"), f"{home}/nodes")
-    grams = stored(_segments(docs, nodes, text_col, id_col).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{home}/grams")
+    grams = stored(_segments(docs, nodes, text_col, id_col, threshold).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{home}/grams")
     # n-grams of one set alone cannot overlap with another set
-    each = grams.select("node", "size", F.explode("grams").alias("gram"))
+    each = grams.select("node", "size", "filled", F.explode("grams").alias("gram"))
     shared = each.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    able = each.join(shared, "gram").groupBy("node", "size").agg(F.count(F.lit(1)).alias("able")).where(F.col("able") * 100 >= F.col("size") * threshold)
+    able = each.join(shared, "gram").groupBy("node", "size", "filled").agg(F.count(F.lit(1)).alias("able")).where(F.col("able") * 100 >= F.col("size") * threshold)
     able = stored(able.withColumn("alone", F.col("size") - F.col("able")), f"{home}/able")
     segments = stored(_cut(grams.join(able.select("node"), "node", "left_semi")), f"{home}/segments")
     live = stored(members.join(able, "node"), f"{home}/live0")
@@ -269,10 +278,19 @@ def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str
         total = open_.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0]
         if total is None:
             break
-        last = i >= ROUNDS and total <= 2 * PAIRS_PER_SET * sets_known
+        last = i >= ROUNDS and total <= PAIRS_PER_SET * sets_known
         if last:
-            other = here.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "able", "label")])
-            pairs = here.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "able", "label")]).join(other, "key").where("node_a < node_b")
+            # a pair is made in the first bucket that its sets share, and only if its sizes allow a link
+            own = here.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            rich = here.join(own, "node")
+            side = lambda x: rich.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "able", "filled", "label", "keys")])
+            # they share all segments in which they do not differ, and can differ in so many n-grams at most
+            shared = F.array_intersect("keys_a", "keys_b")
+            differ = F.floor((F.col("size_a") + F.col("size_b")) * (100 - threshold) / (100 + threshold))
+            filled = F.when(F.col("size_a") < F.col("size_b"), F.col("filled_a")).when(F.col("size_a") > F.col("size_b"), F.col("filled_b")).otherwise(F.least("filled_a", "filled_b"))
+            first = (F.col("key_") == F.array_min(shared)) & (F.size(shared) >= filled - differ)
+            apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+            pairs = side("a").join(side("b").withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & apart & fits & first)
         else:
             pairs = here.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "size", "able", "label")], *[F.col(f"centre.{c}").alias(f"{c}_a") for c in ("node", "size", "able", "label")])
         pairs = pairs.where((F.col("label_a") != F.col("label_b")) & fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -282,7 +300,7 @@ def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str
         labels = components(labels, joined, f"{home}/round{i}")
         if last:
             break
-        live = stored(here.where(F.col("node") != F.col("centre.node")).select("key", "node", "size", "able", "alone"), f"{home}/live{i + 1}")
+        live = stored(here.where(F.col("node") != F.col("centre.node")).select("key", "node", "size", "able", "filled", "alone"), f"{home}/live{i + 1}")
         i += 1
     return labels
 
