@@ -37,6 +37,13 @@ FRAGMENTS = 8
 ROUNDS = 2
 #: Further rounds follow while more pairs per set than this share open buckets.
 PAIRS_PER_SET = 1000
+#: Ids up to this number (8 bytes each) are broadcast instead of shuffling the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +207,7 @@ def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, thr
                 fp = _fingerprints(h, owner, n)
                 yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(filled_segments(h, owner, n, threshold).astype(np.int64)), _lists(h, owner, n)], names=["node", "size", "filled", "grams"])
 
-    wanted = nodes.select(F.col("first_id").alias("doc_id"), F.col("node").alias("wanted"))
+    wanted = _small(nodes.select(F.col("first_id").alias("doc_id")).distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
     # an id may have rows of other sets, and a set several such rows
     got = rows.select("text").mapInArrow(work, "node long, size long, filled long, grams array<long>")
@@ -333,7 +340,7 @@ def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marked = join(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     gone = stored(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), f"{work_dir(docs.sparkSession)}/gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    kept = rows.join(gone, rows["id"] == gone["gone"], "left_anti")
+    kept = rows.join(_small(gone), F.col("id") == F.col("gone"), "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
