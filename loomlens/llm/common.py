@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.shipping import ship
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 #: ASCII lower-casing of bytes; everything else stays.
 LOWER = np.arange(256, dtype=np.uint8)

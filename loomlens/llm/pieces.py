@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 UNKNOWN_PENALTY = 10.0
 #: Chunks up to this length are segmented together; longer ones one by one.
 LONG = 96
-STEP = 2 << 20
+STEP = 1 << 19
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
