@@ -28,9 +28,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near copies."""
+    """Keeps the document with the least id of each component of near copies (n-grams of five words, 0.8)."""
     ship(spark)
-    return jaccard_join.one_per_component(docs)
+    return jaccard_join.one_per_component(docs, threshold=80, words=5)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,7 +87,8 @@ def most_apart(smaller: np.ndarray, threshold: int) -> np.ndarray:
 def fragments(kind: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Fragments of each size class, and how many of a set's may be empty."""
     apart = most_apart(EDGES[kind + 1] - 1, threshold)
-    spare = 1 + apart // 100
+    # fewer n-grams a fragment below 0.9: more of them are empty by chance
+    spare = 1 + apart // (100 if threshold >= 90 else 5)
     return apart + 1 + spare * (apart > 0), spare
 
 
@@ -160,14 +161,14 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), _signed(values[order]))
 
 
-def sets(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFrame:
     """doc_id, node (the set's 64-bit fingerprint, null without words) and n_shingles of every row."""
 
     def work(batches):
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             for lo, hi in steps(offs):
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
                 count = np.bincount(owner, minlength=hi - lo)
                 fp = _fingerprints(h, owner, hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64), mask=count == 0), pa.array(count.astype(np.int64))], names=["doc_id", "node", "n_shingles"])
@@ -176,7 +177,7 @@ def sets(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, node long, n_shingles long")
 
 
-def _keys(docs: DataFrame, text_col: str, threshold: int) -> DataFrame:
+def _keys(docs: DataFrame, text_col: str, threshold: int, words: int) -> DataFrame:
     """(key, node) of every row's set, a pair once per task's batch of copies."""
 
     def work(batches):
@@ -184,7 +185,7 @@ def _keys(docs: DataFrame, text_col: str, threshold: int) -> DataFrame:
             data, offs = text_bytes(batch.column("text"))
             for lo, hi in steps(offs):
                 n = hi - lo
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
                 fp = _fingerprints(h, owner, n)
                 once = np.zeros(n, bool)
                 once[np.unique(fp, return_index=True)[1]] = True
@@ -195,7 +196,7 @@ def _keys(docs: DataFrame, text_col: str, threshold: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "key long, node long")
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, threshold: int) -> DataFrame:
+def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, threshold: int, words: int) -> DataFrame:
     """node, size, filled segments and sorted n-gram hashes, for the nodes given with one document each."""
 
     def work(batches):
@@ -203,7 +204,7 @@ def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, thr
             data, offs = text_bytes(batch.column("text"))
             for lo, hi in steps(offs):
                 n = hi - lo
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
                 fp = _fingerprints(h, owner, n)
                 yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(filled_segments(h, owner, n, threshold).astype(np.int64)), _lists(h, owner, n)], names=["node", "size", "filled", "grams"])
 
@@ -255,17 +256,19 @@ def components(labels: DataFrame, links: DataFrame, home: str) -> DataFrame:
     return stored(labels.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{home}/labels")
 
 
-def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str) -> DataFrame:
+def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
     """(node, label) of the nodes that have candidates; ``known`` has node and first_id."""
-    keys = _keys(docs, text_col, threshold)
+    # both uses of a table dealt by its key share one shuffle
+    keys = _keys(docs, text_col, threshold, words).repartition("key")
     several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = stored(keys.join(several, "key").distinct(), f"{home}/members")
     nodes = stored(members.select("node").distinct().join(known, "node"), f"{home}/nodes")
-    grams = stored(_segments(docs, nodes, text_col, id_col, threshold).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{home}/grams")
+    grams = stored(_segments(docs, nodes, text_col, id_col, threshold, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{home}/grams")
     # n-grams of one set alone cannot overlap with another set
-    each = grams.select("node", "size", "filled", F.explode("grams").alias("gram"))
+    each = grams.select("node", F.explode("grams").alias("gram")).repartition("gram")
     shared = each.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    able = each.join(shared, "gram").groupBy("node", "size", "filled").agg(F.count(F.lit(1)).alias("able")).where(F.col("able") * 100 >= F.col("size") * threshold)
+    able = each.join(shared, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("able"))
+    able = grams.select("node", "size", "filled").join(able, "node").where(F.col("able") * 100 >= F.col("size") * threshold)
     able = stored(able.withColumn("alone", F.col("size") - F.col("able")), f"{home}/able")
     segments = stored(_cut(grams.join(able.select("node"), "node", "left_semi")), f"{home}/segments")
     live = stored(members.join(able, "node"), f"{home}/live0")
@@ -312,32 +315,32 @@ def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str
     return labels
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links).
 
-    Documents link when 100 * overlap >= threshold * union of their sets of word 3-grams (a text of
-    fewer words is one n-gram). Null, empty and wordless texts have no n-grams and link with
+    Documents link when 100 * overlap >= threshold * union of their sets of n-grams of ``words`` words (a text
+    of fewer words is one n-gram). Null, empty and wordless texts have no n-grams and link with
     nothing. Rows with equal sets are linked; an id that repeats with different texts is treated
     row by row. Null ids are never a component's id unless all its ids are null; a set that only rows
     with null ids have is linked with equal sets alone. No rows give none; extra columns are ignored. Sets are told apart by 64-bit fingerprints of their n-grams'
     hashes: with n distinct sets the chance that any two are confused is below n**2 / 2**65.
     """
     home = work_dir(docs.sparkSession)
-    rows = stored(sets(docs, text_col, id_col), f"{home}/rows")
+    rows = stored(sets(docs, text_col, id_col, words), f"{home}/rows")
     known = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), f"{home}/known")
-    labels = node_labels(docs, known, text_col=text_col, id_col=id_col, threshold=threshold, home=home)
+    labels = node_labels(docs, known, text_col=text_col, id_col=id_col, threshold=threshold, home=home, words=words)
     least = stored(labels.join(known, "node").groupBy("label").agg(F.min("first_id").alias("component")), f"{home}/least")
     far = labels.join(least, "label").select("node", "component")
     by_node = known.join(far, "node", "left").select("node", F.coalesce("component", "first_id").alias("component"))
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
     """The documents without those that a link or a chain of links joins to one with a smaller id.
 
     All columns stay; rows with a null id stay.
     """
-    marked = join(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    marked = join(docs, id_col=id_col, text_col=text_col, threshold=threshold, words=words)
     gone = stored(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), f"{work_dir(docs.sparkSession)}/gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
     kept = rows.join(_small(gone), F.col("id") == F.col("gone"), "left_anti")
