@@ -39,6 +39,8 @@ ROUNDS = 2
 PAIRS_PER_SET = 1000
 #: Ids up to this number (8 bytes each) are broadcast instead of shuffling the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets of a bucket that one share of the all-pairs comparison holds of either side, about.
+BLOCK = 256
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -256,8 +258,8 @@ def components(labels: DataFrame, links: DataFrame, home: str) -> DataFrame:
     return stored(labels.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{home}/labels")
 
 
-def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
-    """(node, label) of the nodes that have candidates; ``known`` has node and first_id."""
+def _candidates(docs: DataFrame, known: DataFrame, text_col: str, id_col: str, threshold: int, words: int, home: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes that may have partners (able), their segments, and their index keys (live)."""
     # both uses of a table dealt by its key share one shuffle
     keys = _keys(docs, text_col, threshold, words).repartition("key")
     several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
@@ -271,11 +273,37 @@ def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str
     able = grams.select("node", "size", "filled").join(able, "node").where(F.col("able") * 100 >= F.col("size") * threshold)
     able = stored(able.withColumn("alone", F.col("size") - F.col("able")), f"{home}/able")
     segments = stored(_cut(grams.join(able.select("node"), "node", "left_semi")), f"{home}/segments")
-    live = stored(members.join(able, "node"), f"{home}/live0")
-    labels = stored(able.select("node", F.col("node").alias("label")), f"{home}/labels0")
-    fits = (F.least("able_a", "able_b") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold) & (
+    return able, segments, stored(members.join(able, "node"), f"{home}/live0")
+
+
+def _fits(threshold: int):
+    return (F.least("able_a", "able_b") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold) & (
         F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold
     )
+
+
+def node_links(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
+    """Every pair (a, b) of different sets that reaches the threshold, once; buckets are dealt in blocks of sets."""
+    _, segments, live = _candidates(docs, known, text_col, id_col, threshold, words, home)
+    own = live.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    blocks = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rich = live.join(own, "node").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "able", "keys")]
+    # each block of a bucket meets each other block of it in a task's share of its own
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = rich.select("key", F.col("block").alias("i"), every.alias("j"), *side("a"))
+    b = rich.select("key", every.alias("i"), F.col("block").alias("j"), *side("b"))
+    # a pair is made in the first bucket that its sets share
+    once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    pairs = a.join(b, ["key", "i", "j"]).where((F.col("node_a") < F.col("node_b")) & _fits(threshold) & once)
+    return stored(_linked(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), segments, threshold), f"{home}/links")
+
+
+def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
+    """(node, label) of the nodes that have candidates; ``known`` has node and first_id."""
+    able, segments, live = _candidates(docs, known, text_col, id_col, threshold, words, home)
+    labels = stored(able.select("node", F.col("node").alias("label")), f"{home}/labels0")
+    fits = _fits(threshold)
     sets_known = known.count()
     i = 0
     while True:
@@ -335,6 +363,22 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, n_links (the other rows that it links with, by the rule of ``join``).
+
+    No link is left out: all candidate pairs of different sets are verified, those of one component
+    too, and each counts for all rows of its sets. Rows with equal sets are links of each other.
+    """
+    home = work_dir(docs.sparkSession)
+    rows = stored(sets(docs, text_col, id_col, words), f"{home}/rows")
+    known = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), f"{home}/known")
+    links = node_links(docs, known.select("node", "first_id"), text_col=text_col, id_col=id_col, threshold=threshold, home=home, words=words)
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(known.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    by_node = known.join(others, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
     """The documents without those that a link or a chain of links joins to one with a smaller id.
 
@@ -351,6 +395,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 
 
+def op5_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(read(spark, sf_dir, "documents"))
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,0 +1,34 @@
+"""Links of the n-gram join, counted against a plain search over all pairs."""
+
+from __future__ import annotations
+
+import pytest
+
+from loomlens.llm import jaccard_join as jj
+
+from .test_jaccard import SF, family, shingle_set
+
+
+def plain_counts(docs, threshold):
+    sets = {i: shingle_set(t) for i, t in docs.items()}
+    counts = dict.fromkeys(docs, 0)
+    for x in docs:
+        for y in docs:
+            n = len(sets[x] & sets[y])
+            if x != y and n and 100 * n >= threshold * (len(sets[x]) + len(sets[y]) - n):
+                counts[x] += 1
+    return {i: (len(sets[i]), counts[i]) for i in docs}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_counts_equal_plain_search(spark, monkeypatch, block):
+    monkeypatch.setattr(jj, "BLOCK", block)
+    docs = family(80, (1, 5, 10, 30, 60, 150), 14)
+    docs |= {len(docs): None, len(docs) + 1: ""}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in jj.link_counts(df, threshold=80).collect()} == plain_counts(docs, 80)
+
+
+def test_query_counts_all_links_of_the_tables(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in jj.op5_link_counts(spark, SF).collect()} == plain_counts(docs, 90)
