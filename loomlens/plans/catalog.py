@@ -306,15 +306,23 @@ def validation_parse(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", runners.parse_validation(text).alias("v")).select("conv_id", "turn", "v.score", "v.passed", "v.critique")
 
 
-def runner_event_fold(spark, sf):
+def _folded(spark, sf, said):
     conv = _read(spark, sf, "conversations")
     delta = F.to_json(F.struct(F.lit("message_update").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("role").alias("delta")).alias("assistantMessageEvent")))
-    end = F.to_json(F.struct(F.lit("message_end").alias("type"), F.struct("role", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("model"), F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 20).alias("text"))).alias("content")).alias("message")))
+    end = F.to_json(F.struct(F.lit("message_end").alias("type"), F.struct("role", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("model"), F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")).alias("message")))
     line = F.when(F.col("turn") % 3 == 2, "not json").when(F.col("role") == "assistant", end).otherwise(delta)
     rows = conv.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), line.alias("line"))
     return runners.fold_runner_events(rows)
 
 
+def runner_event_fold(spark, sf):
+    return _folded(spark, sf, F.substring("text", 1, 20))
+
+
+def runner_event_fold_whole(spark, sf):
+    return _folded(spark, sf, F.col("text"))
+
+
 def chunk_model_reports(spark, sf):
     texts = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return runners.map_chunks(texts)
@@ -333,7 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, validation_commands, index_diff, worklist,
         partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
-        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, kmeans_clusters, validation_parse, runner_event_fold, chunk_model_reports, turn_refs,
+        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, kmeans_clusters, validation_parse, runner_event_fold, runner_event_fold_whole, chunk_model_reports, turn_refs,
     )
 }
 QUERIES |= {

@@ -264,5 +264,7 @@ cl AS (SELECT turn, min(c) AS c FROM r GROUP BY 1) SELECT turn, CASE WHEN count(
 CASE n % 3 WHEN 0 THEN n % 51 WHEN 1 THEN 5 * (n % 11) ELSE 0 END >= 35 AS passed, CASE n % 3 WHEN 0 THEN 'fine' || chr(10) WHEN 1 THEN chr(10) || 'Signal' ELSE chr(10) END AS critique FROM x""",
     "runner_event_fold": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2) SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
 arg_max(substr(text, 1, 20), turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model, CAST(NULL AS VARCHAR) AS error FROM x GROUP BY 1""",
+    "runner_event_fold_whole": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2) SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
+arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model, CAST(NULL AS VARCHAR) AS error FROM x GROUP BY 1""",
     "turn_refs": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 's#turn1x' || conv_id END AS session, CAST(CASE WHEN turn % 2 = 0 THEN turn END AS INTEGER) AS turn_index, 'home-x_y-' || role AS project_id FROM conversations""",
 }
