@@ -119,6 +119,27 @@ def chunk_records(packed: DataFrame, meta: DataFrame) -> DataFrame:
     return out.withColumn("tokens", estimate_tokens(F.col("n_chars"))).withColumn("relevance", relevance(F.col("n_referenced"), F.col("n_changed"), F.col("n_commands"), F.col("n_chars")))
 
 
+def chunk_contents(packed: DataFrame, texts: DataFrame, session: str = "session") -> DataFrame:
+    """What each chunk holds of its own: the hash of its segments' texts, their line ranges, and their distinct paths and commands in order.
+
+    ``packed`` has project, session, segment, ord, line_start, line_end, chunk; ``texts`` session and text.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    part = F.array_join(F.slice(lines, F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    own = packed.join(texts, session).withColumn("text", part)
+    key = ["project", "chunk", "ord", session, "line_start", "line_end"]
+    found = traces(own.select(F.struct(*key).alias("at"), "text"), "at").join(own.select(F.struct(*key).alias("at"), F.sha2("text", 256).alias("digest")), "at")
+    rows = found.select("at.*", "digest", "referenced", "changed", "commands")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", session, "line_start", "line_end", "digest", "referenced", "changed", "commands")))
+    each = rows.groupBy("project", "chunk").agg(ordered.alias("parts"))
+    distinct = lambda c: F.array_distinct(F.flatten(F.transform("parts", lambda p: p[c]))).alias(c)
+    return each.select(
+        "project", "chunk", F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), "\n"), 256).alias("content_hash"),
+        F.transform("parts", lambda p: F.struct(p[session].alias(session), p["line_start"].alias("line_start"), p["line_end"].alias("line_end"))).alias("ranges"),
+        distinct("referenced"), distinct("changed"), distinct("commands"),
+    )
+
+
 def select_for_synthesis(reports: DataFrame) -> DataFrame:
     """Finished chunks without those of low relevance, unless all are low (per project)."""
     done = reports.where("status IN ('completed', 'cached')")

@@ -209,7 +209,7 @@ def blocks(spark, sf):
 def _packed(spark, sf):
     docs = _read(spark, sf, "documents").select("doc_id", "source")
     cut = chunking.segments(_blocks(spark, sf), POLICY).join(docs, "doc_id")
-    rows = cut.select(F.col("source").alias("project"), F.col("doc_id").alias("session"), (F.col("doc_id") * 100_000 + F.col("segment")).alias("ord"), "segment", "n_chars")
+    rows = cut.select(F.col("source").alias("project"), F.col("doc_id").alias("session"), (F.col("doc_id") * 100_000 + F.col("segment")).alias("ord"), "segment", "n_chars", "line_start", "line_end")
     return chunking.pack(rows, POLICY)
 
 
@@ -227,6 +227,10 @@ def chunk_records(spark, sf):
     return _chunks(spark, sf).select("project", "chunk", "n_segments", "n_sessions", "n_chars", "tokens", "content_hash", "relevance")
 
 
+def chunk_contents(spark, sf):
+    return chunking.chunk_contents(_packed(spark, sf), _read(spark, sf, "documents").select(F.col("doc_id").alias("session"), "text"))
+
+
 def _reports(spark, sf):
     status = F.when(F.col("chunk") % 4 == 0, "cached").when(F.col("chunk") % 4 == 3, "failed").otherwise("completed")
     return _chunks(spark, sf).select("project", "chunk", "content_hash", "relevance", status.alias("status"))
@@ -237,7 +241,8 @@ def synthesis_selection(spark, sf):
 
 
 def cache_hits(spark, sf):
-    chunks = _reports(spark, sf).withColumn("chunk_id", F.concat_ws("/", "project", F.col("chunk").cast("string")))
+    own = chunk_contents(spark, sf).select("project", "chunk", "content_hash")
+    chunks = _reports(spark, sf).drop("content_hash").join(own, ["project", "chunk"]).withColumn("chunk_id", F.concat_ws("/", "project", F.col("chunk").cast("string")))
     state = chunks.select("chunk_id", F.when(F.col("chunk") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), "status", F.when(F.col("chunk") % 7 == 1, "v0").otherwise("v1").alias("prompt_version"))
     return incremental.cache_hits(chunks, state, {"prompt_version": "v1"}).select("chunk_id", "hit")
 
@@ -340,7 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, validation_commands, index_diff, worklist,
-        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
+        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, chunk_contents, synthesis_selection, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, kmeans_clusters, validation_parse, runner_event_fold, runner_event_fold_whole, chunk_model_reports, turn_refs,
     )
 }
