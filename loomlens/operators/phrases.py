@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 # Phrases that are never reported, and parts that no reported phrase holds.
 STOP_PHRASES = ["这个", "就是", "然后", "那个", "我们", "一下", "对吧", "应该", "没有", "直接", "可以", "所以", "的话", "现在", "你看", "这个是", "然后呢", "ctrl", "resume", "session", "current", "folder", "num"]
 BANNED_PARTS = ["ctrl", "resume", "session", "current folder", "num"]
@@ -103,15 +105,22 @@ def dbscan(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("size", size).select(key, F.when(F.col("size") > 1, F.col("cluster")).alias("cluster"), "size")
 
 
-def kmeans(weights: DataFrame, key: str, buckets: int = 1024, seed: int = 0) -> DataFrame:
-    """(key, cluster) by k-means over TF-IDF vectors hashed to ``buckets``; k grows with the root of half the texts, 2 to 6."""
-    cells = weights.groupBy(key, F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("i")).agg(F.sum("w").alias("w"))
-    dense = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    rows = dense.select(key, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.col("m")[i.cast("int")], F.lit(0.0)))).alias("features"))
+def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> DataFrame:
+    """(key, cluster) by k-means over the sparse TF-IDF vectors of all n-grams; k grows with the root of half the texts, 2 to 6.
+
+    Of ``starts`` fits with seeds of their own, the one of least cost is taken.
+    """
+    ship(weights.sparkSession)
+    grams_ = weights.select("gram").distinct().orderBy("gram").rdd.map(lambda r: r["gram"]).zipWithIndex()
+    vocabulary = grams_.toDF("gram string, i long").persist()
+    n_grams = vocabulary.count()
+    cells = weights.join(vocabulary, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("cells"))
+    vector = F.udf(lambda cells: Vectors.sparse(n_grams, [int(c["i"]) for c in cells], [c["w"] for c in cells]), VectorUDT())
+    rows = cells.select(key, vector("cells").alias("features")).persist()
     n = rows.count()
     if n < 4:
         return rows.select(key, F.lit(None).cast("int").alias("cluster")).limit(0)
     k = min(6, max(2, round((n / 2) ** 0.5)))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
-
-
+    fits = (KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(starts))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
