@@ -4,6 +4,10 @@ Base spans are the three patterns of the contract. The method adds ``entropy`` s
 strings whose Shannon entropy, taken over every window of fixed width with counts that are
 updated by the character that enters and the one that leaves, reaches the limit of their
 character class in some window, unless an allow-list pattern or a base span covers them.
+
+Gates: entropy is measured in texts with a digit only, and for candidates of 20 characters or more
+that have both a digit and a letter. Random keys of letters or digits alone, and shorter ones, are
+never scored.
 """
 
 from __future__ import annotations
