@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
@@ -52,6 +53,22 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in so many rows have is hot, so hot keys number less than this.
+HOT = 1024
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], counted: str) -> DataFrame:
+    """``rows`` joined with the one row of ``table`` for their ``keys``; ``counted`` in it says how many rows have the key.
+
+    Rows of hot keys meet a broadcast table of less than HOT rows and are not shuffled, so no task
+    gets a whole hot group; the others are joined by a shuffle. ``table`` is a stored one.
+    """
+    total = table.agg(F.sum(counted)).first()[0] or 0
+    hot = table.where(F.col(counted) * HOT > total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(counted) * HOT <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column as one byte array, and the n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,21 +1,22 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, and a
-set's part in a fragment is a segment. Two sets that reach the threshold differ in few n-grams,
-so with more fragments than they can differ in, some segment is the same in both: segments are
-compared whole, by fragment, and only sets that share one are candidates. The number of
-fragments follows the set's size class; a set also enters the class below, where its partners
-may lie. Sets with so many empty segments that only these might agree are also indexed by
-their first n-grams of the global order (prefix filter), which closes that gap exactly.
-
-Among the candidates, n-grams that only one set has cannot overlap; sets with too many of them
-have no partner. The rest is verified pair by pair: the overlap is counted in each fragment of
-the order apart, and the partial counts are summed per pair.
-
-Groups of near copies are not expanded into all pairs. In each bucket one set, the centre, is
-compared with all others, and linked sets become one component. After two such rounds (more, if
-a great many pairs are left) the pairs of sets in different components whose sizes, and number of
-shared segments, allow a link are compared. A pair is skipped only if its sets are connected already, so components are exact. Equal sets are one node from the start.
+The global order of n-grams runs from rare to frequent. How frequent an n-gram is, is counted
+over all texts in a table of a fixed number of slots (an n-gram's slot is a part of its hash);
+the order is by the slot's count, then by hash, so every set is sorted alike, whatever the counts
+are worth. The order is cut into fragments of equal mass, and a set's part in a fragment is a
+segment.
+
+Sets that reach the threshold share some of their first n-grams of the order (prefix filter, with
+more than one n-gram asked for, in proportion to size). Sets that share too few of them with any
+other have no partner. The others form groups by chains of shared first n-grams; a group is dealt
+in blocks of bounded size, and two blocks that share such an n-gram are one cell. In every cell
+and every fragment the overlaps of the segments are counted apart, each by its own task; pairs
+that cannot reach the threshold, whatever the other fragments hold, are left out there. The
+partial counts are then summed per pair, and the threshold decides.
+
+A cell passes on, per set, its number of links and the least set that links reach within the
+cell, so that groups of near copies are not expanded into rows of pairs, and yet every pair of
+different sets is counted. Equal sets are one node from the start and count by their number.
 """
 
 from __future__ import annotations
@@ -25,22 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, mix, read, runs, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, SPACE, met, mix, read, runs, span_hashes, steps, stored, text_bytes, work_dir
 
 N = 3
 THRESHOLD = 90
-#: Ratio of successive size classes, as a fraction.
-RATIO = 1.6
-#: Fragments of the global order in which the overlaps of a pair are counted apart.
+#: Bits of an n-gram's hash that name its slot: the table of counts has 2**SLOT_BITS entries, whatever the corpus.
+SLOT_BITS = 18
+#: Fragments of the global order.
 FRAGMENTS = 8
-#: Rounds in which each bucket compares its next centre, before all remaining pairs are compared.
-ROUNDS = 2
-#: Further rounds follow while more pairs per set than this share open buckets.
-PAIRS_PER_SET = 1000
+#: Sets, and n-grams of sets, that a block of a group holds, about.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: N-grams that a task compares in one step, unless one cell has more.
+STEP_GRAMS = 1 << 18
+#: Sets of a cell from which on overlaps are counted by matrix products, of so many n-grams each.
+DENSE, COLUMNS = 48, 2048
 #: Ids up to this number (8 bytes each) are broadcast instead of shuffling the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Sets of a bucket that one share of the all-pairs comparison holds of either side, about.
-BLOCK = 256
+
+_LOW = np.uint64(64 - SLOT_BITS)
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -62,7 +65,11 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray
     for i in range(n):
         more = i < size[begin]
         out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + h[begin[more] + i] + np.uint64(i + 1))
-    owner = row[begin]
+    return _sorted(out, row[begin])
+
+
+def _sorted(out: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each owner in ascending order; owners ascend already."""
     order = np.lexsort((out, owner))
     out, owner = out[order], owner[order]
     new = np.ones(len(out), bool)
@@ -70,77 +77,38 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray
     return out[new], owner[new]
 
 
-def _class_edges(limit: int = 1 << 40) -> np.ndarray:
-    edges = [1]
-    while edges[-1] < limit:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
-    return np.array(edges)
+class Order:
+    """The global order: an n-gram's place is its slot's rank by count, then the rest of its hash."""
 
+    def __init__(self, counts: np.ndarray, fragments: int = FRAGMENTS):
+        by_count = np.argsort(counts, kind="stable")
+        self.rank = np.empty(len(counts), np.uint64)
+        self.rank[by_count] = np.arange(len(counts), dtype=np.uint64)
+        mass = np.cumsum(counts[by_count], dtype=np.float64)
+        cuts = np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1
+        self.cuts = cuts.astype(np.uint64) << _LOW
 
-EDGES = _class_edges()
+    def place(self, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams, a bijection of their hashes, in the order of each owner's set."""
+        return _sorted((self.rank[(h >> _LOW).astype(np.int64)] << _LOW) | (h & ((np.uint64(1) << _LOW) - np.uint64(1))), owner)
 
+    def fragment(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, places, side="right")
 
-def most_apart(smaller: np.ndarray, threshold: int) -> np.ndarray:
-    """A bound, growing with size, of the n-grams in which two linked sets can differ, given the smaller's size."""
-    both = smaller + smaller * 100 // threshold
-    return both * (100 - threshold) // (100 + threshold)
 
+def misses(n: np.ndarray, threshold: int) -> np.ndarray:
+    """How many n-grams of a set of n a linked set can lack."""
+    return n - (n * threshold + 99) // 100
 
-def fragments(kind: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fragments of each size class, and how many of a set's may be empty."""
-    apart = most_apart(EDGES[kind + 1] - 1, threshold)
-    # fewer n-grams a fragment below 0.9: more of them are empty by chance
-    spare = 1 + apart // (100 if threshold >= 90 else 5)
-    return apart + 1 + spare * (apart > 0), spare
 
+def prefix(n: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length of a set's indexed prefix, and how many n-grams of it some other prefix must share.
 
-def keys_of(h: np.ndarray, owner: np.ndarray, n: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of all sets and their rows: segments in the set's class and the class below, and prefixes of sparse sets."""
-    count = np.bincount(owner, minlength=n)
-    first = np.concatenate([[0], np.cumsum(count)])
-    kind = np.searchsorted(EDGES, count, side="right") - 1
-    keys, rows = [], []
-    for down in (0, 1):
-        k = kind - down
-        # in the class below only if a partner there is large enough
-        ok = (count > 0) & (k >= 0)
-        if down:
-            ok &= (EDGES[np.maximum(k, 0) + 1] - 1) * 100 >= count * threshold
-        # where linked sets cannot differ they are one node already
-        ok &= most_apart(EDGES[np.maximum(k, 0) + 1] - 1, threshold) > 0
-        use = ok[owner]
-        if not use.any():
-            continue
-        hh, oo = h[use], owner[use]
-        parts, spare = fragments(np.maximum(k, 0), threshold)
-        part = ((hh >> np.uint64(32)) * parts[oo].astype(np.uint64)) >> np.uint64(32)
-        new = np.ones(len(hh), bool)
-        new[1:] = (oo[1:] != oo[:-1]) | (part[1:] != part[:-1])
-        begin = np.flatnonzero(new)
-        body = np.add.reduceat(mix(hh ^ np.uint64(0x5851F42D4C957F2D)), begin)
-        label = mix(part[begin] * np.uint64(0x2545F4914F6CDD1D) + k[oo[begin]].astype(np.uint64))
-        keys.append(mix(body ^ label))
-        rows.append(oo[begin])
-        filled = np.bincount(oo[begin], minlength=n)
-        sparse = np.flatnonzero(ok & (parts > 1) & (parts - filled > spare))
-        for i in sparse:
-            own = h[first[i] : first[i + 1]]
-            own = own[: int(most_apart(np.array([EDGES[k[i] + 1] - 1]), threshold)[0]) + 1]
-            keys.append(mix(own ^ np.uint64(0x1234567 + 2 * int(k[i]) + 1)))
-            rows.append(np.full(len(own), i))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def filled_segments(h: np.ndarray, owner: np.ndarray, n: int, threshold: int) -> np.ndarray:
-    """How many segments of its own class each set has that are not empty."""
-    count = np.bincount(owner, minlength=n)
-    parts, _ = fragments(np.maximum(np.searchsorted(EDGES, count, side="right") - 1, 0), threshold)
-    part = ((h >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
-    new = np.ones(len(h), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-    return np.bincount(owner[new], minlength=n)
+    If two sets overlap in ``a`` n-grams or more, their first ``|x| - a + k`` and ``|y| - a + k``
+    n-grams share ``k`` at least; ``k`` grows with size, so the least partner's is asked for.
+    """
+    shared = lambda m: np.minimum(misses(m, threshold) // 2 + 1, np.maximum(m - misses(m, threshold), 1))
+    return np.minimum(misses(n, threshold) + shared(n), n), shared(np.maximum((n * threshold + 99) // 100, 1))
 
 
 def _fingerprints(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -157,226 +125,330 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
-    order = np.argsort(rows, kind="stable")
-    at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), _signed(values[order]))
+def _parts(batches, words: int):
+    """Bounded steps of the batches' texts: first row, last row, hashes, owners, sizes and fingerprints of the sets."""
+    for batch in batches:
+        data, offs = text_bytes(batch.column("text"))
+        for lo, hi in steps(offs):
+            h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
+            yield batch, lo, hi, h, owner, np.bincount(owner, minlength=hi - lo), _fingerprints(h, owner, hi - lo)
+
+
+SETS, SLOTS = 0, 1
 
 
 def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFrame:
-    """doc_id, node (the set's 64-bit fingerprint, null without words) and n_shingles of every row."""
+    """Two kinds of rows in one pass. SETS: doc_id, node (the set's 64-bit fingerprint, null without words) and size
+    of every row. SLOTS: in node a slot, in size its count; each task sends a slot once."""
 
     def work(batches):
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            for lo, hi in steps(offs):
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                count = np.bincount(owner, minlength=hi - lo)
-                fp = _fingerprints(h, owner, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64), mask=count == 0), pa.array(count.astype(np.int64))], names=["doc_id", "node", "n_shingles"])
-
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch, lo, hi, h, _, size, fp in _parts(batches, words):
+            counts += np.bincount((h >> _LOW).astype(np.int64), minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, SETS, np.int32)), batch.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=names)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 1 << 16):
+            a = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), SLOTS, np.int32)), pa.nulls(len(a), pa.int64()), pa.array(a.astype(np.int64)), pa.array(counts[a])], names=names)
+
+    names = ["kind", "doc_id", "node", "size"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, node long, n_shingles long")
+    return rows.mapInArrow(work, "kind int, doc_id long, node long, size long")
 
 
-def _keys(docs: DataFrame, text_col: str, threshold: int, words: int) -> DataFrame:
-    """(key, node) of every row's set, a pair once per task's batch of copies."""
+def _postings(docs: DataFrame, order, text_col: str, threshold: int, words: int) -> DataFrame:
+    """(gram, node, need) of the first n-grams of every row's set, once per task's step of copies."""
 
     def work(batches):
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            for lo, hi in steps(offs):
-                n = hi - lo
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                fp = _fingerprints(h, owner, n)
-                once = np.zeros(n, bool)
-                once[np.unique(fp, return_index=True)[1]] = True
-                use = once[owner]
-                keys, rows = keys_of(h[use], owner[use], n, threshold)
-                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(fp[rows])], names=["key", "node"])
+        for _, _, _, h, owner, size, fp in _parts(batches, words):
+            once = np.zeros(len(size), bool)
+            once[np.unique(fp, return_index=True)[1]] = True
+            use = once[owner]
+            g, own = order.value.place(h[use], owner[use])
+            size = np.where(once, size, 0)
+            first = np.concatenate([[0], np.cumsum(size)])[:-1]
+            length, need = prefix(size, threshold)
+            head = np.arange(len(g)) - first[own] < length[own]
+            yield pa.RecordBatch.from_arrays([_signed(g[head]), _signed(fp[own[head]]), pa.array(need[own[head]].astype(np.int32))], names=["gram", "node", "need"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "key long, node long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "gram long, node long, need int")
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, threshold: int, words: int) -> DataFrame:
-    """node, size, filled segments and sorted n-gram hashes, for the nodes given with one document each."""
+def _segments(docs: DataFrame, order, nodes: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
+    """node, size, fragment, before (n-grams in the fragments before) and grams, a row per segment, for the nodes given with one document each."""
 
     def work(batches):
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            for lo, hi in steps(offs):
-                n = hi - lo
-                h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                fp = _fingerprints(h, owner, n)
-                yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(filled_segments(h, owner, n, threshold).astype(np.int64)), _lists(h, owner, n)], names=["node", "size", "filled", "grams"])
-
-    wanted = _small(nodes.select(F.col("first_id").alias("doc_id")).distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+        for _, _, _, h, owner, size, fp in _parts(batches, words):
+            g, own = order.value.place(h, owner)
+            part = order.value.fragment(g)
+            new = np.ones(len(g), bool)
+            new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+            begin = np.flatnonzero(new)
+            o = own[begin]
+            before = begin - np.concatenate([[0], np.cumsum(size)])[o]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(g)).astype(np.int32)), _signed(g))
+            yield pa.RecordBatch.from_arrays([_signed(fp[o]), pa.array(size[o].astype(np.int32)), pa.array(part[begin].astype(np.int32)), pa.array(before.astype(np.int32)), lists], names=["node", "size", "fragment", "before", "grams"])
+
+    wanted = _small(nodes.select("first_id").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     # an id may have rows of other sets, and a set several such rows
-    got = rows.select("text").mapInArrow(work, "node long, size long, filled long, grams array<long>")
-    return got
-
-
-def _cut(grams: DataFrame) -> DataFrame:
-    """(node, size, parts): each set's segments in the fragments of the global order, in the fragments' order."""
-    bits = FRAGMENTS.bit_length() - 1
-    part = lambda i: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - bits) == i)
-    return grams.select("node", "size", F.array(*[part(i) for i in range(FRAGMENTS)]).alias("parts"))
-
-
-def _linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
-    side = lambda x: segments.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parts").alias(f"parts_{x}"))
-    partial = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    counted = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", F.aggregate(partial, F.lit(0), lambda t, x: t + x).alias("common"))
-    return counted.where(F.col("common") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold).select("a", "b")
-
+    return rows.select("text").mapInArrow(work, "node long, size int, fragment int, before int, grams array<long>")
+
+
+def _runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _pairs(group: np.ndarray, row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, common n-grams) of all pairs of rows of one group that share any; the first row is the smaller."""
+    order = np.lexsort((row, gram, group))
+    group, row, gram = group[order], row[order], gram[order]
+    edge = _runs_of(group, gram)
+    length = np.diff(edge)
+    a, b, n = [], [], []
+    # cells of many sets: one product of a 0/1 matrix with itself for so many n-grams at a time
+    wide = _runs_of(group)
+    for lo, hi in zip(wide[:-1], wide[1:], strict=True):
+        if hi - lo < DENSE or len(who := np.unique(row[lo:hi])) < DENSE:
+            continue
+        runs_here = slice(*np.searchsorted(edge, [lo, hi]))
+        column = np.cumsum(np.isin(np.arange(lo, hi), edge[runs_here])) - 1
+        shared = (length[runs_here] > 1)[column]
+        length[runs_here] = 0  # done here
+        if not shared.any():
+            continue
+        at, column = np.searchsorted(who, row[lo:hi][shared]), column[shared]
+        column = np.cumsum(np.append(True, np.diff(column) > 0)) - 1
+        total = np.zeros((len(who), len(who)), np.float32)
+        for c in range(0, column[-1] + 1, COLUMNS):
+            s, e = np.searchsorted(column, [c, c + COLUMNS])
+            m = np.zeros((len(who), COLUMNS), np.float32)
+            m[at[s:e], column[s:e] - c] = 1
+            total += m @ m.T
+        i, j = np.nonzero(np.triu(total, 1))
+        a.append(who[i])
+        b.append(who[j])
+        n.append(total[i, j].astype(np.int64))
+    # the others: each run of one n-gram gives its pairs, place k with each place before
+    starts = edge[:-1][length > 1]
+    length = length[length > 1]
+    base = int(row.max(initial=0)) + 1
+    keys = []
+    for k in range(1, int(length.max(initial=1))):
+        s = starts[length > k]
+        for back in range(k):
+            keys.append(row[s + back] * base + row[s + k])
+    if keys:
+        u, c = np.unique(np.concatenate(keys), return_counts=True)
+        a.append(u // base)
+        b.append(u % base)
+        n.append(c)
+    some = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return some(a), some(b), some(n)
+
+
+_KEY = ["group", "i", "j"]
+#: Pairs in one row of partial counts.
+_ROW_PAIRS = 1 << 14
+_PAIR = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("least", pa.int32()), ("copies_a", pa.int64()), ("copies_b", pa.int64())])
+
+
+def _whole_groups(batches, columns: list[str], at_once: int, weight: str):
+    """Tables of whole runs of equal ``columns`` from sorted batches, of about ``at_once`` in the sum of ``weight``."""
+    held, load = None, 0
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        load += int(np.sum(batch.column(weight).to_numpy()))
+        if load < at_once:
+            continue
+        edge = _runs_of(*[held.column(c).to_numpy() for c in columns])
+        if len(edge) > 2:
+            yield held.slice(0, edge[-2]).combine_chunks()
+            held = held.slice(edge[-2])
+            load = int(np.sum(held.column(weight).to_numpy()))
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _flat(column) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], column.type.value_type)
+
+
+def partial_overlaps(batches, threshold: int):
+    """The partial counts of each cell and fragment, from rows of segments sorted by cell and fragment."""
+    columns = [*_KEY, "fragment"]
+    for t in _whole_groups(batches, columns, STEP_GRAMS, "width"):
+        edge = _runs_of(*[t.column(c).to_numpy() for c in columns])
+        group_of = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        width, size, before, side = (t.column(c).to_numpy().astype(np.int64) for c in ("width", "size", "before", "side"))
+        node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+        rows = np.repeat(np.arange(t.num_rows), width)
+        a, b, n = _pairs(group_of[rows], rows, _flat(t.column("grams")).to_numpy(zero_copy_only=False))
+        # a cell of two blocks holds the pairs between them; its blocks have cells of their own
+        least = -(-(size[a] + size[b]) * threshold // (100 + threshold))
+        after = size - before - width
+        room = n + np.minimum(before[a], before[b]) + np.minimum(after[a], after[b])
+        two = (t.column("i").to_numpy() != t.column("j").to_numpy())[a]
+        ok = (room >= least) & (np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * threshold) & (~two | (side[a] != side[b]))
+        a, b, n, least = a[ok], b[ok], n[ok], least[ok]
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.argsort(group_of[a], kind="stable")
+        a, b, n, least = a[order], b[order], n[order], least[order]
+        of = group_of[a]
+        cut = _runs_of(of, np.arange(len(of)) // _ROW_PAIRS)
+        if len(cut) < 2:
+            continue
+        pairs = pa.StructArray.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n.astype(np.int32)), pa.array(least.astype(np.int32)), pa.array(copies[a]), pa.array(copies[b])], fields=list(_PAIR))
+        where = edge[of[cut[:-1]]]
+        yield pa.RecordBatch.from_arrays([*[t.column(c).take(pa.array(where)).combine_chunks() for c in columns], pa.array(np.diff(cut).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs)], names=[*columns, "width", "pairs"])
 
-def components(labels: DataFrame, links: DataFrame, home: str) -> DataFrame:
-    """(node, label) with the links' components merged: the least label reaches all (small rounds, written each time).
 
-    Labels are nodes that stand for components; links join labels.
-    """
-    edges = links.where("a <> b").select("a", "b")
-    i = 0
-    edges = stored(edges.distinct(), f"{home}/edges")
-    top = stored(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root")), f"{home}/root")
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number that links reach from each of 0..n-1."""
+    label = np.arange(n)
     while True:
-        both = edges.union(edges.select("b", "a"))
-        near = both.join(top.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = top.join(near, top["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        # pointer jumping: take the root of the root as well
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        step = step.join(jump, "new", "left").select("node", "root", F.least("new", F.coalesce("further", "new")).alias("new"))
-        step = stored(step, f"{home}/step{i}")
-        done = step.where("new <> root").isEmpty()
-        top = step.select("node", F.col("new").alias("root"))
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        # whoever a label stands for takes part as well
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def summed(batches):
+    """Per set of a cell that has links: the least set reached, and its links; from partial counts sorted by cell."""
+    for t in _whole_groups(batches, _KEY, STEP_GRAMS, "width"):
+        edge = _runs_of(*[t.column(c).to_numpy() for c in _KEY])
+        cell = np.repeat(np.repeat(np.arange(len(edge) - 1), np.diff(edge)), t.column("width").to_numpy())
+        flat = _flat(t.column("pairs"))
+        a, b, n, least, ca, cb = (flat.field(i).to_numpy() for i in range(6))
+        order = np.lexsort((b, a, cell))
+        cut = _runs_of(cell[order], a[order], b[order])
+        first = order[cut[:-1]]
+        linked = np.add.reduceat(n[order].astype(np.int64), cut[:-1]) >= least[first] if len(first) else np.zeros(0, bool)
+        first = first[linked]
+        if not len(first):
+            continue
+        c = cell[first]
+        # numbers of the sets by cell and node, so that the least number is the least node
+        both = np.stack([np.concatenate([c, c]), np.concatenate([a[first], b[first]])])
+        key, at = np.unique(both, axis=1, return_inverse=True)
+        at = at.reshape(-1)
+        x, y = at[: len(first)], at[len(first) :]
+        label = least_reached(x, y, key.shape[1])
+        links = np.bincount(x, weights=cb[first], minlength=key.shape[1]) + np.bincount(y, weights=ca[first], minlength=key.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[1]), pa.array(key[1][label]), pa.array(links.astype(np.int64))], names=["node", "low", "links"])
+
+
+def components(edges: DataFrame, home: str) -> DataFrame:
+    """(node, label) of all nodes that ``edges`` (a, b) hold; a component's nodes have one label, a node of it.
+
+    In each round a label goes over to its least neighbour by an order that the round's number
+    draws, and the edges are contracted, so that labels become fewer by a constant share a round
+    (by expectation), whatever the shape of the graph. Rounds are written.
+    """
+    edges = edges.where("a <> b")
+    edges = stored(edges.union(edges.select("b", "a")).distinct(), f"{home}/edges")
+    labels, i = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), 0
+    while not edges.isEmpty():
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(i)).alias("draw"), F.col(c).alias("node"))  # noqa: E731, B023
+        to = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("b"), F.first(drawn("a")).alias("a")).select("node", F.least("a", "b")["node"].alias("to")), f"{home}/to{i}")
+        side = lambda x: to.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: E731, B023
+        contracted = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        edges = stored(contracted.where("a <> b").distinct(), f"{home}/edges{i}")
+        moved = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left")
+        labels = stored(moved.select("node", F.coalesce("to", "label").alias("label")), f"{home}/labels{i}")
         i += 1
-        if done:
-            break
-    root = top.withColumnRenamed("node", "label")
-    return stored(labels.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{home}/labels")
-
-
-def _candidates(docs: DataFrame, known: DataFrame, text_col: str, id_col: str, threshold: int, words: int, home: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The nodes that may have partners (able), their segments, and their index keys (live)."""
-    # both uses of a table dealt by its key share one shuffle
-    keys = _keys(docs, text_col, threshold, words).repartition("key")
-    several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = stored(keys.join(several, "key").distinct(), f"{home}/members")
-    nodes = stored(members.select("node").distinct().join(known, "node"), f"{home}/nodes")
-    grams = stored(_segments(docs, nodes, text_col, id_col, threshold, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), f"{home}/grams")
-    # n-grams of one set alone cannot overlap with another set
-    each = grams.select("node", F.explode("grams").alias("gram")).repartition("gram")
-    shared = each.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    able = each.join(shared, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("able"))
-    able = grams.select("node", "size", "filled").join(able, "node").where(F.col("able") * 100 >= F.col("size") * threshold)
-    able = stored(able.withColumn("alone", F.col("size") - F.col("able")), f"{home}/able")
-    segments = stored(_cut(grams.join(able.select("node"), "node", "left_semi")), f"{home}/segments")
-    return able, segments, stored(members.join(able, "node"), f"{home}/live0")
-
-
-def _fits(threshold: int):
-    return (F.least("able_a", "able_b") * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold) & (
-        F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * threshold
-    )
+    return labels
 
 
-def node_links(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
-    """Every pair (a, b) of different sets that reaches the threshold, once; buckets are dealt in blocks of sets."""
-    _, segments, live = _candidates(docs, known, text_col, id_col, threshold, words, home)
-    own = live.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    blocks = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rich = live.join(own, "node").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "able", "keys")]
-    # each block of a bucket meets each other block of it in a task's share of its own
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = rich.select("key", F.col("block").alias("i"), every.alias("j"), *side("a"))
-    b = rich.select("key", every.alias("i"), F.col("block").alias("j"), *side("b"))
-    # a pair is made in the first bucket that its sets share
-    once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
-    pairs = a.join(b, ["key", "i", "j"]).where((F.col("node_a") < F.col("node_b")) & _fits(threshold) & once)
-    return stored(_linked(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), segments, threshold), f"{home}/links")
-
-
-def node_labels(docs: DataFrame, known: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
-    """(node, label) of the nodes that have candidates; ``known`` has node and first_id."""
-    able, segments, live = _candidates(docs, known, text_col, id_col, threshold, words, home)
-    labels = stored(able.select("node", F.col("node").alias("label")), f"{home}/labels0")
-    fits = _fits(threshold)
-    sets_known = known.count()
-    i = 0
-    while True:
-        named = live.join(labels, "node")
-        # only buckets that lie in several components go on; copies of a label are counted first
-        by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("alone", "node", "size", "able", "label")).alias("centre"))
-        open_ = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("labels"), F.min("centre").alias("centre")).where("labels > 1")
-        open_ = stored(open_, f"{home}/open{i}")
-        here = named.join(open_.select("key", "centre"), "key")
-        total = open_.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0]
-        if total is None:
-            break
-        last = i >= ROUNDS and total <= PAIRS_PER_SET * sets_known
-        if last:
-            # a pair is made in the first bucket that its sets share, and only if its sizes allow a link
-            own = here.groupBy("node").agg(F.collect_set("key").alias("keys"))
-            rich = here.join(own, "node")
-            side = lambda x: rich.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "able", "filled", "label", "keys")])
-            # they share all segments in which they do not differ, and can differ in so many n-grams at most
-            shared = F.array_intersect("keys_a", "keys_b")
-            differ = F.floor((F.col("size_a") + F.col("size_b")) * (100 - threshold) / (100 + threshold))
-            filled = F.when(F.col("size_a") < F.col("size_b"), F.col("filled_a")).when(F.col("size_a") > F.col("size_b"), F.col("filled_b")).otherwise(F.least("filled_a", "filled_b"))
-            first = (F.col("key_") == F.array_min(shared)) & (F.size(shared) >= filled - differ)
-            apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-            pairs = side("a").join(side("b").withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & apart & fits & first)
-        else:
-            pairs = here.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "size", "able", "label")], *[F.col(f"centre.{c}").alias(f"{c}_a") for c in ("node", "size", "able", "label")])
-        pairs = pairs.where((F.col("label_a") != F.col("label_b")) & fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        links = _linked(pairs, segments, threshold)
-        by = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-        joined = links.join(by("a"), "a").join(by("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        labels = components(labels, joined, f"{home}/round{i}")
-        if last:
-            break
-        live = stored(here.where(F.col("node") != F.col("centre.node")).select("key", "node", "size", "able", "filled", "alone"), f"{home}/live{i + 1}")
-        i += 1
-    return labels
+def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
+    """(node, low, links) per cell and linked node: a linked node of the cell, and how many rows of other sets link.
+
+    ``known`` has node, first_id, copies and size of each set, ``slots`` the counts of the order's slots.
+    """
+    spark = docs.sparkSession
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    table = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SLOT_BITS rows
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    order = spark.sparkContext.broadcast(Order(counts))
+    postings = _postings(docs, order, text_col, threshold, words)
+    several = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
+    members = stored(postings.join(several, "gram").distinct(), f"{home}/members")
+    # sets that share enough of their first n-grams
+    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.min("gram").alias("first")).where("n >= need")
+    able = stored(able.select("node", "first").join(known, "node"), f"{home}/able")
+    members = members.select("gram", "node").join(able.select("node"), "node", "left_semi")
+    low = members.groupBy("gram").agg(F.min("node").alias("a"))
+    label = components(members.join(low, "gram").select("a", F.col("node").alias("b")), f"{home}/groups")
+
+    # blocks: sets with the same first shared n-gram together, unless these are too many for a block
+    placed = able.join(label, "node")
+    groups = placed.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    firsts = placed.groupBy("label", "first").agg((F.count(F.lit(1)) > BLOCK).alias("many"))
+    dealt = placed.join(groups, "label").join(firsts, ["label", "first"])
+    block = F.pmod(F.xxhash64("first", F.when(F.col("many"), F.col("node"))), F.col("blocks")).cast("int")
+    dealt = stored(dealt.select("node", "copies", "first_id", F.col("label").alias("group"), "blocks", block.alias("block")), f"{home}/dealt")
+    # cells: a group of one block, or two blocks (or one) that share an n-gram
+    own = dealt.where("blocks = 1").select("group", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct()
+    held = members.join(dealt.where("blocks > 1").select("node", "group", "block"), "node").select("group", "gram", "block").distinct()
+    other = held.join(held.withColumnRenamed("block", "j"), ["group", "gram"]).where("block <= j").select("group", F.col("block").alias("i"), "j").distinct()
+    cells = stored(own.union(other), f"{home}/cells")
+    sides = cells.select(*_KEY, F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.where("i < j").select(*_KEY, F.col("j").alias("block"), F.lit(1).alias("side")))
+    where = dealt.join(sides, ["group", "block"]).select("node", "copies", *_KEY, "side")
+
+    segments = _segments(docs, order, dealt.select("node", "first_id"), text_col, id_col, words)
+    segments = stored(segments.dropDuplicates(["node", "fragment"]).join(dealt.select("node"), "node", "left_semi"), f"{home}/segments")
+    rows = segments.join(where, "node").withColumn("width", F.size("grams"))
+    schema = "group long, i int, j int, fragment int, width int, pairs array<struct<a:long,b:long,common:int,least:int,copies_a:long,copies_b:long>>"
+    cell = [*_KEY, "fragment"]
+    partial = rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(lambda b: partial_overlaps(b, threshold), schema)
+    links = partial.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(summed, "node long, low long, links long")
+    return stored(links, f"{home}/links")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links).
+    """One row per input row: doc_id, n_shingles, component_id (the least id reachable by links) and
+    n_links (the other rows that it links with).
 
     Documents link when 100 * overlap >= threshold * union of their sets of n-grams of ``words`` words (a text
     of fewer words is one n-gram). Null, empty and wordless texts have no n-grams and link with
     nothing. Rows with equal sets are linked; an id that repeats with different texts is treated
-    row by row. Null ids are never a component's id unless all its ids are null; a set that only rows
-    with null ids have is linked with equal sets alone. No rows give none; extra columns are ignored. Sets are told apart by 64-bit fingerprints of their n-grams'
-    hashes: with n distinct sets the chance that any two are confused is below n**2 / 2**65.
+    row by row. Null ids are never a component's id unless all its ids are null. Very long texts
+    are steps of their own; their segments are as long as they need. No rows give none; extra
+    columns are ignored. Sets are told apart by 64-bit fingerprints of their n-grams' hashes: with
+    n distinct sets the chance that any two are confused is below n**2 / 2**65.
     """
     home = work_dir(docs.sparkSession)
-    rows = stored(sets(docs, text_col, id_col, words), f"{home}/rows")
-    known = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), f"{home}/known")
-    labels = node_labels(docs, known, text_col=text_col, id_col=id_col, threshold=threshold, home=home, words=words)
-    least = stored(labels.join(known, "node").groupBy("label").agg(F.min("first_id").alias("component")), f"{home}/least")
-    far = labels.join(least, "label").select("node", "component")
-    by_node = known.join(far, "node", "left").select("node", F.coalesce("component", "first_id").alias("component"))
-    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-
-
-def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, n_links (the other rows that it links with, by the rule of ``join``).
-
-    No link is left out: all candidate pairs of different sets are verified, those of one component
-    too, and each counts for all rows of its sets. Rows with equal sets are links of each other.
-    """
-    home = work_dir(docs.sparkSession)
-    rows = stored(sets(docs, text_col, id_col, words), f"{home}/rows")
-    known = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), f"{home}/known")
-    links = node_links(docs, known.select("node", "first_id"), text_col=text_col, id_col=id_col, threshold=threshold, home=home, words=words)
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(known.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    by_node = known.join(others, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    both = stored(sets(docs, text_col, id_col, words), f"{home}/rows")
+    rows = both.where(F.col("kind") == SETS).select("doc_id", "node", F.col("size").alias("n_shingles"))
+    slots = both.where(F.col("kind") == SLOTS).select(F.col("node").alias("slot"), F.col("size").alias("n"))
+    known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").cast("int").alias("size"))
+    known = stored(known, f"{home}/known")
+    links = node_links(docs, known, slots, text_col=text_col, id_col=id_col, threshold=threshold, home=home, words=words)
+    label = components(links.select(F.col("node").alias("a"), F.col("low").alias("b")), f"{home}/linked")
+    label = stored(label.join(known, "node").select("node", "label", "first_id"), f"{home}/label")
+    least = label.groupBy("label").agg(F.min("first_id").alias("component"))
+    far = label.join(least, "label").select("node", "component")
+    counts = links.groupBy("node").agg(F.sum("links").alias("others"))
+    by_node = known.join(far, "node", "left").join(counts, "node", "left").select(
+        "node", "copies", F.coalesce("component", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    without = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    found = met(rows.where("node IS NOT NULL"), stored(by_node, f"{home}/by_node"), ["node"], "copies")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links").union(without)
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words: int = N) -> DataFrame:
@@ -395,10 +467,6 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"))
 
 
-def op5_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_counts(read(spark, sf_dir, "documents"))
-
-
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -417,6 +485,6 @@ WITH RECURSIVE w AS (
   UNION
   SELECT e.b, r.c FROM reach r JOIN both_ e ON e.a = r.doc_id WHERE r.c < e.b
 )
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
-FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) r ON r.doc_id = w.doc_id
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM both_ GROUP BY 1) l ON l.doc_id = w.doc_id JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) r ON r.doc_id = w.doc_id
 """

@@ -10,7 +10,6 @@ QUERIES = {
     "op3_pieces": pieces.op3_pieces,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
-    "op5_link_counts": jaccard_join.op5_link_counts,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,

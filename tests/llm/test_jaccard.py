@@ -55,28 +55,85 @@ def family(seed, lengths, copies):
     return docs
 
 
-@pytest.mark.parametrize(("threshold", "pairs"), [(90, 200), (90, 0), (80, 200)])
-def test_components_equal_plain_search(spark, monkeypatch, threshold, pairs):
-    monkeypatch.setattr(jj, "PAIRS_PER_SET", pairs)
+def links(docs, threshold):
+    """Plain counts of links beside the components."""
+    sets = {i: shingle_set(t) for i, t in docs.items()}
+    out = dict.fromkeys(docs, 0)
+    for x in docs:
+        for y in docs:
+            n = len(sets[x] & sets[y])
+            if x != y and n and 100 * n >= threshold * (len(sets[x]) + len(sets[y]) - n):
+                out[x] += 1
+    return {i: (*v, out[i]) for i, v in plain(docs, threshold).items()}
+
+
+def found(df, threshold):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jj.join(df, threshold=threshold).collect()}
+
+
+@pytest.mark.parametrize(("threshold", "block", "dense"), [(90, 256, 48), (90, 4, 48), (80, 256, 4), (80, 5, 3)])
+def test_components_and_links_equal_plain_search(spark, monkeypatch, threshold, block, dense):
+    monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "DENSE", dense)
     docs = family(threshold, (1, 2, 5, 9, 10, 13, 30, 60, 150), 12)
     docs |= {len(docs): None, len(docs) + 1: "", len(docs) + 2: " \n"}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.join(df, threshold=threshold).collect()} == plain(docs, threshold)
+    assert found(df, threshold) == links(docs, threshold)
 
 
-@pytest.mark.parametrize("threshold", [80, 90, 95])
-def test_linked_sets_share_a_key(threshold):
+def test_many_similar_texts_that_do_not_link(spark):
+    """A large group that shares most n-grams: few of its pairs reach the threshold, and none is lost."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = {}
+    for i in range(600):
+        x = list(base)
+        for p in rng.sample(range(60), rng.choice([1, 3, 3, 3])):
+            x[p] = f"v{rng.randrange(40)}"
+        docs[i] = " ".join(x)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    want = links(docs, 90)
+    assert 0 < sum(n for *_, n in want.values()) < 60_000
+    assert found(df, 90) == want
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 90, 95])
+def test_prefixes_of_linked_sets_share_what_is_asked_for(threshold):
     rng = np.random.default_rng(threshold)
-    for size in (9, 10, 19, 40, 100, 333, 900):
+    order = jj.Order(rng.integers(1, 1000, 1 << jj.SLOT_BITS))
+    for size in (1, 2, 5, 9, 10, 19, 40, 100, 333, 900):
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         drop = int(size * (100 - threshold) / (100 + threshold))
-        for _ in range(8):
-            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64)]))
+        for _ in range(20):
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, rng.integers(0, drop + 1), dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
-            if 100 * common < threshold * (len(a) + len(b) - common) or common == len(a) == len(b):
+            if 100 * common < threshold * (len(a) + len(b) - common):
                 continue
-            keys, rows = jj.keys_of(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, threshold)
-            assert len(np.intersect1d(keys[rows == 0], keys[rows == 1]))
+            g, owner = order.place(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]))
+            length, need = jj.prefix(np.array([len(a), len(b)]), threshold)
+            shared = np.intersect1d(*[g[owner == i][: length[i]] for i in (0, 1)])
+            assert len(shared) >= need.max()
+
+
+def test_order_is_rare_first_and_cut_by_mass():
+    counts = np.random.default_rng(1).integers(0, 100, 1 << jj.SLOT_BITS)
+    order = jj.Order(counts, 4)
+    h = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    place, owner = order.place(h, np.zeros(len(h), np.int64))
+    back = {int(p): c for p, c in zip(order.place(np.sort(h), np.arange(len(h)))[0], counts[(np.sort(h) >> np.uint64(64 - jj.SLOT_BITS)).astype(int)], strict=True)}
+    seen = [back[int(p)] for p in place]
+    assert seen == sorted(seen) and len(place) == len(np.unique(h))
+    assert np.ptp(np.bincount(order.fragment(np.arange(1 << jj.SLOT_BITS, dtype=np.uint64)[np.repeat(order.rank.astype(int), counts)] << np.uint64(64 - jj.SLOT_BITS)))) < 1000
+
+
+def test_components_of_chains(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 - i, 999 - i) for i in range(200)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7)], "a long, b long")
+    got = jj.components(edges, str(tmp_path / "c")).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["label"], set()).add(r["node"])
+    assert sorted(map(sorted, by.values())) == [list(range(301)), list(range(800, 1001)), list(range(5000, 5100))]
+    assert jj.components(edges.limit(0), str(tmp_path / "none")).count() == 0
 
 
 def test_odd_rows(odd, none):
