@@ -1,14 +1,17 @@
 """Benchmark decontamination by suffix arrays over shards of the training texts.
 
 Every shard (a bounded run of documents within a task) gets a suffix array over its words.
-Each suffix of each test item is binary-searched in it; the range of training suffixes that
-begin with the test suffix's window are its verbatim occurrences, which are then extended to
-maximal matches with their locations. Words that no item holds cannot take part in a match, so
-only stretches of item words at least as long as the shortest window enter the array: that
-changes no result and keeps arrays small.
-
-Test items are read in blocks of bounded size; each block is broadcast to one pass over the
-documents, whatever the size of the benchmark.
+Each distinct window of the test items' suffixes is binary-searched in it: the range of training
+suffixes that begin with it are its verbatim occurrences. Ranges stand for all suffixes that share
+the window, so that a text and an item that repeat a line cost the sum of their lengths and not
+its product. At each place so found, a binary search in the sorted test suffixes gives the longest
+verbatim match. Words that no item holds cannot take part in a match, so only stretches of item
+words at least as long as the shortest window enter the array: that changes no result and keeps
+arrays small.
+
+Test items are read in blocks of bounded size, and each block is broadcast to one pass over the
+documents, whatever the size of the benchmark. With several blocks the documents are written
+once; a pass reads the texts and returns only what it found.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, gather_spans, read, runs, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, Powers, gather_spans, mix, read, runs, span_hashes, steps, stored, text_bytes, work_dir
 
 WINDOW = 13
 #: A document is contaminated when RATE times its hit words reach its words.
@@ -33,32 +37,8 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<bigint>,matches:array<struct<item:string,item_word:bigint,doc_word:bigint,words:bigint>>>"
-
-
-class Block:
-    """A block of test items: their words as numbers, and all their suffixes' windows."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        data, offs = text_bytes(pa.array([t for _, t in items], pa.string()))
-        data = LOWER[data]
-        starts, ends, self.row = runs(_WORD[data], offs)
-        hashes = span_hashes(data, starts, ends)
-        self.vocab, first, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
-        self.lengths = (ends - starts)[first]
-        self.bytes = gather_spans(data, starts[first], self.lengths)
-        self.byte_at = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.names = [i for i, _ in items]
-        count = np.bincount(self.row, minlength=len(items))
-        at = np.concatenate([[0], np.cumsum(count)])[:-1]
-        self.place = np.arange(len(self.ids)) - at[self.row]
-        self.size = np.minimum(window, count)[self.row]
-        self.query = np.flatnonzero(self.place + self.size <= count[self.row])
-        self.least = int(self.size.min()) if len(self.size) else 0
-        self.left = count[self.row] - self.place
-        self.padded = np.concatenate([self.ids, np.full(window, -1)])
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.window = window
+_MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())])
+_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64())), ("matches", pa.list_(_MATCH))])
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -75,10 +55,86 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         new[1:] += np.cumsum(np.diff(key[order]) != 0)
         rank[order] = new
         k *= 2
-        if k >= depth or new[-1] == n:
+        if k >= depth or not n or new[-1] == n:
             return order
 
 
+class Hashed:
+    """Word numbers with hashes of all their stretches, for the length of common stretches."""
+
+    def __init__(self, t: np.ndarray):
+        self.t = t
+        up, self.down = Powers.of(len(t) + 1)
+        self.sums = np.zeros(len(t) + 1, np.uint64)
+        np.cumsum(mix((t + 2).astype(np.uint64)) * up[: len(t)], out=self.sums[1:])
+
+    def of(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def common(x: Hashed, at: np.ndarray, y: Hashed, to: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Words that agree from ``at`` of x and ``to`` of y on, ``most`` at most: a binary search for the length."""
+    lo, hi = np.zeros(len(at), np.int64), most.copy()
+    while (lo < hi).any():
+        mid = (lo + hi + 1) >> 1
+        same = x.of(at, mid) == y.of(to, mid)
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    return lo
+
+
+class Block:
+    """A block of test items: their words as numbers, their suffixes in order, and the distinct windows of these."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        data, offs = text_bytes(pa.array([t for _, t in items], pa.string()))
+        data = LOWER[data]
+        starts, ends, row = runs(_WORD[data], offs)
+        hashes = span_hashes(data, starts, ends)
+        self.vocab, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        self.lengths = (ends - starts)[first]
+        self.bytes = gather_spans(data, starts[first], self.lengths)
+        self.byte_at = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.names = pa.array([i for i, _ in items], pa.string())
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.window = window
+        # words of all items, -1 behind each item
+        count = np.bincount(row, minlength=len(items))
+        at = np.concatenate([[0], np.cumsum(count)])[:-1]
+        words = np.insert(ids, np.concatenate([[0], np.cumsum(count)])[1:], -1) if len(items) else np.zeros(0, np.int64)
+        new = np.arange(len(ids)) + row
+        place = np.arange(len(ids)) - at[row]
+        self.words = Hashed(words)
+        self.row, self.place, self.left = (np.zeros(len(words), np.int64) for _ in range(3))
+        self.row[new], self.place[new], self.left[new] = row, place, count[row] - place
+        size = np.zeros(len(words), np.int64)
+        size[new] = np.where(np.minimum(window, count)[row] <= count[row] - place, np.minimum(window, count)[row], 0)
+        order = suffix_array(words, int(count.max(initial=1)) + 1) if len(words) else np.zeros(0, np.int64)
+        #: Suffixes that begin a window, by size and then in order; suffixes of one window are neighbours.
+        self.suffix = order[size[order] > 0]
+        self.suffix = self.suffix[np.argsort(size[self.suffix], kind="stable")]
+        self.size = size[self.suffix]
+        padded = np.concatenate([words, np.full(window, -1)])
+        cols = np.arange(window)
+        new = np.ones(len(self.suffix) + 1, bool)
+        for i in range(1, len(self.suffix), 1 << 16):
+            a, b = (self.suffix[x : x + (1 << 16)] for x in (i - 1, i))
+            a, n = a[: len(b)], self.size[i : i + len(b)]
+            differ = (padded[a[:, None] + cols] != padded[b[:, None] + cols]) & (cols < n[:, None])
+            new[i : i + len(b)] = differ.any(1) | (self.size[i - 1 : i - 1 + len(b)] != n)
+        #: Where each distinct window's suffixes begin, and the end.
+        self.first = np.flatnonzero(new) if len(self.suffix) else np.zeros(1, np.int64)
+        self.query = padded[self.suffix[self.first[:-1]][:, None] + cols]
+        self.query_size = self.size[self.first[:-1]]
+        self.least = int(self.size.min()) if len(self.size) else 0
+        # the items of each distinct window, each once
+        window_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        held = np.unique(window_of * len(items) + self.row[self.suffix]) if len(items) else np.zeros(0, np.int64)
+        self.item = held % max(1, len(items))
+        self.n_items = np.bincount(held // max(1, len(items)), minlength=len(self.first) - 1)
+        self.item_at = np.concatenate([[0], np.cumsum(self.n_items)])[:-1]
+
+
 def _bound(t: np.ndarray, sa: np.ndarray, q: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
     """Binary search of all queries at once: the first suffix not below (or, if ``after``, above) the query."""
     lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(sa), np.int64)
@@ -97,56 +153,91 @@ def _bound(t: np.ndarray, sa: np.ndarray, q: np.ndarray, size: np.ndarray, after
 
 
 def search(t: np.ndarray, block: Block, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (position in ``t``, test suffix) of all window occurrences; -1 in ``t`` matches nothing."""
-    depth = int(min(len(t), max(block.window, block.left.max(initial=1))))
-    sa = suffix_array(t, depth)
+    """Pairs (position in ``t``, distinct window) of all occurrences; -1 in ``t`` matches nothing.
+
+    A position has one window of each size at most, so there are at most WINDOW pairs per position.
+    """
+    sa = suffix_array(t, block.window)
     padded = np.concatenate([t, np.full(block.window, -2)])
-    places, which = [], []
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(block.query), at_once):
-        ask = block.query[i : i + at_once]
-        q = block.padded[ask[:, None] + np.arange(block.window)]
-        lo, hi = (_bound(padded, sa, q, block.size[ask], after) for after in (False, True))
-        n = hi - lo
-        places.append(gather_spans(sa, lo, n))
-        which.append(np.repeat(ask, n))
-    return np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(which or [np.zeros(0, np.int64)])
-
-
-def _extend(t: np.ndarray, block: Block, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Words that agree from each occurrence on."""
-    size = block.size[q].copy()
-    end_t = len(t)
-    live = np.arange(len(at))
-    while len(live):
-        x, y = at[live] + size[live], q[live] + size[live]
-        ok = (size[live] < block.left[q[live]]) & (x < end_t)
-        ok[ok] = t[x[ok]] == block.ids[y[ok]]
-        live = live[ok]
-        size[live] += 1
-    return size
-
-
-def shard(data: np.ndarray, offs: np.ndarray, block: Block) -> list[dict]:
+        q, size = block.query[i : i + at_once], block.query_size[i : i + at_once]
+        lo, hi = (_bound(padded, sa, q, size, after) for after in (False, True))
+        places.append(gather_spans(sa, lo, hi - lo))
+        which.append(i + np.repeat(np.arange(len(q)), hi - lo))
+    return np.concatenate(places), np.concatenate(which)
+
+
+def longest(t: Hashed, block: Block, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match from each place on that begins with its window: a test suffix and the words that agree.
+
+    The place is looked up among the window's suffixes, which are sorted; a neighbour of where it
+    belongs agrees longest. A window of a short item is the whole item.
+    """
+    gap = np.append(np.flatnonzero(t.t < 0), len(t.t))
+    left = gap[np.searchsorted(gap, at)] - at
+
+    def agree(i):
+        q = block.suffix[i]
+        return common(t, at, block.words, q, np.minimum(left, block.left[q]))
+
+    lo, hi = block.first[window], block.first[window + 1]
+    end = hi - 1
+    begin = lo.copy()
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi) >> 1, end)
+        k, q = agree(mid), block.suffix[mid]
+        below = t.t[np.minimum(at + k, len(t.t) - 1)] < block.words.t[q + k]
+        right = (k == block.left[q]) | ((k < left) & ~below)  # a suffix that ends here comes first
+        open_ = lo < hi
+        lo, hi = np.where(open_ & right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+    before, after = np.maximum(lo - 1, begin), np.minimum(lo, end)
+    a, b = agree(before), agree(after)
+    return block.suffix[np.where(b > a, after, before)], np.maximum(a, b)
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array, times: int = 1) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]) * times
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+
+def shard(data: np.ndarray, offs: np.ndarray, block: Block) -> pa.StructArray:
     """The result of each document of a shard."""
     n = len(offs) - 1
     data = LOWER[data]
     starts, ends, doc = runs(_WORD[data], offs)
     words = np.bincount(doc, minlength=n)
-    out = [{"n_words": int(w), "n_hit": 0, "items": [], "spans": [], "matches": []} for w in words]
+    first = np.concatenate([[0], np.cumsum(words)])
+    hit, items, matches = _hits(data, starts, ends, first, doc, block)
+    s, e, d = runs(hit, first)
+    spans = np.stack([s - first[d], e - first[d]], 1).reshape(-1)
+    owner, item = items
+    at, q, size = matches
+    by = doc[at] if len(at) else at
+    held = pa.StructArray.from_arrays([block.names.take(pa.array(block.row[q])), pa.array(block.place[q]), pa.array(at - first[by]), pa.array(size)], fields=list(_MATCH))
+    return pa.StructArray.from_arrays(
+        [pa.array(words), pa.array(np.bincount(doc[hit], minlength=n)), _lists(owner, n, block.names.take(pa.array(item))), _lists(d, n, pa.array(spans), 2), _lists(by, n, held)],
+        fields=list(_FOUND),
+    )
+
+
+def _hits(data, starts, ends, first, doc, block):
+    """Hit words, (documents, items) of occurring windows, and (word, test suffix, length) of the longest matches that no other contains."""
+    z = np.zeros(0, np.int64)
+    hit, none = np.zeros(len(starts), bool), ((z, z), (z, z, z))
     if not len(block.query) or not len(starts):
-        return out
+        return hit, *none
     h = span_hashes(data, starts, ends)
     tok = np.full(len(h), -1, np.int64)
     some = np.flatnonzero(block.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
     at = np.minimum(np.searchsorted(block.vocab, h[some]), len(block.vocab) - 1)
     same = block.vocab[at] == h[some]
     tok[some[same]] = at[same]
-    first = np.concatenate([[0], np.cumsum(words)])
     a, b, _ = runs(tok >= 0, first)
     long = b - a >= block.least
     a, b = a[long], b[long]
     if not len(a):
-        return out
+        return hit, *none
     size = b - a
     kept = gather_spans(np.arange(len(tok)), a, size)
     # equal hashes are taken as equal words only if the bytes agree
@@ -160,30 +251,28 @@ def shard(data: np.ndarray, offs: np.ndarray, block: Block) -> list[dict]:
     gaps = np.cumsum(size)[:-1]
     t = np.insert(got, gaps, -1)
     word = np.insert(kept, gaps, -1)
-    at, q = search(t, block)
+    at, w = search(t, block)
     if not len(at):
-        return out
+        return hit, *none
     edge = np.zeros(len(tok) + 1, np.int64)
     np.add.at(edge, word[at], 1)
-    np.add.at(edge, word[at] + block.size[q], -1)
+    np.add.at(edge, word[at] + block.query_size[w], -1)
     hit = np.cumsum(edge[:-1]) > 0
-    n_hit = np.bincount(doc[hit], minlength=n)
-    s, e, d = runs(hit, first)
-    for x, y, i in zip(s - first[d], e - first[d], d, strict=True):
-        out[i]["spans"] += [int(x), int(y)]
-    pairs = np.unique(np.stack([doc[word[at]], block.row[q]]), axis=1)
-    for i, item in pairs.T:
-        out[i]["items"].append(block.names[item])
-    # maximal matches: occurrences that cannot be longer to the left
-    more = (block.place[q] > 0) & (at > 0)
-    more[more] = t[at[more] - 1] == block.ids[q[more] - 1]
-    at, q = at[~more], q[~more]
-    for x, y, w in zip(word[at], q, _extend(t, block, at, q), strict=True):
-        i = doc[x]
-        out[i]["matches"].append({"item": block.names[block.row[y]], "item_word": int(block.place[y]), "doc_word": int(x - first[i]), "words": int(w)})
-    for i in range(n):
-        out[i]["n_hit"] = int(n_hit[i])
-    return out
+    pairs = np.unique(doc[word[at]] * len(block.query) + w)
+    owner, which = pairs // len(block.query), pairs % len(block.query)
+    of = np.repeat(owner, block.n_items[which]) * len(block.names) + gather_spans(block.item, block.item_at[which], block.n_items[which])
+    of = np.unique(of)
+    # the longest window of each place, then the longest match
+    order = np.lexsort((-block.query_size[w], at))
+    at, w = at[order], w[order]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    at, w = at[new], w[new]
+    q, size = longest(Hashed(t), block, at, w)
+    reach = np.maximum.accumulate(at + size)
+    alone = np.ones(len(at), bool)
+    alone[1:] = (at + size)[1:] > reach[:-1]
+    return hit, (of // len(block.names), of % len(block.names)), (word[at[alone]], q[alone], size[alone])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
@@ -198,18 +287,69 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
         yield rows
 
 
-def _merged(a: dict | None, b: dict) -> dict:
-    """The results of two blocks for one document."""
-    if a is None:
-        return b
+_BLOCKS: dict[int, Block] = {}
+
+
+def _cached(sent) -> Block:
+    """The broadcast block, built once per worker process."""
+    if sent.id not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[sent.id] = Block(sent.value)
+    return _BLOCKS[sent.id]
+
+
+class _Sent:
+    """A broadcast list of items and its number, by which workers keep what they build of it."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[str, str]]):
+        self.broadcast = spark.sparkContext.broadcast(items)
+        self.id = f"{spark.sparkContext.applicationId}/{self.broadcast._jbroadcast.id()}"
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
+
+    @property
+    def value(self) -> list[tuple[str, str]]:
+        return self.broadcast.value
+
+
+def _pass(rows: DataFrame, sent: _Sent, carried: str, only_hits: bool) -> DataFrame:
+    """``carried`` and found of the rows (of those with hits, if asked) for one block; the text is in column text."""
+
+    def work(batches):
+        block = _cached(sent)
+        for batch in batches:
+            data, offs = text_bytes(batch.column("text"))
+            for lo, hi in steps(offs):
+                found = shard(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], block)
+                out = pa.RecordBatch.from_arrays([batch.column(carried).slice(lo, hi - lo), found], names=[carried, "found"])
+                if only_hits:
+                    out = out.filter(pa.array(found.field(1).to_numpy() > 0))
+                if out.num_rows:
+                    yield out
+
+    schema = T.StructType([rows.schema[carried], T.StructField("found", T.StructType.fromDDL(f"found {RESULT}")["found"].dataType)])
+    return rows.select(carried, "text").mapInArrow(work, schema)
+
+
+def _union(lists: list[dict]) -> dict:
+    """The results of several blocks for one document."""
     spans: list[int] = []
-    pairs = [*zip(a["spans"][::2], a["spans"][1::2], strict=True), *zip(b["spans"][::2], b["spans"][1::2], strict=True)]
-    for s, e in sorted(pairs):
+    for s, e in sorted(p for f in lists for p in zip(f["spans"][::2], f["spans"][1::2], strict=True)):
         if spans and s <= spans[-1]:
             spans[-1] = max(spans[-1], e)
         else:
             spans += [s, e]
-    return {"n_words": b["n_words"], "n_hit": sum(spans[1::2]) - sum(spans[::2]), "items": sorted({*a["items"], *b["items"]}), "spans": spans, "matches": a["matches"] + b["matches"]}
+    matches, reach = [], -1
+    for m in sorted((m for f in lists for m in f["matches"]), key=lambda m: (m["doc_word"], -m["words"])):
+        if m["doc_word"] + m["words"] > reach:
+            matches.append(m)
+            reach = m["doc_word"] + m["words"]
+    return {"n_words": lists[0]["n_words"], "n_hit": sum(spans[1::2]) - sum(spans[::2]), "items": sorted({i for f in lists for i in f["items"]}), "spans": spans, "matches": matches}
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    return pa.table({"place": table.column("place").slice(0, 1), "found": pa.array([_union(table.column("found").to_pylist())], _FOUND)})
 
 
 def annotate(
@@ -219,39 +359,33 @@ def annotate(
     """Columns ``row`` (a struct of the documents' ``keep`` columns, all by default) and ``found``.
 
     ``found`` has the words, the hit words, the items with occurring windows, hit word ranges and
-    maximal verbatim matches. Null and empty texts have no words; items without words match
-    nothing; a null item id counts as ''; repeated rows are each treated alone; an empty benchmark
-    hits nothing. Clashing names of extra columns do no harm, as they stay within ``row``.
+    the longest verbatim matches that no other contains, one item for each (the first of equals;
+    lengths beyond the window are compared by 64-bit hashes). Null and empty texts have no words;
+    items without words match nothing; a null item id counts as ''; repeated rows are each treated
+    alone; an empty benchmark hits nothing. A very long text is a shard of its own, whose arrays
+    grow with its length alone, however often it or an item repeats a line. Clashing names of extra
+    columns do no harm, as they stay within ``row``.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    now = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast(RESULT).alias("found"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    items = next(blocks, [])
-    schema = now.schema
-    result = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64())), ("matches", pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())])))])
-    n = 0
-    while True:
-        later = next(blocks, None)
-        sent = spark.sparkContext.broadcast(items)
-
-        def work(batches, sent=sent, last=later is None, first=n == 0):
-            block = Block(sent.value)
-            for batch in batches:
-                data, offs = text_bytes(batch.column("text"))
-                out = []
-                for lo, hi in steps(offs):
-                    out += shard(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], block)
-                if not first:
-                    out = [_merged(a, b) for a, b in zip(batch.column("found").to_pylist(), out, strict=True)]
-                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
-                yield pa.RecordBatch.from_arrays([batch.column("row"), text, pa.array(out, result)], names=["row", "text", "found"])
-
-        now = now.mapInArrow(work, schema)
-        if later is None:
-            return now.drop("text")
-        now = stored(now, f"{work_dir(spark)}/block{n}")
-        items, n = later, n + 1
+    items, later = next(blocks, []), next(blocks, None)
+    if later is None:
+        return _pass(rows, _Sent(spark, items), "row", False)
+    home = work_dir(spark)
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), f"{home}/rows")
+    paths = []
+    while items is not None:
+        paths.append(f"{home}/block{len(paths)}")
+        _pass(rows, _Sent(spark, items), "place", len(paths) > 1).write.parquet(paths[-1])
+        items, later = later, next(blocks, None)
+    # the first block has every document, the others those that they hit
+    every = spark.read.parquet(paths[0])
+    more = spark.read.parquet(*paths[1:])
+    hit = more.select("place").distinct()
+    merged = more.unionByName(every.join(hit, "place")).groupBy("place").applyInArrow(_merge, every.schema)
+    return rows.select("row", "place").join(every.join(hit, "place", "left_anti").unionByName(merged), "place").select("row", "found")
 
 
 def contaminated(found: str = "found", rate: int = RATE):

@@ -63,6 +63,43 @@ def test_matches_are_maximal_and_located(spark):
     assert m.asDict() == {"item": "5", "item_word": 0, "doc_word": 2, "words": 20}
 
 
+def test_matches_are_the_longest_that_no_other_contains():
+    rng = random.Random(8)
+    items = [" ".join(rng.choice("ab") for _ in range(n)) for n in (13, 14, 30, 60, 5, 2)]
+    block = dc.Block([(str(i), t) for i, t in enumerate(items)])
+    texts = [" ".join([*(rng.choice("abc") for _ in range(40)), rng.choice(items), *(rng.choice("ab") for _ in range(40))]) for _ in range(30)]
+    found = dc.shard(*dc.text_bytes(dc.pa.array(texts)), block).to_pylist()
+    for text, got in zip(texts, found, strict=True):
+        words, best = text.split(), {}
+        for item in items:
+            its = item.split()
+            least = min(13, len(its))
+            for p in range(len(words)):
+                for q in range(len(its) - least + 1):
+                    k = 0
+                    while p + k < len(words) and q + k < len(its) and words[p + k] == its[q + k]:
+                        k += 1
+                    if k >= least:
+                        best[p] = max(best.get(p, 0), k)
+        # where a window of 13 begins, only its suffixes are asked; a short item is a match as a whole
+        want, reach = [], -1
+        for p in sorted(best):
+            if p + best[p] > reach:
+                want.append((p, best[p]))
+                reach = p + best[p]
+        assert [(m["doc_word"], m["words"]) for m in got["matches"]] == want
+        for m in got["matches"]:
+            assert words[m["doc_word"] :][: m["words"]] == items[int(m["item"])].split()[m["item_word"] :][: m["words"]]
+
+
+def test_long_repeats_cost_their_sum(spark):
+    """200,000 equal words against an item of 1,000: pairs of places would be 200 million."""
+    text, item = "line " * 200_000, "line " * 1_000
+    (got,) = dc.shard(*dc.text_bytes(dc.pa.array([text])), dc.Block([("a", item), ("b", "line line")])).to_pylist()
+    assert (got["n_words"], got["n_hit"], got["items"], got["spans"]) == (200_000, 200_000, ["a", "b"], [0, 200_000])
+    assert {m["words"] for m in got["matches"]} == {1_000} and len(got["matches"]) == 199_001
+
+
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "word"), (2, None), (3, "ab cd")], "item_id long, text string")
     assert dc.annotate(odd, bench).count() == odd.count() and dc.annotate(none, bench).count() == 0
