@@ -30,11 +30,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 #: Character classes of candidates, with the least entropy in bits of the best window.
-CLASSES = {"hex": (r"^[0-9A-Fa-f]+$", 3.0), "base36": (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.5), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.7)}
+CLASSES = {"hex": (r"^[0-9A-Fa-f]++$", 3.0), "base36": (r"^(?:[0-9a-z]++|[0-9A-Z]++)$", 3.5), "base64": (r"^[A-Za-z0-9+/_=-]++$", 3.7)}
 #: Candidates that are never secrets: UUIDs, paths and dashed or underscored words, placeholders, runs of an alphabet.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^/?(?:[A-Za-z]++[/_-])++[A-Za-z]*+[0-9]{0,4}$",
     r"(?i)example|dummy|placeholder|sample|changeme|xxxx|lorem",
     r"(?i)0123456789|abcdefghijkl",
 ]
@@ -47,57 +47,60 @@ def _plogp(c: Column, width: int) -> Column:
     return F.get(table, c)
 
 
-def max_window_entropy(s: Column, width: int = WINDOW) -> Column:
+#: Counts of one window are packed into longs, _SLOTS codes of _BITS bits each.
+_BITS, _SLOTS = 6, 10
+
+
+def max_window_entropy(s: Column, width: int = WINDOW, enough: Column | None = None) -> Column:
     """The largest Shannon entropy (bits) of any window of ``width`` ASCII characters of ``s``.
 
-    A string that is shorter than the window is one window; null and '' give 0.
+    Characters are split once; a step takes one character in and one out, changes their two counts
+    and the sum of c * log2(c) over the counts, and so costs the same wherever the window stands. Once
+    a window reaches ``enough``, the rest is passed over. A string that is shorter than the window is
+    one window; null and '' give 0. ``width`` is below 2**_BITS.
     """
-    w = F.least(F.length(s), F.lit(width))
-
-    def code(i: Column) -> Column:
-        return F.ascii(F.substring(s, i, F.lit(1)))
-
-    def step(acc: Column, i: Column) -> Column:
-        gone = F.when(i > w, code(i - w)).otherwise(F.lit(-1))
-        less = let(
-            F.struct(acc.alias("a"), gone.alias("g")),
-            lambda v: F.when(v["g"] < 0, v["a"]).otherwise(
-                F.struct(
-                    F.transform(v["a"]["n"], lambda c, j: F.when(j == v["g"], c - 1).otherwise(c)).alias("n"),
-                    (v["a"]["sum"] - _plogp(F.get(v["a"]["n"], v["g"]), width) + _plogp(F.get(v["a"]["n"], v["g"]) - 1, width)).alias("sum"),
-                    v["a"]["best"].alias("best"),
-                )
-            ),
-        )
-        more = let(
-            F.struct(less.alias("a"), code(i).alias("c")),
-            lambda v: F.struct(
-                F.transform(v["a"]["n"], lambda c, j: F.when(j == v["c"], c + 1).otherwise(c)).alias("n"),
-                (v["a"]["sum"] - _plogp(F.get(v["a"]["n"], v["c"]), width) + _plogp(F.get(v["a"]["n"], v["c"]) + 1, width)).alias("sum"),
-                v["a"]["best"].alias("best"),
-            ),
-        )
-        size = w.cast("double")
-        return let(
-            more,
-            lambda a: F.struct(
-                a["n"].alias("n"), a["sum"].alias("sum"),
-                F.when(i >= w, F.greatest(a["best"], F.log2(size) - a["sum"] / size)).otherwise(a["best"]).alias("best"),
-            ),
-        )
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
-    return F.when(F.length(s) > 0, walk).otherwise(F.lit(0.0))
+    if not 0 < width < 1 << _BITS:
+        raise ValueError(f"a window has 1 to {(1 << _BITS) - 1} characters")
+    one = F.lit(1).cast("long")
+
+    def walk(v: Column) -> Column:
+        codes, w = v["codes"], F.least(F.size(v["codes"]), F.lit(width))
+
+        def count(n: Column, code: Column) -> Column:
+            place = (code % _SLOTS).cast("int") * _BITS
+            return F.call_function("shiftright", F.get(n, F.floor(code / _SLOTS).cast("int")), place).bitwiseAND((1 << _BITS) - 1).cast("int")
+
+        def changed(n: Column, code: Column, by: int) -> Column:
+            place, which = (code % _SLOTS).cast("int") * _BITS, F.floor(code / _SLOTS).cast("int")
+            bit = F.call_function("shiftleft", one, place)
+            return F.transform(n, lambda c, j: F.when(j == which, c + by * bit).otherwise(c))
+
+        def moved(a: Column, code: Column, by: int) -> Column:
+            return let(count(a["n"], code), lambda c: F.struct(changed(a["n"], code, by).alias("n"), (a["sum"] - _plogp(c, width) + _plogp(c + by, width)).alias("sum"), a["best"].alias("best")))
+
+        def step(acc: Column, i: Column) -> Column:
+            less = F.when(i >= w, moved(acc, F.get(codes, i - w), -1)).otherwise(acc)
+            more = let(less, lambda a: moved(a, F.get(codes, i), 1))
+            size = w.cast("double")
+            entropy = let(more, lambda a: F.struct(a["n"].alias("n"), a["sum"].alias("sum"), F.when(i >= w - 1, F.greatest(a["best"], F.log2(size) - a["sum"] / size)).otherwise(a["best"]).alias("best")))
+            return entropy if enough is None else F.when(acc["best"] >= v["enough"], acc).otherwise(entropy)
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-128 // _SLOTS)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda a: a["best"])
+
+    codes = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+    held = F.struct(codes.alias("codes"), (F.lit(0.0) if enough is None else enough).alias("enough"))
+    return F.when(F.length(s) > 0, let(held, walk)).otherwise(F.lit(0.0))
 
 
 def secret_like(s: Column) -> Column:
     """Whether a candidate's best window reaches its class's limit and no allow-list pattern holds."""
-    test = F.lit(False)
+    limit = F.lit(None).cast("double")
     for pattern, least in reversed(list(CLASSES.values())):
-        test = F.when(s.rlike(pattern), max_window_entropy(s) >= least).otherwise(test)
+        limit = F.when(s.rlike(pattern), F.lit(least)).otherwise(limit)
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    return mixed & ~s.rlike("|".join(f"(?:{p})" for p in ALLOWED)) & test
+    held = mixed & ~s.rlike("|".join(f"(?:{p})" for p in ALLOWED))
+    return F.when(held, let(limit, lambda x: max_window_entropy(s, enough=x) >= x)).otherwise(F.lit(False))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +128,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ordered([F.col("assign"), F.col("access"), F.col("hex")], KINDS)
     return found.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(ordered([F.col(k) for k in KINDS], KINDS)).alias("spans"),
+        F.size("entropy").cast("long").alias("n_entropy"),
     )

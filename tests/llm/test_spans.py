@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,52 @@ def test_entropy_spans_and_allow_list(spark, s, secret):
     assert [x["match"] for x in row["entropy"]] == ([s] if secret else [])
 
 
+def plain_entropy_spans(text):
+    """All entropy spans by counting every window anew."""
+    text = text or ""
+    base = [(m.start(), m.end()) for _, p, ok in SECRETS for m in re.finditer(p, text) if ok(m)]
+    classes = [(r"[0-9A-Fa-f]+", 3.0), (r"[0-9a-z]+|[0-9A-Z]+", 3.5), (r"[A-Za-z0-9+/_=-]+", 3.7)]
+    allowed = [
+        r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
+        r"(?i)example|dummy|placeholder|sample|changeme|xxxx|lorem", r"(?i)0123456789|abcdefghijkl",
+    ]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        s = m[0]
+        least = next(x for p, x in classes if re.fullmatch(p, s))
+        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(re.search(a, s) for a in allowed) and entropy(s) >= least - 1e-9:
+            if not any(a < m.end() and m.start() < b for a, b in base):
+                out.append(f"entropy:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_all_entropy_spans_equal_plain_search(spark):
+    rng = random.Random(2)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1", "ABCD2"]
+    made = [" ".join("".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.1 else rng.choice(a) for _ in range(rng.randrange(10, 60))) for a in rng.choices(alphabets, k=5)) for _ in range(150)]
+    table = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    docs = dict(enumerate([*TEXTS, *made, *table, "a-" * 20_000 + "b1"]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = secret_scan.scan(df).select("doc_id", joined(ordered([F.col("entropy")], secret_scan.KINDS)).alias("s")).collect()
+    want = {i: plain_entropy_spans(t) for i, t in docs.items()}
+    assert sum(bool(v) for v in want.values()) > 100
+    assert {r["doc_id"]: r["s"] for r in got} == want
+
+
+def test_a_long_candidate_costs_its_length(spark):
+    """A megabyte without white space, such as an inline image; no window of it reaches the limit."""
+    s = "ab12" * 250_000
+    df = spark.createDataFrame([(1, s)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secret_scan.scan(df).first()
+    assert row["entropy"] == [] and time.perf_counter() - began < 60
+
+
+def test_query_columns_come_first_as_agreed(spark):
+    for run, kinds in ((secret_scan.op10_secret_scan, ["assign", "access", "hex"]), (pii.op2_pii, ["email", "ip", "card", "phone"])):
+        assert run(spark, "/root/testdata/sf0.001").columns[: len(kinds) + 3] == ["doc_id", *[f"n_{k}" for k in kinds], "base_sha256", "spans"]
+
+
 def test_added_personal_data_keeps_base_spans(spark):
     text = "mail me: bob [at] mail [dot] com, Dear Mr. John Smith; ssn: 219-09-9999 call 212-555-1234 or a@b.com"
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
