@@ -10,8 +10,6 @@ text whose two best codewords lie close is flagged ambiguous.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +29,6 @@ SMOOTHING = 0.5
 EVIDENCE = 60.0
 AMBIGUOUS = 0.75
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def code_matrix(n: int, seed: int = 7) -> np.ndarray:
@@ -86,13 +83,25 @@ class Model:
         return best, score, score < AMBIGUOUS
 
 
-def _each(batch, column: str):
-    """Bounded pieces of a batch: first row, last row and n-gram counts."""
-    data, offs = text_bytes(batch.column(column))
+def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter, a character of Unicode's category L (digits, fractions and circled numbers are none)."""
+    n = len(offs) - 1
+    ascii_letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
+    row = lambda mask: np.bincount(np.searchsorted(offs, np.flatnonzero(mask), side="right") - 1, minlength=n) > 0
+    out = row(ascii_letter)
+    for i in np.flatnonzero(~out & row(data >= 0x80)):
+        out[i] = any(map(str.isalpha, data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
+def _each(texts):
+    """Bounded pieces of a column of texts: first row, last row, n-gram counts, and whether there is a letter."""
+    data, offs = text_bytes(texts)
     for lo, hi in steps(offs, STEP):
         for a in range(lo, hi, STEP_ROWS):
             b = min(hi, a + STEP_ROWS)
-            yield a, b, histogram(language_bytes(data[offs[a] : offs[b]]), offs[a : b + 1] - offs[a], BUCKETS, SIZES)
+            d, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            yield a, b, histogram(language_bytes(d), o, BUCKETS, SIZES), has_letter(d, o)
 
 
 def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -106,7 +115,7 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for a, b, counts in _each(batch, "text"):
+            for a, b, counts, _ in _each(batch.column("text")):
                 own = langs[a:b]
                 for name in set(own):
                     held.setdefault(name, np.zeros(BUCKETS, np.int64))
@@ -126,20 +135,24 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``row`` (a struct of ``keep``, by default the id), lang_pred, score, ambiguous.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every text when the model
-    knows no language. Rows keep their number and repeat if repeated; nulls elsewhere pass through.
+    Null texts and texts without a letter (Unicode's category L) are ``und`` with score 0, as is every
+    text when the model knows no language. Of languages with equal loss the first in sorted order is
+    taken, and the text is ambiguous. Very long texts are counted whole, alone in their step. Rows keep
+    their number and repeat if repeated; nulls elsewhere pass through; extra columns stay within ``row``.
     """
     keep = [id_col] if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[F.col(f"`{text_col}`").alias("text")] * (text_col not in keep))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         m = sent.value
         for batch in batches:
             langs, scores, unsure = [], [], []
-            texts = batch.column("text")
-            for a, b, counts in _each(batch, "text"):
-                known = np.array([bool(_LETTER.search(t or "")) for t in texts.slice(a, b - a).to_pylist()], bool) & bool(m.languages)
+            row = batch.column("row")
+            # a text among the kept columns is not sent twice
+            texts = row.field(keep.index(text_col)) if text_col in keep else batch.column("text")
+            for a, b, counts, letter in _each(texts):
+                known = letter & bool(m.languages)
                 if m.languages:
                     best, score, close = m.decode(counts)
                 else:
@@ -147,7 +160,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 langs += [m.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                 scores += np.where(known, score, 0.0).tolist()
                 unsure += (close | ~known).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["row", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["row", "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return rows.mapInArrow(work, schema)
