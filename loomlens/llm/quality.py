@@ -104,11 +104,11 @@ class Model:
         if not len(self.y):
             return np.full(len(x), 0.5)
         sim = self.project(x) @ self.vectors.T
-        k = min(k, sim.shape[1])
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        # the k nearest, and all that are as near as the last of them
+        last = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
         # a shared floor, so that a text without a close neighbour still gets a vote
-        w = np.exp(SHARPNESS * (np.take_along_axis(sim, near, 1) - 1)) + 1e-6
-        return np.clip((w * self.y[near]).sum(1) / w.sum(1), 0, 1)
+        w = np.where(sim >= last[:, None], np.exp(SHARPNESS * (sim - 1)) + 1e-6, 0)
+        return np.clip(w @ self.y / w.sum(1), 0, 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -138,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row; null and empty texts are scored like any other text of length 0.
 
-    Repeated rows get the same score; null ids pass through; extra columns are ignored.
+    Neighbours that are as near as the last of the nearest vote as well, so that ties need no order. Very
+    long texts are scored whole, alone in their step. Repeated rows get the same score; null ids pass
+    through; extra columns are ignored; no rows give none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
