@@ -38,10 +38,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a local folder set.
+    Where the setting is absent, a local folder is set on a single machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loomlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomlens-{uuid.uuid4().hex}"
@@ -69,6 +71,15 @@ def met(rows: DataFrame, table: DataFrame, keys: list[str], counted: str) -> Dat
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+#: Rows up to this number (some 100 bytes each at most) are broadcast instead of shuffling texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column as one byte array, and the n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
