@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -13,7 +13,7 @@ from ..functions.text import estimate_tokens, relevance, trace
 
 #: Tools whose arguments tell what a text read, changed and ran; headers of blocks.
 READS, CHANGES, COMMANDS = "Read|read", "Write|write|Edit|edit", "Bash|bash"
-HEADER = r"^\s*\[(user|assistant)\]"
+HEADER = r"(?U)^\s*\[(user|assistant)\]"
 
 
 @dataclass(frozen=True)
@@ -25,17 +25,35 @@ class Policy:
     hard: int = 360_000
 
 
+#: Fixed value: what ends a line of a session text.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines_of(c: Column) -> Column:
+    """The lines of a text without their ends; a last line end begins no further line, and '' has none."""
+    cut = F.split(F.coalesce(c, F.lit("")), LINE_END, -1)
+    return F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+
+
 def blocks(texts: DataFrame, key: str = "doc_id", header: str = HEADER) -> DataFrame:
-    """Blocks of lines, 1-based: a block starts at a header line; line 1 always starts one.
+    """Blocks of lines, 1-based: a block starts at a header line; line 1 always starts one; an empty text has none.
 
-    Each block but the last ends with its line feed, so that blocks join to the text again.
+    A block's lines are joined by line feeds; it ends with one if it is not empty and the whole text ends so.
     """
-    lines = texts.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    lines = texts.select(key, F.endswith(text, F.lit("\n")).alias("closed"), F.posexplode(lines_of(text)).alias("i", "line"))
     start = (F.col("i") == 0) | F.col("line").rlike(header)
     order = Window.partitionBy(key).orderBy("i")
     numbered = lines.withColumn("block", F.sum(start.cast("int")).over(order))
-    size = F.length("line") + F.when(F.col("i") < F.col("n") - 1, 1).otherwise(0)
-    return numbered.groupBy(key, "block").agg((F.min("i") + 1).alias("line_start"), (F.max("i") + 1).alias("line_end"), F.sum(size).alias("n_chars"))
+    joined = F.sum(F.length("line")) + F.count(F.lit(1)) - 1
+    size = joined + F.when(F.first("closed") & (joined > 0), 1).otherwise(0)
+    return numbered.groupBy(key, "block").agg((F.min("i") + 1).alias("line_start"), (F.max("i") + 1).alias("line_end"), size.alias("n_chars"))
+
+
+def sizes(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Characters and lines of each whole text."""
+    text = F.coalesce("text", F.lit(""))
+    return texts.select(key, F.length(text).cast("long").alias("whole"), F.when(text != "", F.size(F.split(text, "\n", -1))).otherwise(0).alias("n_lines"))
 
 
 def traces(texts: DataFrame, key: str = "doc_id", reads: str = READS, changes: str = CHANGES, commands: str = COMMANDS) -> DataFrame:
@@ -68,34 +86,53 @@ def _fold(rows: DataFrame, group: str, step, out: str) -> DataFrame:
     return ordered.mapInArrow(work, f"{schema}, {out} long")
 
 
-def segments(block_rows: DataFrame, policy: Policy = Policy(), key: str = "doc_id") -> DataFrame:
-    """Segment number of each block: a text within the hard limit is one segment, a longer one is packed greedily."""
-    sized = block_rows.withColumn("whole", F.sum("n_chars").over(Window.partitionBy(key))).withColumn("ord", F.col("block"))
+def block_segments(block_rows: DataFrame, whole: DataFrame, policy: Policy = Policy(), key: str = "doc_id") -> DataFrame:
+    """Segment number of each block of the texts that pass the hard limit, packed greedily; ``whole`` is of ``sizes``."""
+    long = whole.where(F.col("whole") > policy.hard).select(key)
+    rows = block_rows.join(long, key, "left_semi").withColumn("ord", F.col("block"))
 
     def step(state, r):
-        if r["whole"] <= policy.hard:
-            return 0
-        held = state.get("held", 0)
-        if held and held + r["n_chars"] > policy.hard:
+        if "held" in state and state["held"] + r["n_chars"] > policy.hard:
             state["no"] = state.get("no", 0) + 1
-            held = 0
-        state["held"] = held + r["n_chars"]
+            state["held"] = 0
+        state["held"] = state.get("held", 0) + r["n_chars"]
         return state.get("no", 0)
 
-    packed = _fold(sized, key, step, "segment")
-    return packed.groupBy(key, "segment").agg(F.sum("n_chars").alias("n_chars"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    return _fold(rows, key, step, "segment").drop("ord")
+
+
+def segments(packed_blocks: DataFrame, whole: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Segments with their sizes and line ranges: a text within the hard limit is one, as are its lines."""
+    cut = packed_blocks.groupBy(key, "segment").agg(F.sum("n_chars").alias("n_chars"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
+    rest = whole.join(packed_blocks.select(key).distinct(), key, "left_anti")
+    return cut.unionByName(rest.select(key, F.lit(0).cast("long").alias("segment"), F.col("whole").alias("n_chars"), F.lit(1).alias("line_start"), F.col("n_lines").alias("line_end")))
+
+
+def segment_texts(packed_blocks: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, segment, text): the blocks' texts joined, or the whole text where it was not cut."""
+    text = F.coalesce("text", F.lit(""))
+    plain = texts.select(key, text.alias("text"))
+    held = packed_blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "segment", "line_start", "line_end"))).alias("blocks"))
+    cut = plain.join(held, key).select(key, lines_of(F.col("text")).alias("lines"), F.endswith("text", F.lit("\n")).alias("closed"), F.explode("blocks").alias("b"))
+    body = F.array_join(F.slice("lines", F.col("b.line_start"), F.col("b.line_end") - F.col("b.line_start") + 1), "\n")
+    body = F.when(F.col("closed") & (body != ""), F.concat(body, F.lit("\n"))).otherwise(body)
+    # a segment is within the hard limit, or one block
+    parts = cut.select(key, "b.segment", F.struct("b.block", body.alias("body")).alias("part")).groupBy(key, "segment").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = parts.select(key, "segment", F.array_join(F.transform("parts", lambda p: p["body"]), "").alias("text"))
+    rest = plain.join(held.select(key), key, "left_anti").select(key, F.lit(0).cast("long").alias("segment"), "text")
+    return joined.unionByName(rest)
 
 
 def pack(segment_rows: DataFrame, policy: Policy = Policy(), project: str = "project", session: str = "session") -> DataFrame:
     """Chunk number of each segment within its project, in order of ``ord``.
 
     An open chunk is closed before a segment that begins another session if the chunk has the least
-    size, and before any segment that would lift it over the soft limit.
+    size, and before any segment that would lift it over the soft limit (or the hard one).
     """
 
     def step(state, r):
         held = state.get("held", 0)
-        if held and ((r[session] != state["session"] and held >= policy.least) or held + r["n_chars"] > policy.soft):
+        if "session" in state and ((r[session] != state["session"] and held >= policy.least) or held + r["n_chars"] > min(policy.soft, policy.hard)):
             state["no"] = state.get("no", 0) + 1
             held = 0
         state["held"], state["session"] = held + r["n_chars"], r[session]
@@ -104,44 +141,101 @@ def pack(segment_rows: DataFrame, policy: Policy = Policy(), project: str = "pro
     return _fold(segment_rows, project, step, "chunk")
 
 
-def chunk_records(packed: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row per chunk: sessions, sizes, what it refers to and how relevant it looks.
+def chunk_id(chunk: Column) -> Column:
+    return F.format_string("chunk_%03d", chunk + 1)
 
-    ``packed`` has project, session, n_chars, chunk; ``meta`` the session's hash and counts. A chunk
-    is bounded by the packer, so its list of hashes is as well.
-    """
-    rows = packed.join(meta, "session")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "hash"))), lambda x: x["hash"])
-    out = rows.groupBy("project", "chunk").agg(
-        F.count(F.lit(1)).alias("n_segments"), F.countDistinct("session").alias("n_sessions"), F.sum("n_chars").alias("n_chars"), F.sha2(F.array_join(ordered, "\n"), 256).alias("content_hash"),
-        F.sum("n_referenced").alias("n_referenced"), F.sum("n_changed").alias("n_changed"), F.sum("n_commands").alias("n_commands"),
+
+def chunk_body(chunk: Column, parts: Column) -> Column:
+    """The text of a chunk: a heading, and for each segment its sources, its lines and its fenced text."""
+    one = lambda p: F.concat(
+        F.lit("### Session "), p["session"], F.lit("\n- min: `"), p["min_path"], F.lit("`\n- txt: `"), F.coalesce(p["txt_path"], F.lit("n/a")), F.lit("`\n- line_range: `"),
+        p["line_start"].cast("string"), F.lit("-"), p["line_end"].cast("string"), F.lit("`\n\n```text\n"), F.regexp_replace(p["text"], "\n+\\z", ""), F.lit("\n```\n"),
     )
-    return out.withColumn("tokens", estimate_tokens(F.col("n_chars"))).withColumn("relevance", relevance(F.col("n_referenced"), F.col("n_changed"), F.col("n_commands"), F.col("n_chars")))
+    return F.concat(F.lit("# "), chunk_id(chunk), F.lit("\n\n## Sources\n\n"), F.array_join(F.transform(parts, one), "\n"))
 
 
-def chunk_contents(packed: DataFrame, texts: DataFrame, session: str = "session") -> DataFrame:
-    """What each chunk holds of its own: the hash of its segments' texts, their line ranges, and their distinct paths and commands in order.
+def chunk_records(packed: DataFrame, contents: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row per chunk: its sources and their ranges and times, its rendered text with size and hash, and the
+    distinct paths and commands of its sessions, in order.
 
-    ``packed`` has project, session, segment, ord, line_start, line_end, chunk; ``texts`` session and text.
+    ``packed`` has project, session, segment, ord, line_start, line_end, chunk; ``contents`` session,
+    segment and text; ``sessions`` session, start_time, end_time, min_path, txt_path, source_jsonl,
+    referenced, changed, commands. A chunk is bounded by the packer, so what is gathered for it is as well.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    part = F.array_join(F.slice(lines, F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    own = packed.join(texts, session).withColumn("text", part)
-    key = ["project", "chunk", "ord", session, "line_start", "line_end"]
-    found = traces(own.select(F.struct(*key).alias("at"), "text"), "at").join(own.select(F.struct(*key).alias("at"), F.sha2("text", 256).alias("digest")), "at")
-    rows = found.select("at.*", "digest", "referenced", "changed", "commands")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", session, "line_start", "line_end", "digest", "referenced", "changed", "commands")))
-    each = rows.groupBy("project", "chunk").agg(ordered.alias("parts"))
-    distinct = lambda c: F.array_distinct(F.flatten(F.transform("parts", lambda p: p[c]))).alias(c)
-    return each.select(
-        "project", "chunk", F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), "\n"), 256).alias("content_hash"),
-        F.transform("parts", lambda p: F.struct(p[session].alias(session), p["line_start"].alias("line_start"), p["line_end"].alias("line_end"))).alias("ranges"),
-        distinct("referenced"), distinct("changed"), distinct("commands"),
+    fields = ["ord", "session", "segment", "line_start", "line_end", "text", "start_time", "end_time", "min_path", "txt_path", "source_jsonl", "referenced", "changed", "commands"]
+    rows = packed.join(contents, ["session", "segment"]).join(sessions, "session").withColumn("session", F.col("session").cast("string"))
+    each = rows.groupBy("project", "chunk").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
+    every = lambda c: F.transform("parts", lambda p: p[c])
+    distinct = lambda c: F.array_distinct(F.filter(F.flatten(every(c)), lambda x: x != "")).alias(c)
+    logs = F.filter(every("source_jsonl"), lambda x: x != "")
+    out = each.select(
+        "project", "chunk", chunk_id(F.col("chunk")).alias("chunk_id"), F.array_distinct(every("session")).alias("source_sessions"),
+        F.array_distinct(F.when(F.size(logs) > 0, logs).otherwise(every("min_path"))).alias("source_files"),
+        F.col("parts")[0]["start_time"].alias("start_time"), F.element_at("parts", -1)["end_time"].alias("end_time"),
+        F.transform("parts", lambda p: F.struct(p["session"].alias("session"), p["min_path"].alias("min_path"), p["txt_path"].alias("txt_path"), p["line_start"].alias("line_start"), p["line_end"].alias("line_end"))).alias("source_ranges"),
+        distinct("referenced"), distinct("changed"), distinct("commands"), chunk_body(F.col("chunk"), F.col("parts")).alias("content"),
+    )
+    size = F.length("content").cast("long")
+    return out.select(
+        "*", F.size(F.split("content", "\n", -1)).alias("line_count"), size.alias("n_chars"), estimate_tokens(size).alias("tokens"), F.sha2("content", 256).alias("content_hash"),
+        relevance(F.size("referenced"), F.size("changed"), F.size("commands"), size).alias("relevance"),
     )
 
 
+def write_chunk_files(records: DataFrame, folder: str) -> None:
+    """One Markdown file per chunk, project by project, written by the tasks that hold the chunks (``folder`` is shared)."""
+    ship(records.sparkSession)
+
+    def work(batches):
+        from pathlib import Path
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                home = Path(folder) / str(r["project"])
+                home.mkdir(parents=True, exist_ok=True)
+                (home / f"{r['chunk_id']}.md").write_text(r["content"], encoding="utf-8")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    records.select("project", "chunk_id", "content").mapInArrow(work, "n long").agg(F.sum("n")).collect()
+
+
 def select_for_synthesis(reports: DataFrame) -> DataFrame:
     """Finished chunks without those of low relevance, unless all are low (per project)."""
     done = reports.where("status IN ('completed', 'cached')")
     some = done.groupBy("project").agg(F.max(F.col("relevance") != "low").alias("some"))
     return done.join(some, "project").where(~F.col("some") | (F.col("relevance") != "low")).drop("some")
+
+
+def run_stats(reports: DataFrame, only_chunk: str | None = None) -> DataFrame:
+    """Per project: how many chunks were selected, completed, cached, failed, and skipped because another one was asked for.
+
+    An ``only_chunk`` that no project has raises.
+    """
+    chosen = F.lit(True) if only_chunk is None else F.col("chunk_id") == only_chunk
+    if only_chunk is not None and reports.where(chosen).isEmpty():
+        raise ValueError(f"no such chunk: {only_chunk}")
+    state = lambda s: F.count_if(chosen & (F.col("status") == s)).alias(s)
+    return reports.groupBy("project").agg(F.count_if(chosen).alias("selected"), state("completed"), state("cached"), state("failed"), F.count_if(~chosen).alias("skipped"))
+
+
+def synthesis_rollup(reports: DataFrame) -> DataFrame:
+    """Per project, in order of chunks: the ids and reports of the finished chunks that are used, and of those that are ignored."""
+    used = select_for_synthesis(reports).select("project", "chunk_id", F.lit(True).alias("used"))
+    done = reports.where("status IN ('completed', 'cached')").join(used, ["project", "chunk_id"], "left")
+    ordered = lambda c, ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("chunk", F.col(c).alias("c"))))), lambda x: x["c"])
+    yes = F.coalesce("used", F.lit(False))
+    return done.groupBy("project").agg(*[ordered(c, ok).alias(f"{name}_{c}s") for name, ok in (("used", yes), ("ignored", ~yes)) for c in ("chunk_id", "report_path")])
+
+
+def synthesis_input(reports: DataFrame) -> DataFrame:
+    """(project, packet): what the synthesis model reads: the used chunks with their reports, then the ignored ones."""
+    used = select_for_synthesis(reports).select("project", "chunk_id", F.lit(True).alias("used"))
+    done = reports.where("status IN ('completed', 'cached')").join(used, ["project", "chunk_id"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+    names = F.when(F.size("source_sessions") > 0, F.array_join("source_sessions", ", ")).otherwise("none")
+    path = F.coalesce("report_path", F.lit("missing"))
+    full = F.concat(F.lit("### "), "chunk_id", F.lit("\n- relevance: "), "relevance", F.lit("\n- source_sessions: "), names, F.lit("\n- report_path: "), path, F.lit("\n\n"), F.regexp_replace("report", r"(?U)^\s+|\s+\z", ""), F.lit("\n\n"))
+    short = F.concat(F.lit("- "), "chunk_id", F.lit(": relevance="), "relevance", F.lit(" report="), path, F.lit("\n"))
+    held = lambda ok, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("chunk", text.alias("t"))))), lambda x: x["t"]), "")
+    each = done.groupBy("project").agg(held(F.col("used"), full).alias("body"), held(~F.col("used"), short).alias("rest"))
+    rest = F.when(F.col("rest") != "", F.col("rest")).otherwise("- none\n")
+    return each.select("project", F.concat(F.lit("# Synthesis packet\n\n## Used chunk reports\n\n"), "body", F.lit("## Ignored or lower-weight chunks\n\n"), rest).alias("packet"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -66,33 +69,82 @@ def tfidf(texts: DataFrame, key: list[str], low: int = 2, high: int = 5, least:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))).select(*key, "gram", "w")
 
 
+#: Texts of a block of the similarity search, and n-grams of one matrix product.
+SIMILAR_BLOCK, SIMILAR_COLUMNS = 512, 2048
+
+
+def _cell_pairs(batches, least: float):
+    """Pairs of one cell (two blocks, or one with itself) from its rows of (i, j, side, key, grams, weights)."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        i, j = (held.column(c).to_numpy() for c in ("i", "j"))
+        edge = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            yield from _one_cell(held.slice(lo, hi - lo), least)
+        held = held.slice(edge[-1])
+    if held is not None and held.num_rows:
+        yield from _one_cell(held, least)
+
+
+def _one_cell(cell: pa.Table, least: float):
+    side, keys = cell.column("side").to_numpy(), cell.column("key").to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(cell.column("grams")).to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    gram = pc.list_flatten(cell.column("grams")).to_numpy()
+    w = pc.list_flatten(cell.column("weights")).to_numpy()
+    _, column = np.unique(gram, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column, w = row[order], column[order], w[order]
+    two = bool((side == 1).any())
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if two else a
+    dots = np.zeros((len(a), len(b)))
+    for c in range(0, int(column.max(initial=-1)) + 1, SIMILAR_COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + SIMILAR_COLUMNS])
+        m = np.zeros((len(size), SIMILAR_COLUMNS))
+        m[row[lo:hi], column[lo:hi] - c] = w[lo:hi]
+        dots += m[a] @ m[b].T
+    x, y = np.nonzero(np.round(dots, 6) >= least)
+    found = np.round(dots[x, y], 6)
+    first, second = keys[a[x]], keys[b[y]]
+    swap = first > second
+    first, second = np.where(swap, second, first), np.where(swap, first, second)
+    keep = first != second if two else a[x] < b[y]
+    yield pa.RecordBatch.from_arrays([pa.array(first[keep], cell.schema.field("key").type), pa.array(second[keep], cell.schema.field("key").type), pa.array(found[keep])], names=["a", "b", "similarity"])
+
+
 def similar_pairs(weights: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
     """Pairs of texts with a cosine of ``least`` or more.
 
-    Prefix filter over a global order (rare n-grams first): a pair that reaches the bound shares an
-    n-gram of the part of either vector whose remaining weights could still reach it, so frequent
-    n-grams do not pair all texts that hold them; candidates are then summed over all n-grams.
+    The bound is low, so that nearly every n-gram of a vector could lead to a partner and a prefix
+    filter leaves nearly all pairs. Texts are dealt in blocks instead; a cell of two blocks is one
+    task's exact matrix product over the n-grams that it holds, a bounded number of columns at a
+    time. Blocks grow with the texts, memory of a task does not.
     """
-    df = Window.partitionBy("gram")
-    ranked = weights.withColumn("df", F.count(F.lit(1)).over(df))
-    rest = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
-    # the norm of what is left from this n-gram on: below the bound no partner can be met later
-    prefix = ranked.withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("left") >= least - 1e-9)
-    a = prefix.select(F.col(key).alias("a"), "gram")
-    b = prefix.select(F.col(key).alias("b"), "gram")
-    candidates = a.join(b, "gram").where("a < b").select("a", "b").distinct()
-    wa, wb = weights.select(F.col(key).alias("a"), "gram", F.col("w").alias("wa")), weights.select(F.col(key).alias("b"), "gram", F.col("w").alias("wb"))
-    dots = candidates.join(wa, "a").join(wb, ["b", "gram"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
-    return dots.where(F.col("similarity") >= least)
+    ship(weights.sparkSession)
+    vectors = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("gram"), "w"))).alias("v"))
+    vectors = vectors.select(F.col(key).alias("key"), F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("weights"))
+    blocks = max(1, -(-weights.select(key).distinct().count() // SIMILAR_BLOCK))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    each = F.sequence(F.lit(0), F.lit(blocks - 1))
+    cells = F.explode(F.transform(each, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), (F.col("block") > x).cast("int").alias("side"))))
+    rows = dealt.select("key", "grams", "weights", cells.alias("cell")).select("cell.i", "cell.j", "cell.side", "key", "grams", "weights")
+    name = weights.schema[key].dataType.simpleString()
+    n = min(blocks * (blocks + 1) // 2, 10_000)
+    return rows.repartition(n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda b: _cell_pairs(b, least), f"a {name}, b {name}, similarity double")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(key, cluster): the least member of each node's component; label propagation, a checkpoint each round."""
+    """(key, cluster): the least member of each node's component; least labels and pointer jumping, a checkpoint each round."""
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).checkpoint()
     now = nodes.select(key, F.col(key).alias("cluster")).checkpoint()
     while True:
         near = edges.join(now.withColumnRenamed(key, "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
-        new = now.join(near, now[key] == near["a"], "left").select(key, "cluster", F.least("cluster", F.coalesce("near", "cluster")).alias("new")).checkpoint()
+        new = now.join(near, now[key] == near["a"], "left").select(key, "cluster", F.least("cluster", F.coalesce("near", "cluster")).alias("new"))
+        jump = new.select(F.col(key).alias("new"), F.col("new").alias("further"))
+        new = new.join(jump, "new", "left").select(key, "cluster", F.coalesce("further", "new").alias("new")).checkpoint()
         if new.where("new <> cluster").isEmpty():
             return now
         now = new.select(key, F.col("new").alias("cluster"))
@@ -124,3 +176,26 @@ def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> Dat
     fits = (KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(starts))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
+
+
+def cluster_report(weights: DataFrame, members: DataFrame, key: str, terms: int = 6, examples: int = 4) -> DataFrame:
+    """Clusters by size: the heaviest terms of the centroid and the members nearest to it.
+
+    ``members`` has the key and its cluster; null clusters (noise) are left out. Of the eight heaviest
+    terms (ties: the later n-gram) those with weight are kept, six at most; members that are as near
+    follow in order of their keys.
+    """
+    own = members.where("cluster IS NOT NULL").select(key, "cluster")
+    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    held = weights.join(own, key)
+    centroid = held.groupBy("cluster", "gram").agg(F.sum("w").alias("total")).join(sizes, "cluster").select("cluster", "gram", (F.col("total") / F.col("size")).alias("c"))
+    heavy = Window.partitionBy("cluster").orderBy(F.round("c", 9).desc(), F.desc("gram"))
+    top = centroid.withColumn("place", F.row_number().over(heavy)).where((F.col("place") <= min(8, terms)) & (F.col("c") > 0))
+    top = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("top_terms"))
+    norm = centroid.groupBy("cluster").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    dots = held.join(centroid, ["cluster", "gram"]).groupBy("cluster", key).agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
+    near = own.join(dots, ["cluster", key], "left").join(norm, "cluster", "left").withColumn("similarity", F.round(F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)), 6))
+    best = Window.partitionBy("cluster").orderBy(F.desc("similarity"), key)
+    shown = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= examples)
+    shown = shown.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(key).alias("k")))), lambda x: x["k"]).alias("examples"))
+    return sizes.join(top, "cluster", "left").join(shown, "cluster").orderBy(F.desc("size"), "cluster")

@@ -50,7 +50,7 @@ TABLE_RULES = [
 
 #: Weights that order matches.
 CONFIDENCE_WEIGHT = {"high": 3, "medium": 2, "low": 1}
-MODE_WEIGHT = {"confirm": 100, "notify": 0}
+MODE_WEIGHT = {"confirm": 10, "notify": 0}
 
 
 def rules_for_guide(guide: str, rules: list[Rule] | None = None) -> list[Rule]:
@@ -109,6 +109,27 @@ def visible(found: DataFrame, notes: int = 2) -> DataFrame:
     return rows.where(F.when(F.col("asks"), (F.col("mode") == "confirm") & (F.col("place") == 1)).otherwise(F.col("place") <= notes)).drop("asks")
 
 
+def generated(guide: str, rules: list[Rule] | None = None) -> dict:
+    """The rules document for a guide: each rule that it calls for, with the guide's lines that are its evidence."""
+    lines = [x.strip() for x in guide.splitlines()]
+    found = [{
+        "id": r.id, "mode": r.mode, "must_match_any": list(r.any_terms), "must_match_all_groups": [list(g) for g in r.all_groups], "anti_patterns": list(r.anti_patterns), "message": r.message,
+        "suggestion": r.suggestion, "evidence": [x for x in lines if x and any(t in x for t in r.evidence_terms)][:3], "cooldown": r.cooldown, "confidence": r.confidence, "enabled": True,
+    } for r in rules_for_guide(guide, rules)]
+    return {"version": "v1", "default_enabled": True, "rules": found}
+
+
+def loaded(document: dict) -> list[Rule]:
+    """The rules of a document that are enabled and hold what a rule must."""
+    if not document.get("default_enabled", True):
+        return []
+    rows = [r for r in document.get("rules", []) if r.get("enabled", True) and r.get("id") and r.get("message") and r.get("mode") in MODE_WEIGHT]
+    return [
+        Rule(r["id"], r["mode"], tuple(r.get("must_match_any", ())), tuple(map(tuple, r.get("must_match_all_groups", ()))), tuple(r.get("anti_patterns", ())), r.get("cooldown", "turn_once"), r.get("confidence", "medium"), r["message"], r.get("suggestion", ""))
+        for r in rows
+    ]
+
+
 def valid(rules: DataFrame) -> DataFrame:
     """Rules with an id, a known mode and a message: what a rules document must hold."""
     return rules.withColumn("valid", F.coalesce((F.col("id") != "") & F.col("mode").isin("notify", "confirm") & (F.col("message") != ""), F.lit(False)))

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from ..functions.text import bullets, json_object
 
-PAYLOAD = "struct<raw_score:double,normalized_score:double,passed:boolean,critique:string,failed_dimensions:array<string>,must_fix:array<string>>"
+PAYLOAD = (
+    "struct<raw_score:double,normalized_score:double,summary:string,dimension_scores:map<string,double>,failed_dimensions:array<string>,must_fix:array<string>,"
+    "which_chunk_underrepresented:array<string>,which_chunk_overweighted:array<string>,rewrite_direction:map<string,array<string>>>"
+)
 EVENT = "struct<type:string,assistantMessageEvent:struct<type:string,delta:string>,message:struct<role:string,model:string,content:array<struct<type:string,text:string>>>,success:boolean,finalError:string,errorMessage:string>"
-#: Markers of the three documents in a bundle, and the rubric's dimensions with their most points.
-BUNDLE = ["PROJECT_GUIDE", "EVIDENCE", "CHRONICLE"]
+#: The three documents of a bundle, words for a verdict without a summary, and the rubric's dimensions with their most points.
+BUNDLE = ["project_context.md", "collaboration_guide.md", "patterns.md"]
+PASSED, NOT_PASSED = "通过", "未通过"
 RUBRIC = {"Faithfulness": 10, "Signal": 8, "Routing": 8, "Actionability": 8, "Coverage": 6, "Concision": 5, "Structure": 5}
 
 
@@ -61,18 +65,79 @@ def chunk_report(key: Column, sessions: Column, referenced: Column, commands: Co
 
 
 def parse_validation(text: Column, threshold: float = 35.0) -> Column:
-    """(score, passed, critique): passed follows the score alone; a normalised score counts five times; the default is 0."""
-    p = F.from_json(json_object(text), PAYLOAD)
-    score = F.bround(F.coalesce(p["raw_score"], p["normalized_score"] * 5, F.lit(0.0)), 2)
-    fix = F.array_join(F.concat(F.coalesce(p["failed_dimensions"], F.array()), F.coalesce(p["must_fix"], F.array())), "; ")
-    return F.struct(score.alias("score"), (score >= threshold).alias("passed"), F.concat_ws("\n", F.coalesce(p["critique"], F.lit("")), fix).alias("critique"))
+    """(score, passed, summary, rubric, failed_dimensions, must_fix, underrepresented, overweighted, rewrite_direction, critique).
+
+    passed follows the score alone; a normalised score counts five times; the default is 0. The
+    critique states all that the verdict holds, a line for each.
+    """
+
+    def listed(title: str, items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.array(F.lit(f"- {title}:")), F.transform(items, lambda x: F.concat(F.lit("  - "), x)))).otherwise(F.array().cast("array<string>"))
+
+    def whole(v: Column) -> Column:
+        p = v["p"]
+        score = F.bround(F.coalesce(p["raw_score"], p["normalized_score"] * 5, F.lit(0.0)), 2)
+        passed = score >= threshold
+        some = lambda f: F.coalesce(p[f], F.array().cast("array<string>"))
+        rubric = F.transform_values(F.coalesce(p["dimension_scores"], F.create_map().cast("map<string,double>")), lambda _, x: F.bround(x, 2))
+        ways = F.coalesce(p["rewrite_direction"], F.create_map().cast("map<string,array<string>>"))
+        summary = F.coalesce(F.nullif(p["summary"], F.lit("")), F.when(passed, PASSED).otherwise(NOT_PASSED))
+        under, over = some("which_chunk_underrepresented"), some("which_chunk_overweighted")
+        to_way = lambda e: F.concat(F.array(F.concat(F.lit("  - "), e["key"], F.lit(":"))), F.transform(F.coalesce(e["value"], F.array().cast("array<string>")), lambda x: F.concat(F.lit("    - "), x)))
+        lines = F.concat(
+            F.array(F.concat(F.lit("# Self-validation critique (score "), score.cast("string"), F.lit("/50)")), F.lit(""), F.concat(F.lit("- summary: "), summary)),
+            listed("dimension_scores", F.transform(F.map_entries(rubric), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))),
+            listed("failed_dimensions", some("failed_dimensions")), listed("must_fix", some("must_fix")),
+            listed("which_chunk_underrepresented", under), listed("which_chunk_overweighted", over),
+            F.when(F.size(F.map_keys(ways)) > 0, F.concat(F.array(F.lit("- rewrite_direction:")), F.flatten(F.transform(F.map_entries(ways), to_way)))).otherwise(F.array().cast("array<string>")),
+            F.array(F.lit(f"- threshold: {float(threshold)}"), F.concat(F.lit("- passed: "), F.when(passed, "True").otherwise("False"))),
+        )
+        return F.struct(
+            score.alias("score"), passed.alias("passed"), summary.alias("summary"), rubric.alias("rubric"), some("failed_dimensions").alias("failed_dimensions"), some("must_fix").alias("must_fix"),
+            under.alias("underrepresented"), over.alias("overweighted"), ways.alias("rewrite_direction"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("critique"),
+        )
+
+    # the payload is parsed once and bound
+    return F.element_at(F.transform(F.array(F.struct(F.from_json(json_object(text), PAYLOAD).alias("p"))), whole), 1)
+
+
+def render_bundle(documents: Column) -> Column:
+    """The three documents (a map from name to text) behind their markers; null if any is missing or blank."""
+    parts = [F.regexp_replace(documents[n], r"(?U)^\s+|\s+\z", "") for n in BUNDLE]
+    ok = parts[0] != ""
+    for p in parts[1:]:
+        ok = ok & (p != "")
+    sections = [F.concat(F.lit(f"=== {n} ===\n"), p) for n, p in zip(BUNDLE, parts, strict=True)]
+    return F.when(ok, F.concat(F.concat_ws("\n\n", *sections), F.lit("\n")))
 
 
 def split_bundle(text: Column) -> Column:
-    """The three documents between their markers; null unless all are there and none is blank."""
-    parts = [F.trim(F.regexp_extract(text, rf"(?s)<<<{n}>>>(.*?)(?:<<<|$)", 1)) for n in BUNDLE]
-    ok = (parts[0] != "") & (parts[1] != "") & (parts[2] != "")
-    return F.when(ok, F.struct(*[p.alias(n.lower()) for p, n in zip(parts, BUNDLE, strict=True)]))
+    """The three documents between their markers, as a map; null unless all are there, in order, and none is blank."""
+    a, b, c = (n.replace(".", r"\.") for n in BUNDLE)
+    pattern = rf"(?s)=== {a} ===\s*(.*?)\s*=== {b} ===\s*(.*?)\s*=== {c} ===\s*(.*)\z"
+    parts = [F.regexp_replace(F.regexp_extract(text, pattern, i), r"(?U)^\s+|\s+\z", "") for i in (1, 2, 3)]
+    ok = text.rlike(pattern) & (parts[0] != "") & (parts[1] != "") & (parts[2] != "")
+    return F.when(ok, F.create_map(*[x for n, p in zip(BUNDLE, parts, strict=True) for x in (F.lit(n), p)]))
+
+
+def render_prompt(template: str, values: dict[str, str]) -> str:
+    """A prompt template with its {{KEY}} marks filled in."""
+    for key, value in values.items():
+        template = template.replace("{{" + key + "}}", value)
+    return template
+
+
+def chunk_prompt(template: str, chunk_path: str, version: str) -> str:
+    return render_prompt(template, {"CHUNK_FILE": chunk_path}).rstrip() + f"\n\n---\nPrompt version: {version}\n"
+
+
+def build_runner(name: str, command: Callable[[Request], str] | None = None) -> Runner:
+    """The runner of a name: the deterministic one, or the caller's adapter of a model's command line."""
+    if name == "fake":
+        return stand_in
+    if name == "pi-cli-json" and command is not None:
+        return command
+    raise ValueError(f"unsupported runner: {name}")
 
 
 def fold_runner_events(lines: DataFrame, key: str = "run_id", order: str = "line_no", text: str = "line") -> DataFrame:

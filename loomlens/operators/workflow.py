@@ -32,6 +32,20 @@ def top(rows: DataFrame, k: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("n"), "first").limit(k)
 
 
+def frequent_commands(calls: DataFrame, k: int = 20, least: int = 2) -> DataFrame:
+    """Of the k most frequent commands those that were given ``least`` times or more (a top-k report)."""
+    rows = calls.where(F.col("command").isNotNull()).groupBy("command").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("session", "turn", "ord")).alias("first"))
+    return top(rows, k).where(F.col("n") >= least).select("command", "n")
+
+
+def project_totals(calls: DataFrame) -> DataFrame:
+    """One row: sessions, turns with calls, calls, distinct tools, paths and commands."""
+    return calls.agg(
+        F.countDistinct("session").alias("n_sessions"), F.countDistinct("session", "turn").alias("n_turns"), F.count(F.lit(1)).alias("n_calls"),
+        F.countDistinct("tool").alias("n_tools"), F.countDistinct("path").alias("n_paths"), F.countDistinct("command").alias("n_commands"),
+    )
+
+
 def sequences(turn_rows: DataFrame) -> DataFrame:
     own = turn_rows.where(F.size("sequence") > 0)
     return own.groupBy("sequence").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("session", "turn")).alias("first"))

@@ -192,10 +192,13 @@ def partial_final_counters(spark, sf):
     return workflow.finals(workflow.partials(_calls(spark, sf)))
 
 
-def trace_metadata(spark, sf):
+def _traced(spark, sf):
     docs = _read(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"(?m)^(The|Of|An|De) (\S+).*$", '* $1 "$2"'))
-    t = chunking.traces(docs, **BY_PATH)
-    return t.select("doc_id", _joined("referenced"), _joined("changed"), _joined("commands"))
+    return chunking.traces(docs, **BY_PATH)
+
+
+def trace_metadata(spark, sf):
+    return _traced(spark, sf).select("doc_id", _joined("referenced"), _joined("changed"), _joined("commands"))
 
 
 def _blocks(spark, sf):
@@ -207,44 +210,67 @@ def blocks(spark, sf):
 
 
 def _packed(spark, sf):
-    docs = _read(spark, sf, "documents").select("doc_id", "source")
-    cut = chunking.segments(_blocks(spark, sf), POLICY).join(docs, "doc_id")
+    """Chunk numbers of all segments, and the segments' texts."""
+    docs = _read(spark, sf, "documents")
+    whole = chunking.sizes(docs)
+    packed_blocks = chunking.block_segments(_blocks(spark, sf), whole, POLICY)
+    cut = chunking.segments(packed_blocks, whole).join(docs.select("doc_id", "source"), "doc_id")
     rows = cut.select(F.col("source").alias("project"), F.col("doc_id").alias("session"), (F.col("doc_id") * 100_000 + F.col("segment")).alias("ord"), "segment", "n_chars", "line_start", "line_end")
-    return chunking.pack(rows, POLICY)
+    return chunking.pack(rows, POLICY), chunking.segment_texts(packed_blocks, docs.select("doc_id", "text")).withColumnRenamed("doc_id", "session")
 
 
 def chunk_pack(spark, sf):
-    return _packed(spark, sf).select("project", "session", "segment", "n_chars", "chunk")
+    return _packed(spark, sf)[0].select("project", "session", "segment", "n_chars", "line_start", "line_end", "chunk")
 
 
 def _chunks(spark, sf):
-    docs = _read(spark, sf, "documents")
-    meta = docs.select(F.col("doc_id").alias("session"), F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 3 == 0).cast("long").alias("n_referenced"), (F.col("doc_id") % 29 == 0).cast("long").alias("n_changed"), F.lit(0).cast("long").alias("n_commands"))
-    return chunking.chunk_records(_packed(spark, sf), meta)
+    packed, contents = _packed(spark, sf)
+    name = F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    about = _traced(spark, sf).select(F.col("doc_id").alias("session"), name.alias("start_time"), name.alias("end_time"), F.concat(name, F.lit(".min.txt")).alias("min_path"), none.alias("txt_path"), none.alias("source_jsonl"), "referenced", "changed", "commands")
+    return chunking.chunk_records(packed, contents, about)
 
 
 def chunk_records(spark, sf):
-    return _chunks(spark, sf).select("project", "chunk", "n_segments", "n_sessions", "n_chars", "tokens", "content_hash", "relevance")
-
-
-def chunk_contents(spark, sf):
-    return chunking.chunk_contents(_packed(spark, sf), _read(spark, sf, "documents").select(F.col("doc_id").alias("session"), "text"))
+    ranges = F.array_join(F.transform("source_ranges", lambda r: F.concat_ws("-", r["session"], r["line_start"].cast("string"), r["line_end"].cast("string"))), ",")
+    return _chunks(spark, sf).select(
+        "project", "chunk", "chunk_id", _joined("source_sessions"), _joined("source_files"), "start_time", "end_time", ranges.alias("source_ranges"), _joined("referenced"), _joined("changed"), _joined("commands"),
+        "line_count", "n_chars", "tokens", "content_hash", "relevance",
+    )
 
 
 def _reports(spark, sf):
+    """Chunks with a stand-in state of their reports."""
     status = F.when(F.col("chunk") % 4 == 0, "cached").when(F.col("chunk") % 4 == 3, "failed").otherwise("completed")
-    return _chunks(spark, sf).select("project", "chunk", "content_hash", "relevance", status.alias("status"))
+    name = F.concat(F.lit("reports/"), "project", F.lit("/"), "chunk_id", F.lit(".md"))
+    return _chunks(spark, sf).select("project", "chunk", "chunk_id", "source_sessions", "content_hash", "relevance", status.alias("status"), name.alias("report_path"), F.concat(F.lit(" # report of "), "content_hash", F.lit("\n")).alias("report"))
 
 
 def synthesis_selection(spark, sf):
     return chunking.select_for_synthesis(_reports(spark, sf)).select("project", "chunk", "status", "relevance")
 
 
+def synthesis_rollup(spark, sf):
+    rows = chunking.synthesis_rollup(_reports(spark, sf))
+    return rows.select("project", *[_joined(c) for c in ("used_chunk_ids", "used_report_paths", "ignored_chunk_ids", "ignored_report_paths")])
+
+
+def synthesis_input(spark, sf):
+    return chunking.synthesis_input(_reports(spark, sf)).select("project", F.length("packet").cast("long").alias("n_chars"), F.sha2("packet", 256).alias("packet_sha256"))
+
+
+def run_stats(spark, sf):
+    return chunking.run_stats(_reports(spark, sf))
+
+
+def run_stats_of_one(spark, sf):
+    return chunking.run_stats(_reports(spark, sf), only_chunk="chunk_002")
+
+
 def cache_hits(spark, sf):
-    own = chunk_contents(spark, sf).select("project", "chunk", "content_hash")
-    chunks = _reports(spark, sf).drop("content_hash").join(own, ["project", "chunk"]).withColumn("chunk_id", F.concat_ws("/", "project", F.col("chunk").cast("string")))
+    chunks = _reports(spark, sf).withColumn("chunk_id", F.concat_ws("/", "project", F.col("chunk").cast("string")))
     state = chunks.select("chunk_id", F.when(F.col("chunk") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), "status", F.when(F.col("chunk") % 7 == 1, "v0").otherwise("v1").alias("prompt_version"))
-    return incremental.cache_hits(chunks, state, {"prompt_version": "v1"}).select("chunk_id", "hit")
+    return incremental.cache_hits(chunks.select("chunk_id", "content_hash", "status"), state, {"prompt_version": "v1"}).select("chunk_id", "hit")
 
 
 def _matches(spark, sf):
@@ -300,34 +326,58 @@ def dbscan_clusters(spark, sf):
     return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
 
 
+def dbscan_report(spark, sf):
+    """The largest clusters of similar turns, with terms and examples."""
+    rows = phrases.cluster_report(_weights(spark, sf), dbscan_clusters(spark, sf), "turn")
+    return rows.select("cluster", "size", _joined("top_terms", "|"), _joined("examples"))
+
+
+def kmeans_report(spark, sf):
+    return phrases.cluster_report(_weights(spark, sf), phrases.kmeans(_weights(spark, sf), "turn"), "turn")
+
+
+def project_totals(spark, sf):
+    return workflow.project_totals(_calls(spark, sf))
+
+
+def frequent_commands(spark, sf):
+    return workflow.frequent_commands(_calls(spark, sf))
+
+
 def kmeans_clusters(spark, sf):
     return phrases.kmeans(_weights(spark, sf), "turn")
 
 
 def validation_parse(spark, sf):
+    """Verdicts of which parts are missing in turn, with the conversation's text as their summary."""
     n = F.col("conv_id") * 7 + F.col("turn")
-    payload = F.when(n % 3 == 0, F.to_json(F.struct((n % 51).cast("double").alias("raw_score"), F.lit("fine").alias("critique")))).when(n % 3 == 1, F.to_json(F.struct((n % 11).cast("double").alias("normalized_score"), F.array(F.lit("Signal")).alias("failed_dimensions")))).otherwise("no verdict")
+    one = lambda *names: F.array(*[F.lit(x) for x in names])
+    full = F.struct(
+        (n % 51).cast("double").alias("raw_score"), F.col("text").alias("summary"), F.create_map(F.lit("Signal"), (n % 9).cast("double"), F.lit("Routing"), F.lit(2.345)).alias("dimension_scores"),
+        one("Coverage").alias("failed_dimensions"), one("cite", "cut").alias("must_fix"), one("chunk_001").alias("which_chunk_underrepresented"), F.create_map(F.lit("patterns.md"), one("shorter")).alias("rewrite_direction"),
+    )
+    payload = F.when(n % 3 == 0, F.to_json(full)).when(n % 3 == 1, F.to_json(F.struct((n % 11).cast("double").alias("normalized_score"), one("chunk_002", "chunk_003").alias("which_chunk_overweighted")))).otherwise("no verdict")
     text = F.concat(F.lit("```json\n"), payload, F.lit("\n```"))
-    return _read(spark, sf, "conversations").select("conv_id", "turn", runners.parse_validation(text).alias("v")).select("conv_id", "turn", "v.score", "v.passed", "v.critique")
+    return _read(spark, sf, "conversations").select("conv_id", "turn", runners.parse_validation(text).alias("v")).select("conv_id", "turn", "v.score", "v.passed", "v.summary", F.sha2("v.critique", 256).alias("critique_sha256"))
 
 
-def _folded(spark, sf, said):
+def bundle_round_trip(spark, sf):
+    """Documents of three texts rendered as a bundle and split again; blank ones give none."""
+    three = _read(spark, sf, "conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(f"t{i}") for i in (1, 2, 3)])
+    made = three.withColumn("bundle", runners.render_bundle(F.create_map(*[x for i, n in enumerate(runners.BUNDLE, 1) for x in (F.lit(n), F.coalesce(F.col(f"t{i}"), F.lit("")))])))
+    back = runners.split_bundle(F.concat(F.lit("\n"), "bundle"))
+    return made.select("conv_id", F.sha2("bundle", 256).alias("bundle_sha256"), *[F.sha2(back[n], 256).alias(f"part_{i}") for i, n in enumerate(runners.BUNDLE, 1)])
+
+
+def runner_event_fold(spark, sf):
     conv = _read(spark, sf, "conversations")
     delta = F.to_json(F.struct(F.lit("message_update").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("role").alias("delta")).alias("assistantMessageEvent")))
-    end = F.to_json(F.struct(F.lit("message_end").alias("type"), F.struct("role", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("model"), F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")).alias("message")))
+    end = F.to_json(F.struct(F.lit("message_end").alias("type"), F.struct("role", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("model"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message")))
     line = F.when(F.col("turn") % 3 == 2, "not json").when(F.col("role") == "assistant", end).otherwise(delta)
     rows = conv.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), line.alias("line"))
     return runners.fold_runner_events(rows)
 
 
-def runner_event_fold(spark, sf):
-    return _folded(spark, sf, F.substring("text", 1, 20))
-
-
-def runner_event_fold_whole(spark, sf):
-    return _folded(spark, sf, F.col("text"))
-
-
 def chunk_model_reports(spark, sf):
     texts = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return runners.map_chunks(texts)
@@ -345,8 +395,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, validation_commands, index_diff, worklist,
-        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, chunk_contents, synthesis_selection, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
-        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, kmeans_clusters, validation_parse, runner_event_fold, runner_event_fold_whole, chunk_model_reports, turn_refs,
+        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
+        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
     )
 }
 QUERIES |= {

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.patterns import CATEGORY_SUGGESTIONS, INVENTED_WORDS, MISSING_CONSTRAINT, PRIORITY, RULE_TEXTS
-from ..operators.reminders import CONFIDENCE_WEIGHT, MODE_WEIGHT, TABLE_RULES
 
 
 def _rx(column: str, patterns: list[str]) -> str:
@@ -125,51 +124,80 @@ INDEX = f"""{M}, now AS (
          CASE WHEN b.session_file IS NULL THEN 'new' WHEN n.session_file IS NULL THEN 'deleted' WHEN b.fingerprint = n.fingerprint THEN 'unchanged' ELSE 'changed' END AS status
   FROM before b FULL JOIN now n ON b.session_file = n.session_file
 )"""
+TRACED = r"""l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)
+), x AS (SELECT doc_id, i, regexp_extract(line, '^(The|Of|An|De) (\S+).*$', 1) AS k, regexp_extract(line, '^(The|Of|An|De) (\S+).*$', 2) AS v FROM l
+), y AS (SELECT doc_id, CASE WHEN k IN ('The', 'Of') THEN 'r' WHEN k = 'An' THEN 'c' ELSE 'm' END AS g, v, min(i) AS i FROM x WHERE v <> '' AND NOT contains(v, '"') GROUP BY 1, 2, 3)"""
 BLOCKS = r"""ln AS (
-  SELECT doc_id, source, text, i, l[i] AS line, len(l) AS n FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)
+  SELECT doc_id, i, l[i] AS line, closed FROM (
+    SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l, closed FROM (
+      SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l, ends_with(coalesce(text, ''), chr(10)) AS closed FROM documents)), unnest(range(1, len(l) + 1)) t(i)
 ), bl AS (
-  SELECT doc_id, block, CAST(min(i) AS INTEGER) AS line_start, CAST(max(i) AS INTEGER) AS line_end, CAST(sum(length(line) + CASE WHEN i < n THEN 1 ELSE 0 END) AS BIGINT) AS n_chars
+  SELECT doc_id, block, CAST(min(i) AS INTEGER) AS line_start, CAST(max(i) AS INTEGER) AS line_end,
+         CAST(sum(length(line)) + count(*) - 1 + CASE WHEN any_value(closed) AND sum(length(line)) + count(*) - 1 > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_chars,
+         string_agg(line, chr(10) ORDER BY i) || CASE WHEN any_value(closed) AND sum(length(line)) + count(*) - 1 > 0 THEN chr(10) ELSE '' END AS body
   FROM (SELECT *, CAST(sum(CASE WHEN i = 1 OR regexp_matches(line, '^(The|An|Of|De|Der) ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS block FROM ln) GROUP BY 1, 2
 )"""
-PACK = f"""WITH RECURSIVE {BLOCKS}, bs AS (
-  SELECT *, sum(n_chars) OVER (PARTITION BY doc_id) AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS r FROM bl
+PACK = f"""WITH RECURSIVE {BLOCKS}, {TRACED}, wh AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, length(coalesce(text, '')) AS whole FROM documents
+), bs AS (
+  SELECT bl.*, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS r FROM bl JOIN wh USING (doc_id) WHERE whole > 9000
 ), sg AS (
-  SELECT doc_id, r, n_chars AS held, CAST(0 AS BIGINT) AS segment, n_chars, whole FROM bs WHERE r = 1
+  SELECT doc_id, r, n_chars AS held, CAST(0 AS BIGINT) AS segment FROM bs WHERE r = 1
   UNION ALL
-  SELECT b.doc_id, b.r, CASE WHEN b.whole > 9000 AND s.held + b.n_chars > 9000 THEN b.n_chars ELSE s.held + b.n_chars END,
-         CASE WHEN b.whole > 9000 AND s.held > 0 AND s.held + b.n_chars > 9000 THEN s.segment + 1 ELSE s.segment END, b.n_chars, b.whole
+  SELECT b.doc_id, b.r, CASE WHEN s.held + b.n_chars > 9000 THEN b.n_chars ELSE s.held + b.n_chars END, CASE WHEN s.held + b.n_chars > 9000 THEN s.segment + 1 ELSE s.segment END
   FROM sg s JOIN bs b ON b.doc_id = s.doc_id AND b.r = s.r + 1
-), se AS (SELECT doc_id, segment, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM sg GROUP BY 1, 2
-), so AS (SELECT d.source AS project, se.doc_id AS session, segment, se.n_chars, row_number() OVER (PARTITION BY d.source ORDER BY se.doc_id, segment) AS r FROM se JOIN documents d USING (doc_id)
+), se AS (
+  SELECT doc_id, segment, CAST(sum(n_chars) AS BIGINT) AS n_chars, min(line_start) AS line_start, max(line_end) AS line_end, string_agg(body, '' ORDER BY r) AS text FROM bs JOIN sg USING (doc_id, r) GROUP BY 1, 2
+  UNION ALL
+  SELECT doc_id, 0, whole, 1, CASE WHEN text = '' THEN 0 ELSE whole - length(replace(text, chr(10), '')) + 1 END, text FROM wh WHERE doc_id NOT IN (SELECT doc_id FROM bs)
+), so AS (SELECT w.source AS project, se.doc_id AS session, segment, se.n_chars, se.line_start, se.line_end, se.text, row_number() OVER (PARTITION BY w.source ORDER BY se.doc_id, segment) AS r FROM se JOIN wh w USING (doc_id)
 ), pk AS (
-  SELECT project, session, segment, n_chars, r, n_chars AS held, CAST(0 AS BIGINT) AS chunk FROM so WHERE r = 1
+  SELECT project, session, segment, n_chars, line_start, line_end, r, n_chars AS held, CAST(0 AS BIGINT) AS chunk FROM so WHERE r = 1
   UNION ALL
-  SELECT o.project, o.session, o.segment, o.n_chars, o.r,
-         CASE WHEN p.held > 0 AND ((o.session <> p.session AND p.held >= 4000) OR p.held + o.n_chars > 8000) THEN o.n_chars ELSE p.held + o.n_chars END,
-         CASE WHEN p.held > 0 AND ((o.session <> p.session AND p.held >= 4000) OR p.held + o.n_chars > 8000) THEN p.chunk + 1 ELSE p.chunk END
+  SELECT o.project, o.session, o.segment, o.n_chars, o.line_start, o.line_end, o.r,
+         CASE WHEN (o.session <> p.session AND p.held >= 4000) OR p.held + o.n_chars > 8000 THEN o.n_chars ELSE p.held + o.n_chars END,
+         CASE WHEN (o.session <> p.session AND p.held >= 4000) OR p.held + o.n_chars > 8000 THEN p.chunk + 1 ELSE p.chunk END
   FROM pk p JOIN so o ON o.project = p.project AND o.r = p.r + 1
-), ch AS (
-  SELECT project, chunk, count(*) AS n_segments, count(DISTINCT session) AS n_sessions, CAST(sum(pk.n_chars) AS BIGINT) AS n_chars,
-         sha256(string_agg(sha256(d.text), chr(10) ORDER BY r)) AS content_hash, sum(CASE WHEN session % 3 = 0 THEN 1 ELSE 0 END) AS n_ref, sum(CASE WHEN session % 29 = 0 THEN 1 ELSE 0 END) AS n_chg
-  FROM pk JOIN documents d ON d.doc_id = pk.session GROUP BY 1, 2
+), ct AS (
+  SELECT p.project, p.chunk, count(*) AS n, '# chunk_' || lpad(CAST(p.chunk + 1 AS VARCHAR), CAST(greatest(3, length(CAST(p.chunk + 1 AS VARCHAR))) AS INTEGER), '0') || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10)
+         || string_agg('### Session ' || session || chr(10) || '- min: `' || session || '.min.txt`' || chr(10) || '- txt: `n/a`' || chr(10) || '- line_range: `' || p.line_start || '-' || p.line_end || '`' || chr(10) || chr(10)
+                       || '```text' || chr(10) || rtrim(o.text, chr(10)) || chr(10) || '```' || chr(10), chr(10) ORDER BY r) AS content,
+         string_agg(session || '-' || p.line_start || '-' || p.line_end, ',' ORDER BY r) AS source_ranges, CAST(arg_min(session, r) AS VARCHAR) AS start_time, CAST(arg_max(session, r) AS VARCHAR) AS end_time
+  FROM pk p JOIN so o USING (project, session, segment, r) GROUP BY 1, 2
+), ss AS (SELECT project, chunk, session, min(r) AS r FROM pk GROUP BY 1, 2, 3
+), sn AS (SELECT project, chunk, string_agg(CAST(session AS VARCHAR), ',' ORDER BY r) AS source_sessions, string_agg(session || '.min.txt', ',' ORDER BY r) AS source_files FROM ss GROUP BY 1, 2
+), tv AS (SELECT project, chunk, g, v, min((r, i)) AS o FROM ss JOIN y ON y.doc_id = ss.session GROUP BY 1, 2, 3, 4
+), ta AS (SELECT project, chunk, coalesce(string_agg(v, ',' ORDER BY o) FILTER (g = 'r'), '') AS referenced, coalesce(string_agg(v, ',' ORDER BY o) FILTER (g = 'c'), '') AS changed, coalesce(string_agg(v, ',' ORDER BY o) FILTER (g = 'm'), '') AS commands FROM tv GROUP BY 1, 2
 ), cr AS (
-  SELECT project, chunk, n_segments, n_sessions, n_chars, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens, content_hash,
-         CASE WHEN n_chg > 0 THEN 'high' WHEN n_ref > 0 THEN 'medium' WHEN n_chars < 2000 THEN 'low' ELSE 'unknown' END AS relevance,
+  SELECT project, chunk, 'chunk_' || lpad(CAST(chunk + 1 AS VARCHAR), CAST(greatest(3, length(CAST(chunk + 1 AS VARCHAR))) AS INTEGER), '0') AS chunk_id, source_sessions, source_files, start_time, end_time, source_ranges,
+         coalesce(referenced, '') AS referenced, coalesce(changed, '') AS changed, coalesce(commands, '') AS commands, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS INTEGER) AS line_count,
+         CAST(length(content) AS BIGINT) AS n_chars, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, sha256(content) AS content_hash,
+         CASE WHEN changed <> '' THEN 'high' WHEN referenced <> '' OR commands <> '' THEN 'medium' WHEN length(content) < 2000 THEN 'low' ELSE 'unknown' END AS relevance,
          CASE WHEN chunk % 4 = 0 THEN 'cached' WHEN chunk % 4 = 3 THEN 'failed' ELSE 'completed' END AS status
-  FROM ch
+  FROM ct JOIN sn USING (project, chunk) LEFT JOIN ta USING (project, chunk)
+), dn AS (
+  SELECT *, 'reports/' || project || '/' || chunk_id || '.md' AS report_path, NOT bool_or(relevance <> 'low') OVER (PARTITION BY project) OR relevance <> 'low' AS used FROM cr WHERE status IN ('completed', 'cached')
 )"""
 
 
+#: Fixed values, written out apart from the operators': id, mode, cooldown, weight (confirm 10; high 3, medium 2, low 1), any-terms, groups, anti-patterns.
+RULES = [
+    ("scope", "notify", "session_once", 3, [], [["tion", "ment"], ["that", "que"]], ["blees"]),
+    ("release", "confirm", "turn_once", 13, ["orth", "sting"], [], ["eron"]),
+    ("preview", "notify", "turn_once", 2, ["this", "from"], [["in"]], []),
+    ("length", "notify", "session_once", 1, ["with", "nicht"], [], []),
+]
+
+
 def _rule_sql(i: int) -> str:
-    r = TABLE_RULES[i]
+    name, mode, cooldown, weight, some, groups, anti = RULES[i]
     has = lambda t: f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END"
     total = lambda ts: "(" + (" + ".join(map(has, ts)) or "0") + ")"
-    ok = [f"{total(r.anti_patterns)} = 0"] + ([f"{total(r.any_terms)} > 0"] if r.any_terms else []) + [f"{total(g)} > 0" for g in r.all_groups]
-    weight = MODE_WEIGHT[r.mode] + CONFIDENCE_WEIGHT[r.confidence]
-    return f"SELECT session_file, turn_index, {i} AS rule_ord, '{r.id}' AS rule_id, '{r.mode}' AS mode, '{r.cooldown}' AS cooldown, CAST({total(r.any_terms)} + {len(r.all_groups)} AS INTEGER) AS score, CAST({weight} + {total(r.any_terms)} + {len(r.all_groups)} AS INTEGER) AS rank FROM ut WHERE {' AND '.join(ok)}"
+    ok = [f"{total(anti)} = 0"] + ([f"{total(some)} > 0"] if some else []) + [f"{total(g)} > 0" for g in groups]
+    return f"SELECT session_file, turn_index, {i} AS rule_ord, '{name}' AS rule_id, '{mode}' AS mode, '{cooldown}' AS cooldown, CAST({total(some)} + {len(groups)} AS INTEGER) AS score, CAST({weight} + {total(some)} + {len(groups)} AS INTEGER) AS rank FROM ut WHERE {' AND '.join(ok)}"
 
 
-MATCH = f"{UT}, mt AS ({' UNION ALL '.join(_rule_sql(i) for i in range(len(TABLE_RULES)))})"
+MATCH = f"{UT}, mt AS ({' UNION ALL '.join(_rule_sql(i) for i in range(len(RULES)))})"
 _NORMAL = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '/home/\w+(?:/[\w.@-]+)+', ' <PATH> ', 'g'), '`[^`]+`', ' <CODE> ', 'g'), 'https?://\S+', ' <URL> ', 'g'), '\d+', ' <NUM> ', 'g')), '\s+', ' ', 'g'))"
 GRAMS = f"""{UT}, nt AS (SELECT session_file || '#' || turn_index AS turn, {_NORMAL.format(c=_clean('text'))} AS t FROM ut)"""
 TFIDF = f"""{GRAMS}, gr AS (
@@ -240,15 +268,19 @@ UNION ALL SELECT 'read_then_edit_micro_workflow', 'micro-SOP', 'read->edit x' ||
     "index_diff": f"WITH {INDEX} SELECT session_file, status FROM diff",
     "worklist": f"WITH {INDEX}, r AS (SELECT session_file, status AS reason FROM diff WHERE status IN ('new', 'changed') UNION ALL SELECT session_file, 'cache' FROM now WHERE CAST(session_file AS BIGINT) % 3 = 0) SELECT session_file, max(reason) AS reason FROM r GROUP BY 1",
     "partial_final_counters": f"WITH {CALLS}, i AS (SELECT session, 'tool' AS kind, tool AS name FROM calls UNION ALL SELECT session, 'path', path FROM calls WHERE path IS NOT NULL UNION ALL SELECT session, 'command', command FROM calls WHERE command IS NOT NULL) SELECT kind, name, count(*) AS n, count(DISTINCT session) AS n_sessions FROM i GROUP BY 1, 2",
-    "trace_metadata": r"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)
-), x AS (SELECT doc_id, i, regexp_extract(line, '^(The|Of|An|De) (\S+).*$', 1) AS k, regexp_extract(line, '^(The|Of|An|De) (\S+).*$', 2) AS v FROM l
-), y AS (SELECT doc_id, CASE WHEN k IN ('The', 'Of') THEN 'r' WHEN k = 'An' THEN 'c' ELSE 'm' END AS g, v, min(i) AS i FROM x WHERE v <> '' AND NOT contains(v, '"') GROUP BY 1, 2, 3)
-SELECT d.doc_id, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'r'), '') AS referenced, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'c'), '') AS changed, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'm'), '') AS commands
+    "trace_metadata": f"""WITH {TRACED} SELECT d.doc_id, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'r'), '') AS referenced, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'c'), '') AS changed, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'm'), '') AS commands
 FROM documents d LEFT JOIN y USING (doc_id) GROUP BY 1""",
     "blocks": f"WITH {BLOCKS} SELECT doc_id, block, line_start, line_end, n_chars FROM bl",
-    "chunk_pack": f"{PACK} SELECT project, session, segment, n_chars, chunk FROM pk",
-    "chunk_records": f"{PACK} SELECT project, chunk, n_segments, n_sessions, n_chars, tokens, content_hash, relevance FROM cr",
-    "synthesis_selection": f"{PACK}, dn AS (SELECT *, bool_or(relevance <> 'low') OVER (PARTITION BY project) AS live FROM cr WHERE status IN ('completed', 'cached')) SELECT project, chunk, status, relevance FROM dn WHERE NOT live OR relevance <> 'low'",
+    "chunk_pack": f"{PACK} SELECT project, session, segment, n_chars, line_start, line_end, chunk FROM pk",
+    "chunk_records": f"{PACK} SELECT project, chunk, chunk_id, source_sessions, source_files, start_time, end_time, source_ranges, referenced, changed, commands, line_count, n_chars, tokens, content_hash, relevance FROM cr",
+    "synthesis_selection": f"{PACK} SELECT project, chunk, status, relevance FROM dn WHERE used",
+    "synthesis_rollup": f"{PACK} SELECT project, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (used), '') AS used_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (used), '') AS used_report_paths, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_report_paths FROM dn GROUP BY 1",
+    "synthesis_input": f"""{PACK}, p AS (SELECT project, '# Synthesis packet' || chr(10) || chr(10) || '## Used chunk reports' || chr(10) || chr(10)
+  || coalesce(string_agg('### ' || chunk_id || chr(10) || '- relevance: ' || relevance || chr(10) || '- source_sessions: ' || replace(source_sessions, ',', ', ') || chr(10) || '- report_path: ' || report_path || chr(10) || chr(10) || '# report of ' || content_hash || chr(10) || chr(10), '' ORDER BY chunk) FILTER (used), '')
+  || '## Ignored or lower-weight chunks' || chr(10) || chr(10) || coalesce(string_agg('- ' || chunk_id || ': relevance=' || relevance || ' report=' || report_path || chr(10), '' ORDER BY chunk) FILTER (NOT used), '- none' || chr(10)) AS packet FROM dn GROUP BY 1)
+SELECT project, CAST(length(packet) AS BIGINT) AS n_chars, sha256(packet) AS packet_sha256 FROM p""",
+    "run_stats": f"{PACK} SELECT project, count(*) AS selected, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped FROM cr GROUP BY 1",
+    "run_stats_of_one": f"{PACK} SELECT project, count(*) FILTER (chunk = 1) AS selected, count(*) FILTER (chunk = 1) AS completed, CAST(0 AS BIGINT) AS cached, CAST(0 AS BIGINT) AS failed, count(*) FILTER (chunk <> 1) AS skipped FROM cr GROUP BY 1",
     "cache_hits": f"{PACK} SELECT project || '/' || chunk AS chunk_id, status IN ('completed', 'cached') AND chunk % 5 <> 0 AND chunk % 7 <> 1 AS hit FROM cr",
     "reminder_matches": f"WITH {MATCH} SELECT session_file, turn_index, rule_id, score, rank FROM mt",
     "reminder_visible": f"WITH {MATCH}, v AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_file, turn_index, mode ORDER BY rank DESC, rule_ord) AS INTEGER) AS place, bool_or(mode = 'confirm') OVER (PARTITION BY session_file, turn_index) AS asks FROM mt) SELECT session_file, turn_index, rule_id, place FROM v WHERE CASE WHEN asks THEN mode = 'confirm' AND place = 1 ELSE place <= 2 END",
@@ -260,11 +292,26 @@ SELECT gram, n, n * length(gram) AS weight FROM k WHERE length(p) BETWEEN 3 AND
     "similar_pairs": f"WITH {PAIRS} SELECT a, b, round(similarity, 4) AS similarity FROM sp",
     "dbscan_clusters": f"""WITH RECURSIVE {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM sp UNION ALL SELECT b, a FROM sp), r(turn, c) AS (SELECT turn, turn FROM nt UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.turn WHERE r.c < e.b),
 cl AS (SELECT turn, min(c) AS c FROM r GROUP BY 1) SELECT turn, CASE WHEN count(*) OVER (PARTITION BY c) > 1 THEN c END AS cluster, count(*) OVER (PARTITION BY c) AS size FROM cl""",
-    "validation_parse": """WITH x AS (SELECT conv_id, turn, conv_id * 7 + turn AS n FROM conversations) SELECT conv_id, turn, CAST(CASE n % 3 WHEN 0 THEN n % 51 WHEN 1 THEN 5 * (n % 11) ELSE 0 END AS DOUBLE) AS score,
-CASE n % 3 WHEN 0 THEN n % 51 WHEN 1 THEN 5 * (n % 11) ELSE 0 END >= 35 AS passed, CASE n % 3 WHEN 0 THEN 'fine' || chr(10) WHEN 1 THEN chr(10) || 'Signal' ELSE chr(10) END AS critique FROM x""",
+    "validation_parse": """WITH x AS (SELECT conv_id, turn, text, conv_id * 7 + turn AS n FROM conversations), s AS (SELECT *, CAST(CASE n % 3 WHEN 0 THEN n % 51 WHEN 1 THEN 5 * (n % 11) ELSE 0 END AS DOUBLE) AS score FROM x),
+m AS (SELECT *, CASE WHEN n % 3 = 0 AND text <> '' THEN text WHEN score >= 35 THEN '通过' ELSE '未通过' END AS summary FROM s)
+SELECT conv_id, turn, score, score >= 35 AS passed, summary, sha256('# Self-validation critique (score ' || printf('%.1f', score) || '/50)' || chr(10) || chr(10) || '- summary: ' || summary || chr(10)
+|| CASE n % 3 WHEN 0 THEN array_to_string(['- dimension_scores:', '  - Signal: ' || printf('%.1f', CAST(n % 9 AS DOUBLE)), '  - Routing: 2.34', '- failed_dimensions:', '  - Coverage', '- must_fix:', '  - cite', '  - cut', '- which_chunk_underrepresented:', '  - chunk_001', '- rewrite_direction:', '  - patterns.md:', '    - shorter', ''], chr(10))
+   WHEN 1 THEN array_to_string(['- which_chunk_overweighted:', '  - chunk_002', '  - chunk_003', ''], chr(10)) ELSE '' END
+|| '- threshold: 35.0' || chr(10) || '- passed: ' || CASE WHEN score >= 35 THEN 'True' ELSE 'False' END || chr(10)) AS critique_sha256 FROM m""",
+    "bundle_round_trip": r"""WITH t AS (SELECT conv_id, regexp_replace(coalesce(max(text) FILTER (turn = 1), ''), '^\s+|\s+$', '', 'g') AS a, regexp_replace(coalesce(max(text) FILTER (turn = 2), ''), '^\s+|\s+$', '', 'g') AS b, regexp_replace(coalesce(max(text) FILTER (turn = 3), ''), '^\s+|\s+$', '', 'g') AS c FROM conversations GROUP BY 1),
+u AS (SELECT *, a <> '' AND b <> '' AND c <> '' AS ok FROM t)
+SELECT conv_id, CASE WHEN ok THEN sha256('=== project_context.md ===' || chr(10) || a || chr(10) || chr(10) || '=== collaboration_guide.md ===' || chr(10) || b || chr(10) || chr(10) || '=== patterns.md ===' || chr(10) || c || chr(10)) END AS bundle_sha256,
+CASE WHEN ok THEN sha256(a) END AS part_1, CASE WHEN ok THEN sha256(b) END AS part_2, CASE WHEN ok THEN sha256(c) END AS part_3 FROM u""",
+    "project_totals": f"WITH {CALLS} SELECT count(DISTINCT session) AS n_sessions, count(DISTINCT (session, turn)) AS n_turns, count(*) AS n_calls, count(DISTINCT tool) AS n_tools, count(DISTINCT path) AS n_paths, count(DISTINCT command) AS n_commands FROM calls",
+    "frequent_commands": f"WITH {CALLS} SELECT command, n FROM (SELECT command, count(*) AS n, min((session, turn, ts, event_id)) AS first FROM calls WHERE command IS NOT NULL GROUP BY 1 ORDER BY n DESC, first LIMIT 20) WHERE n >= 2",
+    "dbscan_report": f"""WITH RECURSIVE {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM sp UNION ALL SELECT b, a FROM sp), r(turn, c) AS (SELECT turn, turn FROM nt UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.turn WHERE r.c < e.b),
+c0 AS (SELECT turn, min(c) AS cluster FROM r GROUP BY 1), sz AS (SELECT cluster, count(*) AS size FROM c0 GROUP BY 1 HAVING count(*) > 1),
+ce AS (SELECT cluster, gram, sum(w) / any_value(size) AS c FROM wt JOIN c0 USING (turn) JOIN sz USING (cluster) GROUP BY 1, 2),
+tt AS (SELECT cluster, string_agg(gram, '|' ORDER BY p) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(c, 9) DESC, gram DESC) AS p FROM ce) WHERE p <= 6 GROUP BY 1),
+nm AS (SELECT cluster, sqrt(sum(c * c)) AS norm FROM ce GROUP BY 1), dt AS (SELECT cluster, turn, sum(w * c) AS dot FROM wt JOIN c0 USING (turn) JOIN ce USING (cluster, gram) GROUP BY 1, 2),
+ex AS (SELECT cluster, string_agg(turn, ',' ORDER BY p) AS examples FROM (SELECT cluster, turn, row_number() OVER (PARTITION BY cluster ORDER BY round(coalesce(dot / norm, 0), 6) DESC, turn) AS p FROM c0 JOIN sz USING (cluster) JOIN nm USING (cluster) LEFT JOIN dt USING (cluster, turn)) WHERE p <= 4 GROUP BY 1)
+SELECT cluster, size, top_terms, examples FROM sz LEFT JOIN tt USING (cluster) JOIN ex USING (cluster)""",
     "runner_event_fold": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2) SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
-arg_max(substr(text, 1, 20), turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model, CAST(NULL AS VARCHAR) AS error FROM x GROUP BY 1""",
-    "runner_event_fold_whole": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2) SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
 arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model, CAST(NULL AS VARCHAR) AS error FROM x GROUP BY 1""",
     "turn_refs": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 's#turn1x' || conv_id END AS session, CAST(CASE WHEN turn % 2 = 0 THEN turn END AS INTEGER) AS turn_index, 'home-x_y-' || role AS project_id FROM conversations""",
 }

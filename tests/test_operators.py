@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
 from loomlens.functions.patterns import SESSION_LOGS
-from loomlens.operators import blindspot, chunking, corrections, incremental, packet, reminders, runners, workflow
+from loomlens.operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
 from loomlens.sources import sessions
 
 
@@ -116,12 +118,68 @@ def test_packing(spark, sizes, same, want):
 
 def test_blocks_and_traces(spark):
     text = '[user]\nfix login\n[assistant]\n* Read "src/a.py"\n* Edit "src/a.py"\n* Bash "pytest   -q"'
+    parts = text.split("\n[assistant]")
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = chunking.blocks(docs).where("doc_id = 1").orderBy("block").collect()
-    assert [(b["line_start"], b["line_end"]) for b in got] == [(1, 2), (3, 6)] and sum(b["n_chars"] for b in got) == len(text)
+    assert [(b["line_start"], b["line_end"]) for b in got] == [(1, 2), (3, 6)]
+    assert [b["n_chars"] for b in got] == [len(parts[0]), len("[assistant]" + parts[1])]
     t = chunking.traces(docs).where("doc_id = 1").first()
     assert (t["referenced"], t["changed"], t["commands"]) == (["src/a.py"], ["src/a.py"], ["pytest -q"])
-    assert chunking.blocks(docs).where("doc_id > 1").count() == 2
+    assert chunking.blocks(docs).where("doc_id > 1").count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("", []), ("a", [(1, 1, 1)]), ("a\n", [(1, 1, 2)]), ("\n", [(1, 1, 0)]), ("a\r\nb", [(1, 2, 3)]), ("  [user] x\ny\n\n[assistant]\n", [(1, 3, 14), (4, 4, 12)]),
+    ("x\n[user]\ny", [(1, 1, 1), (2, 3, 8)]), ("x\u2028[user]", [(1, 1, 1), (2, 2, 6)]), ("\n[user]\n", [(1, 1, 0), (2, 2, 7)]),
+])
+def test_blocks_by_hand(spark, text, want):
+    got = chunking.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
+    assert [(b["line_start"], b["line_end"], b["n_chars"]) for b in got] == want
+
+
+def test_chunk_record_by_hand(spark):
+    """Two sessions in one chunk: the first whole, the second cut into two segments."""
+    first, second = "[user]\nshort\n", "[user]\n" + "a" * 40 + "\n[assistant]\n" + "b" * 40
+    texts = spark.createDataFrame([("s1_x", first), ("s2_y", second)], "session string, text string")
+    policy = chunking.Policy(least=500, soft=1000, hard=60)
+    whole, rows = chunking.sizes(texts, "session"), chunking.blocks(texts, "session")
+    cut = chunking.block_segments(rows, whole, policy, "session")
+    listed = sorted(map(tuple, chunking.segments(cut, whole, "session").select("session", "segment", "n_chars", "line_start", "line_end").collect()))
+    assert listed == [("s1_x", 0, 13, 1, 3), ("s2_y", 0, 47, 1, 2), ("s2_y", 1, 52, 3, 4)]
+    packed = spark.createDataFrame([("p", s, n, i, a, b, 4) for i, (s, n, _, a, b) in enumerate(listed)], "project string, session string, segment long, ord long, line_start int, line_end int, chunk long")
+    about = spark.createDataFrame([("s1_x", "s1", "s1", "/m/1", "/t/1", None, ["r", "q"], [], ["c"]), ("s2_y", "s2", "s2", "/m/2", None, "y.jsonl", ["q", "z"], ["w"], [])], "session string, start_time string, end_time string, min_path string, txt_path string, source_jsonl string, referenced array<string>, changed array<string>, commands array<string>")
+    r = chunking.chunk_records(packed, chunking.segment_texts(cut, texts, "session"), about).first()
+    fence = lambda s, m, t, span, text: f"### Session {s}\n- min: `{m}`\n- txt: `{t}`\n- line_range: `{span}`\n\n```text\n{text}\n```\n"
+    content = "# chunk_005\n\n## Sources\n\n" + "\n".join([
+        fence("s1_x", "/m/1", "/t/1", "1-3", "[user]\nshort"), fence("s2_y", "/m/2", "n/a", "1-2", "[user]\n" + "a" * 40), fence("s2_y", "/m/2", "n/a", "3-4", "[assistant]\n" + "b" * 40),
+    ])
+    assert r["content"] == content and r["n_chars"] == len(content) and r["line_count"] == content.count("\n") + 1
+    assert r["content_hash"] == hashlib.sha256(content.encode()).hexdigest() and r["tokens"] == -(-len(content) // 4)
+    assert (r["chunk_id"], r["source_sessions"], r["source_files"], r["start_time"], r["end_time"]) == ("chunk_005", ["s1_x", "s2_y"], ["y.jsonl"], "s1", "s2")
+    assert (r["referenced"], r["changed"], r["commands"], r["relevance"]) == (["r", "q", "z"], ["w"], ["c"], "high")
+
+
+def test_chunk_files_and_prompts(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "chunk_001", "# a\n"), ("p", "chunk_002", "# b\n")], "project string, chunk_id string, content string")
+    chunking.write_chunk_files(rows, str(tmp_path))
+    assert {f.name: f.read_text() for f in (tmp_path / "p").iterdir()} == {"chunk_001.md": "# a\n", "chunk_002.md": "# b\n"}
+    assert runners.chunk_prompt("Read {{CHUNK_FILE}}, {{OTHER}}.\n\n", "/c.md", "v1") == "Read /c.md, {{OTHER}}.\n\n---\nPrompt version: v1\n"
+    assert runners.build_runner("fake") is runners.stand_in
+    with pytest.raises(ValueError, match="unsupported"):
+        runners.build_runner("other")
+
+
+def test_synthesis_packet_by_hand(spark):
+    rows = [("p", 0, "chunk_001", ["s1", "s2"], "low", "completed", "/r/1", " one\n"), ("p", 1, "chunk_002", [], "high", "cached", None, "two"), ("p", 2, "chunk_003", ["s3"], "high", "failed", "/r/3", "no")]
+    reports = spark.createDataFrame(rows, "project string, chunk long, chunk_id string, source_sessions array<string>, relevance string, status string, report_path string, report string")
+    want = "# Synthesis packet\n\n## Used chunk reports\n\n### chunk_002\n- relevance: high\n- source_sessions: none\n- report_path: missing\n\ntwo\n\n## Ignored or lower-weight chunks\n\n- chunk_001: relevance=low report=/r/1\n"
+    assert chunking.synthesis_input(reports).first()["packet"] == want
+    stats = chunking.run_stats(reports).first()
+    assert tuple(stats) == ("p", 3, 1, 1, 1, 0) and tuple(chunking.run_stats(reports, "chunk_002").first()) == ("p", 1, 0, 1, 0, 2)
+    with pytest.raises(ValueError, match="no such chunk"):
+        chunking.run_stats(reports, "chunk_009")
+    r = chunking.synthesis_rollup(reports).first()
+    assert (r["used_chunk_ids"], r["ignored_chunk_ids"], r["ignored_report_paths"]) == (["chunk_002"], ["chunk_001"], ["/r/1"])
 
 
 CASES = [
@@ -172,12 +230,60 @@ def test_partials_add_up(spark):
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, workflow.finals(workflow.partials(calls)).collect()))
 
 
-def test_validation_and_bundle(spark):
-    v = one(spark, 'x ```json {"raw_score": 36.125, "passed": false, "critique": "c", "must_fix": ["m"]} ```', runners.parse_validation)
-    assert (v["score"], v["passed"], v["critique"]) == (36.12, True, "c\nm")
-    assert one(spark, "no", runners.parse_validation)["score"] == 0.0
-    assert one(spark, "<<<PROJECT_GUIDE>>>a<<<EVIDENCE>>>b<<<CHRONICLE>>>c", runners.split_bundle)["chronicle"] == "c"
-    assert one(spark, "<<<PROJECT_GUIDE>>>a", runners.split_bundle) is None
+def test_validation_by_hand(spark):
+    text = 'x ```json {"raw_score": 36.125, "passed": false, "must_fix": ["m"], "dimension_scores": {"Signal": 7}, "which_chunk_overweighted": ["chunk_002"], "rewrite_direction": {"patterns.md": ["shorter", "cite"], "other": []}} ```'
+    v = one(spark, text, runners.parse_validation)
+    assert (v["score"], v["passed"], v["summary"], v["rubric"], v["must_fix"], v["overweighted"]) == (36.12, True, "通过", {"Signal": 7.0}, ["m"], ["chunk_002"])
+    assert v["critique"].splitlines() == [
+        "# Self-validation critique (score 36.12/50)", "", "- summary: 通过", "- dimension_scores:", "  - Signal: 7.0", "- must_fix:", "  - m", "- which_chunk_overweighted:", "  - chunk_002",
+        "- rewrite_direction:", "  - patterns.md:", "    - shorter", "    - cite", "  - other:", "- threshold: 35.0", "- passed: True",
+    ]
+    v = one(spark, "no", runners.parse_validation)
+    assert (v["score"], v["passed"], v["summary"], v["rubric"]) == (0.0, False, "未通过", {})
+
+
+def test_bundle_by_hand(spark):
+    text = "\n=== project_context.md ===\n a\n\n=== collaboration_guide.md ===\nb\n=== patterns.md ===\nc\n"
+    assert one(spark, text, runners.split_bundle) == {"project_context.md": "a", "collaboration_guide.md": "b", "patterns.md": "c"}
+    assert one(spark, text.replace("b\n", " \n"), runners.split_bundle) is None and one(spark, "a", runners.split_bundle) is None
+
+
+def test_rules_document_round_trip():
+    made = reminders.generated("先谈设计\n  边界要清楚 \n别的")
+    assert [(r["id"], r["evidence"]) for r in made["rules"]] == [("design-boundary-clarify", ["先谈设计", "边界要清楚"])]
+    (rule,) = reminders.loaded(made)
+    assert rule.all_groups == reminders.GUIDE_RULES[0].all_groups
+    made["rules"][0]["enabled"] = False
+    assert reminders.loaded(made) == [] and reminders.loaded({"default_enabled": False, "rules": [{"id": "a", "mode": "notify", "message": "m"}]}) == []
+
+
+def test_confirm_rank_by_hand(spark):
+    """Ten for the mode, three for high confidence, one for the term."""
+    turns = spark.createDataFrame([("s", 1, "please push it")], "session_file string, turn_index int, text string")
+    assert [(r["rule_id"], r["rank"]) for r in reminders.matches(turns, reminders.GUIDE_RULES).collect()] == [("publish-confirm", 14)]
+
+
+def test_similar_pairs_in_blocks_equal_plain_products(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SIMILAR_BLOCK", 7)
+    monkeypatch.setattr(phrases, "SIMILAR_COLUMNS", 5)
+    rng = random.Random(3)
+    vectors = {}
+    for i in range(40):
+        w = {f"g{rng.randrange(12)}": rng.random() for _ in range(4)}
+        n = sum(x * x for x in w.values()) ** 0.5
+        vectors[f"t{i:02}"] = {g: x / n for g, x in w.items()}
+    df = spark.createDataFrame([(k, g, x) for k, v in vectors.items() for g, x in v.items()], "turn string, gram string, w double")
+    want = {(a, b): round(sum(x * vectors[b].get(g, 0) for g, x in vectors[a].items()), 6) for a in vectors for b in vectors if a < b}
+    got = {(r["a"], r["b"]): r["similarity"] for r in phrases.similar_pairs(df, "turn").collect()}
+    assert got == pytest.approx({p: x for p, x in want.items() if x >= phrases.SIMILAR}) and len(got) > 50
+
+
+def test_cluster_report_by_hand(spark):
+    rows = [("a", "x", 1.0), ("b", "x", 0.6), ("b", "y", 0.8), ("c", "x", 0.8), ("c", "y", 0.6), ("d", "z", 1.0)]
+    weights = spark.createDataFrame(rows, "turn string, gram string, w double")
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", None)], "turn string, cluster string")
+    (r,) = phrases.cluster_report(weights, members, "turn", examples=2).collect()
+    assert (r["cluster"], r["size"], r["top_terms"], r["examples"]) == ("a", 3, ["x", "y"], ["c", "b"])
 
 
 def test_synthesis_stops_when_it_passes():

@@ -4,29 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomlens.operators import chunking
 from loomlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_fold_returns_more_than_a_prefix(spark):
-    rows = QUERIES["runner_event_fold_whole"](spark, SF)
+    rows = QUERIES["runner_event_fold"](spark, SF)
     assert rows.agg(F.max(F.length("final_text"))).first()[0] > 20
 
 
-def test_chunks_of_one_session_have_hashes_of_their_own(spark):
-    texts = spark.createDataFrame([(1, "The a\nAn b\nThe a\nThe c")], "session long, text string")
-    rows = [("p", 1, 0, 0, 1, 1, 0), ("p", 1, 1, 1, 2, 3, 1), ("p", 1, 2, 2, 4, 4, 1)]
-    packed = spark.createDataFrame(rows, "project string, session long, segment long, ord long, line_start int, line_end int, chunk long")
-    got = {r["chunk"]: r for r in chunking.chunk_contents(packed, texts).collect()}
-    assert got[0]["content_hash"] != got[1]["content_hash"]
-    assert [tuple(x) for x in got[1]["ranges"]] == [(1, 2, 3), (1, 4, 4)]
-    moved = [("p", 1, 0, 0, 1, 2, 0), ("p", 1, 1, 1, 3, 4, 1)]
-    again = {r["chunk"]: r for r in chunking.chunk_contents(spark.createDataFrame(moved, packed.schema), texts).collect()}
-    assert not {r["content_hash"] for r in got.values()} & {r["content_hash"] for r in again.values()}
+def test_chunk_hashes_are_their_own(spark):
+    records = QUERIES["chunk_records"](spark, SF)
+    assert records.select("content_hash").distinct().count() == records.count() == records.select("project", "chunk").distinct().count()
 
 
-def test_chunk_hashes_cover_all_chunks(spark):
-    own, records = QUERIES["chunk_contents"](spark, SF), QUERIES["chunk_records"](spark, SF)
-    assert own.count() == records.count() == own.select("project", "chunk").distinct().count()
+def test_kmeans_report_covers_all_turns(spark):
+    rows = QUERIES["kmeans_report"](spark, SF).collect()
+    assert sum(r["size"] for r in rows) == QUERIES["user_turns"](spark, SF).count()
+    assert [r["size"] for r in rows] == sorted((r["size"] for r in rows), reverse=True) and all(0 < len(r["top_terms"]) <= 6 and 0 < len(r["examples"]) <= 4 for r in rows)
