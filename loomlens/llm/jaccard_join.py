@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, SPACE, met, mix, read, runs, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, SPACE, met, mix, read, runs, small, span_hashes, steps, stored, text_bytes, work_dir
 
 N = 3
 THRESHOLD = 90
@@ -40,17 +42,10 @@ BLOCK, BLOCK_GRAMS = 256, 1 << 20
 STEP_GRAMS = 1 << 18
 #: Sets of a cell from which on overlaps are counted by matrix products, of so many n-grams each.
 DENSE, COLUMNS = 48, 2048
-#: Ids up to this number (8 bytes each) are broadcast instead of shuffling the texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _LOW = np.uint64(64 - SLOT_BITS)
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """A stored table of ids, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct n-grams of words, sorted within the text, and the rows."""
     low = LOWER[data]
@@ -149,11 +144,13 @@ def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFra
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 1 << 16):
             a = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), SLOTS, np.int32)), pa.nulls(len(a), pa.int64()), pa.array(a.astype(np.int64)), pa.array(counts[a])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), SLOTS, np.int32)), pa.nulls(len(a), id_type), pa.array(a.astype(np.int64)), pa.array(counts[a])], names=names)
 
     names = ["kind", "doc_id", "node", "size"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "kind int, doc_id long, node long, size long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType())])
+    id_type = to_arrow_type(schema["doc_id"].dataType)
+    return rows.mapInArrow(work, schema)
 
 
 def _postings(docs: DataFrame, order, text_col: str, threshold: int, words: int) -> DataFrame:
@@ -189,8 +186,8 @@ def _segments(docs: DataFrame, order, nodes: DataFrame, text_col: str, id_col: s
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(g)).astype(np.int32)), _signed(g))
             yield pa.RecordBatch.from_arrays([_signed(fp[o]), pa.array(size[o].astype(np.int32)), pa.array(part[begin].astype(np.int32)), pa.array(before.astype(np.int32)), lists], names=["node", "size", "fragment", "before", "grams"])
 
-    wanted = _small(nodes.select("first_id").distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    wanted = small(nodes.select("first_id").distinct())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     # an id may have rows of other sets, and a set several such rows
     return rows.select("text").mapInArrow(work, "node long, size int, fragment int, before int, grams array<long>")
 
@@ -374,6 +371,11 @@ def components(edges: DataFrame, home: str) -> DataFrame:
     return labels
 
 
+def _size_class(size, threshold: int):
+    """Classes of sizes a little wider than the ratio of linked sets, so that these are in the same class or the next."""
+    return F.floor(F.log(size) / (np.log(max(100 / threshold, 1.0001)) * 1.000001)).cast("int")
+
+
 def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
     """(node, low, links) per cell and linked node: a linked node of the cell, and how many rows of other sets link.
 
@@ -387,12 +389,18 @@ def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col:
     postings = _postings(docs, order, text_col, threshold, words)
     several = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
     members = stored(postings.join(several, "gram").distinct(), f"{home}/members")
-    # sets that share enough of their first n-grams
-    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.min("gram").alias("first")).where("n >= need")
+    # sets that share enough of their first n-grams, first with any set, then with sets of a size that allows a link
+    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    able = able.join(known.select("node", "size"), "node").select("node", "need", _size_class(F.col("size"), threshold).alias("class"))
+    keyed = members.select("gram", "node").join(able, "node").withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
+    keyed = keyed.select(F.xxhash64("gram", "class").alias("key"), "gram", "node", "need")
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    keyed = stored(keyed.join(several, "key"), f"{home}/keyed")
+    able = keyed.groupBy("node").agg(F.count_distinct("gram").alias("n"), F.first("need").alias("need"), F.min("key").alias("first")).where("n >= need")
     able = stored(able.select("node", "first").join(known, "node"), f"{home}/able")
-    members = members.select("gram", "node").join(able.select("node"), "node", "left_semi")
-    low = members.groupBy("gram").agg(F.min("node").alias("a"))
-    label = components(members.join(low, "gram").select("a", F.col("node").alias("b")), f"{home}/groups")
+    members = stored(keyed.select("key", "node").join(able.select("node"), "node", "left_semi"), f"{home}/members2")
+    low = members.groupBy("key").agg(F.min("node").alias("a"))
+    label = components(members.join(low, "key").select("a", F.col("node").alias("b")), f"{home}/groups")
 
     # blocks: sets with the same first shared n-gram together, unless these are too many for a block
     placed = able.join(label, "node")
@@ -403,8 +411,8 @@ def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col:
     dealt = stored(dealt.select("node", "copies", "first_id", F.col("label").alias("group"), "blocks", block.alias("block")), f"{home}/dealt")
     # cells: a group of one block, or two blocks (or one) that share an n-gram
     own = dealt.where("blocks = 1").select("group", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct()
-    held = members.join(dealt.where("blocks > 1").select("node", "group", "block"), "node").select("group", "gram", "block").distinct()
-    other = held.join(held.withColumnRenamed("block", "j"), ["group", "gram"]).where("block <= j").select("group", F.col("block").alias("i"), "j").distinct()
+    held = members.join(dealt.where("blocks > 1").select("node", "group", "block"), "node").select("group", "key", "block").distinct()
+    other = held.join(held.withColumnRenamed("block", "j"), ["group", "key"]).where("block <= j").select("group", F.col("block").alias("i"), "j").distinct()
     cells = stored(own.union(other), f"{home}/cells")
     sides = cells.select(*_KEY, F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.where("i < j").select(*_KEY, F.col("j").alias("block"), F.lit(1).alias("side")))
     where = dealt.join(sides, ["group", "block"]).select("node", "copies", *_KEY, "side")
@@ -458,8 +466,8 @@ def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     marked = join(docs, id_col=id_col, text_col=text_col, threshold=threshold, words=words)
     gone = stored(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), f"{work_dir(docs.sparkSession)}/gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    kept = rows.join(_small(gone), F.col("id") == F.col("gone"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    kept = rows.join(small(gone), F.col("id") == F.col("gone"), "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
