@@ -6,21 +6,21 @@ distinct symbols over the occurrences; a symbol gets its count less one half), a
 the longer context knows are excluded from the shorter one's counts. The pretrained trie then
 gives each document's code length. Training counts of byte 6-grams hold the whole trie: shorter contexts are their sums.
 
-Contexts that share their last two bytes share all their shorter contexts but two small tables,
-so a trie that is too large for one broadcast is split there into blocks of bounded size, one
-pass over the documents each, whose code lengths add up exactly.
-
-Word counts of the base are kept whole as well: the most frequent words (a fixed number) are
-broadcast, all others meet the documents in a join on the word's 64-bit hash.
+A trie that is too large for one broadcast is split into blocks of bounded size by the last two
+bytes of the contexts, and where two are not enough by three, four or five: a single context has
+256 entries at most. What such a block lacks of shorter contexts is a small table of their counts,
+which all blocks get. Each block is one pass over the documents, which returns numbers only; the
+code lengths of the passes add up exactly.
+
+Word counts of the base are kept whole as well: the most frequent words (down to the count that
+keeps them within a fixed number) are broadcast, all others meet the documents in a join on the
+word's 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +33,9 @@ ORDER = 5
 PAD, END = 0xFE, 0xFF
 #: Symbols that can be coded: all bytes, one of them as the end.
 ALPHABET = 256
-#: Trie entries (6-grams) in one broadcast block; a single pair of context bytes has at most 2**24.
+#: Trie entries (6-grams) in one broadcast block, some 16 bytes each.
 BLOCK_ENTRIES = 4_000_000
-#: Frequent words that are broadcast; the rest is joined.
+#: Frequent words that are broadcast at most; the rest is joined.
 FREQUENT = 1 << 20
 #: Entries that a task holds before it merges them.
 HELD = 3_000_000
@@ -139,15 +139,23 @@ def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
 
 
 class Trie:
-    """All levels of a block of contexts; orders 1 and 0 are given whole."""
+    """All levels of a block of contexts; ``low`` has the counts of order 1, whole, and ``split`` those of
+    the contexts, by order, whose longer contexts lie in several blocks."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], split: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         self.levels: dict[int, Level] = {ORDER: Level(keys, counts)}
         for k in range(ORDER - 1, 1, -1):
             u, at = np.unique(_suffix(keys, k), return_inverse=True)
-            self.levels[k] = Level(u, np.bincount(at, weights=counts, minlength=len(u)))
+            n = np.bincount(at, weights=counts, minlength=len(u))
+            if split and k in split:
+                whole, times = split[k]
+                own = ~np.isin(u >> np.uint64(8), whole >> np.uint64(8))
+                u, n = np.concatenate([u[own], whole]), np.concatenate([n[own], times])
+                by_key = np.argsort(u)
+                u, n = u[by_key], n[by_key]
+            self.levels[k] = Level(u, n)
         pairs, n = low
         order = np.argsort(pairs)
         self.levels[1] = Level(pairs[order], n[order])
@@ -201,26 +209,70 @@ class Trie:
         return out
 
 
-def _blocks(grams: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of whole pairs of last context bytes: (pairs, keys, counts), at most ``size`` entries or one pair."""
-    pair = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF).cast("int")
-    sizes = sorted((r[0], r[1]) for r in grams.groupBy(pair.alias("pair")).count().collect())  # at most 2**16 rows
-    groups: list[list[int]] = [[]]
+class Claim:
+    """Contexts that belong to a block: groups by their last bytes, as {number of bytes: groups}."""
+
+    def __init__(self, groups: list[tuple[int, int]]):
+        self.by_length = {k: np.sort(np.array([g for m, g in groups if m == k], np.uint64)) for k in {m for m, _ in groups}}
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for k, own in self.by_length.items():
+            out |= Level._find(own, _suffix(keys, k) >> np.uint64(8))[1]
+        return out
+
+    def where(self):
+        """The same as a condition on a column ``key``."""
+        return [(_group(k), [int(x) for x in own]) for k, own in self.by_length.items()]
+
+
+def _group(length: int):
+    """The last ``length`` bytes of the context of a 6-gram in column ``key``."""
+    return F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * length)) - 1)
+
+
+def _plan(grams: DataFrame, size: int) -> tuple[list[Claim], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Blocks of at most ``size`` entries (256 at least), and the counts of the contexts that are split.
+
+    The driver receives 2**16 sizes at most, and 256 sizes and 256 counts for each group that is
+    split, of which there are fewer than entries / size at each length.
+    """
+    groups: list[tuple[int, int, int]] = []
+    split: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rest, length = grams, 2
+    while True:
+        sizes = [(r[0], r[1]) for r in rest.groupBy(_group(length).alias("group")).count().collect()]
+        large = sorted(g for g, n in sizes if n > size) if length < ORDER else []
+        groups += sorted((length, g, n) for g, n in sizes if n <= size or length == ORDER)
+        if not large:
+            break
+        rest = rest.where(_group(length).isin(large))
+        suffix = F.col("key").bitwiseAND((1 << (8 * (length + 1))) - 1)
+        whole = rest.groupBy(suffix.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        split[length] = (whole.column("key").to_numpy().view(np.uint64), whole.column("n").to_numpy().astype(np.float64))
+        length += 1
+    blocks: list[list[tuple[int, int]]] = [[]]
     held = 0
-    for p, n in sizes:
+    for k, g, n in groups:
         if held and held + n > size:
-            groups.append([])
+            blocks.append([])
             held = 0
-        groups[-1].append(p)
+        blocks[-1].append((k, g))
         held += n
-    # pairs that no training text has go with the first block
-    new = np.setdiff1d(np.arange(1 << 16), [p for p, _ in sizes])
-    for i, group in enumerate(groups):
-        if not group:
-            yield new, np.zeros(0, np.uint64), np.zeros(0)
-            continue
-        rows = grams.where(pair.between(group[0], group[-1])).toArrow()
-        yield np.concatenate([group, new]) if i == 0 else np.array(group), rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    return [Claim(b) for b in blocks], split
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words from the least count on (a power of 2**(1/8)) that at most ``most`` words reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins = sorted(((r[0], r[1]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)  # some 500 rows at most
+    least, held = None, 0
+    for k, n in bins:
+        held += n
+        if held > most:
+            break
+        least = k
+    return words.where(F.lit(False)) if least is None else words.where(step >= least)
 
 
 def score(
@@ -231,51 +283,60 @@ def score(
 
     Null texts are empty: one token, the end. Repeated rows are each scored, and each counted if
     they are training rows. Without training rows all contexts escape and every base count is 0.
-    Null ids pass through; extra columns are ignored, whatever their names.
+    Very long texts are scored whole, alone in their step. Null ids pass through; extra columns are
+    ignored, whatever their names; no rows give none.
     """
     spark = docs.sparkSession
     home = work_dir(spark)
     counts = stored(corpus_counts(training, text_col), f"{home}/counts")
     texts = training.count()
-    words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == GRAM).select("key", "n")
+    words, grams = counts.where(F.col("kind") == WORD).select("key", "n"), counts.where(F.col("kind") == GRAM).select("key", "n")
     n_words, kinds = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(n_words or 0) + texts
     vocabulary = kinds + (texts > 0)
-    top = words.orderBy(F.desc("n"), "key").limit(frequent).select("key", "n").toArrow()  # a fixed number of rows
+    top = _frequent(words, frequent).toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     sent_words = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order], total, vocabulary, texts))
     low_key = F.col("key").bitwiseAND(0xFFFF)
     low_rows = grams.groupBy(low_key.alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2**16 rows
     low = (low_rows.column("key").to_numpy().view(np.uint64), low_rows.column("n").to_numpy())
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_field = rows.schema["doc_id"]
-    scored = None
-    for i, (pairs, keys, n) in enumerate(_blocks(grams, block_entries)):
-        sent = spark.sparkContext.broadcast((f"{home}/{i}", pairs, keys, n, low))
+    claims, split = _plan(grams, block_entries)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if len(claims) > 1:
+        rows = stored(rows, f"{home}/texts")
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
+        T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
+    ])
+    scored = more = None
+    for i, claim in enumerate(claims):
+        own = grams.where(F.lit(False))
+        for group, held in claim.where():
+            own = own.union(grams.where(group.isin(held) if len(claims) > 1 else F.lit(True)))
+        table = own.toArrow()
+        # the first block also takes the contexts that no training text has
+        others = [c for c in claims if c is not claim] if i == 0 else None
+        sent = spark.sparkContext.broadcast((f"{home}/{i}", claim, others, table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), low, split))
 
         def work(batches, sent=sent, first=i == 0):
-            yield from _score_batches(batches, sent.value, sent_words.value, first)
+            yield from _score_batches(batches, sent.value, sent_words.value if first else None)
 
         if i == 0:
-            schema = T.StructType([
-                T.StructField("row", T.LongType()), id_field, T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()),
-                T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
-                T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
-            ])
-            several = grams.limit(block_entries + 1).count() > block_entries
-            scored = rows.mapInArrow(work, schema)
-            scored = stored(scored if several else scored.drop("text"), f"{home}/block{i}")
+            scored = stored(rows.mapInArrow(work, schema), f"{home}/block{i}")
         else:
-            scored = stored(scored.mapInArrow(work, scored.schema), f"{home}/block{i}")
+            part = stored(rows.select("row", "text").mapInArrow(work, "row long, more double"), f"{home}/block{i}")
+            more = part if more is None else more.union(part)
+    if more is not None:
+        scored = scored.join(more.groupBy("row").agg(F.sum("more").alias("more")), "row").withColumn("score", F.col("score") + F.col("more"))
 
     logs = lambda c: F.log10((c + 0.5) / F.lit(total + 0.5 * (vocabulary + 1)))
     pairs = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times"))).alias("p")).select("row", "p.key", "p.times")
-    found = pairs.join(words.select("key", "n"), "key", "left")
+    found = pairs.join(words, "key", "left")
     c = F.coalesce("n", F.lit(0))
     rare = found.groupBy("row").agg(F.sum(F.col("times") * logs(c)).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    return scored.drop("rare", "times", "text").join(rare, "row", "left").select(
+    return scored.drop("rare", "times").join(rare, "row", "left").select(
         "doc_id", "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
@@ -295,14 +356,13 @@ def _trie(name: str, *parts) -> Trie:
     return _TRIES[name]
 
 
-def _score_batches(batches, block, words, first):
-    name, pairs, keys, n, low = block
-    mine = np.zeros(1 << 16, bool)
-    mine[pairs] = True
-    trie = _trie(name, keys, n, low)
-    vocabulary, counts, total, kinds, texts = words
-    weight = np.log10(total + 0.5 * (kinds + 1))
-    place = TaskContext.get().partitionId() << 33
+def _score_batches(batches, block, words):
+    """All numbers of each text for the first block (with ``words``), its part of the score for the others."""
+    name, claim, others, keys, n, low, split = block
+    trie = _trie(name, keys, n, low, split)
+    if words is not None:
+        vocabulary, counts, total, kinds, texts = words
+        weight = np.log10(total + 0.5 * (kinds + 1))
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         for lo, hi in steps(offs):
@@ -310,15 +370,13 @@ def _score_batches(batches, block, words, first):
             size = hi - lo
             g, row = gram_keys(d, o)
             u, at = np.unique(g, return_inverse=True)
-            pair = ((u >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
             value = np.zeros(len(u))
-            own = mine[pair]
+            own = claim.holds(u) if others is None else ~np.any([c.holds(u) for c in others] or [np.zeros(len(u), bool)], axis=0)
             value[own] = trie.log10(u[own])
-            total_score = np.bincount(row, weights=value[at], minlength=size)
+            score = np.bincount(row, weights=value[at], minlength=size)
             held = {f: batch.column(f).slice(lo, size) for f in batch.schema.names}
-            if not first:
-                held["score"] = pa.array(held["score"].to_numpy() + total_score)
-                yield pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
+            if words is None:
+                yield pa.RecordBatch.from_arrays([held["row"], pa.array(score)], names=["row", "more"])
                 continue
             h, doc = word_hashes(d, o)
             u, at = np.unique(h, return_inverse=True)
@@ -341,13 +399,12 @@ def _score_batches(batches, block, words, first):
             lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rd[begin], minlength=size))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(place + np.arange(size)), held["doc_id"], held["text"], pa.array(tokens + 1), pa.array(known + (texts > 0)),
-                    pa.array(base + np.log10(texts + 0.5) - weight), pa.array(total_score),
+                    held["row"], held["doc_id"], pa.array(tokens + 1), pa.array(known + (texts > 0)),
+                    pa.array(base + np.log10(texts + 0.5) - weight), pa.array(score),
                     pa.ListArray.from_arrays(lists, pa.array(rh[begin].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(times)),
                 ],
-                names=["row", "doc_id", "text", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
             )
-            place += size
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import math
 import re
+import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 
 from loomlens.llm import language_id, ppm, quality
@@ -74,13 +76,30 @@ def test_ppm_equals_plain_counting(spark, texts):
 
 def test_ppm_blocks_and_joined_words_change_nothing(spark, odd, none):
     training = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    few = ppm.score(odd, training, block_entries=5_000, frequent=20)
-    rows = lambda df: sorted(str([f"{v:.6f}" if isinstance(v, float) else v for v in r]) for r in df.collect())
-    assert rows(few) == rows(ppm.score(odd, training))
+    rows = lambda df: sorted(str([f"{v:.10g}" if isinstance(v, float) else v for v in r]) for r in df.collect())
+    whole = rows(ppm.score(odd, training))
+    # 400 entries: many a pair of context bytes has more and is split by its third byte, and some by the fourth
+    few = ppm.score(odd, training.limit(3), block_entries=400, frequent=20)
+    assert rows(few) == rows(ppm.score(odd, training.limit(3)))
+    assert rows(ppm.score(odd, training, block_entries=5_000, frequent=20)) == whole
     assert few.count() == odd.count() and ppm.score(none, training).count() == 0
     assert ppm.score(odd, none).where("n_known > 0 OR base_score <> 0").count() == 0
 
 
+def test_blocks_are_bounded_and_hold_every_entry_once(spark):
+    """One pair of context bytes, and one of three, has more entries than a block."""
+    rng = np.random.default_rng(5)
+    tail = np.where(rng.random(40_000) < 0.7, 0x6520, rng.integers(0, 1 << 16, 40_000))
+    third = np.where(rng.random(40_000) < 0.7, 0x74, rng.integers(0, 256, 40_000))
+    context = (rng.integers(0, 1 << 16, 40_000) << 24) | (third << 16) | tail
+    keys = np.unique((context << 8) | rng.integers(0, 256, 40_000))
+    grams = spark.createDataFrame([(int(k), 1) for k in keys], "key long, n long")
+    claims, split = ppm._plan(grams, 1_000)
+    held = np.array([c.holds(keys.astype(np.uint64)) for c in claims])
+    assert (held.sum(0) == 1).all() and held.sum(1).max() <= 1_000
+    assert set(split) == {2, 3} and len(split[2][0]) <= 256 * 50
+
+
 def test_language_of_held_out_texts(spark, odd, none):
     docs = spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang")
     held = language_id.op9_language_id(spark, MID).where("held_out").join(docs, "doc_id").collect()
@@ -88,12 +107,94 @@ def test_language_of_held_out_texts(spark, odd, none):
     model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = language_id.predict(odd, model, keep=odd.columns).collect()
     assert len(rows) == odd.count()
-    assert all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["row"]["text"] or "")) for r in rows)
+    assert all((r["lang_pred"] == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r["row"]["text"] or "")) for r in rows)
     assert language_id.predict(none, model).count() == 0
     untaught = language_id.predict(odd, language_id.train(none))
     assert {r["lang_pred"] for r in untaught.collect()} == {"und"}
 
 
+@pytest.mark.parametrize(("text", "letter"), [("² ½ ①", False), ("٣ Ⅷ _ 7", False), ("𝟘 🙂", False), ("ª", True), ("中", True), ("1 ß", True), ("", False), (None, False)])
+def test_letters_are_category_l(spark, text, letter):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = language_id.Model(["aa", "bb"], np.ones((2, language_id.BUCKETS)))
+    assert (language_id.predict(docs, model).first()["lang_pred"] != "und") == letter
+
+
+def plain_buckets(text, sizes, buckets, code=lambda b: b):
+    """Counts of hashed byte n-grams, one n-gram at a time."""
+    data, out = code((text or "").encode()), collections.Counter()
+    for size in sizes:
+        for i in range(len(data) - size + 1):
+            h = (0x811C9DC5 + size * 7919) % 2**32
+            for c in data[i : i + size]:
+                h = ((h ^ c) * 16777619) % 2**32
+            h ^= h >> 15
+            h = (h * 0x2C1B3C6D) % 2**32
+            h ^= h >> 13
+            out[h % buckets] += 1
+    return out
+
+
+def language_code(data):
+    out = bytearray()
+    for i, c in enumerate(data):
+        if chr(c).isascii():
+            out.append(ord(chr(c).lower()) if chr(c).isalpha() else 32)
+        else:
+            out.append(c + 32 if i and data[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97 else c)
+    return bytes(out)
+
+
+def test_output_codes_equal_plain_decoding(spark):
+    """Training and decoding again, with a loop for each n-gram, bit and codeword."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    learn = collections.defaultdict(collections.Counter)
+    count = {i: plain_buckets(t, language_id.SIZES, language_id.BUCKETS, language_code) for i, t, _ in docs}
+    for i, t, lang in docs:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5 != 0:
+            learn[lang].update(count[i])
+    langs, size = sorted(learn), language_id.BUCKETS
+    rate = {x: [(learn[x][b] + 0.5) / (sum(learn[x].values()) + 0.5 * size) for b in range(size)] for x in langs}
+    code = language_id.code_matrix(len(langs))
+    weights, trust = [], []
+    for bit in range(code.shape[1]):
+        plus, minus = ([x for x, row in zip(langs, code, strict=True) if row[bit] == v] for v in (1, -1))
+        w = [math.log(sum(rate[x][b] for x in plus) / len(plus)) - math.log(sum(rate[x][b] for x in minus) / len(minus)) for b in range(size)]
+        weights.append(w)
+        trust.append(max(0.05, min(row[bit] * sum(r * v for r, v in zip(rate[x], w, strict=True)) for x, row in zip(langs, code, strict=True))))
+    got = {r["doc_id"]: r for r in language_id.op9_language_id(spark, SF).collect()}
+    for i, t, _ in docs[:120]:
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        n = sum(count[i].values())
+        margin = [sum(c * w[b] for b, c in count[i].items()) * min(n, language_id.EVIDENCE) / n for w in weights]
+        loss = [sum(math.log1p(math.exp(-m * c)) * u / sum(trust) for m, c, u in zip(margin, row, trust, strict=True)) for row in code]
+        best = min(range(len(langs)), key=loss.__getitem__)
+        assert got[i]["lang_pred"] == langs[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-4)
+
+
+def test_votes_equal_plain_neighbours(spark):
+    """Every document's neighbours searched one by one among the labelled vectors."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), per_class=40)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + [None, ""]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        x = quality.features(*quality.text_bytes(quality.pa.array([t], quality.pa.string())))[0].astype(float)
+        grams = plain_buckets(t, (2, 3), quality.GRAMS)
+        length = math.sqrt(sum(math.log1p(n) ** 2 for n in grams.values()))
+        assert all(x[b] == pytest.approx(math.log1p(n) / length, abs=1e-5) for b, n in grams.items())
+        v = [sum((x[b] * model.idf[b] - model.mean[b]) * model.axes[b, k] for b in range(len(x))) for k in range(model.axes.shape[1])]
+        v = [a / math.sqrt(sum(b * b for b in v)) for a in v]
+        sim = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), y) for w, y in zip(model.vectors.tolist(), model.y.tolist(), strict=True)), reverse=True)
+        near = sim[: quality.NEIGHBOURS]
+        near += [p for p in sim[quality.NEIGHBOURS :] if p[0] >= near[-1][0] - 1e-7]
+        weight = [math.exp(quality.SHARPNESS * (s - 1)) + 1e-6 for s, _ in near]
+        assert got[i] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4, 7, 12])
 def test_codewords_differ(n):
     code = language_id.code_matrix(n)
