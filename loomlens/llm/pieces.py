@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The model file's pieces and log scores are read by a small protocol-buffer reader; the trie is
-built over their bytes. All positions of a batch's distinct pieces of text walk the trie at once,
+The model file's pieces and scores are read by a small protocol-buffer reader and taken as log
+scores, whatever they are (a file of merge ranks makes the best segmentation the one of the least
+sum of ranks); vocabularies are given, never trained. The trie is built over the pieces' bytes. All positions of a batch's distinct pieces of text walk the trie at once,
 and the best segmentation is found start by start for all of them. Characters that no piece
 covers become byte pieces. Decoding joins the pieces' bytes and turns the white-space marker
 back into spaces.
@@ -26,8 +27,8 @@ _MARK = np.frombuffer(MARK.encode(), np.uint8)
 NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 #: What an uncovered character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks up to this length are segmented together; longer ones one by one.
-LONG = 96
+#: Chunks of the same length class are segmented together, so that a long one does not hold up the short ones.
+LENGTHS = (96, 512, 4096)
 STEP = 1 << 19
 
 
@@ -262,14 +263,12 @@ class Pieces:
             return np.zeros(0, np.int64), np.zeros(len(offs) - 1, np.int64)
         first, kind = distinct(data, starts, ends)
         size = (ends - starts)[first]
-        ids, counts = np.zeros(0, np.int64), np.zeros(len(first), np.int64)
-        short = np.flatnonzero(size <= LONG)
+        counts = np.zeros(len(first), np.int64)
+        by_length = np.searchsorted(LENGTHS, size)
         parts = []
-        got, n = self.segment(data, starts[first[short]], ends[first[short]])
-        parts.append((short, got, n))
-        for i in np.flatnonzero(size > LONG):
-            got, n = self.segment(data, starts[first[[i]]], ends[first[[i]]])
-            parts.append((np.array([i]), got, n))
+        for c in np.unique(by_length):
+            who = np.flatnonzero(by_length == c)
+            parts.append((who, *self.segment(data, starts[first[who]], ends[first[who]])))
         for who, _, n in parts:
             counts[who] = n
         at = np.concatenate([[0], np.cumsum(counts)])[:-1]
@@ -298,7 +297,9 @@ def encode(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text_
     """doc_id, n_tokens, n_bytes (byte-fallback tokens), decoded_ok, and ``ids`` (or, with ``digest``, ids_sha256 of them as int32).
 
     decoded_ok says whether decoding gives back the text exactly, which holds unless the text itself
-    has the marker U+2581 (that decodes to a space). Null and empty texts have no tokens. Repeated
+    has the marker U+2581 (that decodes to a space). Null and empty texts have no tokens. Of equally
+    good segmentations of the text up to any place the one with the longest last piece is taken. Very long texts are steps of
+    their own; a stretch without white space takes time in proportion to its length. Repeated
     rows are each encoded; null ids pass through; extra columns are ignored. ``model`` is the path
     of a model file, read by Spark.
     """

@@ -10,6 +10,7 @@ A character that is split over several tokens belongs to the span of each.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -66,6 +67,17 @@ class Encoder:
         return ids, np.bincount(row, weights=per, minlength=n).astype(np.int64)
 
 
+_CACHE: dict[tuple[bytes, str], Encoder] = {}
+
+
+def _cached(vocabulary: bytes, pattern: str) -> Encoder:
+    """One encoder per worker process and vocabulary."""
+    key = (hashlib.sha256(vocabulary).digest(), pattern)
+    if key not in _CACHE:
+        _CACHE[key] = Encoder(vocabulary, pattern)
+    return _CACHE[key]
+
+
 def line_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte places where lines begin, and their rows; a line keeps its line feed."""
     at = np.zeros(len(data) + 1, bool)
@@ -105,7 +117,8 @@ def count(
 
     ``sections`` maps a batch's bytes and offsets to byte places of section starts and their rows;
     every non-empty text must have a section at its start. Null and empty texts have no tokens and
-    no sections; repeated rows are each counted; null ids pass through; extra columns are ignored.
+    no sections; a very long text is a step of its own; of sections that hold as many of a token's
+    characters the earliest gets it; repeated rows are each counted; null ids pass through; extra columns are ignored.
     The vocabulary is a fixed file, read on the driver.
     """
     with open(vocabulary, "rb") as f:
@@ -114,7 +127,7 @@ def count(
     section = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64())])
 
     def work(batches):
-        enc = Encoder(sent.value, pattern)
+        enc = _cached(sent.value, pattern)
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             for lo, hi in steps(offs, STEP):

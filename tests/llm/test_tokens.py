@@ -12,7 +12,7 @@ from loomlens.llm import pieces, token_counts
 from loomlens.llm.common import text_bytes
 
 SF = "/root/testdata/sf0.001"
-TEXTS = ["", "  a  b\n\n c ", "é𝒳🙂 　x\t\x00y", "a" * 300, "word " * 3, "ÿ", " ", "x\n\n\ny", "— dash", "it's  don't\r\n\n x", "1234-5678"]
+TEXTS = ["", "  a  b\n\n c ", "é𝒳🙂 　x\t\x00y", "a" * 300, "word " * 3, "ÿ", " ", "x\n\n\ny", "— dash", "it's  don't\r\n\n x", "1234-5678", "字符串" * 120, "abcdefgh" * 700, "語" * 40 + " " + "x" * 600]
 
 
 @pytest.fixture(scope="module")
