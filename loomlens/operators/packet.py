@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_line
 
-#: Assets suggested by repeated event types.
+#: Assets suggested by repeated event types: candidate, kind of asset, reason, further evidence.
 ASSETS = {
-    "late_constraint": ("pre_execution_constraint_checklist", "checklist or prompt preamble"),
-    "verbosity_mismatch": ("response_style_preamble", "prompt snippet"),
-    "direction_mismatch": ("scope_alignment_template", "request template or checklist"),
-}
+    "late_constraint": (
+        "pre_execution_constraint_checklist", "checklist or prompt preamble", "late_constraint events repeat, suggesting important constraints often arrive after execution starts.",
+        "blindspot-v2 profiles suggest asking about execution order, search budget, and boundaries earlier.",
+    ),
+    "verbosity_mismatch": ("response_style_preamble", "prompt snippet", "verbosity mismatch repeats often enough to justify a reusable answer-style template.", None),
+    "direction_mismatch": ("scope_alignment_template", "request template or checklist", "direction mismatch recurs, indicating the need for an explicit object/scope/goal alignment step.", None),
+}
+COMMAND_LOOP = ("command_loop_sop", "SOP or skill", "workflow already shows repeated command loops that may be worth standardizing.")
+READ_EDIT = ("read_then_edit_micro_workflow", "micro-SOP", "the route sees a repeated read->edit micro pattern that may be reusable as a code-editing habit.")
 
 
 def compact_counter(counts: DataFrame, name: str, k: int = 8) -> DataFrame:
@@ -23,14 +28,38 @@ def compact_counter(counts: DataFrame, name: str, k: int = 8) -> DataFrame:
 
 
 def asset_suggestions(event_counts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """candidate, possible_asset, evidence: assets that repeated events or patterns call for."""
-    names = F.create_map(*[x for k, (a, b) in ASSETS.items() for x in (F.lit(k), F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("possible_asset")))])
-    from_events = event_counts.where(F.col("event_type").isin(*ASSETS) & (F.col("n") >= 2)).select(names[F.col("event_type")].alias("a"), F.concat(F.col("event_type"), F.lit(" x"), F.col("n").cast("string")).alias("evidence"))
+    """candidate, possible_asset, why, evidence (an array): assets that repeated events or patterns call for."""
+    text = lambda x: F.lit(x).cast("string")
+    about = F.create_map(*[x for k, (a, b, c, d) in ASSETS.items() for x in (F.lit(k), F.struct(text(a).alias("candidate"), text(b).alias("possible_asset"), text(c).alias("why"), text(d).alias("more")))])
+    counted = F.concat(F.col("event_type"), F.lit(" x"), F.col("n").cast("string"))
+    from_events = event_counts.where(F.col("event_type").isin(*ASSETS) & (F.col("n") >= 2)).select(about[F.col("event_type")].alias("a"), counted.alias("own"))
+    from_events = from_events.select("a.candidate", "a.possible_asset", "a.why", F.array_compact(F.array("own", "a.more")).alias("evidence"))
+    fixed = lambda x: [F.lit(v).alias(n) for v, n in zip(x, ("candidate", "possible_asset", "why"), strict=True)]
     commands = patterns.where("type = 'repeated_command'").orderBy(F.desc("n"), "first", "name").limit(3)
     command = commands.agg(F.count(F.lit(1)).alias("c"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "name"))), lambda x: x["name"]).alias("names")).where("c > 0")
-    loop = command.select(F.lit("command_loop_sop").alias("candidate"), F.lit("SOP or skill").alias("possible_asset"), F.array_join(F.transform("names", lambda c: one_line(c, 120)), "; ").alias("evidence"))
-    pair = patterns.where("type = 'repeated_tool_sequence' AND name = 'read>edit'").select(F.lit("read_then_edit_micro_workflow").alias("candidate"), F.lit("micro-SOP").alias("possible_asset"), F.concat(F.lit("read->edit x"), F.col("n").cast("string")).alias("evidence"))
-    return from_events.select("a.candidate", "a.possible_asset", "evidence").unionByName(loop).unionByName(pair)
+    loop = command.select(*fixed(COMMAND_LOOP), F.transform("names", lambda c: one_line(c, 120)).alias("evidence"))
+    pair = patterns.where("type = 'repeated_tool_sequence' AND name = 'read>edit'").select(*fixed(READ_EDIT), F.array(F.concat(F.lit("read->edit x"), F.col("n").cast("string"))).alias("evidence"))
+    return from_events.unionByName(loop).unionByName(pair)
+
+
+def pattern_summaries(patterns: DataFrame) -> DataFrame:
+    """Patterns cut to what a packet shows: four references, commands on one line."""
+    name = F.when(F.col("type") == "repeated_command", one_line(F.col("name"), 160)).otherwise(F.col("name"))
+    return patterns.select("type", "confidence", name.alias("name"), "n", F.slice("evidence", 1, 4).alias("evidence"))
+
+
+def compact_turns(turn_rows: DataFrame) -> DataFrame:
+    """Turns cut to what a packet shows: eight steps, three paths of each use, two commands."""
+    paths = lambda c: F.transform(F.slice(c, 1, 3), lambda x: one_line(x, 140)).alias(c)
+    return turn_rows.select("session", "turn", F.slice("sequence", 1, 8).alias("sequence"), paths("read_paths"), paths("edit_paths"), paths("write_paths"), F.transform(F.slice("commands", 1, 2), lambda x: one_line(x, 160)).alias("commands"))
+
+
+def event_summaries(events: DataFrame) -> DataFrame:
+    """Events without the fields that a packet leaves out."""
+    return events.select(
+        "session_file", "trigger_turn", "event_type", "secondary_types", "original_user_preview", "assistant_preview", "evidence", "missing_constraint", "impact",
+        F.coalesce("avoidable", F.lit(False)).alias("avoidable"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "suggestion",
+    )
 
 
 def packet(parts: dict[str, DataFrame]) -> dict:

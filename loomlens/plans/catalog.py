@@ -162,7 +162,21 @@ def compact_counters(spark, sf):
 
 
 def asset_suggestions(spark, sf):
-    return packet.asset_suggestions(corrections.value_counts(_events(spark, sf), "event_type"), workflow.candidates(_calls(spark, sf)))
+    found = packet.asset_suggestions(corrections.value_counts(_events(spark, sf), "event_type"), workflow.candidates(_calls(spark, sf)))
+    return found.withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def compact_turns(spark, sf):
+    t = packet.compact_turns(workflow.turns(_calls(spark, sf)))
+    return t.select("session", "turn", F.array_join("sequence", ">").alias("sequence"), *[_joined(c) for c in ("read_paths", "edit_paths", "write_paths", "commands")])
+
+
+def pattern_summaries(spark, sf):
+    return packet.pattern_summaries(workflow.candidates(_calls(spark, sf))).withColumn("evidence", F.array_join("evidence", ","))
+
+
+def event_summaries(spark, sf):
+    return packet.event_summaries(_events(spark, sf)).withColumn("secondary_types", F.array_join("secondary_types", ","))
 
 
 def validation_commands(spark, sf):
@@ -394,7 +408,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
-        repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, validation_commands, index_diff, worklist,
+        repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
         partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
     )

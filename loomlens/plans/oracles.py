@@ -260,10 +260,17 @@ SELECT source, session, turn, score FROM u ORDER BY source, o, score DESC, sessi
     "compact_counters": f"WITH {CALLS} SELECT command, count(*) AS n FROM calls WHERE command IS NOT NULL GROUP BY 1 ORDER BY n DESC, command LIMIT 8",
     "asset_suggestions": f"""WITH {EV}, {PATHS}, et AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1)
 SELECT CASE event_type WHEN 'late_constraint' THEN 'pre_execution_constraint_checklist' WHEN 'verbosity_mismatch' THEN 'response_style_preamble' ELSE 'scope_alignment_template' END AS candidate,
-       CASE event_type WHEN 'late_constraint' THEN 'checklist or prompt preamble' WHEN 'verbosity_mismatch' THEN 'prompt snippet' ELSE 'request template or checklist' END AS possible_asset, event_type || ' x' || n AS evidence
+       CASE event_type WHEN 'late_constraint' THEN 'checklist or prompt preamble' WHEN 'verbosity_mismatch' THEN 'prompt snippet' ELSE 'request template or checklist' END AS possible_asset,
+       CASE event_type WHEN 'late_constraint' THEN 'late_constraint events repeat, suggesting important constraints often arrive after execution starts.'
+            WHEN 'verbosity_mismatch' THEN 'verbosity mismatch repeats often enough to justify a reusable answer-style template.'
+            ELSE 'direction mismatch recurs, indicating the need for an explicit object/scope/goal alignment step.' END AS why,
+       event_type || ' x' || n || CASE event_type WHEN 'late_constraint' THEN '; blindspot-v2 profiles suggest asking about execution order, search budget, and boundaries earlier.' ELSE '' END AS evidence
 FROM et WHERE n >= 2 AND event_type IN ('late_constraint', 'verbosity_mismatch', 'direction_mismatch')
-UNION ALL SELECT 'command_loop_sop', 'SOP or skill', string_agg(command, '; ' ORDER BY n DESC, first, command) FROM (SELECT * FROM rc ORDER BY n DESC, first, command LIMIT 3) HAVING count(*) > 0
-UNION ALL SELECT 'read_then_edit_micro_workflow', 'micro-SOP', 'read->edit x' || n FROM rs WHERE sequence = 'read>edit'""",
+UNION ALL SELECT 'command_loop_sop', 'SOP or skill', 'workflow already shows repeated command loops that may be worth standardizing.', string_agg(command, '; ' ORDER BY n DESC, first, command) FROM (SELECT * FROM rc ORDER BY n DESC, first, command LIMIT 3) HAVING count(*) > 0
+UNION ALL SELECT 'read_then_edit_micro_workflow', 'micro-SOP', 'the route sees a repeated read->edit micro pattern that may be reusable as a code-editing habit.', 'read->edit x' || n FROM rs WHERE sequence = 'read>edit'""",
+    "compact_turns": f"WITH {CALLS}, s AS (SELECT session, turn, sequence, {', '.join(f'coalesce(array_to_string({c}[1:{k}], chr(44)), chr(32)[1:0]) AS {c}' for c, k in (('read_paths', 3), ('edit_paths', 3), ('write_paths', 3), ('commands', 2)))} FROM turns) SELECT session, turn, array_to_string(string_split(sequence, '>')[1:8], '>') AS sequence, read_paths, edit_paths, write_paths, commands FROM s",
+    "pattern_summaries": f"WITH {PATHS} SELECT type, confidence, name, n, array_to_string(string_split(evidence, ',')[1:4], ',') AS evidence FROM cand",
+    "event_summaries": f"WITH {EV} SELECT session_file, trigger_turn, event_type, secondary_types, original_user_preview, assistant_preview, evidence, missing_constraint, impact, avoidable, confidence, suggestion FROM ev",
     "validation_commands": f"WITH {CALLS} SELECT command, count(*) AS n, contains(command, ' test') AS validates FROM calls WHERE command IS NOT NULL GROUP BY 1",
     "index_diff": f"WITH {INDEX} SELECT session_file, status FROM diff",
     "worklist": f"WITH {INDEX}, r AS (SELECT session_file, status AS reason FROM diff WHERE status IN ('new', 'changed') UNION ALL SELECT session_file, 'cache' FROM now WHERE CAST(session_file AS BIGINT) % 3 = 0) SELECT session_file, max(reason) AS reason FROM r GROUP BY 1",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_command, sanitize
+
 ENTRY = (
     "struct<type:string,id:string,timestamp:string,provider:string,modelId:string,"
     "message:struct<role:string,model:string,content:array<struct<type:string,text:string,name:string,arguments:string>>>>"
@@ -45,14 +47,34 @@ def messages_from_entries(log: DataFrame) -> DataFrame:
     )
 
 
-def tool_calls_from_entries(log: DataFrame) -> DataFrame:
-    """session, turn, ord, tool, path, command: tool calls after the first user message; nameless calls are left out."""
+def models(log: DataFrame) -> DataFrame:
+    """session_file, line_no, model: every change of model that names one, as provider/model."""
+    name = F.trim(F.concat(sanitize(F.col("entry.provider")), F.lit("/"), sanitize(F.col("entry.modelId"))), F.lit("/"))
+    return log.where("entry.type = 'model_change'").select("session_file", "line_no", name.alias("model")).where("model <> ''")
+
+
+def model_counts(log: DataFrame) -> DataFrame:
+    return models(log).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_file").alias("n_sessions"))
+
+
+def with_model(log: DataFrame) -> DataFrame:
+    """The log with the model that each line was said under: the last change before it in its session."""
+    before = Window.partitionBy("session_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    changed = log.join(models(log), ["session_file", "line_no"], "left")
+    return changed.withColumn("model", F.last("model", ignorenulls=True).over(before))
+
+
+def tool_calls_from_entries(log: DataFrame, cwd: str = "") -> DataFrame:
+    """session, turn, ord, tool, path, command: tool calls after the first user message; nameless calls are left out.
+
+    Commands are normalised, with the project's folder ``cwd`` as a placeholder, so that counts join what differs by place or time only.
+    """
     by_line = Window.partitionBy("session_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     said = log.where("entry.type = 'message' AND entry.message.role IN ('user', 'assistant')").withColumn("turn", F.sum(F.when(F.col("entry.message.role") == "user", 1).otherwise(0)).over(by_line).cast("int"))
     calls = said.where("entry.message.role = 'assistant' AND turn > 0").select("session_file", "turn", "line_no", F.posexplode(tool_calls_of(F.col("entry.message.content"))).alias("place", "call"))
     named = calls.where("call.name <> ''")
     argument = lambda f: F.nullif(F.get_json_object("call.arguments", f"$.{f}"), F.lit(""))
-    return named.select(F.col("session_file").alias("session"), "turn", F.struct("line_no", "place").alias("ord"), F.col("call.name").alias("tool"), argument("path").alias("path"), argument("command").alias("command"))
+    return named.select(F.col("session_file").alias("session"), "turn", F.struct("line_no", "place").alias("ord"), F.col("call.name").alias("tool"), argument("path").alias("path"), F.nullif(normalize_command(argument("command"), cwd), F.lit("")).alias("command"))
 
 
 def messages_from_conversations(conversations: DataFrame) -> DataFrame:

@@ -57,6 +57,21 @@ def test_log_gives_tool_calls_after_the_first_user(spark, log):
     assert (stats["a.py"]["read_edit"], stats["a.py"]["edit_validate"]) == (1, 0)
 
 
+def test_models_and_commands_of_a_log(spark, tmp_path):
+    lines = [
+        {"type": "model_change", "provider": "p", "modelId": "m1"}, {"type": "message", "message": {"role": "user", "content": [{"type": "text", "text": "go"}]}},
+        {"type": "message", "message": {"role": "assistant", "content": [{"type": "toolCall", "name": "bash", "arguments": {"command": "cd /home/u/x &&  ls /tmp/pi-hypa-backup-20250101-101010"}}]}},
+        {"type": "model_change", "provider": "", "modelId": "m2"}, {"type": "message", "message": {"role": "assistant", "content": [{"type": "toolCall", "name": "bash", "arguments": {"command": "cd /home/u/x && ls /tmp/pi-hypa-backup-20250102-111111"}}]}},
+        {"type": "model_change", "provider": "p", "modelId": "m1"}, {"type": "model_change"},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    log = sessions.entries(spark, str(tmp_path))
+    assert {r["model"]: (r["n"], r["n_sessions"]) for r in sessions.model_counts(log).collect()} == {"p/m1": (2, 1), "m2": (1, 1)}
+    assert [r["model"] for r in sessions.with_model(log).orderBy("line_no").collect()] == ["p/m1"] * 3 + ["m2"] * 2 + ["p/m1"] * 2
+    counts = workflow.counts(sessions.tool_calls_from_entries(log, cwd="/home/u/x"), "command").collect()
+    assert [tuple(r) for r in counts] == [("cd <PROJECT> && ls /tmp/pi-hypa-backup-<TIMESTAMP>", 2)]
+
+
 def test_metadata_and_numbering_with_resume_artifacts(spark, log):
     entries = sessions.entries(spark, log)
     (m,) = sessions.session_metadata(entries, sessions.file_stats(spark, log)).collect()
