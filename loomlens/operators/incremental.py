@@ -25,12 +25,21 @@ def has_changes(diff: DataFrame) -> bool:
     return not diff.where("status <> 'unchanged'").isEmpty()
 
 
-def cache_hits(chunks: DataFrame, state: DataFrame, settings: dict[str, str]) -> DataFrame:
-    """Each chunk and whether its stored report still holds: same content, settings and a finished status."""
-    same = F.col("status").isin("completed", "cached") & (F.col("content_hash") == F.col("stored_hash"))
-    for k, v in settings.items():
-        same = same & (F.col(k) == v)
+#: Fixed value: the runner whose reports hold for one model and one setting of thinking only.
+MODEL_RUNNER = "pi-cli-json"
+
+
+def cache_hits(chunks: DataFrame, state: DataFrame, prompt_version: str, runner: str, model: str | None = None, thinking: str | None = None) -> DataFrame:
+    """Each chunk and whether its stored report still holds: finished, of the same content, prompt and runner (and
+    model and thinking, where the runner has them), and with a report that is there.
+
+    ``state`` has chunk_id, content_hash, prompt_version, status, runner_type, model, thinking, report_path (null if the file is gone).
+    """
     kept = state.withColumnRenamed("content_hash", "stored_hash")
+    same = (F.col("status") == "completed") & (F.col("content_hash") == F.col("stored_hash")) & (F.col("prompt_version") == prompt_version) & (F.col("runner_type") == runner)
+    if runner == MODEL_RUNNER:
+        same = same & F.col("model").eqNullSafe(F.lit(model)) & F.col("thinking").eqNullSafe(F.lit(thinking))
+    same = same & (F.col("report_path") != "")
     return chunks.select("chunk_id", "content_hash").join(kept, "chunk_id", "left").select("chunk_id", "content_hash", F.coalesce(same, F.lit(False)).alias("hit"))
 
 

@@ -288,7 +288,7 @@ FROM documents d LEFT JOIN y USING (doc_id) GROUP BY 1""",
 SELECT project, CAST(length(packet) AS BIGINT) AS n_chars, sha256(packet) AS packet_sha256 FROM p""",
     "run_stats": f"{PACK} SELECT project, count(*) AS selected, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped FROM cr GROUP BY 1",
     "run_stats_of_one": f"{PACK} SELECT project, count(*) FILTER (chunk = 1) AS selected, count(*) FILTER (chunk = 1) AS completed, CAST(0 AS BIGINT) AS cached, CAST(0 AS BIGINT) AS failed, count(*) FILTER (chunk <> 1) AS skipped FROM cr GROUP BY 1",
-    "cache_hits": f"{PACK} SELECT project || '/' || chunk AS chunk_id, status IN ('completed', 'cached') AND chunk % 5 <> 0 AND chunk % 7 <> 1 AS hit FROM cr",
+    "cache_hits": f"{PACK} SELECT project || '/' || chunk AS chunk_id, chunk % 4 <> 3 AND chunk % 5 <> 0 AND chunk % 7 <> 1 AND chunk % 6 <> 2 AND chunk % 9 <> 4 AND chunk % 8 <> 6 AND chunk % 10 <> 9 AS hit FROM cr",
     "reminder_matches": f"WITH {MATCH} SELECT session_file, turn_index, rule_id, score, rank FROM mt",
     "reminder_visible": f"WITH {MATCH}, v AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_file, turn_index, mode ORDER BY rank DESC, rule_ord) AS INTEGER) AS place, bool_or(mode = 'confirm') OVER (PARTITION BY session_file, turn_index) AS asks FROM mt) SELECT session_file, turn_index, rule_id, place FROM v WHERE CASE WHEN asks THEN mode = 'confirm' AND place = 1 ELSE place <= 2 END",
     "reminder_cooldown": f"WITH {MATCH}, v AS (SELECT *, min(turn_index) OVER (PARTITION BY session_file, rule_id) AS first FROM mt WHERE rule_id <> 'length') SELECT session_file, turn_index, rule_id FROM v WHERE cooldown <> 'session_once' OR turn_index = first",

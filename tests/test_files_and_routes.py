@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 
@@ -56,3 +57,33 @@ def test_a_route_recomputes_what_changed_and_equals_a_full_run(spark, tmp_path):
     rows, changed = routes.run(route, index(fewer, "1"), compute(fewer), schema, "r3")
     assert changed and asked[1] == []
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, corrections.events(fewer).select("session_file", "trigger_turn", "event_type").collect()))
+
+
+def test_rules_files_in_order_and_ignored_ids(tmp_path, monkeypatch):
+    from loomlens.operators import reminders
+    from loomlens.sources import rules
+
+    monkeypatch.delenv(rules.RULES_SETTING, raising=False)
+    assert rules.load_rules(tmp_path) == []
+    document = lambda name: json.dumps({"rules": [{"id": name, "mode": "notify", "message": "m", "must_match_any": ["x"]}, {"id": "off", "mode": "notify", "message": "m", "enabled": False}]})
+    (tmp_path / "reminder_rules.json").write_text(document("root"))
+    assert [r.id for r in rules.load_rules(tmp_path)] == ["root"]
+    final = tmp_path / ".pi-distill" / "final"
+    final.mkdir(parents=True)
+    (final / "reminder_rules.json").write_text(document("final"))
+    assert [r.id for r in rules.load_rules(tmp_path)] == ["final"]
+    (tmp_path / "named.json").write_text(document("named"))
+    monkeypatch.setenv(rules.RULES_SETTING, str(tmp_path / "named.json"))
+    assert [r.id for r in rules.load_rules(tmp_path)] == ["named"]
+    said = []
+    (tmp_path / "named.json").write_text("[not json")
+    os.utime(tmp_path / "named.json", ns=(1, 1))
+    assert rules.load_rules(tmp_path, said.append) == [] and len(said) == 1
+
+    rule, seen = reminders.Rule("r", cooldown="session_once", message="m"), set()
+    assert not rules.decide(tmp_path, rule, "cancel", seen) and not seen
+    assert rules.decide(tmp_path, rule, "send_and_ignore", seen) and seen == {"r"} and rules.load_ignored(tmp_path) == {"r"}
+    rules.reset_ignored(tmp_path)
+    assert rules.load_ignored(tmp_path) == frozenset()
+    (tmp_path / rules.IGNORED_PLACE).write_text('{"ignored_rule_ids": 3}')
+    assert rules.load_ignored(tmp_path, said.append) == frozenset() and len(said) == 2
