@@ -358,17 +358,18 @@ def components(edges: DataFrame, home: str) -> DataFrame:
     """
     edges = edges.where("a <> b")
     edges = stored(edges.union(edges.select("b", "a")).distinct(), f"{home}/edges")
-    labels, i = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), 0
-    while not edges.isEmpty():
-        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(i)).alias("draw"), F.col(c).alias("node"))  # noqa: E731, B023
-        to = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("b"), F.first(drawn("a")).alias("a")).select("node", F.least("a", "b")["node"].alias("to")), f"{home}/to{i}")
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    moves = 0
+    while edges.count():
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(moves)).alias("draw"), F.col(c).alias("node"))  # noqa: E731, B023
+        to = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("b"), F.first(drawn("a")).alias("a")).select("node", F.least("a", "b")["node"].alias("to")), f"{home}/to{moves}")
         side = lambda x: to.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: E731, B023
         contracted = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        edges = stored(contracted.where("a <> b").distinct(), f"{home}/edges{i}")
-        moved = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left")
-        labels = stored(moved.select("node", F.coalesce("to", "label").alias("label")), f"{home}/labels{i}")
-        i += 1
-    return labels
+        edges = stored(contracted.where("a <> b").distinct(), f"{home}/edges{moves}")
+        moves += 1
+        # all that a label went over to; read from the written rounds
+        labels = labels.join(to.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stored(labels, f"{home}/labels")
 
 
 def _size_class(size, threshold: int):
