@@ -14,33 +14,43 @@ from loomlens.llm.common import read, ship, work_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents that language identification rejects: null texts, texts without a letter, and texts that no
+    language's codeword fits better than chance; the model is trained on the documents that name a language.
+
+    Repeated rows are each judged; without any language, every document goes; extra columns stay.
+    """
     ship(spark)
     marked = language_id.predict(docs, language_id.train(docs), keep=docs.columns)
-    kept = marked.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return marked.where(~F.col("rejected")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the longest original of each group of texts that differ in white space at most."""
+    """Keeps the longest original of each group of texts that differ in white space at most (ties: the least id; rows with
+    null ids last; repeated rows once). Null counts as empty; no rows give none; extra columns stay."""
     ship(spark)
     return exact_dedup.dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near copies (n-grams of five words, 0.8)."""
+    """Keeps the document with the least id of each component of near copies (n-grams of five words, 0.8).
+
+    Null and wordless texts are no copies and stay, as do rows with null ids; extra columns stay.
+    """
     ship(spark)
     return jaccard_join.one_per_component(docs, threshold=80, words=5)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words a twentieth or more stand in passages of test items."""
+    """Drops documents of whose words a twentieth or more stand in passages of test items.
+
+    Null and wordless texts stay; repeated rows are each judged; extra columns stay.
+    """
     ship(spark)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, n_bytes, decoded_ok and the token ids."""
+    """doc_id, n_tokens, n_bytes, decoded_ok and the token ids; null and empty texts have none."""
     ship(spark)
     return pieces.encode(docs)
 

@@ -28,6 +28,8 @@ SMOOTHING = 0.5
 #: N-grams beyond which a text gives no more evidence, so that scores of long texts stay comparable.
 EVIDENCE = 60.0
 AMBIGUOUS = 0.75
+#: The loss of a codeword whose bits are told by chance. A text whose best codeword loses as much is in no language that the model knows.
+REJECT = float(np.log(2))
 UNKNOWN = "und"
 
 
@@ -71,8 +73,8 @@ class Model:
             self.trust[b] = max(0.05, margins.min())
         self.trust /= self.trust.sum()
 
-    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language number, score and ambiguity of each row of n-gram counts."""
+    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language number, score, ambiguity and rejection of each row of n-gram counts."""
         total = np.maximum(counts.sum(1), 1)
         margin = counts @ self.weights * (np.minimum(total, EVIDENCE) / total)[:, None]
         loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.trust
@@ -80,7 +82,7 @@ class Model:
         p = np.exp(loss.min(1, keepdims=True) - loss)
         best = order[:, 0]
         score = (p / p.sum(1, keepdims=True))[np.arange(len(p)), best]
-        return best, score, score < AMBIGUOUS
+        return best, score, score < AMBIGUOUS, loss.min(1) >= REJECT
 
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -133,11 +135,12 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``row`` (a struct of ``keep``, by default the id), lang_pred, score, ambiguous.
+    """Columns ``row`` (a struct of ``keep``, by default the id), lang_pred, score, ambiguous, rejected.
 
     Null texts and texts without a letter (Unicode's category L) are ``und`` with score 0, as is every
     text when the model knows no language. Of languages with equal loss the first in sorted order is
-    taken, and the text is ambiguous. Very long texts are counted whole, alone in their step. Rows keep
+    taken, and the text is ambiguous. Rejected are texts that are ``und``, and those that no codeword
+    fits better than chance (with one language or none learned, only the former). Very long texts are counted whole, alone in their step. Rows keep
     their number and repeat if repeated; nulls elsewhere pass through; extra columns stay within ``row``.
     """
     keep = [id_col] if keep is None else keep
@@ -147,22 +150,23 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def work(batches):
         m = sent.value
         for batch in batches:
-            langs, scores, unsure = [], [], []
+            langs, scores, unsure, out = [], [], [], []
             row = batch.column("row")
             # a text among the kept columns is not sent twice
             texts = row.field(keep.index(text_col)) if text_col in keep else batch.column("text")
             for a, b, counts, letter in _each(texts):
                 known = letter & bool(m.languages)
                 if m.languages:
-                    best, score, close = m.decode(counts)
+                    best, score, close, far = m.decode(counts)
                 else:
-                    best, score, close = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
+                    best, score, close, far = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool), np.zeros(b - a, bool)
                 langs += [m.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                 scores += np.where(known, score, 0.0).tolist()
                 unsure += (close | ~known).tolist()
-            yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["row", "lang_pred", "score", "ambiguous"])
+                out += ((far & (len(m.languages) > 1)) | ~known).tolist()
+            yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_()), pa.array(out, pa.bool_())], names=["row", "lang_pred", "score", "ambiguous", "rejected"])
 
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(work, schema)
 
 

@@ -145,13 +145,12 @@ def language_code(data):
     return bytes(out)
 
 
-def test_output_codes_equal_plain_decoding(spark):
-    """Training and decoding again, with a loop for each n-gram, bit and codeword."""
-    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+def plain_output_codes(docs, taught):
+    """Languages and a loss for each of every document: training and decoding with a loop for each n-gram, bit and codeword."""
     learn = collections.defaultdict(collections.Counter)
     count = {i: plain_buckets(t, language_id.SIZES, language_id.BUCKETS, language_code) for i, t, _ in docs}
     for i, t, lang in docs:
-        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5 != 0:
+        if lang is not None and t is not None and taught(i):
             learn[lang].update(count[i])
     langs, size = sorted(learn), language_id.BUCKETS
     rate = {x: [(learn[x][b] + 0.5) / (sum(learn[x].values()) + 0.5 * size) for b in range(size)] for x in langs}
@@ -162,19 +161,42 @@ def test_output_codes_equal_plain_decoding(spark):
         w = [math.log(sum(rate[x][b] for x in plus) / len(plus)) - math.log(sum(rate[x][b] for x in minus) / len(minus)) for b in range(size)]
         weights.append(w)
         trust.append(max(0.05, min(row[bit] * sum(r * v for r, v in zip(rate[x], w, strict=True)) for x, row in zip(langs, code, strict=True))))
+    out = {}
+    for i, _, _ in docs:
+        n = max(1, sum(count[i].values()))
+        margin = [sum(c * w[b] for b, c in count[i].items()) * min(n, language_id.EVIDENCE) / n for w in weights]
+        out[i] = [sum(math.log1p(math.exp(-m * c)) * u / sum(trust) for m, c, u in zip(margin, row, trust, strict=True)) for row in code]
+    return langs, out
+
+
+def letters(t):
+    return any(unicodedata.category(c)[0] == "L" for c in t or "")
+
+
+def test_output_codes_equal_plain_decoding(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    langs, losses = plain_output_codes(docs, lambda i: zlib.crc32(str(i).encode()) % 5 != 0)
     got = {r["doc_id"]: r for r in language_id.op9_language_id(spark, SF).collect()}
-    for i, t, _ in docs[:120]:
-        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+    for i, t, _ in docs:
+        if not letters(t):
             assert got[i]["lang_pred"] == "und"
             continue
-        n = sum(count[i].values())
-        margin = [sum(c * w[b] for b, c in count[i].items()) * min(n, language_id.EVIDENCE) / n for w in weights]
-        loss = [sum(math.log1p(math.exp(-m * c)) * u / sum(trust) for m, c, u in zip(margin, row, trust, strict=True)) for row in code]
+        loss = losses[i]
         best = min(range(len(langs)), key=loss.__getitem__)
         assert got[i]["lang_pred"] == langs[best]
         assert got[i]["score"] == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-4)
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    odd = [(1, "XQZK 17!! WVJX QXQZ!! KJXW ZZQ 99 VXKQ!! " * 10), (2, "x" * 400), (3, "12 34"), (4, docs.where("lang = 'de'").first()["text"])]
+    got = {r["row"]["doc_id"]: (r["rejected"], r["lang_pred"]) for r in language_id.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert got[1][0] and got[1][1] != "und" and got[3] == (True, "und") and got[4] == (False, "de")
+    kept = language_id.predict(docs, model).where("NOT rejected").count()
+    assert kept >= 0.99 * docs.where("text RLIKE '[a-z]'").count()
+
+
 def test_votes_equal_plain_neighbours(spark):
     """Every document's neighbours searched one by one among the labelled vectors."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -12,7 +13,8 @@ from loomlens.llm import pieces
 from loomlens.llm.common import text_bytes
 
 from .test_exact_dedup import plain as plain_copies
-from .test_jaccard import plain as plain_near
+from .test_models import letters, plain_output_codes
+from .test_near_stage import plain_kept as plain_near_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,11 +43,14 @@ def plain_clean(docs, items):
 
 
 def test_run_equals_plain_stages(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = {i: t for i, t, _ in rows}
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = {i: t for i, t in docs.items() if re.search(r"[^\W\d_]", t or "")}
+    losses = plain_output_codes(rows, lambda i: True)[1]
+    docs = {i: t for i, t in docs.items() if letters(t) and min(losses[i]) < math.log(2)}
     docs = {i: docs[i] for i, _, _, kept in plain_copies(list(docs.items())) if kept}
-    docs = {i: docs[i] for i, (_, c) in plain_near(docs, 90).items() if c == i}
+    near = plain_near_kept(docs)
+    docs = {i: t for i, t in docs.items() if i in near}
     docs = plain_clean(docs, items)
     with open(pieces.MODEL, "rb") as f:
         ids, n = pieces.Pieces(f.read()).encode(*text_bytes(pa.array(list(docs.values()))))
