@@ -61,7 +61,7 @@ def traces(texts: DataFrame, key: str = "doc_id", reads: str = READS, changes: s
     return texts.select(key, trace(t, reads).alias("referenced"), trace(t, changes).alias("changed"), F.transform(trace(t, commands), lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))).alias("commands"))
 
 
-def _fold(rows: DataFrame, group: str, step, out: str) -> DataFrame:
+def _fold(rows: DataFrame, groups: list[str], step, out: str) -> DataFrame:
     """Runs an order-dependent fold over each group's rows as a stream.
 
     Rows are narrow, sorted within partitions (the sort spills) and never held as a group: the
@@ -69,16 +69,16 @@ def _fold(rows: DataFrame, group: str, step, out: str) -> DataFrame:
     """
     ship(rows.sparkSession)
     cols = rows.columns
-    ordered = rows.repartition(group).sortWithinPartitions(group, "ord")
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, "ord")
 
     def work(batches):
         state: dict = {}
         for batch in batches:
-            data = batch.to_pylist()
             values = []
-            for r in data:
-                if state.get("group", state) != r[group]:
-                    state = {"group": r[group]}
+            for r in batch.to_pylist():
+                own = tuple(r[g] for g in groups)
+                if state.get("group") != own:
+                    state = {"group": own}
                 values.append(step(state, r))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*cols, out])
 
@@ -98,7 +98,7 @@ def block_segments(block_rows: DataFrame, whole: DataFrame, policy: Policy = Pol
         state["held"] = state.get("held", 0) + r["n_chars"]
         return state.get("no", 0)
 
-    return _fold(rows, key, step, "segment").drop("ord")
+    return _fold(rows, [key], step, "segment").drop("ord")
 
 
 def segments(packed_blocks: DataFrame, whole: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -127,18 +127,28 @@ def pack(segment_rows: DataFrame, policy: Policy = Policy(), project: str = "pro
     """Chunk number of each segment within its project, in order of ``ord``.
 
     An open chunk is closed before a segment that begins another session if the chunk has the least
-    size, and before any segment that would lift it over the soft limit (or the hard one).
+    size, and before any segment that would lift it over the soft limit (or the hard one). Where the
+    segment before is enough to close the chunk, it closes whatever it holds besides: a project is
+    cut there into pieces, which are folded apart and then numbered on.
     """
+    most = min(policy.soft, policy.hard)
+    order = Window.partitionBy(project).orderBy("ord")
+    before, was = F.lag("n_chars").over(order), F.lag(session).over(order)
+    ends = ((F.col(session) != was) & (before >= policy.least)) | (before + F.col("n_chars") > most)
+    pieces = segment_rows.withColumn("piece", F.coalesce(ends, F.lit(False)).cast("int")).withColumn("piece", F.sum("piece").over(order))
 
     def step(state, r):
         held = state.get("held", 0)
-        if "session" in state and ((r[session] != state["session"] and held >= policy.least) or held + r["n_chars"] > min(policy.soft, policy.hard)):
+        if "session" in state and ((r[session] != state["session"] and held >= policy.least) or held + r["n_chars"] > most):
             state["no"] = state.get("no", 0) + 1
             held = 0
         state["held"], state["session"] = held + r["n_chars"], r[session]
         return state.get("no", 0)
 
-    return _fold(segment_rows, project, step, "chunk")
+    folded = _fold(pieces, [project, "piece"], step, "local")
+    by_piece = Window.partitionBy(project).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    first = folded.groupBy(project, "piece").agg((F.max("local") + 1).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(by_piece), F.lit(0))).drop("n")
+    return folded.join(first, [project, "piece"]).withColumn("chunk", F.col("first") + F.col("local")).drop("piece", "local", "first")
 
 
 def chunk_id(chunk: Column) -> Column:

@@ -18,14 +18,30 @@ def session_dir_name(cwd: str) -> str:
     return "--" + cwd.strip("/").replace("/", "-") + "--"
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """session_file, line_no (from 0) and line of all logs; files are read in splits.
+
+    A row's place within its split follows from the rows' ids, which ascend by split and line; the
+    lines of the splits before are counted in a first, narrow pass.
+    """
+    raw = spark.read.text(folder, pathGlobFilter="*.jsonl")
+    at = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")
+    )
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = at.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    splits = splits.withColumn("lines", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = (F.col("lines") + F.col("id") - F.col("first")).cast("int")
+    return at.join(splits, ["file", "split"]).select(F.element_at(F.split("file", "/"), -1).alias("session_file"), place.alias("line_no"), "line")
+
+
 def entries(spark: SparkSession, folder: str, *, strict: bool = True) -> DataFrame:
-    """One row per log line: session_file, line_no, entry. Blank lines are skipped.
+    """One row per log line: session_file, line_no, entry. Blank lines are skipped, and counted in the numbers.
 
-    Files are read whole, so that line numbers hold; ``strict`` raises on a malformed line, else it
-    has a null entry. A missing folder raises.
+    Long files are read in splits; ``strict`` raises on a malformed line, else it has a null entry. A
+    missing folder raises.
     """
-    text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl")
-    lines = text.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("session_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    lines = _lines(spark, folder).where(F.trim("line") != "")
     entry = F.from_json("line", ENTRY, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     return lines.select("session_file", "line_no", entry.alias("entry"))
 

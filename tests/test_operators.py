@@ -81,6 +81,37 @@ def test_metadata_and_numbering_with_resume_artifacts(spark, log):
     assert [t["turn_index"] for t in turns] == [1, 2]
 
 
+def test_lines_of_split_files_are_numbered_on(spark, tmp_path):
+    for name, n in (("a", 500), ("b", 3), ("c", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"type": "t", "id": str(i)}) + "\n" + "\n" * (i % 7 == 0) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        log = sessions.entries(spark, str(tmp_path))
+        got = {(r["session_file"], r["entry"]["id"]): r["line_no"] for r in log.collect()}
+        assert log.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {(f"{name}.jsonl", str(i)): i + (i + 6) // 7 for name, n in (("a", 500), ("b", 3)) for i in range(n)}
+
+
+def test_packing_in_pieces_equals_one_fold(spark):
+    rng = random.Random(6)
+    policy = chunking.Policy(40, 80, 90)
+    rows = [(p, s // 3 if p == "p" else s, s, rng.choice([0, 3, 10, 30, 45, 85])) for p in ("p", "q") for s in range(300)]
+    want = {}
+    for p in ("p", "q"):
+        no, held, was = 0, 0, None
+        for _, session, i, n in (r for r in rows if r[0] == p):
+            if was is not None and ((session != was and held >= 40) or held + n > 80):
+                no, held = no + 1, 0
+            held, was = held + n, session
+            want[p, i] = no
+    got = chunking.pack(spark.createDataFrame(rows, "project string, session long, ord long, n_chars long"), policy).collect()
+    assert {(r["project"], r["ord"]): r["chunk"] for r in got} == want
+
+
 def test_malformed_lines_raise_or_give_null(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"type": "session"}\nnot json\n')
     with pytest.raises(Exception):  # noqa: B017
