@@ -79,9 +79,3 @@ def write_json(value, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(value, f, ensure_ascii=False, indent=2)
         f.write("\n")
-
-
-def write_tables(tables: dict[str, DataFrame], folder: str, partition_by: str | None = None) -> None:
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by and partition_by in df.columns else writer).parquet(f"{folder}/{name}")

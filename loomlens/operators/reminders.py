@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import lookup
 from ..functions.text import any_of
 
 
@@ -133,7 +132,3 @@ def loaded(document: dict) -> list[Rule]:
 def valid(rules: DataFrame) -> DataFrame:
     """Rules with an id, a known mode and a message: what a rules document must hold."""
     return rules.withColumn("valid", F.coalesce((F.col("id") != "") & F.col("mode").isin("notify", "confirm") & (F.col("message") != ""), F.lit(False)))
-
-
-def weight_of(confidence: Column) -> Column:
-    return F.coalesce(lookup(confidence, {k: str(v) for k, v in CONFIDENCE_WEIGHT.items()}).cast("int"), F.lit(1))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -170,9 +170,3 @@ def synthesise(packet: str, runner: Runner, judge: Callable[[str], float], thres
 def rubric_scores(score: float) -> dict[str, float]:
     """A total spread over the dimensions in proportion to their points."""
     return {k: round(v * score / sum(RUBRIC.values()), 2) for k, v in RUBRIC.items()}
-
-
-def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -338,9 +338,17 @@ def similar_pairs(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+def _checkpoints(spark):
+    """A folder for checkpoints: the one that the cluster names; on a single machine a local one will do."""
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlens-"))
+
+
 def dbscan_clusters(spark, sf):
-    if not spark.sparkContext.getCheckpointDir():  # a cluster names a shared folder; alone, a local one will do
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlens-"))
+    _checkpoints(spark)
     nodes = _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"))
     return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
 
