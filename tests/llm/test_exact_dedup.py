@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomlens.llm import exact_dedup
+from loomlens.llm import common, exact_dedup
 
 from ..compare import assert_same
 
@@ -40,3 +40,22 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns and exact_dedup.dedup(none).count() == 0
     texts = [re.sub(r"\s", "", r["text"] or "") for r in kept.collect()]
     assert len(texts) == len(set(texts)) and texts.count("word") == 1  # repeated rows of one document stay once
+
+
+def test_ids_that_are_text(spark):
+    rows = [("b", "x y"), ("a", "xy "), ("a2", "x  y"), (None, "xy  "), ("z", None), ("y", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.classify(docs).collect()}
+    # the longest stays, then the least id, and a null id comes last
+    assert got == {"b": ("a2", 4, False), "a": ("a2", 4, False), "a2": ("a2", 4, True), None: ("a2", 4, False), "z": ("y", 2, False), "y": ("y", 2, True)}
+    assert sorted(r["doc_id"] for r in exact_dedup.dedup(docs).collect()) == ["a2", "y"]
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    """Half of the rows are one text: with so low a bound it is hot, others are not; all get the same results."""
+    rows = [(i, "same" if i % 2 else f"t{i % 7}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (1, 3, 1024):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = exact_dedup.classify(docs).select("doc_id", "keep_id", "group_size", "kept").collect()
+        assert sorted(map(tuple, got)) == plain(rows)

@@ -126,6 +126,13 @@ def test_order_is_rare_first_and_cut_by_mass():
     assert np.ptp(np.bincount(order.fragment(np.arange(1 << jj.SLOT_BITS, dtype=np.uint64)[np.repeat(order.rank.astype(int), counts)] << np.uint64(64 - jj.SLOT_BITS)))) < 1000
 
 
+def test_ids_that_are_text(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text), ("a", text + " z"), ("c", text), ("d", "other words here"), (None, "lone words stay")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jj.join(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (59, "a", 2), "b": (58, "a", 2), "c": (58, "a", 2), "d": (1, "d", 0), None: (1, None, 0)}
+
+
 def test_components_of_chains(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 - i, 999 - i) for i in range(200)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7)], "a long, b long")
     got = jj.components(edges, str(tmp_path / "c")).collect()
