@@ -62,6 +62,11 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked(counts: DataFrame, name: str) -> DataFrame:
+    """Counts of a bounded set of names with their place: the largest first, ties by name."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), name)))
+
+
 def first_refs(rows: DataFrame, keys: list[str], order: list[str], ref: Column, k: int, name: str) -> DataFrame:
     """The first k references of each key in order, as an array: ranks first, so no group is ever collected whole."""
     w = Window.partitionBy(*keys).orderBy(*order)

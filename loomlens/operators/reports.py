@@ -33,6 +33,16 @@ NEXT = [
     "- Use `candidate_patterns.json` as the shortlist source.", "- Let a later LLM step read only the top candidate turns from `turns.json`, not the full session corpus.",
     "- First package likely candidates as `.pi/skills` or `.pi/prompts`; keep extension automation for a later phase.",
 ]
+# What the comparison of methods says of each.
+METHODS = [
+    "1. Frequent char phrases — 看重复表达表面形态", "2. TF-IDF + KMeans — 看比较粗的主题簇", "3. TF-IDF + DBSCAN — 看比较近似的提示语家族", "4. Rule-based blindspot labels — 直接产出可执行建议",
+    "5. Session correction chains — 看约束是不是总在后面才补",
+]
+BEST_FOR = [
+    "- 高频短语：最适合看用户口头禅、反复强调的约束。", "- KMeans：最适合看大主题，比如 bug 修复 / token 控制 / 试验型请求。", "- DBSCAN：最适合抓相似纠正句、近似重复表达。", "- 规则标签：最适合直接落成用户建议。",
+    "- correction chains：最适合证明“关键约束经常说晚了”。",
+]
+JUDGMENT = ["- 只靠聚类，不足以直接得出“用户盲区”。", "- 但聚类很适合先把用户回合分堆，再交给规则层解释。", "- 这批样本里，最清晰的价值来自：`规则标签 + correction chain`，而不是单纯主题聚类。"]
 NO_COMMANDS, NO_CANDIDATES, NO_EVENTS, NOTHING = "- No repeated commands detected above threshold.", "No candidate patterns found.", "- 无事件", "- 无"
 
 
@@ -210,3 +220,14 @@ def blindspot_report(project: str, n_turns: int, phrases: DataFrame, kmeans: Dat
         ],
         now,
     )
+
+
+def comparison(phrases: DataFrame, kmeans: DataFrame, dbscan: DataFrame, rules: DataFrame, chains: DataFrame, now: dt.datetime | None = None) -> Iterator[str]:
+    """What each method found, in numbers. ``kmeans`` and ``dbscan`` are members with their cluster (null: noise)."""
+    said = ", ".join(r["phrase"] for r in phrases.orderBy("place").limit(12).collect())
+    groups = lambda rows: rows.agg(F.countDistinct("cluster")).first()[0]
+    quick = [
+        f"- 高频短语最能看到：{said}", f"- KMeans 主题簇数：{groups(kmeans)}", f"- DBSCAN 近似簇数：{groups(dbscan)}，噪声点：{dbscan.where('cluster IS NULL').count()}",
+        f"- 规则命中的盲区标签数：{rules.count()}", f"- 发现需要后置纠偏的 session 数：{chains.count()}",
+    ]
+    return page("NLP blindspot comparison", [("Methods", METHODS), ("Quick read", quick), ("Which method is best for what", BEST_FOR), ("MVP judgment", JUDGMENT)], now)

@@ -88,6 +88,11 @@ def event_profile(spark, sf):
     return corrections.profile(_events(spark, sf)).withColumn("refs", F.array_join("refs", ","))
 
 
+def event_type_order(spark, sf):
+    """Event types by count, ties by name."""
+    return corrections.ranked(corrections.value_counts(_events(spark, sf), "event_type"), "event_type")
+
+
 def user_profiles(spark, sf):
     return corrections.user_profiles(_events(spark, sf)).withColumn("support", F.array_join("support", ","))
 
@@ -419,7 +424,7 @@ def turn_refs(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, user_profiles, representative_events,
+        session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, event_type_order, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
         partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,

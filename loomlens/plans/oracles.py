@@ -230,6 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "category_match": f"WITH {M} SELECT session_file, line_no, array_to_string({_CATS}, ',') AS categories FROM m WHERE len({_CATS}) > 0",
     "correction_events": f"WITH {EV} SELECT * FROM ev",
     "event_type_counts": _event_count("event_type"),
+    "event_type_order": f"WITH {EV} SELECT event_type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS place FROM ev GROUP BY 1",
     "impact_counts": _event_count("impact"),
     "missing_constraint_counts": _event_count("missing_constraint"),
     "event_profile": f"WITH {EV}, {PROFILE} SELECT event_type, n_events, n_sessions, CASE WHEN hundredths / n_events >= 86 THEN 'high' WHEN hundredths / n_events >= 76 THEN 'medium' ELSE 'low' END AS confidence, refs, {_case('event_type', CATEGORY_SUGGESTIONS)} AS suggestion FROM pr JOIN rf USING (event_type)",

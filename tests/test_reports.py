@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
+
 from loomlens.operators import reports
 from loomlens.plans import catalog
 
@@ -39,7 +41,25 @@ def test_other_reports_over_the_tables(spark, tmp_path):
     rules = catalog.blindspot.rule_summary(catalog.blindspot.rule_hits(labelled))
     lines = list(reports.blindspot_report("/x", 5, q("frequent_phrases"), own, own, rules, catalog.blindspot.chains(labelled), q("blindspot_profile"), NOW))
     assert sum(x.startswith("### Cluster") for x in lines) == 2 * min(6, own.count()) and "## Blindspot profile" in lines
+    said = list(reports.comparison(q("frequent_phrases"), q("kmeans_clusters"), q("dbscan_clusters"), rules, catalog.blindspot.chains(labelled), NOW))
+    noise = q("dbscan_clusters").where("cluster IS NULL").count()
+    assert f"- DBSCAN 近似簇数：{own.count()}，噪声点：{noise}" in said and f"- 规则命中的盲区标签数：{rules.count()}" in said
     reports.write_results({"report": lines}, reports.BLINDSPOT_FILES, tmp_path / "run")
     assert reports.copy_public(tmp_path / "run", tmp_path / "public", reports.BLINDSPOT_FILES.values()) == ["blindspot_report.md"]
     reports.publish_documents({"patterns.md": "p\n"}, tmp_path / "run", tmp_path / "final")
     assert (tmp_path / "final" / "patterns.md").read_text() == "p\n"
+
+
+def test_settings():
+    from loomlens.plans import config
+
+    c = config.Config.from_env({"PI_DISTILL_MAX_VALIDATION_RETRIES": "5", "PI_DISTILL_ANALYSIS_ONLY": "Yes", "PI_DISTILL_MODEL": ""}, only_chunk=None)
+    assert (c.max_validation_retries, c.analysis_only, c.model, c.validation_threshold, c.skip_reason) == (5, True, None, 35.0, "analysis_only")
+    assert config.Config(only_chunk="chunk_002").skip_reason == "only_chunk=chunk_002" and config.Config().skip_reason == "disabled"
+    assert str(c.folders("/r")["final"]) == "/r/experiments/default/final"
+    p = config.Config.from_env({}, mode="project", project_root="/p")
+    assert str(p.folders("/r")["final"]) == "/p/.pi-distill/final"
+    for bad in ({"mode": "other"}, {"mode": "project"}):
+        with pytest.raises(ValueError, match="mode"):
+            config.Config.from_env({}, **bad).folders("/r")
+    assert config.session_cache_name("a.b.jsonl") == "a.b.json"
