@@ -26,7 +26,7 @@ def has_changes(diff: DataFrame) -> bool:
 
 
 #: Fixed value: the runner whose reports hold for one model and one setting of thinking only.
-MODEL_RUNNER = "pi-cli-json"
+MODEL_RUNNER = "cli-json"
 
 
 def cache_hits(chunks: DataFrame, state: DataFrame, prompt_version: str, runner: str, model: str | None = None, thinking: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ ABOUT = [
 ]
 NEXT = [
     "- Use `candidate_patterns.json` as the shortlist source.", "- Let a later LLM step read only the top candidate turns from `turns.json`, not the full session corpus.",
-    "- First package likely candidates as `.pi/skills` or `.pi/prompts`; keep extension automation for a later phase.",
+    "- First package likely candidates as skills or prompts; keep automation for a later phase.",
 ]
 # What the comparison of methods says of each.
 METHODS = [
@@ -150,9 +150,9 @@ def workflow_report(project: dict, sessions: DataFrame, tools: DataFrame, paths:
 
     again = (f"- ×{r['n']} `{r['command']}`" for r in commands.where("n >= 2").orderBy(F.desc("n"), "command").limit(10).collect())
     return page(
-        "Pi Distill MVP Report",
+        "Workflow report",
         [
-            ("Scope", scope), ("What this MVP can extract", ABOUT), ("Sessions", listed()), ("Top tools", _times(tools, "tool", 10)), ("Hot files", _times(paths, "path", 10)),
+            ("Scope", scope), ("What this run can extract", ABOUT), ("Sessions", listed()), ("Top tools", _times(tools, "tool", 10)), ("Hot files", _times(paths, "path", 10)),
             ("Repeated commands", _some(again, NO_COMMANDS)), ("Candidate patterns", _some(patterns(), NO_CANDIDATES)), ("Suggested next packaging", NEXT),
         ],
         now,
@@ -174,7 +174,7 @@ def correction_report(project: str, n_sessions: int, n_events: int, types: DataF
     kinds = (f"- `{r['event_type']}` × {r['n']} — {labels.get(r['event_type'], r['event_type'])}" for r in types.orderBy(F.desc("n"), "event_type").collect())  # at most one row per type
     traits = (f"- `{r['name']}` ({r['confidence']}) — {r['user_suggestion']}" for r in profiles.orderBy("name").collect())  # at most one row per profile
     return page(
-        "Blindspot v2 Report",
+        "Correction report",
         [
             ("范围", [f"- Project: `{project}`", f"- Sessions: {n_sessions}", f"- Events: {n_events}"]), ("事件类型统计", _some(kinds, NO_EVENTS)),
             ("Top 返工原因", _some(_times(reasons, "missing_constraint", 8), NOTHING)), ("代表性事件", _some(each(), NO_EVENTS)), ("用户画像", _some(traits, NOTHING)),
@@ -213,7 +213,7 @@ def blindspot_report(project: str, n_turns: int, phrases: DataFrame, kmeans: Dat
     said = (f"- `{r['phrase']}` × {r['n']}" for r in phrases.orderBy("place").limit(20).collect())
     traits = (f"- `{r['trait']}` ({r['evidence_count']})" for r in profile.orderBy("trait").collect())  # at most one row per trait
     return page(
-        "Pi Distill NLP Report",
+        "Phrase and rule report",
         [
             ("Scope", [f"- Project: `{project}`", f"- User turns analyzed: {n_turns}"]), ("Frequent phrases", said), ("KMeans topic clusters", clusters(kmeans, True, 3)),
             ("DBSCAN near-duplicate families", clusters(dbscan, False, 4)), ("Blindspot labels", labels()), ("Session correction chains", corrected()), ("Blindspot profile", traits),
@@ -230,4 +230,4 @@ def comparison(phrases: DataFrame, kmeans: DataFrame, dbscan: DataFrame, rules:
         f"- 高频短语最能看到：{said}", f"- KMeans 主题簇数：{groups(kmeans)}", f"- DBSCAN 近似簇数：{groups(dbscan)}，噪声点：{dbscan.where('cluster IS NULL').count()}",
         f"- 规则命中的盲区标签数：{rules.count()}", f"- 发现需要后置纠偏的 session 数：{chains.count()}",
     ]
-    return page("NLP blindspot comparison", [("Methods", METHODS), ("Quick read", quick), ("Which method is best for what", BEST_FOR), ("MVP judgment", JUDGMENT)], now)
+    return page("Comparison of methods", [("Methods", METHODS), ("Quick read", quick), ("Which method is best for what", BEST_FOR), ("Judgment", JUDGMENT)], now)

@@ -135,7 +135,7 @@ def build_runner(name: str, command: Callable[[Request], str] | None = None) ->
     """The runner of a name: the deterministic one, or the caller's adapter of a model's command line."""
     if name == "fake":
         return stand_in
-    if name == "pi-cli-json" and command is not None:
+    if name == "cli-json" and command is not None:
         return command
     raise ValueError(f"unsupported runner: {name}")
 

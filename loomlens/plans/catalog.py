@@ -291,10 +291,10 @@ def cache_hits(spark, sf):
     n = F.col("chunk")
     state = chunks.select(
         "chunk_id", F.when(n % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.when(n % 4 == 3, "failed").otherwise("completed").alias("status"),
-        F.when(n % 7 == 1, "v0").otherwise("v1").alias("prompt_version"), F.when(n % 6 == 2, "fake").otherwise("pi-cli-json").alias("runner_type"),
+        F.when(n % 7 == 1, "v0").otherwise("v1").alias("prompt_version"), F.when(n % 6 == 2, "fake").otherwise("cli-json").alias("runner_type"),
         F.when(n % 9 == 4, "m2").otherwise("m1").alias("model"), F.when(n % 8 != 6, "low").alias("thinking"), F.when(n % 10 != 9, F.col("report_path")).alias("report_path"),
     )
-    return incremental.cache_hits(chunks.select("chunk_id", "content_hash"), state, "v1", "pi-cli-json", "m1", "low").select("chunk_id", "hit")
+    return incremental.cache_hits(chunks.select("chunk_id", "content_hash"), state, "v1", "cli-json", "m1", "low").select("chunk_id", "hit")
 
 
 def _matches(spark, sf):

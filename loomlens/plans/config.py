@@ -1,4 +1,4 @@
-"""Settings of a distill run: from the environment, with overrides; where its folders are, and why analysis is skipped."""
+"""Settings of a run: from the environment, with overrides; where its folders are, and why analysis is skipped."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 #: How settings are named in the environment, words that switch a flag on, what modes there are.
-PREFIX = "PI_DISTILL_"
+PREFIX = "LOOMLENS_"
 ON = ("1", "true", "yes", "on")
 MODES = ("experiment", "project", "dry-run")
 
@@ -59,7 +59,7 @@ class Config:
         if self.mode == "project":
             if not self.project_root:
                 raise ValueError("project mode needs the project's folder")
-            work = Path(self.project_root) / ".pi-distill"
+            work = Path(self.project_root) / ".loomlens"
             runtime = Path(self.runtime_root) if self.runtime_root else work
             final = Path(self.project_root) if self.write_final_to_project_root else Path(self.final_root) if self.final_root else runtime / "final"
         else:

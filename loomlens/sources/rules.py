@@ -13,9 +13,9 @@ from pathlib import Path
 from ..operators.reminders import Rule, loaded
 
 #: The setting that names a rules file, and where files lie below a project.
-RULES_SETTING = "PI_REMINDER_RULES_PATH"
-RULES_PLACES = (".pi-distill/final/reminder_rules.json", "reminder_rules.json")
-IGNORED_PLACE = ".pi-distill/reminder_rules_ignored.json"
+RULES_SETTING = "LOOMLENS_RULES_PATH"
+RULES_PLACES = (".loomlens/final/reminder_rules.json", "reminder_rules.json")
+IGNORED_PLACE = ".loomlens/reminder_rules_ignored.json"
 #: What may be decided on a rule that asks to confirm.
 DECISIONS = ("send", "cancel", "send_and_ignore")
 

@@ -68,7 +68,7 @@ def test_rules_files_in_order_and_ignored_ids(tmp_path, monkeypatch):
     document = lambda name: json.dumps({"rules": [{"id": name, "mode": "notify", "message": "m", "must_match_any": ["x"]}, {"id": "off", "mode": "notify", "message": "m", "enabled": False}]})
     (tmp_path / "reminder_rules.json").write_text(document("root"))
     assert [r.id for r in rules.load_rules(tmp_path)] == ["root"]
-    final = tmp_path / ".pi-distill" / "final"
+    final = tmp_path / ".loomlens" / "final"
     final.mkdir(parents=True)
     (final / "reminder_rules.json").write_text(document("final"))
     assert [r.id for r in rules.load_rules(tmp_path)] == ["final"]
