@@ -112,11 +112,13 @@ class Level:
     """Contexts of one length: sorted (context, symbol) keys with counts, and totals by context."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts.astype(np.float64)
-        self.contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-        self.first = first
-        self.total = np.add.reduceat(self.counts, first) if len(first) else np.zeros(0)
-        self.kinds = np.diff(np.append(first, len(keys))).astype(np.float64)
+        self.keys, self.counts = keys, counts
+        n = len(keys)
+        contexts = keys >> np.uint64(8)
+        first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if n else np.zeros(0, np.int64)
+        self.contexts, self.first = contexts[first], first.astype(np.int32)
+        self.total = np.add.reduceat(counts, first, dtype=np.float64) if n else np.zeros(0)
+        self.kinds = np.diff(np.append(first, n)).astype(np.float32)
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,17 +140,31 @@ def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
     return keys & np.uint64((1 << (8 * (order + 1))) - 1)
 
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], _narrow(np.add.reduceat(counts[order], first, dtype=np.int64) if len(keys) else np.zeros(0, np.int64))
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where these are enough."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 class Trie:
     """All levels of a block of contexts; ``low`` has the counts of order 1, whole, and ``split`` those of
     the contexts, by order, whose longer contexts lie in several blocks."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], split: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        if (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
         self.levels: dict[int, Level] = {ORDER: Level(keys, counts)}
         for k in range(ORDER - 1, 1, -1):
-            u, at = np.unique(_suffix(keys, k), return_inverse=True)
-            n = np.bincount(at, weights=counts, minlength=len(u))
+            longer = self.levels[k + 1]
+            u, n = _added(_suffix(longer.keys, k), longer.counts)
             if split and k in split:
                 whole, times = split[k]
                 own = ~np.isin(u >> np.uint64(8), whole >> np.uint64(8))
@@ -159,24 +175,23 @@ class Trie:
         pairs, n = low
         order = np.argsort(pairs)
         self.levels[1] = Level(pairs[order], n[order])
-        u, at = np.unique(_suffix(pairs, 0), return_inverse=True)
-        self.levels[0] = Level(u, np.bincount(at, weights=n, minlength=len(u)))
+        self.levels[0] = Level(*_added(_suffix(pairs, 0), n))
         # by context of each level: what its symbols sum to in the next shorter context
         self.known = {}
         for k in range(1, ORDER + 1):
             lv = self.levels[k]
             shorter = self.levels[k - 1].symbol(_suffix(lv.keys, k - 1))
             self.known[k] = np.add.reduceat(shorter, lv.first) if len(lv.first) else np.zeros(0)
-        lv = self.levels[ORDER]
-        where = np.searchsorted(lv.contexts, lv.keys >> np.uint64(8))
-        self.seen = np.log10((2 * lv.counts - 1) / (2 * lv.total[where])) if len(lv.keys) else np.zeros(0)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each distinct 6-gram's symbol after its context."""
-        at, ok = Level._find(self.levels[ORDER].keys, keys)
+        lv = self.levels[ORDER]
+        at, ok = Level._find(lv.keys, keys)
         out = np.zeros(len(keys))
         if ok.any():
-            out[ok] = self.seen[at[ok]]
+            at = at[ok]
+            where = np.searchsorted(lv.first, at, side="right") - 1
+            out[ok] = np.log10((2.0 * lv.counts[at] - 1) / (2 * lv.total[where]))
         rest = np.flatnonzero(~ok)
         if len(rest):
             out[rest] = self._escaped(keys[rest])
@@ -318,7 +333,9 @@ def score(
         table = own.toArrow()
         # the first block also takes the contexts that no training text has
         others = [c for c in claims if c is not claim] if i == 0 else None
-        sent = spark.sparkContext.broadcast((f"{home}/{i}", claim, others, table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), low, split))
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)  # workers use the sorted arrays as they are
+        sent = spark.sparkContext.broadcast((f"{home}/{i}", claim, others, keys[order], _narrow(table.column("n").to_numpy()[order]), low, split))
 
         def work(batches, sent=sent, first=i == 0):
             yield from _score_batches(batches, sent.value, sent_words.value if first else None)
