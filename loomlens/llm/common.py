@@ -62,17 +62,20 @@ HOT = 1024
 def met(rows: DataFrame, table: DataFrame, keys: list[str], counted: str) -> DataFrame:
     """``rows`` joined with the one row of ``table`` for their ``keys``; ``counted`` in it says how many rows have the key.
 
-    Rows of hot keys meet a broadcast table of less than HOT rows and are not shuffled, so no task
-    gets a whole hot group; the others are joined by a shuffle. ``table`` is a stored one.
+    A hot key is dealt in shares, each about a HOT-th of all rows, and its row in the table is there
+    once for each share (at most 2 * HOT rows in all), so no task gets a whole hot group. The hot keys,
+    less than HOT, are broadcast. ``table`` is a stored one.
     """
     total = table.agg(F.sum(counted)).first()[0] or 0
-    hot = table.where(F.col(counted) * HOT > total)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(counted) * HOT <= total), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+    hot = table.where(F.col(counted) * HOT > total).select(*keys, F.ceil(F.col(counted) * HOT / F.lit(max(total, 1))).cast("int").alias("_shares"))
+    shares = F.coalesce("_shares", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_share", F.pmod(F.monotonically_increasing_id(), shares).cast("int")).drop("_shares")
+    each = table.join(F.broadcast(hot), keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    return dealt.join(each, [*keys, "_share"]).drop("_share")
 
 
-#: Rows up to this number (some 100 bytes each at most) are broadcast instead of shuffling texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to this number (some 350 bytes each at most, as they are held) are broadcast instead of shuffling texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def small(table: DataFrame) -> DataFrame:

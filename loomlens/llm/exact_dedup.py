@@ -5,7 +5,7 @@ content in every input partition, the salted groups (digest, salt, content) merg
 and the salts' winners of a content are combined over all salts. Every stage groups by the
 whole content beside its digest, so digests that collide never join different texts. No
 stage sees more rows of one content than one per map task or one per salt. On the way back the
-winners of hot groups are broadcast to the members, which are not shuffled.
+members of hot groups meet their winner in shares.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def classify(
     won = cells.groupBy("digest", "content").agg(F.min("rank").alias("rank"), F.sum("n").alias("group_size"))
     table = stored(won.drop("content"), f"{work_dir(spark)}/winners")
     if table.groupBy("digest").count().where("count > 1").isEmpty():
-        # groups that hold a large share of the rows are few: their winners go to the members
+        # groups that hold a large part of the rows are dealt in shares
         joined = met(rows.drop("content"), table, ["digest"], "group_size")
     else:  # a digest with several contents: members meet their own content's winner
         joined = rows.join(won, ["digest", "content"])
