@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -157,6 +159,10 @@ def dbscan(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("size", size).select(key, F.when(F.col("size") > 1, F.col("cluster")).alias("cluster"), "size")
 
 
+#: Starts of k-means that run at once.
+KMEANS_AT_ONCE = 5
+
+
 def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> DataFrame:
     """(key, cluster) by k-means over the sparse TF-IDF vectors of all n-grams; k grows with the root of half the texts, 2 to 6.
 
@@ -173,7 +179,9 @@ def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> Dat
     if n < 4:
         return rows.select(key, F.lit(None).cast("int").alias("cluster")).limit(0)
     k = min(6, max(2, round((n / 2) ** 0.5)))
-    fits = (KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(starts))
+    # the starts do not wait for one another; of equal costs the first seed is taken
+    with ThreadPoolExecutor(KMEANS_AT_ONCE) as pool:
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=20).fit(rows), range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
 
