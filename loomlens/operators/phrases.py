@@ -71,8 +71,8 @@ def tfidf(texts: DataFrame, key: list[str], low: int = 2, high: int = 5, least:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))).select(*key, "gram", "w")
 
 
-#: Texts of a block of the similarity search, and n-grams of one matrix product.
-SIMILAR_BLOCK, SIMILAR_COLUMNS = 512, 2048
+#: Texts of a block of the similarity search, n-grams of one matrix product, and rows up to which an n-gram is rare.
+SIMILAR_BLOCK, SIMILAR_COLUMNS, SIMILAR_RARE = 512, 2048, 12
 
 
 def _cell_pairs(batches, least: float):
@@ -96,16 +96,46 @@ def _one_cell(cell: pa.Table, least: float):
     row = np.repeat(np.arange(len(size)), size)
     gram = pc.list_flatten(cell.column("grams")).to_numpy()
     w = pc.list_flatten(cell.column("weights")).to_numpy()
-    _, column = np.unique(gram, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column, w = row[order], column[order], w[order]
     two = bool((side == 1).any())
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1) if two else a
+    place = np.zeros(len(side), np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    _, column = np.unique(gram, return_inverse=True)
+    # n-grams of one row, or of one side, add nothing
+    n = np.bincount(column)
+    met = n > 1
+    if two:
+        on = np.bincount(column, weights=side[row])
+        met = (on > 0) & (on < n)
+    # columns from rare to frequent
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(np.where(met, n, 0), kind="stable")] = np.arange(len(n))
+    keep = met[column]
+    row, column, w = row[keep], column[keep], w[keep]
+    order = np.lexsort((row, rank[column]))
+    row, column, w = row[order], column[order], w[order]
     dots = np.zeros((len(a), len(b)))
+    rare = int(np.searchsorted(n[column], SIMILAR_RARE, side="right"))
+    # rare ones: each pair of a column's rows by itself
+    first = np.flatnonzero(np.append(True, column[1:rare] != column[: max(0, rare - 1)])) if rare else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, rare))
+    for k in range(1, int(length.max(initial=0))):
+        s = first[length > k]
+        for back in range(k):
+            x, y = row[s + back], row[s + k]
+            part = w[s + back] * w[s + k]
+            if two:
+                cross = side[x] != side[y]
+                x, y, part = x[cross], y[cross], part[cross]
+                x, y = np.where(side[x] == 0, x, y), np.where(side[x] == 0, y, x)
+            np.add.at(dots, (place[x], place[y]), part)
+    # the others: one matrix product for so many columns at a time
+    row, w = row[rare:], w[rare:]
+    column = np.cumsum(np.append(0, np.diff(column[rare:]) != 0)) if len(row) else np.zeros(0, np.int64)
     for c in range(0, int(column.max(initial=-1)) + 1, SIMILAR_COLUMNS):
         lo, hi = np.searchsorted(column, [c, c + SIMILAR_COLUMNS])
-        m = np.zeros((len(size), SIMILAR_COLUMNS))
+        m = np.zeros((len(size), int(column[hi - 1]) - c + 1))
         m[row[lo:hi], column[lo:hi] - c] = w[lo:hi]
         dots += m[a] @ m[b].T
     x, y = np.nonzero(np.round(dots, 6) >= least)

@@ -309,7 +309,9 @@ def test_confirm_rank_by_hand(spark):
     assert [(r["rule_id"], r["rank"]) for r in reminders.matches(turns, reminders.GUIDE_RULES).collect()] == [("publish-confirm", 14)]
 
 
-def test_similar_pairs_in_blocks_equal_plain_products(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [0, 4, 12])
+def test_similar_pairs_in_blocks_equal_plain_products(spark, monkeypatch, rare):
+    monkeypatch.setattr(phrases, "SIMILAR_RARE", rare)
     monkeypatch.setattr(phrases, "SIMILAR_BLOCK", 7)
     monkeypatch.setattr(phrases, "SIMILAR_COLUMNS", 5)
     rng = random.Random(3)
