@@ -147,18 +147,20 @@ def _one_cell(cell: pa.Table, least: float):
     yield pa.RecordBatch.from_arrays([pa.array(first[keep], cell.schema.field("key").type), pa.array(second[keep], cell.schema.field("key").type), pa.array(found[keep])], names=["a", "b", "similarity"])
 
 
-def similar_pairs(weights: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
+def similar_pairs(weights: DataFrame, key: str, least: float = SIMILAR, n_texts: int | None = None) -> DataFrame:
     """Pairs of texts with a cosine of ``least`` or more.
 
     The bound is low, so that nearly every n-gram of a vector could lead to a partner and a prefix
     filter leaves nearly all pairs. Texts are dealt in blocks instead; a cell of two blocks is one
     task's exact matrix product over the n-grams that it holds, a bounded number of columns at a
-    time. Blocks grow with the texts, memory of a task does not.
+    time. Blocks grow with the texts, memory of a task does not. ``n_texts`` sets the number of blocks;
+    without it the texts are counted, which computes the weights once more.
     """
     ship(weights.sparkSession)
     vectors = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("gram"), "w"))).alias("v"))
     vectors = vectors.select(F.col(key).alias("key"), F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("weights"))
-    blocks = max(1, -(-weights.select(key).distinct().count() // SIMILAR_BLOCK))
+    n_texts = weights.select(key).distinct().count() if n_texts is None else n_texts
+    blocks = max(1, -(-n_texts // SIMILAR_BLOCK))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     each = F.sequence(F.lit(0), F.lit(blocks - 1))
     cells = F.explode(F.transform(each, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), (F.col("block") > x).cast("int").alias("side"))))

@@ -336,7 +336,7 @@ def tfidf_weights(spark, sf):
 
 
 def _pairs(spark, sf):
-    return phrases.similar_pairs(_weights(spark, sf), "turn")
+    return phrases.similar_pairs(_weights(spark, sf), "turn", n_texts=_turns(spark, sf).count())
 
 
 def similar_pairs(spark, sf):
