@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, pieces, pii, ppm, quality, secret_scan, token_counts
+from . import decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, ogg, pieces, pii, ppm, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_ogg": ogg.op11_ogg,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
