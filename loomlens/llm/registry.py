@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, ogg, pieces, pii, ppm, quality, secret_scan, token_counts
+from . import decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, lexical, ogg, pieces, pii, ppm, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_ogg": ogg.op11_ogg,
+    "op12_block_max": lexical.op12_block_max,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op4_decontamination": decontaminate.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op12_block_max": lexical.SQL,
     "op13_fill_middle": fill_middle.SQL,
 }
