@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -237,6 +238,38 @@ def synthesis_rollup(reports: DataFrame) -> DataFrame:
     return done.groupBy("project").agg(*[ordered(c, ok).alias(f"{name}_{c}s") for name, ok in (("used", yes), ("ignored", ~yes)) for c in ("chunk_id", "report_path")])
 
 
+#: Lists of a chunk that the synthesis reads, with the number of first values that it shows of each (None: all).
+SYNTHESIS_HEADS = {"sessions": None, "changed": 10, "referenced": 10, "commands": 8}
+
+
+def first_uses(reports: DataFrame) -> DataFrame:
+    """project, kind, value and where it first stands (chunk, place): the distinct values of the used chunks' lists.
+
+    The least place is a mergeable state: what two tables of it hold of a value, ``merged_uses`` makes one.
+    """
+    used = select_for_synthesis(reports)
+    columns = {"sessions": "source_sessions", "changed": "changed", "referenced": "referenced", "commands": "commands"}
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.transform(F.col(c), lambda v, i: F.struct(v.cast("string").alias("value"), (i + 1).alias("place"))).alias("v")) for k, c in columns.items()])
+    each = used.select("project", "chunk", F.explode(lists).alias("l")).select("project", "chunk", "l.kind", F.explode("l.v").alias("v"))
+    return merged_uses(each.where("v.value <> ''").select("project", "kind", "v.value", F.struct("chunk", "v.place").alias("first")))
+
+
+def merged_uses(*parts: DataFrame) -> DataFrame:
+    """Several tables of first uses as one."""
+    return reduce(DataFrame.unionByName, parts).groupBy("project", "kind", "value").agg(F.min("first").alias("first"))
+
+
+def synthesis_heads(uses: DataFrame, heads: dict[str, int | None] = SYNTHESIS_HEADS) -> DataFrame:
+    """Of each project's values of a kind the first few in order, with their ``rank``; of kinds without a bound all, with a null
+    rank (they are in order of ``first``). Ranks are cut before rows are shuffled, so no list is ever gathered whole."""
+    bounded = [k for k, n in heads.items() if n is not None]
+    limit = F.create_map(*[x for k in bounded for x in (F.lit(k), F.lit(heads[k]))])
+    order = Window.partitionBy("project", "kind").orderBy("first")
+    top = uses.where(F.col("kind").isin(*bounded)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(heads[k] for k in bounded)).where(F.col("rank") <= limit[F.col("kind")])
+    rest = uses.where(F.col("kind").isin(*[k for k in heads if k not in bounded])).withColumn("rank", F.lit(None).cast("int"))
+    return top.unionByName(rest).select("project", "kind", "value", F.col("first.chunk").alias("chunk"), F.col("first.place").alias("place"), "rank")
+
+
 def synthesis_input(reports: DataFrame) -> DataFrame:
     """(project, packet): what the synthesis model reads: the used chunks with their reports, then the ignored ones."""
     used = select_for_synthesis(reports).select("project", "chunk_id", F.lit(True).alias("used"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import INVENTED_WORDS, PRIORITY, matched
+from ..functions.storage import checkpointed, checkpoints
 from ..functions.text import is_validation_command, normalize, one_line, parse_turn_ref, project_id
 from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
 from ..sources import sessions
@@ -208,7 +208,32 @@ def worklist(spark, sf):
 
 
 def partial_final_counters(spark, sf):
-    return workflow.finals(workflow.partials(_calls(spark, sf)))
+    return workflow.finals(workflow.partials(_calls(spark, sf))).where("kind IN ('tool', 'path', 'command')").select("kind", "name", "n", "n_sessions")
+
+
+def _stored_partials(spark, sf):
+    """Partials by session as a stored table, in two parts of sessions as two runs would leave them."""
+    calls = _calls(spark, sf)
+    early = F.col("session").cast("long") % 2 == 0
+    return checkpointed(workflow.partials(calls.where(early)).unionByName(workflow.partials(calls.where(~early))))
+
+
+def stored_top_counters(spark, sf):
+    """The twenty most frequent tools, paths, commands, sequences and path uses, from stored partials."""
+    return workflow.top_counters(workflow.finals(_stored_partials(spark, sf)))
+
+
+def stored_candidates(spark, sf):
+    """Candidate patterns in the order of a report, from stored partials alone."""
+    rows = workflow.candidates_of(_stored_partials(spark, sf))
+    order = F.row_number().over(Window.orderBy(F.desc("weight"), F.desc("n"), "type_rank", "first", "name"))  # candidates: far fewer than names
+    return rows.select(order.alias("place"), "type", "name", "n", "confidence", _joined("evidence"))
+
+
+def session_summaries(spark, sf):
+    rows = sessions.session_summaries(sessions.log_from_conversations(_read(spark, sf, "conversations")))
+    tools = F.array_join(F.transform("tools", lambda t: F.concat_ws(":", t["tool"], t["n"].cast("string"))), ",")
+    return rows.withColumn("tools", tools).withColumn("models", F.array_join("models", ","))
 
 
 def _traced(spark, sf):
@@ -262,7 +287,7 @@ def _reports(spark, sf):
     """Chunks with a stand-in state of their reports."""
     status = F.when(F.col("chunk") % 4 == 0, "cached").when(F.col("chunk") % 4 == 3, "failed").otherwise("completed")
     name = F.concat(F.lit("reports/"), "project", F.lit("/"), "chunk_id", F.lit(".md"))
-    return _chunks(spark, sf).select("project", "chunk", "chunk_id", "source_sessions", "content_hash", "relevance", status.alias("status"), name.alias("report_path"), F.concat(F.lit(" # report of "), "content_hash", F.lit("\n")).alias("report"))
+    return _chunks(spark, sf).select("project", "chunk", "chunk_id", "source_sessions", "referenced", "changed", "commands", "content_hash", "relevance", status.alias("status"), name.alias("report_path"), F.concat(F.lit(" # report of "), "content_hash", F.lit("\n")).alias("report"))
 
 
 def synthesis_selection(spark, sf):
@@ -274,6 +299,11 @@ def synthesis_rollup(spark, sf):
     return rows.select("project", *[_joined(c) for c in ("used_chunk_ids", "used_report_paths", "ignored_chunk_ids", "ignored_report_paths")])
 
 
+def synthesis_heads(spark, sf):
+    """What a project's synthesis names: sessions, and the first changed and referenced paths and commands, in order."""
+    return chunking.synthesis_heads(chunking.first_uses(_reports(spark, sf)))
+
+
 def synthesis_input(spark, sf):
     return chunking.synthesis_input(_reports(spark, sf)).select("project", F.length("packet").cast("long").alias("n_chars"), F.sha2("packet", 256).alias("packet_sha256"))
 
@@ -343,17 +373,8 @@ def similar_pairs(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
-def _checkpoints(spark):
-    """A folder for checkpoints: the one that the cluster names; on a single machine a local one will do."""
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlens-"))
-
-
 def dbscan_clusters(spark, sf):
-    _checkpoints(spark)
+    checkpoints(spark)
     nodes = _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"))
     return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
 
@@ -427,7 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, event_type_order, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
-        partial_final_counters, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
+        partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
     )
 }

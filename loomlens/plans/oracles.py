@@ -276,6 +276,26 @@ UNION ALL SELECT 'read_then_edit_micro_workflow', 'micro-SOP', 'the route sees a
     "index_diff": f"WITH {INDEX} SELECT session_file, status FROM diff",
     "worklist": f"WITH {INDEX}, r AS (SELECT session_file, status AS reason FROM diff WHERE status IN ('new', 'changed') UNION ALL SELECT session_file, 'cache' FROM now WHERE CAST(session_file AS BIGINT) % 3 = 0) SELECT session_file, max(reason) AS reason FROM r GROUP BY 1",
     "partial_final_counters": f"WITH {CALLS}, i AS (SELECT session, 'tool' AS kind, tool AS name FROM calls UNION ALL SELECT session, 'path', path FROM calls WHERE path IS NOT NULL UNION ALL SELECT session, 'command', command FROM calls WHERE command IS NOT NULL) SELECT kind, name, count(*) AS n, count(DISTINCT session) AS n_sessions FROM i GROUP BY 1, 2",
+    "stored_top_counters": f"""WITH {PATHS}, i AS (
+  SELECT 'tool' AS kind, tool AS name, count(*) AS n, min((session, turn, ts, event_id)) AS first FROM calls GROUP BY 2
+  UNION ALL SELECT 'path', path, count(*), min((session, turn, ts, event_id)) FROM calls WHERE path IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'command', command, count(*), min((session, turn, ts, event_id)) FROM calls WHERE command IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'sequence', sequence, count(*), min((session, turn, NULL::TIMESTAMP, NULL::BIGINT)) FROM turns GROUP BY 2
+  UNION ALL SELECT 'read_edit', path, count(*), min((session, turn, ts, event_id)) FROM (SELECT session, turn, path, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM calls WHERE path IS NOT NULL GROUP BY 1, 2, 3) JOIN pt USING (session, turn, path) WHERE reads > 0 AND edits > 0 GROUP BY 2
+  UNION ALL SELECT 'edit_validate', path, count(*), min((session, turn, ts, event_id)) FROM (SELECT session, turn, path, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM calls WHERE path IS NOT NULL GROUP BY 1, 2, 3) JOIN pt USING (session, turn, path) JOIN flags USING (session, turn) WHERE validated AND edited AND edits + writes > 0 GROUP BY 2
+) SELECT kind, CAST(place AS INTEGER) AS place, name, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, first) AS place FROM i) WHERE place <= 20""",
+    "stored_candidates": f"WITH {PATHS} SELECT CAST(row_number() OVER (ORDER BY CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, n DESC, tk, first, name) AS INTEGER) AS place, type, name, n, confidence, evidence FROM cand",
+    "session_summaries": f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS file, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations
+), c AS (
+  SELECT file, turn, k, ['read', 'edit', 'bash'][CAST((n + k) % 3 + 1 AS INTEGER)] AS tool
+  FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY file) AS asked FROM t), unnest([0, 1, 2]) x(k) WHERE role = 'assistant' AND k < n % 4 AND turn > asked
+), u AS (SELECT file, string_agg(tool || ':' || n, ',' ORDER BY first) AS tools, CAST(sum(n) AS BIGINT) AS tool_calls FROM (SELECT file, tool, count(*) AS n, min((turn, k)) AS first FROM c GROUP BY 1, 2) GROUP BY 1
+), b AS (
+  SELECT file, CASE WHEN bool_or(turn = 1) THEN 's' || file ELSE '' END AS session_id, CASE WHEN bool_or(turn = 1) THEN 't' || file ELSE '' END AS started_at,
+         count(*) FILTER (role = 'user') AS user_turns, count(*) AS message_count, coalesce(string_agg(role || '/m' || n % 5, ',' ORDER BY turn) FILTER (turn % 4 = 1), '') AS models,
+         coalesce(arg_min({_line('text', 180)}, turn) FILTER (role = 'user' AND {_flat('text')} <> ''), '') AS first_user_preview
+  FROM t GROUP BY 1
+) SELECT file, session_id, started_at, user_turns, message_count, coalesce(tool_calls, 0) AS tool_calls, coalesce(tools, '') AS tools, models, first_user_preview FROM b LEFT JOIN u USING (file)""",
     "trace_metadata": f"""WITH {TRACED} SELECT d.doc_id, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'r'), '') AS referenced, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'c'), '') AS changed, coalesce(string_agg(v, ',' ORDER BY i) FILTER (g = 'm'), '') AS commands
 FROM documents d LEFT JOIN y USING (doc_id) GROUP BY 1""",
     "blocks": f"WITH {BLOCKS} SELECT doc_id, block, line_start, line_end, n_chars FROM bl",
@@ -283,6 +303,12 @@ FROM documents d LEFT JOIN y USING (doc_id) GROUP BY 1""",
     "chunk_records": f"{PACK} SELECT project, chunk, chunk_id, source_sessions, source_files, start_time, end_time, source_ranges, referenced, changed, commands, line_count, n_chars, tokens, content_hash, relevance FROM cr",
     "synthesis_selection": f"{PACK} SELECT project, chunk, status, relevance FROM dn WHERE used",
     "synthesis_rollup": f"{PACK} SELECT project, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (used), '') AS used_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (used), '') AS used_report_paths, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_report_paths FROM dn GROUP BY 1",
+    "synthesis_heads": f"""{PACK}, pl AS (
+  SELECT project, chunk, 'sessions' AS kind, CAST(session AS VARCHAR) AS value, row_number() OVER (PARTITION BY project, chunk ORDER BY r) AS place FROM ss
+  UNION ALL SELECT project, chunk, CASE g WHEN 'r' THEN 'referenced' WHEN 'c' THEN 'changed' ELSE 'commands' END, v, row_number() OVER (PARTITION BY project, chunk, g ORDER BY o) FROM tv
+), fu AS (SELECT project, kind, value, min((chunk, place)) AS first FROM pl JOIN (SELECT project, chunk FROM dn WHERE used) USING (project, chunk) GROUP BY 1, 2, 3
+), ra AS (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY first) AS r FROM fu)
+SELECT project, kind, value, first[1] AS chunk, CAST(first[2] AS INTEGER) AS place, CASE WHEN kind <> 'sessions' THEN CAST(r AS INTEGER) END AS rank FROM ra WHERE kind = 'sessions' OR r <= CASE kind WHEN 'commands' THEN 8 ELSE 10 END""",
     "synthesis_input": f"""{PACK}, p AS (SELECT project, '# Synthesis packet' || chr(10) || chr(10) || '## Used chunk reports' || chr(10) || chr(10)
   || coalesce(string_agg('### ' || chunk_id || chr(10) || '- relevance: ' || relevance || chr(10) || '- source_sessions: ' || replace(source_sessions, ',', ', ') || chr(10) || '- report_path: ' || report_path || chr(10) || chr(10) || '# report of ' || content_hash || chr(10) || chr(10), '' ORDER BY chunk) FILTER (used), '')
   || '## Ignored or lower-weight chunks' || chr(10) || chr(10) || coalesce(string_agg('- ' || chunk_id || ': relevance=' || relevance || ' report=' || report_path || chr(10), '' ORDER BY chunk) FILTER (NOT used), '- none' || chr(10)) AS packet FROM dn GROUP BY 1)

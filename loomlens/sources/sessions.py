@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_command, sanitize
+from ..functions.text import normalize_command, one_line, sanitize
 
 ENTRY = (
     "struct<type:string,id:string,timestamp:string,provider:string,modelId:string,"
@@ -46,6 +46,9 @@ def entries(spark: SparkSession, folder: str, *, strict: bool = True) -> DataFra
     return lines.select("session_file", "line_no", entry.alias("entry"))
 
 
+_CONTENT = "array<struct<type:string,text:string,name:string,arguments:string>>"
+
+
 def text_of(content):
     """Text parts, joined by line feeds."""
     return F.array_join(F.transform(F.filter(content, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
@@ -57,16 +60,19 @@ def tool_calls_of(content):
 
 def messages_from_entries(log: DataFrame) -> DataFrame:
     """session_file, line_no, role, text, tool_calls of the messages of a log."""
-    content = F.coalesce("entry.message.content", F.array().cast("array<struct<type:string,text:string,name:string,arguments:string>>"))
+    content = F.coalesce("entry.message.content", F.array().cast(_CONTENT))
     return log.where("entry.type = 'message'").select(
         "session_file", "line_no", F.col("entry.message.role").alias("role"), F.col("entry.timestamp").alias("timestamp"), text_of(content).alias("text"), F.size(tool_calls_of(content)).alias("tool_calls")
     )
 
 
+def _model_name():
+    return F.trim(F.concat(sanitize(F.col("entry.provider")), F.lit("/"), sanitize(F.col("entry.modelId"))), F.lit("/"))
+
+
 def models(log: DataFrame) -> DataFrame:
     """session_file, line_no, model: every change of model that names one, as provider/model."""
-    name = F.trim(F.concat(sanitize(F.col("entry.provider")), F.lit("/"), sanitize(F.col("entry.modelId"))), F.lit("/"))
-    return log.where("entry.type = 'model_change'").select("session_file", "line_no", name.alias("model")).where("model <> ''")
+    return log.where("entry.type = 'model_change'").select("session_file", "line_no", _model_name().alias("model")).where("model <> ''")
 
 
 def model_counts(log: DataFrame) -> DataFrame:
@@ -132,6 +138,56 @@ def session_metadata(log: DataFrame, files: DataFrame | None = None) -> DataFram
     return out.join(stat, "session_file").withColumn("fingerprint", F.concat_ws(":", "size_bytes", "mtime"))
 
 
+def session_summaries(log: DataFrame, cwd: str = "") -> DataFrame:
+    """One row per session of a log, as a report lists them: file, id, start, user turns, messages, tool calls, tools with
+    their counts in order of first use, every change of model in order, and the preview of the first user text that is not blank.
+
+    Tool calls count from the first user message on; a session without messages has zeros and empty lists.
+    """
+    e = F.col("entry")
+    last = lambda c, ok: F.max_by(F.when(ok, c), F.when(ok, F.col("line_no")))
+    message = e["type"] == "message"
+    asked = message & (e["message"]["role"] == "user")
+    preview = F.when(asked, one_line(text_of(F.coalesce(e["message"]["content"], F.array().cast(_CONTENT))), 180))
+    model = F.when(e["type"] == "model_change", _model_name())
+    base = log.withColumn("_preview", F.nullif(preview, F.lit(""))).withColumn("_model", F.nullif(model, F.lit(""))).groupBy("session_file").agg(
+        last(e["id"], e["type"] == "session").alias("session_id"), last(e["timestamp"], e["type"] == "session").alias("started_at"),
+        F.count_if(asked).alias("user_turns"), F.count_if(message).alias("message_count"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_model").isNotNull(), F.struct("line_no", "_model")))), lambda x: x["_model"]).alias("models"),
+        F.min_by("_preview", F.when(F.col("_preview").isNotNull(), F.col("line_no"))).alias("first_user_preview"),
+    )
+    used = tool_calls_from_entries(log, cwd).groupBy("session", "tool").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    used = used.groupBy(F.col("session").alias("session_file")).agg(F.sum("n").alias("tool_calls"), F.array_sort(F.collect_list(F.struct("first", "tool", "n"))).alias("held"))
+    tools = F.transform(F.coalesce("held", F.array().cast(used.schema["held"].dataType)), lambda x: F.struct(x["tool"].alias("tool"), x["n"].alias("n")))
+    out = base.join(used, "session_file", "left")
+    return out.select(
+        F.col("session_file").alias("file"), F.coalesce("session_id", F.lit("")).alias("session_id"), F.coalesce("started_at", F.lit("")).alias("started_at"), "user_turns", "message_count",
+        F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"), tools.alias("tools"), "models", F.coalesce("first_user_preview", F.lit("")).alias("first_user_preview"),
+    )
+
+
+def log_from_conversations(conversations: DataFrame) -> DataFrame:
+    """The table of conversations as lines of session logs, read back by their schema: session_file, line_no, entry.
+
+    A conversation is a session; its first turn is preceded by a session line, every fourth by a change of model. An
+    assistant's text has as many tool calls as its length modulo 4 says, on a path named by the turn.
+    """
+    n = F.length(F.coalesce("text", F.lit("")))
+    name = F.concat(F.lit("f"), (F.col("turn") % 3).cast("string"), F.lit(".py"))
+    part = lambda **v: F.struct(*[(x if isinstance(x, F.Column) else F.lit(x)).alias(k) for k, x in v.items()])
+    tool = lambda k: F.element_at(F.array(F.lit("read"), F.lit("edit"), F.lit("bash")), (n + k) % 3 + 1)
+    calls = F.when(F.col("role") == "assistant", F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), n % 4), lambda k: part(type="toolCall", text=F.lit(None).cast("string"), name=tool(k), arguments=part(path=name))))
+    none = F.array().cast("array<struct<type:string,text:string,name:string,arguments:struct<path:string>>>")
+    said = part(type="text", text=F.col("text"), name=F.lit(None).cast("string"), arguments=F.lit(None).cast("struct<path:string>"))
+    lines = F.array(
+        F.when(F.col("turn") == 1, F.to_json(part(type="session", id=F.concat(F.lit("s"), F.col("conv_id").cast("string")), timestamp=F.concat(F.lit("t"), F.col("conv_id").cast("string"))))),
+        F.when(F.col("turn") % 4 == 1, F.to_json(part(type="model_change", provider=F.col("role"), modelId=F.concat(F.lit("m"), (n % 5).cast("string"))))),
+        F.to_json(part(type="message", message=part(role=F.col("role"), content=F.concat(F.array(said), F.coalesce(calls, none))))),
+    )
+    each = conversations.select(F.col("conv_id").cast("string").alias("session_file"), "turn", F.posexplode(lines).alias("i", "line")).where("line IS NOT NULL")
+    return each.select("session_file", (F.col("turn") * 3 + F.col("i")).cast("int").alias("line_no"), F.from_json("line", ENTRY).alias("entry"))
+
+
 def file_stats(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """Path, length and time of files; their content is never read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length", "modificationTime")
