@@ -37,7 +37,7 @@ PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BLOCK = 128
 #: A segment ends after so many bytes of text or documents.
-SEGMENT_BYTES, SEGMENT_DOCS = 32 << 20, 1 << 17
+SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 17
 #: Documents that a search holds bounds of at once.
 WINDOW = 1 << 13
 #: One in so many segments is searched a round earlier, and of these again.
@@ -110,9 +110,9 @@ class Segment:
             raw, names = low.tobytes(), self.names
             numbers = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)
             key, tf = np.unique(row * len(first) + kind, return_counts=True)
-            self.term.append(numbers[key % len(first)])
-            self.doc.append(key // len(first) + self.docs)
-            self.tf.append(tf.astype(np.int64))
+            self.term.append(numbers[key % len(first)].astype(np.int32))
+            self.doc.append((key // len(first) + self.docs).astype(np.int32))
+            self.tf.append(tf.astype(np.int32))
         self.n.append(np.bincount(row, minlength=count))
         self.ids.append(ids)
         self.docs += count
@@ -129,19 +129,26 @@ class Segment:
         yield _batch(number, level, pa.array([""]), pa.array([len(ids)], pa.int32()), pa.array([m.tobytes()], pa.binary()), pa.array([b""], pa.binary()), listed)
         if not self.term:
             return
-        term, doc, tf = (np.concatenate(x) for x in (self.term, self.doc, self.tf))
-        doc = place[doc]
-        sort = np.argsort(term << 32 | doc)
-        term, doc, tf = term[sort], doc[sort], tf[sort]
-        new = np.flatnonzero(np.diff(term, prepend=-1))
-        df = np.diff(np.append(new, len(term)))
-        within = np.arange(len(term)) - np.repeat(new, df)
-        start = np.flatnonzero(within % BLOCK == 0)
+        key = np.concatenate(self.term).astype(np.int64) << 32 | place[np.concatenate(self.doc)]
+        sort = np.argsort(key)
+        tf = np.concatenate(self.tf)[sort].astype(np.int64)
+        self.term, self.doc, self.tf = [], [], []
+        key = key[sort]
+        del sort
+        doc = key & 0xFFFFFFFF
+        new = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+        df = np.diff(np.append(new, len(key)))
+        # a list's blocks begin at every 128th of its postings
+        blocks = -(-df // BLOCK)
+        start = np.repeat(new, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        del key
         values = np.empty(2 * len(doc), np.int64)
         gap = np.diff(doc, prepend=0)
         gap[start] = 0
         values[0::2], values[1::2] = gap, tf - 1
+        del gap
         data, size = packed(values)
+        del values
         at = np.append(np.cumsum(size) - size, len(data))
         block_at = np.append(at[2 * start], len(data))
         heads = np.stack([doc[start], doc[np.append(start[1:], len(doc)) - 1], np.maximum.reduceat(impacts(tf, m[doc]), start), np.diff(block_at)], axis=1).astype(np.int32)
@@ -206,7 +213,7 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", se
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             kind = batch.column("doc_id").type
-            for lo, hi in steps(offs, 4 << 20):
+            for lo, hi in steps(offs):
                 held.add(batch.column("doc_id").slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 if held.bytes >= segment_bytes or held.docs >= segment_docs:
                     yield from held.rows(number, _level(number), n_docs, n_terms, kind)
