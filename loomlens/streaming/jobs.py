@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.shipping import ship
 from ..operators import corrections, reminders
@@ -28,26 +27,47 @@ def maintain_corrections(messages: DataFrame, full: Callable[[DataFrame], DataFr
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _cool(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = set(state.get[0].split("\n")) if state.exists else set()
-    for frame in frames:
-        shown = []
-        for i, r in enumerate(frame.sort_values("turn_index").itertuples()):
-            if r.cooldown != "session_once":
-                shown.append(r.Index)
-            elif r.rule_id not in seen:
-                seen.add(r.rule_id)
-                shown.append(r.Index)
-        yield frame.loc[shown, ["session_file", "turn_index", "rule_id"]]
-    if seen:
-        state.update(("\n".join(sorted(seen)),))
-
-
-def cooled_matches(turns: DataFrame, rules: list[reminders.Rule] = reminders.TABLE_RULES) -> DataFrame:
-    """Streaming matches after cooldown; the state of a session is the ids it has seen (at most one per rule)."""
-    ship(turns.sparkSession)
+#: How long a session's seen rules are kept after they last matched.
+SEEN_MS = 7 * 24 * 3600 * 1000
+#: The state store that has maps and expiry.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Cooldown(StatefulProcessor):
+    """Lets a session_once rule through once per session: a map from seen rules to the turn that showed them, each entry with an expiry."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "rule_id string", "turn_index int", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a session's matches of one batch, in order of turns
+        for r in sorted(rows, key=lambda r: (r["turn_index"], r["rule_id"])):
+            if r["cooldown"] == "session_once":
+                rule = (r["rule_id"],)
+                again = self.seen.containsKey(rule)
+                # a rule that matches again is kept for longer
+                self.seen.updateValue(rule, self.seen.getValue(rule) if again else (r["turn_index"],))
+                if again:
+                    continue
+            yield Row(session_file=r["session_file"], turn_index=r["turn_index"], rule_id=r["rule_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def cooled_matches(turns: DataFrame, rules: list[reminders.Rule] = reminders.TABLE_RULES, keep_ms: int = SEEN_MS) -> DataFrame:
+    """Streaming matches after cooldown. State is one entry per session and seen rule, which goes ``keep_ms`` after its last match.
+
+    A session that is silent for that long begins anew. Sets the state store that has such maps, if it is another one.
+    """
+    spark = turns.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     found = reminders.matches(turns, rules).select("session_file", "turn_index", "rule_id", "cooldown")
-    return found.groupBy("session_file").applyInPandasWithState(_cool, "session_file string, turn_index int, rule_id string", "seen string", "append", "NoTimeout")
+    return found.groupBy("session_file").transformWithState(Cooldown(keep_ms), "session_file string, turn_index int, rule_id string", "append", "processingTime")
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

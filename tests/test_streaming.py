@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from loomlens.operators import corrections, reminders
 from loomlens.sources import sessions
 from loomlens.streaming import jobs
@@ -7,6 +9,17 @@ from loomlens.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
+def consume(query, n, seconds=60):
+    """Waits until ``n`` rows are done; a query whose state expires goes on with empty batches, and is stopped."""
+    until = time.monotonic() + seconds
+    try:
+        while sum(p["numInputRows"] for p in query.recentProgress) < n:
+            assert query.isActive and time.monotonic() < until, query.exception()
+            time.sleep(0.2)
+    finally:
+        query.stop()
+
+
 def test_stream_of_messages_maintains_the_events(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     table.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -24,8 +37,32 @@ def test_cooldown_state_shows_a_rule_once(spark, tmp_path):
     spark.createDataFrame(rows, "session_file string, turn_index int, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_file string, turn_index int, text string").parquet(str(tmp_path / "in"))
     query = jobs.cooled_matches(stream).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
+    consume(query, len(rows))
     got = sorted((r["session_file"], r["turn_index"], r["rule_id"]) for r in spark.table("cooled").collect())
     batch = reminders.cooled(reminders.matches(spark.createDataFrame(rows, "session_file string, turn_index int, text string")))
     assert got == sorted((r["session_file"], r["turn_index"], r["rule_id"]) for r in batch.collect())
+
+
+def test_seen_rules_outlive_batches_and_expire(spark, tmp_path):
+    schema = "session_file string, turn_index int, text string"
+    shown = []
+
+    def batch(rows, _):
+        shown.append(sorted((r["session_file"], r["turn_index"], r["rule_id"]) for r in rows.collect()))
+
+    def say(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        found = jobs.cooled_matches(stream, rules, keep_ms=20_000)
+        query = found.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "cp")).start()
+        consume(query, len(rows))
+
+    rules = [reminders.Rule(name, cooldown=name, message="m", any_terms=("tion",)) for name in ("session_once", "turn_once")]
+    say([("s", 3, "tion"), ("s", 1, "tion"), ("t", 1, "none")])
+    say([("s", 4, "tion"), ("t", 2, "tion")])
+    time.sleep(22)
+    say([("s", 5, "tion")])
+    got = [b for b in shown if b]
+    assert got[0] == [("s", 1, "session_once"), ("s", 1, "turn_once"), ("s", 3, "turn_once")]
+    assert got[1] == [("s", 4, "turn_once"), ("t", 2, "session_once"), ("t", 2, "turn_once")]
+    assert got[2] == [("s", 5, "session_once"), ("s", 5, "turn_once")]  # the session was silent for longer than seen rules are kept
