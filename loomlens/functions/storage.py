@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     """``rows`` as a reliable checkpoint; its partitions and their order stay."""
     checkpoints(rows.sparkSession)
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written once in the shared folder, and read from there."""
+    path = f"{checkpoints(rows.sparkSession).rstrip('/')}/loomlens-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

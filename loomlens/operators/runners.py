@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.storage import stored
 from ..functions.text import bullets, json_object
+from ..plans.versioned import Table, Version
+from . import incremental
 
 PAYLOAD = (
     "struct<raw_score:double,normalized_score:double,summary:string,dimension_scores:map<string,double>,failed_dimensions:array<string>,must_fix:array<string>,"
@@ -27,6 +30,8 @@ RUBRIC = {"Faithfulness": 10, "Signal": 8, "Routing": 8, "Actionability": 8, "Co
 class Request:
     task: str
     text: str
+    attempt: int = 1
+    critique: str = ""
 
 
 Runner = Callable[[Request], str]
@@ -59,6 +64,93 @@ def map_chunks(chunks: DataFrame, runner: Runner = stand_in, task: str = "chunk"
     return rows.mapInArrow(work, "key string, status string, report string").withColumnRenamed("key", key)
 
 
+#: What a stored report was made with, and the report.
+REPORTS = "chunk_id string, content_hash string, prompt_version string, status string, runner_type string, model string, thinking string, report_path string, report string"
+
+
+def report_store(spark: SparkSession, home: str, buckets: int = 64) -> Table:
+    return Table(spark, home, {"reports": REPORTS}, "chunk_id", buckets)
+
+
+def map_chunks_once(
+    chunks: DataFrame, store: Table, run_id: str, runner: Runner = stand_in, *, name: str = "fake", prompt_version: str = "v1", model: str | None = None, thinking: str | None = None, text: str = "text"
+) -> DataFrame:
+    """chunk_id, content_hash, status (cached, completed or failed) and report of every chunk; the model reads those alone whose stored report does not hold.
+
+    ``chunks`` has chunk_id (distinct text), content_hash and the text. New reports are written, in the buckets that
+    hold them, before they are used; a failed one is kept with its message and tried again by the next run. Reports of
+    chunks that are not asked for stay stored.
+    """
+    asked = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "content_hash", F.col(text).alias("text"))
+    marks = None
+
+    def step(version: Version) -> Version:
+        nonlocal marks
+        state = store.read("reports", version)
+        marks = stored(incremental.cache_hits(asked, state.drop("report"), prompt_version, name, model, thinking))
+        missed = marks.where(~F.col("hit")).select("chunk_id")
+        touched = [r["bucket"] for r in missed.select(store.bucket().alias("bucket")).distinct().collect()]  # at most one row per bucket
+        if not touched:
+            return version
+        new = asked.join(missed, "chunk_id", "left_semi")
+        # what a model said is written once, before the buckets are, so that trying again asks no model
+        said = stored(map_chunks(new, runner)).join(new.select("chunk_id", "content_hash"), "chunk_id")
+        path = F.concat(F.lit(f"{run_id}/"), "chunk_id", F.lit(".md"))
+        fixed = {"prompt_version": prompt_version, "runner_type": name, "model": model, "thinking": thinking}
+        rows = said.select("chunk_id", "content_hash", "status", "report", path.alias("report_path"), *[F.lit(v).cast("string").alias(k) for k, v in fixed.items()])
+        kept = store.read("reports", version, touched).join(missed, "chunk_id", "left_anti")
+        return store.replace(version, {"reports": kept.unionByName(rows)}, touched, run_id)
+
+    after = store.change(step)
+    found = store.read("reports", after).select("chunk_id", "status", "report")
+    return marks.join(found, "chunk_id").select("chunk_id", "content_hash", F.when(F.col("hit"), "cached").otherwise(F.col("status")).alias("status"), "report")
+
+
+def chunk_reports(records: DataFrame) -> DataFrame:
+    """The stand-in report of every chunk record: project, chunk_id and report.
+
+    It says what a chunk covers, which paths and commands are its evidence (six of each), where the evidence
+    belongs, and that one chunk alone proves no habit.
+    """
+    shown = lambda c: F.slice(c, 1, 6)
+    named = lambda c: F.when(F.size(c) > 0, F.array_join(shown(c), ", ")).otherwise("none")
+    count = lambda c: F.size(shown(c)).cast("string")
+    sources = F.when(F.size("source_sessions") > 0, F.array_join("source_sessions", ", ")).otherwise("none")
+    paths = F.slice(F.when(F.size("changed") > 0, F.col("changed")).otherwise(F.col("referenced")), 1, 3)
+    surface = F.when(F.size(paths) > 0, F.array_join(paths, ", ")).otherwise("the paths above")
+    text = F.concat(
+        F.lit("# Chunk report: "), "chunk_id", F.lit("\n\n## Story\n- covers: "), "start_time", F.lit(" to "), "end_time", F.lit("; sessions: "), sources, F.lit("\n- relevance: "), "relevance",
+        F.lit("\n- changed paths: "), count("changed"), F.lit("; referenced paths: "), count("referenced"), F.lit("; commands: "), count("commands"),
+        F.lit("\n\n## Signals\n### 1. Paths and commands of the project\n- evidence: changed="), named("changed"), F.lit("; referenced="), named("referenced"), F.lit("; commands="), named("commands"),
+        F.lit("\n- belongs to: project_context\n- scope: likely project level; other chunks must confirm it\n- priority: high\n- work goes on at: "), surface,
+        F.lit("\n\n### 2. The limits of one chunk\n- evidence: sessions="), sources, F.lit("; relevance="), "relevance", F.lit("\n- belongs to: discard\n- scope: this chunk\n- priority: low\n\n## Not supported\n- lasting preferences, or patterns across projects\n"),
+    )
+    return records.select("project", "chunk_id", text.alias("report"))
+
+
+def stand_in_bundles(heads: DataFrame, chunks: DataFrame, critique: str = "") -> DataFrame:
+    """project and the bundle of three documents that the stand-in writes from the ordered ``heads`` of a synthesis and the finished ``chunks`` (project, chunk, chunk_id, used)."""
+    lists = heads.where("kind <> 'sessions'").groupBy("project").pivot("kind", ["changed", "referenced", "commands"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]))
+    said = heads.where("kind = 'sessions'").groupBy("project").agg(F.count(F.lit(1)).alias("n_sessions"))
+    ids = lambda ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("chunk", "chunk_id")))), lambda x: x["chunk_id"])
+    sides = chunks.groupBy("project").agg(ids(F.col("used")).alias("used"), ids(~F.col("used")).alias("ignored"))
+    rows = sides.join(said, "project", "left").join(lists, "project", "left")
+    some = lambda c, k=None: F.coalesce(F.slice(c, 1, k) if k else F.col(c), F.array().cast("array<string>"))
+    listed = lambda a: F.when(F.size(a) > 0, F.array_join(a, ", ")).otherwise("none")
+    evidence, commands = listed(some("used")), some("commands")
+    surface = F.when(F.size(some("changed")) > 0, some("changed")).otherwise(some("referenced"))
+    note = "\n## Revision note\n- evidence was bound more tightly after the last critique" if critique else ""
+    documents = {
+        "project_context.md": F.concat(
+            F.lit("# Project context\n\n## Overview\n- chunks: "), evidence, F.lit("\n- sessions: "), F.coalesce("n_sessions", F.lit(0)).cast("string"), F.lit("\n- chunks of low relevance: "), listed(some("ignored")), F.lit("\n- work goes on at: "), listed(F.slice(surface, 1, 5)),
+            F.lit("\n\n## Files\n"), bullets(F.concat(some("changed"), some("referenced"))), F.lit("\n\n## Validation\n"), bullets(commands), F.lit(note),
+        ),
+        "collaboration_guide.md": F.concat(F.lit("# Collaboration guide\n\n## Start\n- agree on paths first: "), listed(F.slice(surface, 1, 3)), F.lit("\n- agree on the commands that decide: "), listed(F.slice(commands, 1, 3)), F.lit("\n\n## Evidence\n- "), evidence, F.lit(note)),
+        "patterns.md": F.concat(F.lit("# Patterns\n\n## Keep the evidence of chunks, then combine\n- chunks: "), evidence, F.lit("\n- paths: "), listed(F.slice(surface, 1, 4)), F.lit("\n\n## Check the least that proves it\n- commands: "), listed(F.slice(commands, 1, 4)), F.lit(note)),
+    }
+    return rows.select("project", render_bundle(F.create_map(*[x for n, d in documents.items() for x in (F.lit(n), d)])).alias("bundle"))
+
+
 def chunk_report(key: Column, sessions: Column, referenced: Column, commands: Column) -> Column:
     """The stand-in report of a chunk as a column, for runs without a model."""
     return F.concat(F.lit("# Chunk "), key.cast("string"), F.lit("\n## Sessions\n"), bullets(sessions), F.lit("\n## Files\n"), bullets(referenced), F.lit("\n## Commands\n"), bullets(commands))
@@ -131,6 +223,21 @@ def chunk_prompt(template: str, chunk_path: str, version: str) -> str:
     return render_prompt(template, {"CHUNK_FILE": chunk_path}).rstrip() + f"\n\n---\nPrompt version: {version}\n"
 
 
+def bundle_format() -> str:
+    """What a bundle looks like, for prompts."""
+    return "\n\n".join(f"=== {n} ===\n...markdown..." for n in BUNDLE)
+
+
+def bundle_prompt(template: str, critique: str = "", first: str = "(no critique yet: write the first bundle)") -> str:
+    """The prompt of a synthesis, with the critique of the try before."""
+    return render_prompt(template, {"CRITIQUE_BLOCK": critique.strip() or first, "BUNDLE_FORMAT": bundle_format()})
+
+
+def validation_prompt(template: str, threshold: float = 35.0, retries: int = 2) -> str:
+    """The prompt by which a model judges its own bundle."""
+    return render_prompt(template, {"THRESHOLD": f"{threshold:.0f}", "MAX_RETRIES": str(retries)})
+
+
 def build_runner(name: str, command: Callable[[Request], str] | None = None) -> Runner:
     """The runner of a name: the deterministic one, or the caller's adapter of a model's command line."""
     if name == "fake":
@@ -167,6 +274,54 @@ def synthesise(packet: str, runner: Runner, judge: Callable[[str], float], thres
     return best
 
 
+def _asked(rows: DataFrame, runner: Runner, task: str, text: str, attempt: int) -> DataFrame:
+    """project, said and error: one call of the model per row, written before it is used."""
+    ship(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            said, errors = [], []
+            for t, c in zip(batch.column("text").to_pylist(), batch.column("critique").to_pylist(), strict=True):
+                try:
+                    said.append(runner(Request(task, t or "", attempt, c or "")))
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  a model may fail in any way
+                    said.append(None)
+                    errors.append(str(error) or type(error).__name__)
+            yield pa.RecordBatch.from_arrays([batch.column("project"), pa.array(said, pa.string()), pa.array(errors, pa.string())], names=["project", "said", "error"])
+
+    return stored(rows.select(F.col("project").cast("string").alias("project"), F.col(text).alias("text"), "critique").mapInArrow(work, "project string, said string, error string"))
+
+
+def synthesise_projects(packets: DataFrame, runner: Runner, threshold: float = 35.0, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Writes and judges a bundle for every project, and again for those that fail, with their critique; the results and all tries.
+
+    ``packets`` has project (distinct) and packet. A round is two distributed steps over the open projects only:
+    the bundle (the model gets the packet and the last critique), then the verdict on it. Results have project, attempt,
+    status, score, bundle, documents and error: completed at the first try that passes, needs_review when the tries are used up,
+    failed when the model fails, or says what is no bundle; an empty table has none. Rounds are stored tables, so a lost
+    executor repeats the calls of its own rows at most.
+    """
+    open_ = packets.select(F.col("project").cast("string").alias("project"), "packet", F.lit("").alias("critique"))
+    tries = None
+    for attempt in range(1, retries + 2):
+        wrote = _asked(open_, runner, "synthesis", "packet", attempt)
+        bundles = wrote.select("project", F.col("said").alias("bundle"), split_bundle(F.col("said")).alias("documents"), F.coalesce("error", F.when(split_bundle(F.col("said")).isNull(), "no bundle")).alias("error"))
+        good = bundles.where("error IS NULL").withColumn("critique", F.lit(""))
+        judged = _asked(good, runner, "validation", "bundle", attempt).select("project", "said", F.col("error").alias("judge_error"))
+        verdict = judged.select("project", "judge_error", parse_validation(F.col("said"), threshold).alias("v"))
+        error = F.coalesce("error", "judge_error")
+        status = F.when(error.isNotNull(), "failed").when(F.col("v.passed"), "completed").when(F.lit(attempt > retries), "needs_review").otherwise("open")
+        rows = bundles.join(verdict, "project", "left").select("project", F.lit(attempt).alias("attempt"), status.alias("status"), F.when(error.isNull(), F.col("v.score")).alias("score"), "bundle", "documents", F.col("v.critique").alias("critique"), error.alias("error"))
+        rows = stored(rows)
+        tries = rows if tries is None else tries.unionByName(rows)
+        again = rows.where("status = 'open'").select("project", "critique")
+        if again.isEmpty():
+            break
+        open_ = open_.select("project", "packet").join(again, "project")
+    return tries.where("status <> 'open'").drop("critique"), tries
+
+
 def rubric_scores(score: float) -> dict[str, float]:
     """A total spread over the dimensions in proportion to their points."""
     return {k: round(v * score / sum(RUBRIC.values()), 2) for k, v in RUBRIC.items()}
