@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.storage import checkpointed
 from ..functions.text import estimate_tokens, relevance, trace
 
 #: Tools whose arguments tell what a text read, changed and ran; headers of blocks.
@@ -124,32 +126,146 @@ def segment_texts(packed_blocks: DataFrame, texts: DataFrame, key: str = "doc_id
     return joined.unionByName(rest)
 
 
+#: What a run of segments makes of the open chunk that it gets: see ``_summary``.
+_RUN = "part int, project string, first_session string, last_session string, n0 long, cuts0 long, held0 long, total long, steps array<struct<least:long,cuts:long,held:long>>"
+
+_ENTRY = "part int, project string, closed long, held long, last string"
+
+
+def _summary(sizes: np.ndarray, border: np.ndarray, least: int, most: int) -> dict:
+    """What a run of segments does to an open chunk of any size, in a form that does not grow with the run.
+
+    ``border`` tells the segments that begin another session than the one before. Where a chunk is cut, nothing before
+    matters: from every cut on the further cuts are fixed. So a run is a staircase: a chunk that holds ``least`` or
+    more is cut at that step first, after which there are ``cuts`` in all and ``held`` is open at the end. Steps end
+    where an empty chunk would be cut, so they are at most the segments of one chunk. The first segment stands apart (n0, cuts0,
+    held0), as whether it begins another session is known only beside the run before.
+    """
+    n = len(sizes)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.arange(n)
+    full = np.maximum(np.searchsorted(before, before[:-1] + most, side="right") - 1, starts + 1)
+    edges = np.flatnonzero(border)
+    edges = edges[edges > 0]
+    at = np.searchsorted(edges, np.maximum(np.searchsorted(before, before[:-1] + least), starts + 1))
+    turned = np.append(edges, n)[at]
+    follow = np.minimum(np.minimum(full, turned), n).tolist()
+    cuts, held, total = [0] * n, [0] * n, before.tolist()
+    for i in range(n - 1, -1, -1):
+        j = follow[i]
+        cuts[i], held[i] = (0, total[n] - total[i]) if j == n else (cuts[j] + 1, held[j])
+    steps, lowest = [], None
+    for j in range(1, n):
+        limit = most - total[j + 1] + 1
+        if border[j]:
+            limit = min(limit, least - total[j])
+        if lowest is None or limit < lowest:
+            steps.append({"least": limit, "cuts": cuts[j] + 1, "held": held[j]})
+            lowest = limit
+            if limit <= 0:
+                break
+    return {"n0": int(sizes[0]), "cuts0": cuts[0], "held0": held[0], "total": total[n], "steps": steps}
+
+
+def _after(run: dict, entry: tuple[int, int, str | None], least: int, most: int) -> tuple[int, int, str | None]:
+    """(chunks closed, size of the open chunk, session) after a run that got such a state; size -1 is none."""
+    closed, held, session = entry
+    last = run["last_session"]
+    if held < 0:
+        return closed + run["cuts0"], run["held0"], last
+    if (run["first_session"] != session and held >= least) or held + run["n0"] > most:
+        return closed + 1 + run["cuts0"], run["held0"], last
+    for s in run["steps"]:
+        if held >= s["least"]:
+            return closed + s["cuts"], s["held"], last
+    return closed, held + run["total"], last
+
+
 def pack(segment_rows: DataFrame, policy: Policy = Policy(), project: str = "project", session: str = "session") -> DataFrame:
     """Chunk number of each segment within its project, in order of ``ord``.
 
     An open chunk is closed before a segment that begins another session if the chunk has the least
-    size, and before any segment that would lift it over the soft limit (or the hard one). Where the
-    segment before is enough to close the chunk, it closes whatever it holds besides: a project is
-    cut there into pieces, which are folded apart and then numbered on.
-    """
-    most = min(policy.soft, policy.hard)
-    order = Window.partitionBy(project).orderBy("ord")
-    before, was = F.lag("n_chars").over(order), F.lag(session).over(order)
-    ends = ((F.col(session) != was) & (before >= policy.least)) | (before + F.col("n_chars") > most)
-    pieces = segment_rows.withColumn("piece", F.coalesce(ends, F.lit(False)).cast("int")).withColumn("piece", F.sum("piece").over(order))
+    size, and before any segment that would lift it over the soft limit (or the hard one).
 
-    def step(state, r):
-        held = state.get("held", 0)
-        if "session" in state and ((r[session] != state["session"] and held >= policy.least) or held + r["n_chars"] > most):
-            state["no"] = state.get("no", 0) + 1
-            held = 0
-        state["held"], state["session"] = held + r["n_chars"], r[session]
-        return state.get("no", 0)
+    A parallel prefix: segments are dealt by ranges of (project, ord), so that a large project fills many tasks; the first
+    and last run of every task are summed up as functions of the chunk that is open before them; the functions
+    of a project's runs, at most two a task, are applied in turn; then each task numbers its segments from the state it gets.
+    """
+    spark = segment_rows.sparkSession
+    ship(spark)
+    least, most = policy.least, min(policy.soft, policy.hard)
+    cols = segment_rows.columns
+    dealt = segment_rows.repartitionByRange(project, "ord").sortWithinPartitions(project, "ord")
+    dealt = checkpointed(dealt).withColumn("_part", F.spark_partition_id())
+    text = lambda c: F.col(c).cast("string").alias(c)
+    narrow = dealt.select(F.col("_part").alias("part"), F.col(project).cast("string").alias("project"), F.col(session).cast("string").alias("session"), F.col("n_chars").cast("long").alias("n"))
+
+    run_schema, entry_schema = _arrow_schema(_RUN), _arrow_schema(_ENTRY)
+
+    def runs(batches):
+        # runs of one project; those between the first and the last need no other task
+        held: list[tuple] = []
+        first, last, part = None, None, 0
+
+        def summed(run):
+            name, sizes, sessions = run
+            border = np.array([i > 0 and a != sessions[i - 1] for i, a in enumerate(sessions)])
+            return {"part": part, "project": name, "first_session": sessions[0], "last_session": sessions[-1], **_summary(np.array(sizes, np.int64), border, least, most)}
 
-    folded = _fold(pieces, [project, "piece"], step, "local")
-    by_piece = Window.partitionBy(project).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    first = folded.groupBy(project, "piece").agg((F.max("local") + 1).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(by_piece), F.lit(0))).drop("n")
-    return folded.join(first, [project, "piece"]).withColumn("chunk", F.col("first") + F.col("local")).drop("piece", "local", "first")
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for name, who, size in zip(*(batch.column(c).to_pylist() for c in ("project", "session", "n")), strict=True):
+                if last is None or last[0] != name:
+                    if last is not None and first is None:
+                        first = last
+                    last = (name, [], [])
+                last[1].append(size)
+                last[2].append(who)
+        for run in (first, last):
+            if run is not None:
+                held.append(summed(run))
+        if held:
+            yield pa.RecordBatch.from_pylist(held, run_schema)
+
+    summaries = checkpointed(narrow.mapInArrow(runs, _RUN))
+
+    def entries(table: pa.Table) -> pa.Table:
+        state, out = (0, -1, None), []
+        for run in sorted(table.to_pylist(), key=lambda r: r["part"]):
+            if state[1] >= 0:
+                out.append({"part": run["part"], "project": run["project"], "closed": state[0], "held": state[1], "last": state[2]})
+            state = _after(run, state, least, most)
+        return pa.Table.from_pylist(out, entry_schema)
+
+    # at most one row a task: the state in which its first project enters it
+    entered = summaries.groupBy("project").applyInArrow(entries, _ENTRY)
+    entered = entered.select(F.col("part").alias("_part"), F.struct("project", "closed", "held", "last").alias("_entry"))
+    rows = dealt.join(F.broadcast(entered), "_part", "left").select(*cols, text(project).alias("_project"), text(session).alias("_session"), "_entry")
+
+    def number(batches):
+        name, started, closed, held, last = None, False, 0, -1, None
+        for batch in batches:
+            values = []
+            entry = batch.column("_entry")[0].as_py() if batch.num_rows and not started else None
+            for own, who, size in zip(*(batch.column(c).to_pylist() for c in ("_project", "_session", "n_chars")), strict=True):
+                if not started or own != name:
+                    closed, held, last = (entry["closed"], entry["held"], entry["last"]) if not started and entry and entry["project"] == own else (0, -1, None)
+                    name, started = own, True
+                if held >= 0 and ((who != last and held >= least) or held + size > most):
+                    closed, held = closed + 1, 0
+                held, last = max(held, 0) + size, who
+                values.append(closed)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(values, pa.int64())], names=[*cols, "chunk"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segment_rows.schema)
+    return rows.mapInArrow(number, f"{schema}, chunk long")
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def chunk_id(chunk: Column) -> Column:

@@ -290,6 +290,10 @@ def _reports(spark, sf):
     return _chunks(spark, sf).select("project", "chunk", "chunk_id", "source_sessions", "referenced", "changed", "commands", "content_hash", "relevance", status.alias("status"), name.alias("report_path"), F.concat(F.lit(" # report of "), "content_hash", F.lit("\n")).alias("report"))
 
 
+def chunk_reports(spark, sf):
+    return runners.chunk_reports(_chunks(spark, sf)).select("project", "chunk_id", F.length("report").cast("long").alias("n_chars"), F.sha2("report", 256).alias("report_sha256"))
+
+
 def synthesis_selection(spark, sf):
     return chunking.select_for_synthesis(_reports(spark, sf)).select("project", "chunk", "status", "relevance")
 
@@ -448,7 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         session_meta, message_ordinals, user_turns, one_line_preview, normalize_text, category_match, correction_events, event_profile, event_type_order, user_profiles, representative_events,
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
-        partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
+        partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, chunk_reports, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
     )
 }

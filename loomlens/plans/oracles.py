@@ -301,6 +301,18 @@ FROM documents d LEFT JOIN y USING (doc_id) GROUP BY 1""",
     "blocks": f"WITH {BLOCKS} SELECT doc_id, block, line_start, line_end, n_chars FROM bl",
     "chunk_pack": f"{PACK} SELECT project, session, segment, n_chars, line_start, line_end, chunk FROM pk",
     "chunk_records": f"{PACK} SELECT project, chunk, chunk_id, source_sessions, source_files, start_time, end_time, source_ranges, referenced, changed, commands, line_count, n_chars, tokens, content_hash, relevance FROM cr",
+    "chunk_reports": f"""{PACK}, t6 AS (
+  SELECT project, chunk, string_agg(v, ', ' ORDER BY o) FILTER (g = 'r') AS r, count(*) FILTER (g = 'r') AS nr, string_agg(v, ', ' ORDER BY o) FILTER (g = 'c') AS c, count(*) FILTER (g = 'c') AS nc, string_agg(v, ', ' ORDER BY o) FILTER (g = 'm') AS m, count(*) FILTER (g = 'm') AS nm,
+         string_agg(v, ', ' ORDER BY o) FILTER (g = 'r' AND p <= 3) AS r3, string_agg(v, ', ' ORDER BY o) FILTER (g = 'c' AND p <= 3) AS c3
+  FROM (SELECT *, row_number() OVER (PARTITION BY project, chunk, g ORDER BY o) AS p FROM tv) WHERE p <= 6 GROUP BY 1, 2
+), rp AS (
+  SELECT project, chunk_id, array_to_string(['# Chunk report: ' || chunk_id, '', '## Story', '- covers: ' || start_time || ' to ' || end_time || '; sessions: ' || replace(source_sessions, ',', ', '), '- relevance: ' || relevance,
+    '- changed paths: ' || coalesce(nc, 0) || '; referenced paths: ' || coalesce(nr, 0) || '; commands: ' || coalesce(nm, 0), '', '## Signals', '### 1. Paths and commands of the project',
+    '- evidence: changed=' || coalesce(c, 'none') || '; referenced=' || coalesce(r, 'none') || '; commands=' || coalesce(m, 'none'), '- belongs to: project_context', '- scope: likely project level; other chunks must confirm it', '- priority: high',
+    '- work goes on at: ' || coalesce(c3, r3, 'the paths above'), '', '### 2. The limits of one chunk', '- evidence: sessions=' || replace(source_sessions, ',', ', ') || '; relevance=' || relevance, '- belongs to: discard', '- scope: this chunk', '- priority: low', '',
+    '## Not supported', '- lasting preferences, or patterns across projects', ''], chr(10)) AS report
+  FROM cr LEFT JOIN t6 USING (project, chunk)
+) SELECT project, chunk_id, CAST(length(report) AS BIGINT) AS n_chars, sha256(report) AS report_sha256 FROM rp""",
     "synthesis_selection": f"{PACK} SELECT project, chunk, status, relevance FROM dn WHERE used",
     "synthesis_rollup": f"{PACK} SELECT project, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (used), '') AS used_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (used), '') AS used_report_paths, coalesce(string_agg(chunk_id, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_chunk_ids, coalesce(string_agg(report_path, ',' ORDER BY chunk) FILTER (NOT used), '') AS ignored_report_paths FROM dn GROUP BY 1",
     "synthesis_heads": f"""{PACK}, pl AS (
