@@ -44,13 +44,18 @@ def blocks(texts: DataFrame, key: str = "doc_id", header: str = HEADER) -> DataF
     A block's lines are joined by line feeds; it ends with one if it is not empty and the whole text ends so.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = texts.select(key, F.endswith(text, F.lit("\n")).alias("closed"), F.posexplode(lines_of(text)).alias("i", "line"))
-    start = (F.col("i") == 0) | F.col("line").rlike(header)
-    order = Window.partitionBy(key).orderBy("i")
-    numbered = lines.withColumn("block", F.sum(start.cast("int")).over(order))
-    joined = F.sum(F.length("line")) + F.count(F.lit(1)) - 1
-    size = joined + F.when(F.first("closed") & (joined > 0), 1).otherwise(0)
-    return numbered.groupBy(key, "block").agg((F.min("i") + 1).alias("line_start"), (F.max("i") + 1).alias("line_end"), size.alias("n_chars"))
+    lines = texts.select(key, F.endswith(text, F.lit("\n")).alias("closed"), lines_of(text).alias("lines"))
+    # blocks are found within the row, and no line leaves it
+    at = F.transform("lines", lambda x, i: F.when((i == 0) | x.rlike(header), i))
+    starts = lines.select("*", F.filter(at, lambda i: i.isNotNull()).alias("starts"))
+
+    def block(s: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("lines"))
+        joined = F.length(F.array_join(F.slice("lines", s + 1, end - s), "\n")).cast("long")
+        size = joined + F.when(F.col("closed") & (joined > 0), 1).otherwise(0)
+        return F.struct((k + 1).cast("long").alias("block"), (s + 1).alias("line_start"), end.alias("line_end"), size.alias("n_chars"))
+
+    return starts.select(key, F.inline(F.transform("starts", block)))
 
 
 def sizes(texts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import unwrap_udt
 
+from ..functions.ordering import numbered
 from ..functions.shipping import ship
+from ..functions.storage import checkpoints
 
 # Phrases that are never reported, and parts that no reported phrase holds.
 STOP_PHRASES = ["这个", "就是", "然后", "那个", "我们", "一下", "对吧", "应该", "没有", "直接", "可以", "所以", "的话", "现在", "你看", "这个是", "然后呢", "ctrl", "resume", "session", "current", "folder", "num"]
@@ -49,24 +54,42 @@ def phrase_candidates(counts: DataFrame) -> DataFrame:
 def frequent_phrases(counts: DataFrame, k: int = 80) -> DataFrame:
     """The first k phrases that no more frequent reported phrase contains (a top-k report).
 
-    The order-dependent choice runs on the driver over a stream of sorted candidates and stops at k.
+    Candidates go by weight, count, length and n-gram. One falls to any earlier one that holds its phrase and is as
+    frequent; whether that one is itself reported does not matter, since whatever it falls to holds the phrase as well. So a
+    candidate stays if no part of an earlier one is its phrase, which partial sums tell: of the candidates that hold a part,
+    the most frequent of each length (ties: the lesser n-gram) is the first of that length and the only one that can matter.
     """
-    spark = counts.sparkSession
-    ordered = phrase_candidates(counts).orderBy(F.desc("weight"), F.desc("n"), F.desc(F.length("gram")), "gram")
-    kept: list[tuple[str, int]] = []
-    for r in ordered.toLocalIterator():
-        if not any(r["phrase"] in p and r["n"] <= n for p, n in kept):
-            kept.append((r["phrase"], r["n"]))
-            if len(kept) == k:
-                break
-    return spark.createDataFrame([(i + 1, p, n, n * len(p)) for i, (p, n) in enumerate(kept)], "place int, phrase string, n long, score long")
-
-
-def tfidf(texts: DataFrame, key: list[str], low: int = 2, high: int = 5, least: int = 2) -> DataFrame:
-    """(key, gram, w): raw counts times ln((1 + texts) / (1 + texts with the gram)) + 1, scaled to unit length by text."""
-    tf = grams(texts, key, low, high).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
-    total = texts.agg(F.count(F.lit(1)).alias("total"))  # one row
+    rows = phrase_candidates(counts).withColumn("size", F.length("gram"))
+    n = F.length("phrase")
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.transform(F.sequence(F.lit(3), n - i + 1), lambda m: F.substring(F.col("phrase"), i, m)))))
+    held = rows.select(F.explode(parts).alias("phrase"), "size", F.struct((-F.col("n")).alias("n"), "gram").alias("key"))
+    first = held.groupBy("phrase", "size").agg(F.min("key").alias("key"))
+    order = lambda c: F.struct((-c["n"] * c["size"]).alias("w"), (-c["n"]).alias("n"), (-c["size"]).alias("s"), c["gram"].alias("gram"))
+    other = first.select("phrase", F.struct((-F.col("key.n")).alias("n"), "size", F.col("key.gram").alias("gram")).alias("o"))
+    own = rows.select("phrase", F.struct("n", "size", "gram").alias("c"))
+    fallen = own.join(other, "phrase").where((F.col("o.n") >= F.col("c.n")) & (order(F.col("o")) < order(F.col("c")))).select("c.gram").distinct()
+    kept = rows.join(fallen, "gram", "left_anti").orderBy(F.desc("weight"), F.desc("n"), F.desc("size"), "gram").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("weight"), F.desc("n"), F.desc("size"), "gram"))  # k rows
+    return kept.select(place.alias("place"), "phrase", "n", (F.col("n") * F.length("phrase")).alias("score"))
+
+
+def folded(texts: DataFrame, key: str, text: str = "normalized") -> tuple[DataFrame, DataFrame]:
+    """Equal texts as one: (key, text, copies), where the least key stands for all, and the members as (key, of)."""
+    each = texts.groupBy(text).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+    members = texts.join(each.select(text, F.col(key).alias("of")), text).select(key, "of")
+    return each.select(key, text, "copies"), members
+
+
+def tfidf(texts: DataFrame, key: list[str], low: int = 2, high: int = 5, least: int = 2, copies: str | None = None) -> DataFrame:
+    """(key, gram, w): raw counts times ln((1 + texts) / (1 + texts with the gram)) + 1, scaled to unit length by text.
+
+    With ``copies`` a row stands for so many equal texts.
+    """
+    n = F.lit(1) if copies is None else F.col(copies)
+    texts = texts.withColumn("_copies", n.cast("long"))
+    tf = grams(texts, [*key, "_copies"], low, high).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("_copies").alias("_copies"))
+    df = tf.groupBy("gram").agg(F.sum("_copies").alias("df")).where(F.col("df") >= least)
+    total = texts.agg(F.sum("_copies").alias("total"))  # one row
     raw = tf.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))).select(*key, "gram", "w")
 
@@ -184,15 +207,47 @@ def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
         now = new.select(key, F.col("new").alias("cluster"))
 
 
-def dbscan(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Clusters of at least two (every point with a neighbour is a core point); noise has a null cluster."""
-    rows = components(nodes, pairs, key)
-    size = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
+def dbscan(nodes: DataFrame, pairs: DataFrame, key: str, copies: str | None = None) -> DataFrame:
+    """Clusters of at least two (every point with a neighbour is a core point); noise has a null cluster.
+
+    With ``copies`` a node stands for so many equal points, which are neighbours of one another.
+    """
+    rows = components(nodes.select(key), pairs, key)
+    n = F.lit(1)
+    if copies is not None:
+        rows, n = rows.join(nodes.select(key, copies), key), F.col(copies)
+    size = F.sum(n).over(Window.partitionBy("cluster"))
     return rows.withColumn("size", size).select(key, F.when(F.col("size") > 1, F.col("cluster")).alias("cluster"), "size")
 
 
-#: Starts of k-means that run at once.
-KMEANS_AT_ONCE = 5
+def similar_clusters(nodes: DataFrame, members: DataFrame, pairs: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """Clusters of all texts from those of distinct ones: (key, cluster, size). ``nodes`` and ``members`` are from ``folded``.
+
+    Copies are neighbours unless they have no n-grams that others share, as points without weights have no neighbour at all.
+    """
+    bare = nodes.join(weights.select(key).distinct(), key, "left_anti").select(key, F.lit(True).alias("bare"))
+    marked = nodes.join(bare, key, "left").withColumn("copies", F.when(F.col("bare"), 1).otherwise(F.col("copies")))
+    found = dbscan(marked, pairs, key, "copies")
+    return members.join(found.withColumnRenamed(key, "of"), "of").select(key, "cluster", "size")
+
+
+#: Starts of k-means that run at once, and n-gram weights of a partition of its vectors.
+KMEANS_AT_ONCE, KMEANS_CELLS = 8, 2_000_000
+
+
+def vectors(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, features) with sparse vectors over all n-grams, by built-in functions alone, and how many n-grams there are.
+
+    Vectors are written as the plain fields that their type is stored as, and read with the type.
+    """
+    vocabulary = numbered(weights.select("gram").distinct(), ["gram"], "i")
+    n_grams = vocabulary.count()
+    cells = weights.join(vocabulary, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "w"))).alias("c"))
+    plain = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n_grams).alias("size"), F.transform("c", lambda x: x["i"]).alias("indices"), F.transform("c", lambda x: x["w"]).alias("values"))
+    path = f"{checkpoints(weights.sparkSession).rstrip('/')}/loomlens-{uuid.uuid4().hex}"
+    cells.select(key, plain.alias("features")).write.parquet(path)
+    schema = T.StructType([weights.schema[key], T.StructField("features", VectorUDT())])
+    return weights.sparkSession.read.schema(schema).parquet(path), n_grams
 
 
 def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> DataFrame:
@@ -200,35 +255,35 @@ def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> Dat
 
     Of ``starts`` fits with seeds of their own, the one of least cost is taken.
     """
-    ship(weights.sparkSession)
-    grams_ = weights.select("gram").distinct().orderBy("gram").rdd.map(lambda r: r["gram"]).zipWithIndex()
-    vocabulary = grams_.toDF("gram string, i long").persist()
-    n_grams = vocabulary.count()
-    cells = weights.join(vocabulary, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("cells"))
-    vector = F.udf(lambda cells: Vectors.sparse(n_grams, [int(c["i"]) for c in cells], [c["w"] for c in cells]), VectorUDT())
-    rows = cells.select(key, vector("cells").alias("features")).persist()
-    n = rows.count()
+    features, _ = vectors(weights, key)
+    n, cells = features.agg(F.count(F.lit(1)), F.sum(F.size(unwrap_udt("features")["indices"]))).first()
     if n < 4:
-        return rows.select(key, F.lit(None).cast("int").alias("cluster")).limit(0)
+        return features.select(key, F.lit(None).cast("int").alias("cluster")).limit(0)
+    rows = features.repartition(max(1, -(-cells // KMEANS_CELLS)), key).persist()
     k = min(6, max(2, round((n / 2) ** 0.5)))
     # the starts do not wait for one another; of equal costs the first seed is taken
     with ThreadPoolExecutor(KMEANS_AT_ONCE) as pool:
         fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=20).fit(rows), range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select(key, F.col("prediction").alias("cluster"))
+    rows.unpersist()
+    return best.transform(features).select(key, F.col("prediction").alias("cluster"))
 
 
-def cluster_report(weights: DataFrame, members: DataFrame, key: str, terms: int = 6, examples: int = 4) -> DataFrame:
+def cluster_report(weights: DataFrame, members: DataFrame, key: str, terms: int = 6, examples: int = 4, of: DataFrame | None = None) -> DataFrame:
     """Clusters by size: the heaviest terms of the centroid and the members nearest to it.
 
+    With ``of`` (key, of; as from ``folded``) weights are those of distinct texts, and members all texts.
+
     ``members`` has the key and its cluster; null clusters (noise) are left out. Of the eight heaviest
     terms (ties: the later n-gram) those with weight are kept, six at most; members that are as near
     follow in order of their keys.
     """
-    own = members.where("cluster IS NOT NULL").select(key, "cluster")
-    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    everyone = members.where("cluster IS NOT NULL").select(key, "cluster")
+    everyone = everyone.withColumn("of", F.col(key)) if of is None else everyone.join(of, key)
+    own = everyone.groupBy("of").agg(F.first("cluster").alias("cluster"), F.count(F.lit(1)).alias("copies")).withColumnRenamed("of", key)
+    sizes = own.groupBy("cluster").agg(F.sum("copies").alias("size"))
     held = weights.join(own, key)
-    centroid = held.groupBy("cluster", "gram").agg(F.sum("w").alias("total")).join(sizes, "cluster").select("cluster", "gram", (F.col("total") / F.col("size")).alias("c"))
+    centroid = held.groupBy("cluster", "gram").agg(F.sum(F.col("w") * F.col("copies")).alias("total")).join(sizes, "cluster").select("cluster", "gram", (F.col("total") / F.col("size")).alias("c"))
     heavy = Window.partitionBy("cluster").orderBy(F.round("c", 9).desc(), F.desc("gram"))
     top = centroid.withColumn("place", F.row_number().over(heavy)).where((F.col("place") <= min(8, terms)) & (F.col("c") > 0))
     top = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("top_terms"))
@@ -236,6 +291,9 @@ def cluster_report(weights: DataFrame, members: DataFrame, key: str, terms: int
     dots = held.join(centroid, ["cluster", "gram"]).groupBy("cluster", key).agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
     near = own.join(dots, ["cluster", key], "left").join(norm, "cluster", "left").withColumn("similarity", F.round(F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)), 6))
     best = Window.partitionBy("cluster").orderBy(F.desc("similarity"), key)
+    # of equal texts the first few can be examples
+    early = everyone.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy(key))).where(F.col("place") <= examples).select(key, "of")
+    near = near.select("cluster", "similarity", F.col(key).alias("of")).join(early, "of")
     shown = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= examples)
     shown = shown.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(key).alias("k")))), lambda x: x["k"]).alias("examples"))
     return sizes.join(top, "cluster", "left").join(shown, "cluster").orderBy(F.desc("size"), "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import INVENTED_WORDS, PRIORITY, matched
-from ..functions.storage import checkpointed, checkpoints
+from ..functions.storage import checkpointed
 from ..functions.text import is_validation_command, normalize, one_line, parse_turn_ref, project_id
 from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
 from ..sources import sessions
@@ -360,8 +360,12 @@ def frequent_phrases(spark, sf):
     return phrases.frequent_phrases(_gram_counts(spark, sf))
 
 
+def _texts(spark, sf):
+    return _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"), "normalized")
+
+
 def _weights(spark, sf):
-    return phrases.tfidf(_turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"), "normalized"), ["turn"])
+    return phrases.tfidf(_texts(spark, sf), ["turn"])
 
 
 def tfidf_weights(spark, sf):
@@ -369,28 +373,47 @@ def tfidf_weights(spark, sf):
     return w.groupBy("turn").agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.max("w"), 6).alias("largest"), F.round(F.sum("w"), 6).alias("total"))
 
 
-def _pairs(spark, sf):
-    return phrases.similar_pairs(_weights(spark, sf), "turn", n_texts=_turns(spark, sf).count())
+def _folded(spark, sf):
+    """Distinct turns with their copies, all members, and the stored weights of the distinct ones."""
+    nodes, members = phrases.folded(_texts(spark, sf), "turn")
+    nodes = checkpointed(nodes)
+    return nodes, members, checkpointed(phrases.tfidf(nodes, ["turn"], copies="copies"))
+
+
+def _pairs(weights, nodes):
+    return phrases.similar_pairs(weights, "turn", n_texts=nodes.count())
 
 
 def similar_pairs(spark, sf):
-    return _pairs(spark, sf).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    """Pairs of different texts; the least turn stands for all with its text."""
+    nodes, _, weights = _folded(spark, sf)
+    return _pairs(weights, nodes).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+def similar_members(spark, sf):
+    """Each turn, the one that stands for its text, and how many have it."""
+    nodes, members = phrases.folded(_texts(spark, sf), "turn")
+    return members.join(nodes.select(F.col("turn").alias("of"), "copies"), "of").select("turn", F.col("of").alias("representative"), "copies")
+
+
+def _clusters(nodes, members, weights):
+    return phrases.similar_clusters(nodes, members, checkpointed(_pairs(weights, nodes)), weights, "turn")
 
 
 def dbscan_clusters(spark, sf):
-    checkpoints(spark)
-    nodes = _turns(spark, sf).select(F.concat_ws("#", "session_file", F.col("turn_index").cast("string")).alias("turn"))
-    return phrases.dbscan(nodes, _pairs(spark, sf), "turn")
+    return _clusters(*_folded(spark, sf))
 
 
 def dbscan_report(spark, sf):
     """The largest clusters of similar turns, with terms and examples."""
-    rows = phrases.cluster_report(_weights(spark, sf), dbscan_clusters(spark, sf), "turn")
+    nodes, members, weights = _folded(spark, sf)
+    rows = phrases.cluster_report(weights, checkpointed(_clusters(nodes, members, weights)), "turn", of=members)
     return rows.select("cluster", "size", _joined("top_terms", "|"), _joined("examples"))
 
 
 def kmeans_report(spark, sf):
-    return phrases.cluster_report(_weights(spark, sf), phrases.kmeans(_weights(spark, sf), "turn"), "turn")
+    weights = checkpointed(_weights(spark, sf))
+    return phrases.cluster_report(weights, phrases.kmeans(weights, "turn"), "turn")
 
 
 def project_totals(spark, sf):
@@ -402,7 +425,7 @@ def frequent_commands(spark, sf):
 
 
 def kmeans_clusters(spark, sf):
-    return phrases.kmeans(_weights(spark, sf), "turn")
+    return phrases.kmeans(checkpointed(_weights(spark, sf)), "turn")
 
 
 def validation_parse(spark, sf):
@@ -453,7 +476,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_hits, rule_summary, correction_chains, blindspot_profile, tool_turns, tool_path_counts, top_sequences, read_edit_turns, edit_validate_turns, hot_files,
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
         partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, chunk_reports, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
-        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
+        char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, similar_members, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
     )
 }
 QUERIES |= {

@@ -335,7 +335,15 @@ SELECT project, CAST(length(packet) AS BIGINT) AS n_chars, sha256(packet) AS pac
 k AS (SELECT gram, count(*) AS n, trim(gram) AS p FROM g GROUP BY 1 HAVING count(DISTINCT turn) >= 2)
 SELECT gram, n, n * length(gram) AS weight FROM k WHERE length(p) BETWEEN 3 AND 18 AND NOT regexp_matches(p, '[<>]') AND p NOT IN ('ctrl', 'resume', 'session', 'current', 'folder', 'num') AND {_BANNED} AND regexp_matches(p, '[a-z]') AND NOT regexp_full_match(p, '[a-z]{{1,3}}')""",
     "tfidf_weights": f"WITH {TFIDF} SELECT turn, count(*) AS n_grams, round(max(w), 6) AS largest, round(sum(w), 6) AS total FROM wt GROUP BY 1",
-    "similar_pairs": f"WITH {PAIRS} SELECT a, b, round(similarity, 4) AS similarity FROM sp",
+    "similar_pairs": f"WITH {PAIRS}, rp AS (SELECT min(turn) AS turn FROM nt GROUP BY t) SELECT a, b, round(similarity, 4) AS similarity FROM sp WHERE a IN (SELECT turn FROM rp) AND b IN (SELECT turn FROM rp)",
+    "similar_members": f"WITH {GRAMS} SELECT turn, min(turn) OVER (PARTITION BY t) AS representative, count(*) OVER (PARTITION BY t) AS copies FROM nt",
+    "frequent_phrases": f"""WITH {GRAMS}, g AS (SELECT turn, substr(t, i, n) AS gram FROM nt, unnest([3, 4, 5, 6, 7, 8]) a(n), unnest(range(1, length(t) - n + 2)) b(i)),
+k AS (SELECT gram, count(*) AS n, trim(gram) AS p FROM g GROUP BY 1 HAVING count(DISTINCT turn) >= 2),
+c AS (SELECT gram, n, p, row_number() OVER (ORDER BY n * length(gram) DESC, n DESC, length(gram) DESC, gram) AS o FROM k
+  WHERE length(p) BETWEEN 3 AND 18 AND NOT regexp_matches(p, '[<>]') AND p NOT IN ('ctrl', 'resume', 'session', 'current', 'folder', 'num') AND {_BANNED} AND regexp_matches(p, '[a-z]') AND NOT regexp_full_match(p, '[a-z]{{1,3}}')),
+q AS (SELECT DISTINCT o, n, substr(p, i, m) AS part FROM c, unnest(range(3, length(p) + 1)) a(m), unnest(range(1, length(p) - m + 2)) b(i)),
+f AS (SELECT DISTINCT c.o FROM c JOIN q ON q.part = c.p AND q.o < c.o AND c.n <= q.n)
+SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS place, p AS phrase, n, n * length(p) AS score FROM c WHERE o NOT IN (SELECT o FROM f) ORDER BY o LIMIT 80""",
     "dbscan_clusters": f"""WITH RECURSIVE {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM sp UNION ALL SELECT b, a FROM sp), r(turn, c) AS (SELECT turn, turn FROM nt UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.turn WHERE r.c < e.b),
 cl AS (SELECT turn, min(c) AS c FROM r GROUP BY 1) SELECT turn, CASE WHEN count(*) OVER (PARTITION BY c) > 1 THEN c END AS cluster, count(*) OVER (PARTITION BY c) AS size FROM cl""",
     "validation_parse": """WITH x AS (SELECT conv_id, turn, text, conv_id * 7 + turn AS n FROM conversations), s AS (SELECT *, CAST(CASE n % 3 WHEN 0 THEN n % 51 WHEN 1 THEN 5 * (n % 11) ELSE 0 END AS DOUBLE) AS score FROM x),
