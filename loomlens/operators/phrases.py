@@ -26,8 +26,12 @@ SIMILAR = 0.38
 
 
 def grams(texts: DataFrame, key: list[str], low: int, high: int, text: str = "normalized") -> DataFrame:
-    """Every character n-gram occurrence of every text as (key, gram); short texts have none of the longer ones."""
+    """Every character n-gram occurrence of every text as (key, gram); short texts have none of the longer ones.
+
+    Texts are dealt by their keys first, so that what is counted by key and n-gram needs no shuffle of the n-grams.
+    """
     t = F.col(text)
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key[0])
 
     def of_size(n: int):
         all_ = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
