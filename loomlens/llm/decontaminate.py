@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Powers, gather_spans, mix, read, runs, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, Powers, gather_spans, mix, read, runs, ship, span_hashes, steps, stored, text_bytes, work_dir
 
 WINDOW = 13
 #: A document is contaminated when RATE times its hit words reach its words.
@@ -367,6 +367,7 @@ def annotate(
     columns do no harm, as they stay within ``row``.
     """
     spark = docs.sparkSession
+    ship(spark)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, SPACE, met, mix, read, runs, small, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, SPACE, met, mix, read, runs, ship, small, span_hashes, steps, stored, text_bytes, work_dir
 
 N = 3
 THRESHOLD = 90
@@ -135,6 +135,7 @@ SETS, SLOTS = 0, 1
 def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFrame:
     """Two kinds of rows in one pass. SETS: doc_id, node (the set's 64-bit fingerprint, null without words) and size
     of every row. SLOTS: in node a slot, in size its count; each task sends a slot once."""
+    ship(docs.sparkSession)
 
     def work(batches):
         counts = np.zeros(1 << SLOT_BITS, np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import cut, distinct, spread
-from .common import gather_spans, read, steps, text_bytes
+from .common import gather_spans, read, ship, steps, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -304,6 +304,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text_
     of a model file, read by Spark.
     """
     spark = docs.sparkSession
+    ship(spark)
     # a fixed file of a few hundred kB
     path = model if "://" in model else f"file://{model}"
     with open(model, "rb") if "://" not in model else _remote(spark, path) as f:
@@ -342,6 +343,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text_
 
 def decode(tokens: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text from arrays of ids; a null array gives null, control ids give nothing, bytes that are no UTF-8 become U+FFFD."""
+    ship(tokens.sparkSession)
     with open(model, "rb") as f:
         sent = tokens.sparkSession.sparkContext.broadcast(f.read())
     rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))

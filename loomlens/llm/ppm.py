@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, read, runs, span_hashes, steps, stored, text_bytes, work_dir
+from .common import LOWER, SPACE, read, runs, ship, span_hashes, steps, stored, text_bytes, work_dir
 from .language_id import fold
 
 ORDER = 5
@@ -302,6 +302,7 @@ def score(
     ignored, whatever their names; no rows give none.
     """
     spark = docs.sparkSession
+    ship(spark)
     home = work_dir(spark)
     counts = stored(corpus_counts(training, text_col), f"{home}/counts")
     texts = training.count()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, read, runs, span_hashes, steps, text_bytes
+from .common import LOWER, SPACE, read, runs, ship, span_hashes, steps, text_bytes
 from .language_id import fold
 from .ngrams import histogram
 
@@ -117,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Rows with a null id, text or label are left out; an id with several labels counts for each.
     Without labelled rows every score is 0.5.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     order = F.xxhash64("id", F.lit(11))
     chosen = [known.where(F.col("label") == c).orderBy(order, "id").limit(per_class) for c in (0, 1)]
@@ -130,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(sample, "id")
     got = rows.select("id", "label", "text").mapInArrow(extract, T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())]))
-    table = got.dropDuplicates(["id", "label"]).orderBy("id", "label").collect()
+    # of several texts with one id the one of the least vector counts, in every run
+    table = got.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("id", "label").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in table]).astype(np.float32) if table else np.zeros((0, WIDTH), np.float32)
     return Model(x, np.array([r["label"] for r in table]))
 
@@ -142,6 +144,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     long texts are scored whole, alone in their step. Repeated rows get the same score; null ids pass
     through; extra columns are ignored; no rows give none.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
