@@ -67,11 +67,75 @@ def packet(parts: dict[str, DataFrame]) -> dict:
     return {name: [json.loads(r) for r in df.toJSON().collect()] for name, df in parts.items()}
 
 
+#: The files that a reader of the packet writes, and the rules for it.
+OUTPUTS = [
+    {"file": "action_report.md", "purpose": "short user-facing action report focused on the few most valuable changes to make now"},
+    {"file": "memory_candidates.json", "purpose": "conservative candidate memory pool with evidence and confidence"},
+    {"file": "distill_shortlist.md", "purpose": "shortlist of reusable collaboration assets worth keeping, skipping, or gathering more evidence for"},
+]
+OUTPUT_RULES = [
+    "use only evidence present in the review packet", "prefer repeated and higher-confidence signals over one-off details", "keep outputs short, specific, and reusable", "do not browse raw route outputs unless explicitly asked",
+]
+INPUTS = ["review_packet.json", "review_packet.md"]
+#: What is shown of each list of a packet.
+MOST = {"patterns": 8, "turns": 8, "events": 10, "bullets": 10, "list": 8}
+
+
+def _counted(rows: list[dict], shape: str = "- `{name}` × {count}") -> list[str]:
+    return [shape.format(**r) for r in rows]
+
+
+def _under(row: dict, fields: dict[str, str]) -> list[str]:
+    """Lines below a bullet: label and value of each field that has one."""
+    return [f"  - {label}: {row[f]}" for f, label in fields.items() if row.get(f) not in (None, "")]
+
+
+def _pattern(p: dict) -> list[str]:
+    seen = p.get("observations") or {}
+    out = [f"- {' / '.join(x for x in (p.get('type', 'pattern'), p.get('confidence')) if x)}"]
+    out += [f"  - {f}: `{p[f]}`" for f in ("path", "command") if p.get(f)]
+    out += [f"  - sequence: `{' -> '.join(p['sequence'])}`"] if p.get("sequence") else []
+    out += _under(p, {"count": "count"}) + _under(seen, {"interactions": "interactions"})
+    if "read_count" in seen or "edit_count" in seen:
+        out.append(f"  - read/edit: {seen.get('read_count') or 0}/{seen.get('edit_count') or 0}")
+    return out + [f"  - evidence: {e}" for e in p.get("evidence", [])[:3]]
+
+
+def _turn(t: dict) -> list[str]:
+    out = [f"- `{t['session_file']}#turn{t['turn_index']}` {t['user_preview']}"]
+    out += [f"  - tools: {' -> '.join(t['tool_sequence'])}"] if t["tool_sequence"] else []
+    out += [f"  - edit_paths: {', '.join(t['edit_paths'])}"] if t["edit_paths"] else []
+    return out + [f"  - command: `{c}`" for c in t["commands"]]
+
+
+def _event(e: dict) -> list[str]:
+    head = f"- `{e['session_file']}#turn{e['trigger_turn']}` `{e['event_type']}` ({e['confidence']})"
+    return [head, *_under(e, {"original_user_preview": "original", "assistant_preview": "assistant", "evidence": "evidence", "missing_constraint": "missing_constraint", "impact": "impact", "suggestion": "suggestion"})]
+
+
 def markdown(document: dict) -> str:
-    out = ["# Review packet", ""]
-    for name, rows in document.items():
-        out += [f"## {name.replace('_', ' ')}", ""] + ([f"- {json.dumps(r, ensure_ascii=False)}" for r in rows] or ["- none"]) + [""]
-    return "\n".join(out)
+    """The packet as sections of bullets."""
+    w, c = document["workflow"], document["corrections"]
+    each = lambda rows, shape: [line for r in rows for line in shape(r)]
+    summary = w["project_summary"]
+    scope = {"Project": f"`{document['project']['cwd']}`", "Source root": f"`{document['project']['source_root']}`", "Workflow sessions": summary.get("session_count", 0), "Workflow user turns": summary.get("total_user_turns", 0),
+             "Workflow tool calls": summary.get("total_tool_calls", 0), "Correction events": c.get("event_count", 0)}
+    stable = lambda p: [f"- `{p['pattern']}` × {p['count']} ({p['confidence']})", *_under(p, {"user_suggestion": "user_suggestion"}), *[f"  - evidence: {e}" for e in p.get("evidence_examples", [])[:2]]]
+    trait = lambda p: [f"- `{p['name']}` ({p['confidence']})", *([f"  - support: {', '.join(p['support'][:4])}"] if p.get("support") else []), *_under(p, {"user_suggestion": "user_suggestion"})]
+    asset = lambda a: [f"- `{a['candidate']}`", f"  - why: {a['why']}", f"  - possible_asset: {a['possible_asset']}", *[f"  - evidence: {e}" for e in a["evidence"][:3]]]
+    named = lambda counts, k=None: _counted([{"name": n, "count": x} for n, x in list(counts.items())[:k]])
+    sections = [
+        ("## Scope", [f"- {k}: {v}" for k, v in scope.items()]), ("## Workflow distilled signals", None), ("### Top tools", _counted(w["top_tools"])), ("### Hot paths", _counted(w["top_hot_paths"])),
+        ("### Repeated commands", _counted(w["top_commands"][: MOST["bullets"]], "- ×{count} `{name}`")), ("### Candidate workflow patterns", each(w["candidate_patterns"], _pattern)),
+        ("### Representative workflow turns", each(w["representative_turns"], _turn)), ("## Correction signals", None), ("### Event types", named(c.get("event_types", {}))),
+        ("### Top missing constraints", named(c.get("top_missing_constraints", {}), MOST["bullets"])), ("### Stable patterns", each(c.get("stable_patterns", []), stable)), ("### Profiles", each(c.get("profiles", []), trait)),
+        ("### Representative events", each(c.get("representative_events", []), _event)), ("## Suggested asset candidates", each(document["suggested_asset_candidates"], asset)),
+        ("## Final output contract", [f"- `{o['file']}` — {o['purpose']}" for o in document["final_output_contract"]["final_outputs"]]), ("## Rules for final synthesis", [f"- {r}" for r in document["final_output_contract"]["global_rules"]]),
+    ]
+    out = ["# Review packet", "", "All that the final synthesis reads is in this file.", ""]
+    for heading, lines in sections:
+        out += [heading, ""] + ([*lines, ""] if lines else [])
+    return "\n".join(out).rstrip() + "\n"
 
 
 def write_json(value, path: str) -> None:

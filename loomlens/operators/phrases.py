@@ -267,7 +267,7 @@ def kmeans(weights: DataFrame, key: str, starts: int = 20, seed: int = 0) -> Dat
     k = min(6, max(2, round((n / 2) ** 0.5)))
     # the starts do not wait for one another; of equal costs the first seed is taken
     with ThreadPoolExecutor(KMEANS_AT_ONCE) as pool:
-        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=20).fit(rows), range(starts)))
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=20, solver="row").fit(rows), range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     rows.unpersist()
     return best.transform(features).select(key, F.col("prediction").alias("cluster"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import shutil
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
@@ -24,25 +24,24 @@ BLINDSPOT_FILES = {
     "chains": "method_correction_chains.json", "profile": "blindspot_profile.json", "comparison": "comparison.md", "report": "blindspot_report.md",
 }
 CORRECTION_FILES = {"events": "events.json", "profile": "profile.json", "report": "report.md"}
-# Closing lines of the workflow report, and what it says without results.
+#: What the workflow report covers, and what may be done with it.
 ABOUT = [
-    "- Session-level inventory: time, models, first prompt, tool volume", "- Turn-level workflow traces: user prompt preview + tool sequence + files + commands",
-    "- Hot files: which files are repeatedly read/edited", "- Repeated commands and validation loops", "- Candidate reusable workflows for later skill/prompt packaging",
-]
-NEXT = [
-    "- Use `candidate_patterns.json` as the shortlist source.", "- Let a later LLM step read only the top candidate turns from `turns.json`, not the full session corpus.",
-    "- First package likely candidates as skills or prompts; keep automation for a later phase.",
-]
-# What the comparison of methods says of each.
-METHODS = [
-    "1. Frequent char phrases — 看重复表达表面形态", "2. TF-IDF + KMeans — 看比较粗的主题簇", "3. TF-IDF + DBSCAN — 看比较近似的提示语家族", "4. Rule-based blindspot labels — 直接产出可执行建议",
-    "5. Session correction chains — 看约束是不是总在后面才补",
-]
-BEST_FOR = [
-    "- 高频短语：最适合看用户口头禅、反复强调的约束。", "- KMeans：最适合看大主题，比如 bug 修复 / token 控制 / 试验型请求。", "- DBSCAN：最适合抓相似纠正句、近似重复表达。", "- 规则标签：最适合直接落成用户建议。",
-    "- correction chains：最适合证明“关键约束经常说晚了”。",
-]
-JUDGMENT = ["- 只靠聚类，不足以直接得出“用户盲区”。", "- 但聚类很适合先把用户回合分堆，再交给规则层解释。", "- 这批样本里，最清晰的价值来自：`规则标签 + correction chain`，而不是单纯主题聚类。"]
+    "- sessions: when, with which models, how they began, how many tools they used", "- turns: what was asked, then the tools, files and commands in order", "- files that are read and edited again and again",
+    "- commands that come back, and checks after edits", "- patterns that may be worth a skill or a prompt",
+]
+NEXT = ["- `candidate_patterns.json` is the list to choose from.", "- Of `turns.json` the turns that a candidate names are enough to read.", "- What is sure and frequent goes first; automation can wait."]
+#: What each method of the comparison shows.
+METHODS = ["1. phrases: wording that comes back", "2. k-means: broad topics", "3. density clusters: requests that read alike", "4. rules: labels with a suggestion each", "5. chains: constraints that came after the first prompt"]
+BEST_FOR = ["- phrases: habits of wording", "- k-means: the main topics", "- density clusters: the same correction said again", "- rules: advice that can be followed at once", "- chains: what should have been said at first"]
+
+
+def judgment(n_clusters: int, n_labels: int, n_chains: int) -> list[str]:
+    """What the numbers of a run bear out."""
+    out = [f"- Clusters group turns and explain none: {n_clusters} of them need a reader or a rule."]
+    out.append(f"- {n_labels} labels hold, and {n_chains} sessions show constraints that came late." if n_labels and n_chains else "- Rules and chains say too little here to advise anything.")
+    return out
+
+
 NO_COMMANDS, NO_CANDIDATES, NO_EVENTS, NOTHING = "- No repeated commands detected above threshold.", "No candidate patterns found.", "- 无事件", "- 无"
 
 
@@ -70,18 +69,18 @@ def write_lines(lines: Iterable[str], path: str | Path) -> None:
                 held += 1
 
 
-def write_rows(rows: DataFrame, path: str | Path) -> None:
-    """A table as one JSON array, a partition in memory at a time."""
+def write_rows(rows: DataFrame, path: str | Path, shape: Callable[[dict], dict] = dict) -> None:
+    """A table as one JSON array, a partition in memory at a time; ``shape`` says how a row reads."""
     with open(path, "w", encoding="utf-8") as f:
         f.write("[")
         for i, r in enumerate(rows.toLocalIterator()):
             f.write(",\n" if i else "\n")
-            f.write(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str))
+            f.write(json.dumps(shape(r.asDict(recursive=True)), ensure_ascii=False, default=str))
         f.write("\n]\n")
 
 
-def write_results(parts: dict, files: dict[str, str], folder: str | Path) -> None:
-    """Each named part under its file name: tables as JSON arrays, documents as JSON, reports as lines."""
+def write_results(parts: dict, files: dict[str, str], folder: str | Path, shapes: dict[str, Callable[[dict], dict]] | None = None) -> None:
+    """Each named part under its file name: tables as JSON arrays (their rows by ``shapes``), documents as JSON, reports as lines."""
     home = Path(folder)
     home.mkdir(parents=True, exist_ok=True)
     for name, file in files.items():
@@ -89,7 +88,7 @@ def write_results(parts: dict, files: dict[str, str], folder: str | Path) -> Non
             continue
         value, path = parts[name], home / file
         if isinstance(value, DataFrame):
-            write_rows(value, path)
+            write_rows(value, path, (shapes or {}).get(name, dict))
         elif file.endswith(".md"):
             write_lines(value, path)
         else:
@@ -120,12 +119,35 @@ def _some(lines: Iterable[str], none: str) -> Iterator[str]:
 
 
 def _times(counts: DataFrame, name: str, k: int) -> Iterator[str]:
-    return (f"- `{r[name]}` × {r['n']}" for r in counts.orderBy(F.desc("n"), name).limit(k).collect())
+    """The k most frequent; ties by their ``place`` if there is one, else by name."""
+    tie = "place" if "place" in counts.columns else name
+    return (f"- `{r[name]}` × {r['n']}" for r in counts.orderBy(F.desc("n"), tie).limit(k).collect())
+
+
+#: Lines of a candidate by its type: label, and the field that it shows.
+PATTERN_LINES = {
+    "hot_file_workflow": [
+        ("Path: `{}`", "name"), ("Interactions: {}", "n"), ("Read count: {}", "read_count"), ("Edit count: {}", "edit_count"), ("Read→edit turns: {}", "read_edit"), ("Edit→validate turns: {}", "edit_validate"), ("Tools: {}", "tools")
+    ],
+    "repeated_tool_sequence": [("Sequence: `{}`", "name"), ("Count: {}", "n")],
+    "repeated_command": [("Command: `{}`", "name"), ("Count: {}", "n")],
+}
+
+
+def pattern_lines(row: dict) -> Iterator[str]:
+    """What a report says of one candidate, as from ``workflow.candidates``; what was not observed is left out."""
+    held = {**row, **(row.get("observed") or {})}
+    if row["type"] == "repeated_tool_sequence":
+        held["name"] = row["name"].replace(">", " -> ")
+    held["tools"] = None if held.get("tools") is None else ", ".join(held["tools"])
+    yield from ("- " + label.format(held[f]) for label, f in PATTERN_LINES[row["type"]] if held.get(f) is not None)
+    if row["evidence"]:
+        yield f"- Evidence: {', '.join(row['evidence'])}"
 
 
 def workflow_report(project: dict, sessions: DataFrame, tools: DataFrame, paths: DataFrame, commands: DataFrame, candidates: DataFrame, now: dt.datetime | None = None) -> Iterator[str]:
-    """The report of workflow mining. ``sessions`` has file, user_turns, tool_calls, first_user_preview and is shown
-    whole; of tools, paths and commands (name and n) ten are shown, of candidates (as from ``workflow.candidates``) twelve."""
+    """The report of workflow mining. ``sessions`` is as from ``session_summaries`` and shown whole; of tools, paths and commands (name, n,
+    and their place among equals) ten are shown, of candidates (as from ``workflow.candidates``) twelve."""
     labels = {"cwd": "Project cwd", "session_dir": "Session dir", "session_count": "Sessions", "total_user_turns": "User turns", "total_messages": "Messages", "total_tool_calls": "Tool calls"}
     scope = [f"- {label}: `{project[k]}`" if k in ("cwd", "session_dir") else f"- {label}: {project[k]}" for k, label in labels.items() if k in project]
 
@@ -135,20 +157,15 @@ def workflow_report(project: dict, sessions: DataFrame, tools: DataFrame, paths:
             if r["first_user_preview"]:
                 yield f"  - First prompt: {r['first_user_preview']}"
 
-    shown = {"hot_file_workflow": "Path: `{}`", "repeated_tool_sequence": "Sequence: `{}`", "repeated_command": "Command: `{}`"}
-    counted = {"hot_file_workflow": "Interactions"}
-
     def patterns():
         weight = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
-        for i, r in enumerate(candidates.orderBy(weight.desc(), F.desc("n"), "type", "name").limit(12).collect(), 1):
-            yield from (f"### {i}. {r['type']} [{r['confidence']}]", "")
-            yield "- " + shown[r["type"]].format(r["name"].replace(">", " -> ") if r["type"] == "repeated_tool_sequence" else r["name"])
-            yield f"- {counted.get(r['type'], 'Count')}: {r['n']}"
-            if r["evidence"]:
-                yield f"- Evidence: {', '.join(r['evidence'])}"
-            yield ""
+        kind = F.array_position(F.array(*[F.lit(t) for t in PATTERN_LINES]), F.col("type"))
+        first = [c for c in ("first", "name") if c in candidates.columns]
+        for i, r in enumerate(candidates.orderBy(weight.desc(), F.desc("n"), kind, *first).limit(12).collect(), 1):
+            yield from (f"### {i}. {r['type']} [{r['confidence']}]", "", *pattern_lines(r.asDict(recursive=True)), "")
 
-    again = (f"- ×{r['n']} `{r['command']}`" for r in commands.where("n >= 2").orderBy(F.desc("n"), "command").limit(10).collect())
+    tie = "place" if "place" in commands.columns else "command"
+    again = (f"- ×{r['n']} `{r['command']}`" for r in commands.where("n >= 2").orderBy(F.desc("n"), tie).limit(10).collect())
     return page(
         "Workflow report",
         [
@@ -226,8 +243,9 @@ def comparison(phrases: DataFrame, kmeans: DataFrame, dbscan: DataFrame, rules:
     """What each method found, in numbers. ``kmeans`` and ``dbscan`` are members with their cluster (null: noise)."""
     said = ", ".join(r["phrase"] for r in phrases.orderBy("place").limit(12).collect())
     groups = lambda rows: rows.agg(F.countDistinct("cluster")).first()[0]
+    found, labels, corrected = groups(kmeans) + groups(dbscan), rules.count(), chains.count()
     quick = [
         f"- 高频短语最能看到：{said}", f"- KMeans 主题簇数：{groups(kmeans)}", f"- DBSCAN 近似簇数：{groups(dbscan)}，噪声点：{dbscan.where('cluster IS NULL').count()}",
-        f"- 规则命中的盲区标签数：{rules.count()}", f"- 发现需要后置纠偏的 session 数：{chains.count()}",
+        f"- 规则命中的盲区标签数：{labels}", f"- 发现需要后置纠偏的 session 数：{corrected}",
     ]
-    return page("Comparison of methods", [("Methods", METHODS), ("Quick read", quick), ("Which method is best for what", BEST_FOR), ("Judgment", JUDGMENT)], now)
+    return page("Comparison of methods", [("Methods", METHODS), ("Quick read", quick), ("Which method is best for what", BEST_FOR), ("Judgment", judgment(found, labels, corrected))], now)
