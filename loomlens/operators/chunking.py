@@ -314,6 +314,23 @@ def chunk_records(packed: DataFrame, contents: DataFrame, sessions: DataFrame) -
     )
 
 
+def chunks_of(records: DataFrame, policy: Policy = Policy(), project: str = "project") -> DataFrame:
+    """Chunk records of session records (as from ``session_records``), each with the name of its ``project``.
+
+    Sessions go by start time, then name; texts over the hard limit are cut at blocks.
+    """
+    order = F.struct("start_time", "session_name")
+    texts = checkpointed(records.select(F.col(project).cast("string").alias("project"), F.col("session_name").alias("session"), order.alias("at"), "text"))
+    docs = texts.select(F.col("session").alias("doc_id"), "text")
+    whole = sizes(docs)
+    packed_blocks = block_segments(blocks(docs), whole, policy)
+    rows = segments(packed_blocks, whole).withColumnRenamed("doc_id", "session").join(texts.select("project", "session", "at"), "session")
+    rows = rows.select("project", "session", F.struct("at", "segment").alias("ord"), "segment", "n_chars", "line_start", "line_end")
+    contents = segment_texts(packed_blocks, docs).withColumnRenamed("doc_id", "session")
+    about = records.select(F.col("session_name").alias("session"), "start_time", "end_time", "min_path", "txt_path", "source_jsonl", "referenced", "changed", "commands")
+    return chunk_records(pack(rows, policy), contents, about)
+
+
 def write_chunk_files(records: DataFrame, folder: str) -> None:
     """One Markdown file per chunk, project by project, written by the tasks that hold the chunks (``folder`` is shared)."""
     ship(records.sparkSession)

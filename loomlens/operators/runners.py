@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,9 +40,33 @@ Runner = Callable[[Request], str]
 
 
 def stand_in(request: Request) -> str:
-    """A deterministic model: says how long its input is and how it begins."""
-    head = " ".join(request.text.split())[:60]
-    return f"# {request.task}\n- characters: {len(request.text)}\n- begins: {head}\n"
+    """A deterministic model: a report says how long its input is and how it begins, a bundle which chunks its packet has, and a verdict passes every bundle."""
+    return stand_in_model()(request)
+
+
+def stand_in_model(scores: tuple[float, ...] = (41.0,), threshold: float = 35.0) -> Runner:
+    """The deterministic model with a score for each try (the last one for all further)."""
+
+    def say(request: Request) -> str:
+        if request.task == "synthesis":
+            chunks = ", ".join(dict.fromkeys(re.findall(r"^### (\S+)$", request.text, re.M))) or "none"
+            note = "\n- bound more tightly after the critique" if request.critique else ""
+            return "\n\n".join(f"=== {n} ===\n# {n.removesuffix('.md').replace('_', ' ')}\n\n- evidence: {chunks}{note}" for n in BUNDLE) + "\n"
+        if request.task == "validation":
+            return verdict(scores[min(request.attempt, len(scores)) - 1], threshold)
+        head = " ".join(request.text.split())[:60]
+        return f"# {request.task}\n- characters: {len(request.text)}\n- begins: {head}\n"
+
+    return say
+
+
+def verdict(score: float, threshold: float = 35.0) -> str:
+    """What a judge says of a bundle with such a score, as JSON: the rubric in proportion, and where it falls short."""
+    short = score < threshold
+    return json.dumps({
+        "raw_score": round(score, 2), "passed": not short, "dimension_scores": rubric_scores(score), "failed_dimensions": ["Coverage", "Faithfulness"] if short else [],
+        "must_fix": ["bind every claim to a chunk"] if short else [], "which_chunk_underrepresented": [], "which_chunk_overweighted": [], "rewrite_direction": {n: ["name the evidence"] for n in BUNDLE} if short else {},
+    }, ensure_ascii=False)
 
 
 def map_chunks(chunks: DataFrame, runner: Runner = stand_in, task: str = "chunk", key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -10,14 +10,15 @@ import datetime as dt
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CATEGORY_LABELS, SESSION_LOGS, PatternSet
 from ..functions.storage import checkpointed
 from ..functions.text import display_path, one_line
-from ..operators import blindspot, corrections, packet, phrases, reports, workflow
+from ..operators import blindspot, chunking, corrections, packet, phrases, reports, runners, workflow
 from ..sources import files, sessions
+from .config import Config
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,51 @@ def run_blindspot(messages: DataFrame, project: Project, folder: str | Path, pat
     return Path(folder)
 
 
+def run_distill(
+    spark: SparkSession, compiled: str, config: Config, folder: str | Path, run_id: str, runner: runners.Runner = runners.stand_in, manifest: str | None = None, project: str = "project", policy: chunking.Policy = chunking.Policy()
+) -> dict:
+    """Compiled sessions to chunks, reports, a judged bundle and the final documents; what the run's manifest.json says.
+
+    Reports that hold from an earlier run below ``folder`` are reused. With ``config.only_chunk`` or ``analysis_only`` there is no
+    synthesis. Documents are published whether they passed or need a review; without a finished report the run raises.
+    """
+    home = Path(folder)
+    records = files.session_records(spark, compiled, manifest).withColumn("project", F.lit(project))
+    chunks = checkpointed(chunking.chunks_of(records, policy))
+    asked = chunks.select(F.concat_ws("/", "project", "chunk_id").alias("chunk_id"), "content_hash", F.col("content").alias("text"))
+    if config.only_chunk:
+        asked = asked.where(F.col("chunk_id") == f"{project}/{config.only_chunk}")
+    chunking.write_chunk_files(chunks, str(home / "runs" / run_id / "chunks"))
+    said = checkpointed(runners.map_chunks_once(asked, runners.report_store(spark, str(home / "reports")), run_id, runner, name=config.runner, prompt_version=config.prompt_version, model=config.model, thinking=config.thinking))
+    named = said.select(F.substring_index("chunk_id", "/", -1).alias("chunk_id"), "status", "report")
+    path = F.concat(F.lit(f"runs/{run_id}/reports/"), "chunk_id", F.lit(".md"))
+    reported = checkpointed(chunks.join(named, "chunk_id", "left").withColumn("status", F.coalesce("status", F.lit("skipped"))).withColumn("report_path", path))
+    out = {"run_id": run_id, "project": project, "stats": chunking.run_stats(reported, config.only_chunk).first().asDict(), "sessions": records.count()}
+    target = home / "runs" / run_id
+    (target / "reports").mkdir(parents=True, exist_ok=True)
+    for r in reported.where("status <> 'skipped'").select("chunk_id", "report").toLocalIterator():
+        (target / "reports" / f"{r['chunk_id']}.md").write_text(r["report"], encoding="utf-8")
+    if config.only_chunk or config.analysis_only:
+        out |= {"status": "analysed", "skip_reason": config.skip_reason}
+    else:
+        packets = chunking.synthesis_input(reported)
+        if packets.isEmpty():
+            raise ValueError("no finished chunk report to synthesise from")
+        results, tries = runners.synthesise_projects(packets, runner, config.validation_threshold, config.max_validation_retries)
+        (r,) = results.collect()
+        if r["status"] == "failed":
+            raise RuntimeError(r["error"])
+        heads = chunking.synthesis_heads(chunking.first_uses(reported)).where("rank IS NOT NULL").orderBy("kind", "rank").collect()  # at most 28 rows
+        out |= {
+            "status": r["status"], "score": r["score"], "attempts": [t.asDict() for t in tries.select("attempt", "status", "score").orderBy("attempt").collect()],
+            **{k: [h["value"] for h in heads if h["kind"] == k] for k in ("changed", "referenced", "commands")},
+        }
+        (target / "bundle.md").write_text(r["bundle"], encoding="utf-8")
+        reports.publish_documents(r["documents"], target, home / "final")
+    packet.write_json(out, str(target / "manifest.json"))
+    return out
+
+
 def _top(counts: dict[str, int], k: int = packet.MOST["list"]) -> list[dict]:
     return [{"name": n, "count": c} for n, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]]
 

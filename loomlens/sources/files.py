@@ -8,7 +8,10 @@ import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import estimate_tokens
+from ..operators import chunking
 from .sessions import compiled_sessions
 
 
@@ -43,16 +46,35 @@ def manifest_sessions(spark: SparkSession, folder: str, manifest: str | None = N
     found = load_json(manifest, None) if manifest else None
     if not found:
         return compiled_sessions(spark, folder)
-    rows = []
+    rows, beside = [], [Path(manifest).parent, Path(folder)]
     for item in found.get("items", []):
-        name, text = item.get("name"), (item.get("outputs") or {}).get("min")
-        if name and text and (path := first_existing(text, [Path(manifest).parent, Path(folder)])).exists():
-            rows.append((name, name.split("_", 1)[0], str(path), item.get("source_jsonl")))
-    listed = spark.createDataFrame(rows, "session_name string, start_time string, path string, source_jsonl string")
+        name, outputs = item.get("name"), item.get("outputs") or {}
+        if name and outputs.get("min") and (path := first_existing(outputs["min"], beside)).exists():
+            full = first_existing(outputs["txt"], beside) if outputs.get("txt") else None
+            rows.append((name, name.split("_", 1)[0], str(path), str(full) if full and full.exists() else None, item.get("source_jsonl")))
+    listed = spark.createDataFrame(rows, "session_name string, start_time string, min_path string, txt_path string, source_jsonl string")
     if not rows:
-        return listed.selectExpr("session_name", "start_time", "source_jsonl", "path AS text")
-    texts = spark.read.text([r[2] for r in rows], wholetext=True).selectExpr("value AS text", "regexp_replace(_metadata.file_path, '^file:/*', '/') AS path")
-    return listed.join(texts, "path").select("session_name", "start_time", "source_jsonl", "text").orderBy("start_time", "session_name")
+        return listed.selectExpr("session_name", "start_time", "source_jsonl", "txt_path", "min_path", "min_path AS text")
+    texts = spark.read.text([r[2] for r in rows], wholetext=True).selectExpr("value AS text", "regexp_replace(_metadata.file_path, '^file:/*', '/') AS min_path")
+    return listed.join(texts, "min_path", "left").withColumn("text", F.coalesce("text", F.lit(""))).select("session_name", "start_time", "source_jsonl", "txt_path", "min_path", "text").orderBy("start_time", "session_name")
+
+
+def session_records(spark: SparkSession, folder: str, manifest: str | None = None) -> DataFrame:
+    """One record per compiled session: its name, times and paths, its text with sizes, and what it read, changed and ran.
+
+    Without a manifest (or items in it that are there) the folder's texts are taken, which name no log.
+    """
+    found = manifest_sessions(spark, folder, manifest)
+    if manifest and found.isEmpty():
+        found = compiled_sessions(spark, folder)
+    if "source_jsonl" not in found.columns:
+        found = found.withColumn("source_jsonl", F.lit(None).cast("string"))
+    size = F.length("text").cast("long")
+    traced = chunking.traces(found.select(F.col("session_name").alias("doc_id"), "text")).withColumnRenamed("doc_id", "session_name")
+    return found.join(traced, "session_name").select(
+        "session_name", "start_time", F.col("start_time").alias("end_time"), "min_path", "txt_path", "source_jsonl", size.alias("char_count"),
+        F.when(F.col("text") != "", F.size(F.split("text", "\n", -1))).otherwise(0).alias("line_count"), estimate_tokens(size).alias("estimated_tokens"), "text", "referenced", "changed", "commands",
+    )
 
 
 def project_root(manifest: str | Path) -> Path | None:

@@ -194,7 +194,11 @@ def file_stats(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataF
 
 
 def compiled_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Compiled session texts (*.min.txt): session_name, start_time and text, in order of start time."""
+    """Compiled session texts (*.min.txt): session_name, start_time, text, min_path and the path of the full text beside it (null without one), in order of start time; an empty file is no session."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.min.txt")
-    name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.min\.txt$", "")
-    return raw.select(name.alias("session_name"), F.substring_index(name, "_", 1).alias("start_time"), F.col("value").alias("text")).orderBy("start_time", "session_name")
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    stem = lambda c, end: F.regexp_replace(F.element_at(F.split(c, "/"), -1), end, "")
+    name = stem(at, r"\.min\.txt$")
+    texts = raw.select(name.alias("session_name"), F.substring_index(name, "_", 1).alias("start_time"), F.col("value").alias("text"), at.alias("min_path"))
+    full = file_stats(spark, folder, "*.txt").select(F.regexp_replace("path", "^file:/+", "/").alias("txt_path")).where(~F.col("txt_path").endswith(".min.txt"))
+    return texts.join(full.withColumn("session_name", stem(F.col("txt_path"), r"\.txt$")), "session_name", "left").orderBy("start_time", "session_name")

@@ -208,3 +208,46 @@ def test_blindspot_run(spark, tmp_path):
     assert {c["session_file"] for c in load("method_correction_chains.json")} == {"s0.jsonl", "s1.jsonl", "s2.jsonl"} and load("method_blindspot_rules.json")
     text = (home / "blindspot_report.md").read_text()
     assert "- User turns analyzed: 19" in text and "### Cluster" in text and (home / "comparison.md").read_text().startswith("# Comparison of methods\n\nGenerated: 2026-01-02")
+
+
+def test_distill_run(spark, tmp_path):
+    from loomlens.operators import chunking, runners
+    from loomlens.plans.config import Config
+
+    compiled = tmp_path / "compiled"
+    compiled.mkdir()
+    for day in range(1, 7):
+        lines = [f'[user]\nstep {day} {i}\n[assistant]\n* Read "src/r{i}.py"\n* Edit "src/e{day}.py"\n* Bash "pytest   -q {day}"' for i in range(4)]
+        (compiled / f"2026-01-0{day}_s.min.txt").write_text("\n".join(lines))
+    (compiled / "2026-01-02_s.txt").write_text("whole")
+    (compiled / "2026-01-07_s.min.txt").write_text("")
+    records = programs.files.session_records(spark, str(compiled)).orderBy("start_time").collect()
+    first = (compiled / "2026-01-01_s.min.txt").read_text()
+    r = records[0]
+    assert (r["session_name"], r["start_time"], r["end_time"], r["char_count"], r["line_count"], r["estimated_tokens"], r["source_jsonl"], r["txt_path"]) == ("2026-01-01_s", "2026-01-01", "2026-01-01", len(first), 24, -(-len(first) // 4), None, None)
+    assert (r["referenced"], r["changed"], r["commands"]) == ([f"src/r{i}.py" for i in range(4)], ["src/e1.py"], ["pytest -q 1"]) and r["min_path"] == str(compiled / "2026-01-01_s.min.txt")
+    assert records[1]["txt_path"] == str(compiled / "2026-01-02_s.txt") and len(records) == 6  # an empty file is no session
+
+    policy = chunking.Policy(600, 900, 1000)
+    home = tmp_path / "out"
+    model = runners.stand_in_model((20.0, 36.0))
+    run = lambda n, runner=model, **k: programs.run_distill(spark, str(compiled), Config(**k), home, n, runner, policy=policy)
+    out = run("r1")
+    n = out["stats"]["selected"]
+    assert n == len(list((home / "runs" / "r1" / "chunks" / "project").iterdir())) == len(list((home / "runs" / "r1" / "reports").iterdir())) > 1 and out["stats"]["completed"] == n
+    assert (out["status"], out["score"], [a["status"] for a in out["attempts"]]) == ("completed", 36.0, ["open", "completed"])
+    assert out["changed"] == [f"src/e{d}.py" for d in range(1, 7)] and out["referenced"] == [f"src/r{i}.py" for i in range(4)] and out["commands"] == [f"pytest -q {d}" for d in range(1, 7)]
+    assert "bound more tightly" in (home / "final" / "patterns.md").read_text() and "chunk_001" in (home / "final" / "project_context.md").read_text()
+    assert json.loads((home / "runs" / "r1" / "manifest.json").read_text())["stats"] == out["stats"]
+    with (compiled / "2026-01-06_s.min.txt").open("a") as f:
+        f.write("\nmore")
+    out = run("r2", runners.stand_in_model((10.0,)))
+    assert out["stats"]["cached"] == n - 1 and out["stats"]["completed"] == 1 and (out["status"], len(out["attempts"])) == ("needs_review", 3)
+    out = run("r3", only_chunk="chunk_002")
+    assert (out["status"], out["skip_reason"], out["stats"]["selected"], out["stats"]["cached"], out["stats"]["skipped"]) == ("analysed", "only_chunk=chunk_002", 1, 1, n - 1)
+
+    def broken(request):
+        raise RuntimeError("away")
+
+    with pytest.raises(ValueError, match="no finished"):
+        programs.run_distill(spark, str(compiled), Config(prompt_version="v9"), tmp_path / "other", "r1", broken, policy=policy)
