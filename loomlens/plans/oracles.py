@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from ..functions.patterns import CATEGORY_SUGGESTIONS, INVENTED_WORDS, MISSING_CONSTRAINT, PRIORITY, RULE_TEXTS
+#: Fixed values, written out apart from the operators': categories in order with the word of the table that each stands for, rules with theirs, and texts.
+CATEGORY_WORDS = {"direction_mismatch": "that", "verbosity_mismatch": "with", "style_mismatch": "der", "format_mismatch": "la", "late_constraint": "from"}
+RULE_WORDS = {"scope_clarification": ["that"], "token_budget_control": ["with"], "exploratory_request": ["this"], "late_constraint": ["from", "der"]}
+SUGGESTIONS = {
+    "direction_mismatch": "首条 prompt 先写清对象、边界、不要处理什么，再开始执行。",
+    "verbosity_mismatch": "把长度、密度、是否展开写成固定前置要求。",
+    "style_mismatch": "提前说明语气、正式度、是否允许 AI 味。",
+    "format_mismatch": "提前说明输出形式：代码块/列表/可复制文本/不要表格。",
+    "late_constraint": "把“先讨论还是先执行、是否允许大搜索、token 预算”放到首条 prompt。",
+}
+CONSTRAINTS = {
+    "direction_mismatch": "对象/边界",
+    "verbosity_mismatch": "长度/信息密度",
+    "style_mismatch": "风格/语气",
+    "format_mismatch": "输出格式/展示方式",
+    "late_constraint": "执行顺序/操作边界/预算限制",
+}
+DESCRIPTIONS = {
+    "scope_clarification": "用户需要反复收窄对象或纠正 agent 的理解范围。",
+    "token_budget_control": "用户明显在意 token 成本，并多次强调约束。",
+    "exploratory_request": "请求偏探索/观察，没有明确成功标准。",
+    "late_constraint": "关键约束出现在后续纠偏回合，而不是最开始。",
+}
 
 
-def _rx(column: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches({column}, '(?i){p}')" for p in patterns) + ")"
+def _rx(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '(?i)(^|[^A-Za-z]){w}([^A-Za-z]|$)')" for w in words) + ")"
 
 
 def _case(column: str, table: dict[str, str]) -> str:
@@ -25,8 +47,8 @@ def _line(c: str, n: int) -> str:
     return f"CASE WHEN length({_flat(c)}) > {n} THEN rtrim(substr({_flat(c)}, 1, {n - 1})) || '…' ELSE {_flat(c)} END"
 
 
-_CATS = "list_filter([" + ", ".join(f"CASE WHEN {_rx('text', INVENTED_WORDS.categories[c])} THEN '{c}' END" for c in PRIORITY) + "], lambda x: x IS NOT NULL)"
-_RULES = "list_filter([" + ", ".join(f"CASE WHEN {_rx('text', p)}{' AND turn_index > 1' if r == 'late_constraint' else ''} THEN '{r}' END" for r, p in INVENTED_WORDS.rules.items()) + "], lambda x: x IS NOT NULL)"
+_CATS = "list_filter([" + ", ".join(f"CASE WHEN {_rx('text', [w])} THEN '{c}' END" for c, w in CATEGORY_WORDS.items()) + "], lambda x: x IS NOT NULL)"
+_RULES = "list_filter([" + ", ".join(f"CASE WHEN {_rx('text', p)}{' AND turn_index > 1' if r == 'late_constraint' else ''} THEN '{r}' END" for r, p in RULE_WORDS.items()) + "], lambda x: x IS NOT NULL)"
 
 M = """m AS (
   SELECT CAST(conv_id AS VARCHAR) AS session_file, CAST(turn AS INTEGER) AS line_no, role, coalesce(text, '') AS text,
@@ -50,11 +72,11 @@ EV = f"""{M}, o AS (
 ), ev AS (
   SELECT session_file, role_turn AS trigger_turn, kind AS event_type, array_to_string(cats[2:], ',') AS secondary_types, o_turn AS original_user_turn,
          {_line('o_text', 160)} AS original_user_preview, {_line('p_text', 160)} AS assistant_preview, p_tools AS assistant_tool_calls, {_line('text', 160)} AS evidence,
-         CASE WHEN length(head) <= 40 THEN head ELSE {_case('kind', MISSING_CONSTRAINT)} END AS missing_constraint,
+         CASE WHEN length(head) <= 40 THEN head ELSE {_case('kind', CONSTRAINTS)} END AS missing_constraint,
          CASE WHEN p_tools > 0 THEN 'assistant_already_executed' WHEN answered THEN 'answer_revised' ELSE 'correction_without_revision' END AS impact,
          NOT list_contains(o_cats, kind) AS avoidable,
          CAST(66 + 6 * least(len(cats), 4) + CASE WHEN p_tools > 0 THEN 5 ELSE 0 END AS DOUBLE) / 100 AS confidence,
-         {_case('kind', CATEGORY_SUGGESTIONS)} AS suggestion
+         {_case('kind', SUGGESTIONS)} AS suggestion
   FROM h
 )"""
 PROFILE = """pr AS (
@@ -233,11 +255,11 @@ ORACLE_SQL: dict[str, str] = {
     "event_type_order": f"WITH {EV} SELECT event_type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS place FROM ev GROUP BY 1",
     "impact_counts": _event_count("impact"),
     "missing_constraint_counts": _event_count("missing_constraint"),
-    "event_profile": f"WITH {EV}, {PROFILE} SELECT event_type, n_events, n_sessions, CASE WHEN hundredths / n_events >= 86 THEN 'high' WHEN hundredths / n_events >= 76 THEN 'medium' ELSE 'low' END AS confidence, refs, {_case('event_type', CATEGORY_SUGGESTIONS)} AS suggestion FROM pr JOIN rf USING (event_type)",
-    "user_profiles": f"WITH {EV}, {PROFILE} SELECT {_case('event_type', {'late_constraint': 'constraints_arrive_late', 'direction_mismatch': 'semantic_alignment_needs_repair', 'verbosity_mismatch': 'prefers_dense_brief_answers'})} AS name, CASE WHEN n_events >= 4 THEN 'high' ELSE 'medium' END AS confidence, refs AS support, {_case('event_type', CATEGORY_SUGGESTIONS)} AS user_suggestion FROM pr JOIN rf USING (event_type) WHERE n_events >= 2 AND event_type IN ('late_constraint', 'direction_mismatch', 'verbosity_mismatch')",
+    "event_profile": f"WITH {EV}, {PROFILE} SELECT event_type, n_events, n_sessions, CASE WHEN hundredths / n_events >= 86 THEN 'high' WHEN hundredths / n_events >= 76 THEN 'medium' ELSE 'low' END AS confidence, refs, {_case('event_type', SUGGESTIONS)} AS suggestion FROM pr JOIN rf USING (event_type)",
+    "user_profiles": f"WITH {EV}, {PROFILE} SELECT {_case('event_type', {'late_constraint': 'constraints_arrive_late', 'direction_mismatch': 'semantic_alignment_needs_repair', 'verbosity_mismatch': 'prefers_dense_brief_answers'})} AS name, CASE WHEN n_events >= 4 THEN 'high' ELSE 'medium' END AS confidence, refs AS support, {_case('event_type', SUGGESTIONS)} AS user_suggestion FROM pr JOIN rf USING (event_type) WHERE n_events >= 2 AND event_type IN ('late_constraint', 'direction_mismatch', 'verbosity_mismatch')",
     "representative_events": f"WITH {EV} SELECT session_file, trigger_turn, event_type, confidence, assistant_tool_calls FROM ev ORDER BY confidence DESC, assistant_tool_calls DESC, session_file, trigger_turn LIMIT 12",
     "rule_hits": f"WITH {UT} SELECT session_file, turn_index, preview, unnest(labels) AS label FROM ut",
-    "rule_summary": f"WITH {UT}, h AS (SELECT session_file, turn_index, unnest(labels) AS label FROM ut) SELECT label, count(*) AS n, string_agg(session_file || '#' || turn_index, ',' ORDER BY session_file, turn_index) FILTER (r <= 6) AS examples, {_case('label', {k: v[0] for k, v in RULE_TEXTS.items()})} AS description FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY session_file, turn_index) AS r FROM h) GROUP BY label",
+    "rule_summary": f"WITH {UT}, h AS (SELECT session_file, turn_index, unnest(labels) AS label FROM ut) SELECT label, count(*) AS n, string_agg(session_file || '#' || turn_index, ',' ORDER BY session_file, turn_index) FILTER (r <= 6) AS examples, {_case('label', DESCRIPTIONS)} AS description FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY session_file, turn_index) AS r FROM h) GROUP BY label",
     "correction_chains": f"WITH {UT}, x AS (SELECT *, {_CHAIN} AS hit, row_number() OVER (PARTITION BY session_file ORDER BY turn_index) AS place FROM ut), y AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY session_file ORDER BY turn_index) AS nh, sum(CASE WHEN hit AND place > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session_file ORDER BY turn_index) AS nl FROM x) SELECT session_file, max(preview) FILTER (place = 1) AS first_prompt, string_agg('turn' || turn_index || ': ' || preview, '|' ORDER BY turn_index) FILTER (hit AND place > 1 AND nl <= 6) AS later_constraints, string_agg(CAST(turn_index AS VARCHAR), ',' ORDER BY turn_index) FILTER (hit AND nh <= 12) AS correction_turns FROM y GROUP BY 1 HAVING count(*) FILTER (hit AND place > 1) > 0",
     "blindspot_profile": f"WITH {UT}, p AS (SELECT 'token_sensitive' AS trait, count(*) FILTER (list_contains(labels, 'token_budget_control')) AS evidence_count, 3 AS least FROM ut UNION ALL SELECT 'scope_often_clarified_late', count(*) FILTER (list_contains(labels, 'scope_clarification')) + count(*) FILTER (list_contains(labels, 'late_constraint')), 5 FROM ut UNION ALL SELECT 'exploratory_tester', count(*) FILTER (list_contains(labels, 'exploratory_request')), 8 FROM ut UNION ALL SELECT 'prefers_dense_brief_answers', count(*) FILTER (contains(text, 'tion')), 3 FROM ut) SELECT trait, evidence_count FROM p WHERE evidence_count >= least",
     "tool_turns": f"WITH {CALLS} SELECT session, turn, sequence, coalesce(array_to_string(read_paths, ','), '') AS read_paths, coalesce(array_to_string(edit_paths, ','), '') AS edit_paths, coalesce(array_to_string(write_paths, ','), '') AS write_paths, coalesce(array_to_string(commands, ','), '') AS commands FROM turns",

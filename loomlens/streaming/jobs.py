@@ -4,29 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.shipping import ship
 from ..operators import corrections, reminders
+from ..plans.versioned import Table, Version
 
 
-def maintain_corrections(messages: DataFrame, full: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+def _events_table(spark: SparkSession, folder: str, buckets: int) -> Table:
+    fields = corrections.events(spark.createDataFrame([], "session_file string, line_no int, role string, text string, tool_calls int")).schema
+    return Table(spark, folder, {"events": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)}, "session_file", buckets)
+
+
+def maintain_corrections(messages: DataFrame, full: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Recomputes the events of sessions with new messages; ``full`` reads all messages of given sessions.
 
-    Each batch overwrites the partitions of its sessions alone, so a replayed batch changes nothing.
+    Each batch replaces all rows of its sessions, in the buckets that hold them, and becomes visible as a whole; a session
+    that has no events any more loses its old ones, and a replayed batch changes nothing.
     """
+    spark = messages.sparkSession
+    table = _events_table(spark, folder, buckets)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        sessions = rows.select("session_file").distinct().persist()
+        touched = [r["bucket"] for r in sessions.select(table.bucket().alias("bucket")).distinct().collect()]  # at most one row per bucket
+        if touched:
+            fresh = corrections.events(full(sessions))
 
-    def batch(rows: DataFrame, _: int) -> None:
-        sessions = rows.select("session_file").distinct()
-        events = corrections.events(full(sessions))
-        events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_file").parquet(folder)
+            def step(version: Version) -> Version:
+                kept = table.read("events", version, touched).join(sessions, "session_file", "left_anti")
+                return table.replace(version, {"events": kept.unionByName(fresh)}, touched, f"batch {number}")
+
+            table.change(step)
+        sessions.unpersist()
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintained_corrections(spark: SparkSession, folder: str, buckets: int = 64) -> DataFrame:
+    """The events that ``maintain_corrections`` keeps."""
+    return _events_table(spark, folder, buckets).read("events")
+
+
 #: How long a session's seen rules are kept after they last matched.
 SEEN_MS = 7 * 24 * 3600 * 1000
 #: The state store that has maps and expiry.

@@ -28,10 +28,27 @@ def test_stream_of_messages_maintains_the_events(spark, tmp_path):
     query = jobs.maintain_corrections(stream, lambda s: messages(table).join(s, "session_file", "left_semi"), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     cols = ["session_file", "trigger_turn", "event_type", "confidence"]
-    got = sorted(tuple(map(str, r)) for r in spark.read.parquet(str(tmp_path / "out")).select(*cols).collect())
+    got = sorted(tuple(map(str, r)) for r in jobs.maintained_corrections(spark, str(tmp_path / "out")).select(*cols).collect())
     assert got == sorted(tuple(map(str, r)) for r in corrections.events(messages(table)).select(*cols).collect())
 
 
+def test_a_session_without_events_loses_its_old_ones(spark, tmp_path):
+    schema = "session_file string, line_no int, role string, text string, tool_calls int"
+    talk = lambda s, last: [(s, 0, "user", "do it", 0), (s, 1, "assistant", "done", 1), (s, 2, "user", last, 0)]
+    state = {"rows": talk("a", "no, that one") + talk("b", "no, that one")}
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = jobs.maintain_corrections(stream, lambda s: spark.createDataFrame(state["rows"], schema).join(s, "session_file", "left_semi"), str(tmp_path / "out"), str(tmp_path / "cp"), 4)
+        assert query.awaitTermination(90)
+        return sorted(r["session_file"] for r in jobs.maintained_corrections(spark, str(tmp_path / "out"), 4).collect())
+
+    assert run(state["rows"]) == ["a", "b"]
+    state["rows"] = talk("a", "thanks") + talk("b", "no, that one")
+    assert run(talk("a", "thanks")) == ["b"]
+
+
 def test_cooldown_state_shows_a_rule_once(spark, tmp_path):
     rows = [("s", i, "diese tion that") for i in range(4)] + [("t", 0, "tion that orth")]
     spark.createDataFrame(rows, "session_file string, turn_index int, text string").write.parquet(str(tmp_path / "in"))
