@@ -5,9 +5,9 @@ strings whose Shannon entropy, taken over every window of fixed width with count
 updated by the character that enters and the one that leaves, reaches the limit of their
 character class in some window, unless an allow-list pattern or a base span covers them.
 
-Gates: entropy is measured in texts with a digit only, and for candidates of 20 characters or more
-that have both a digit and a letter. Random keys of letters or digits alone, and shorter ones, are
-never scored.
+Candidates have 16 characters or more; shorter windows than the fixed one need less entropy, in proportion to what they
+can hold. A candidate is measured if it has digits and letters, or is of letters that change case as often as a random key
+does, or is of 20 or more letters of one case. Digits alone are never keys here.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .native_spans import joined, let, none, ordered, overlaps, spans
+from .native_spans import joined, let, ordered, overlaps, spans
 
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
 #: What stands before the value of an assignment.
@@ -26,11 +26,11 @@ _ASSIGN_HEAD = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*
 #: A failing match is dropped and not retried; shorter runs hold no longer match either, so the lengths stand in the patterns.
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}+"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 #: Character classes of candidates, with the least entropy in bits of the best window.
-CLASSES = {"hex": (r"^[0-9A-Fa-f]++$", 3.0), "base36": (r"^(?:[0-9a-z]++|[0-9A-Z]++)$", 3.5), "base64": (r"^[A-Za-z0-9+/_=-]++$", 3.7)}
+CLASSES = {"hex": (r"^[0-9A-Fa-f]++$", 3.0), "letters": (r"^(?:[a-z]++|[A-Z]++)$", 3.7), "base36": (r"^(?:[0-9a-z]++|[0-9A-Z]++)$", 3.5), "base64": (r"^[A-Za-z0-9+/_=-]++$", 3.7)}
 #: Candidates that are never secrets: UUIDs, paths and dashed or underscored words, placeholders, runs of an alphabet.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
@@ -98,16 +98,21 @@ def secret_like(s: Column) -> Column:
     limit = F.lit(None).cast("double")
     for pattern, least in reversed(list(CLASSES.values())):
         limit = F.when(s.rlike(pattern), F.lit(least)).otherwise(limit)
-    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    digit, n = s.rlike("[0-9]"), F.length(s)
+    # names of several words change case less often than every fifth character
+    turns = F.size(F.regexp_extract_all(s, F.lit("[a-z](?=[A-Z])"), F.lit(0)))
+    mixed = F.when(digit, s.rlike("[A-Za-z]")).otherwise((turns * 5 >= n) | s.rlike("^(?:[a-z]{20,}+|[A-Z]{20,}+)$"))
     held = mixed & ~s.rlike("|".join(f"(?:{p})" for p in ALLOWED))
-    return F.when(held, let(limit, lambda x: max_window_entropy(s, enough=x) >= x)).otherwise(F.lit(False))
+    least = F.when(n < WINDOW, limit * F.log2(n.cast("double")) / math.log2(WINDOW)).otherwise(limit)
+    return F.when(held, let(least, lambda x: max_window_entropy(s, enough=x) >= x)).otherwise(F.lit(False))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and ``found``, an array of (kind, start, end, match).
 
     Null and empty texts have no spans; rows that repeat are each scanned; no rows give none.
-    Null ids pass through. Extra columns are ignored, whatever their names.
+    Null ids pass through. Extra columns are ignored, whatever their names. A very long text is scanned whole; a long
+    candidate takes time in proportion to its length.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -116,8 +121,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         spans(text, "assign", ASSIGN, lambda m: F.length(F.regexp_replace(m, _ASSIGN_HEAD, "")) >= 12).alias("assign"),
         spans(text, "access", ACCESS).alias("access"),
         spans(text, "hex", HEX).alias("hex"),
-        # a candidate needs a digit, and most texts have none
-        F.when(text.rlike("[0-9]"), spans(text, "entropy", CANDIDATE, secret_like)).otherwise(none()).alias("entropy"),
+        spans(text, "entropy", CANDIDATE, secret_like).alias("entropy"),
     )
     base = F.concat("assign", "access", "hex")
     return rows.withColumn("entropy", let(base, lambda b: F.filter("entropy", lambda s: ~overlaps(s, b))))

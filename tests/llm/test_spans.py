@@ -71,7 +71,8 @@ def test_incremental_entropy_equals_counting(spark, s):
     assert got == pytest.approx(entropy(s))
 
 
-@pytest.mark.parametrize(("s", "secret"), [("Zk3bQ9xPq7LmT2vRw8Ys", True), ("AAAAAAAAAAAAAAAAAAAAAAA1", False), ("0b0a4f2e-9a51-4c1f-8d6e-0123456789ab", False), ("exampleZk3bQ9xPq7LmT2vRw8", False), ("some-long-path/with-words1", False)])
+@pytest.mark.parametrize(("s", "secret"), [("Zk3bQ9xPq7LmT2vRw8Ys", True), ("AAAAAAAAAAAAAAAAAAAAAAA1", False), ("0b0a4f2e-9a51-4c1f-8d6e-0123456789ab", False), ("exampleZk3bQ9xPq7LmT2vRw8", False), ("some-long-path/with-words1", False),
+     ("Zk3bQ9xPq7LmT2vR", True), ("kQzXvBnMwPrTyLsDfGhJcVaEuIoNqWe", True), ("qzxwvkjhgfdsmnbvtyprlc", True), ("someLongIdentifierOfWords", False), ("internationalization", False), ("31415926535897932384", False)])
 def test_entropy_spans_and_allow_list(spark, s, secret):
     row = secret_scan.scan(spark.createDataFrame([(1, f"x {s} y")], "doc_id long, text string")).first()
     assert [x["match"] for x in row["entropy"]] == ([s] if secret else [])
@@ -81,16 +82,20 @@ def plain_entropy_spans(text):
     """All entropy spans by counting every window anew."""
     text = text or ""
     base = [(m.start(), m.end()) for _, p, ok in SECRETS for m in re.finditer(p, text) if ok(m)]
-    classes = [(r"[0-9A-Fa-f]+", 3.0), (r"[0-9a-z]+|[0-9A-Z]+", 3.5), (r"[A-Za-z0-9+/_=-]+", 3.7)]
+    classes = [(r"[0-9A-Fa-f]+", 3.0), (r"[a-z]+|[A-Z]+", 3.7), (r"[0-9a-z]+|[0-9A-Z]+", 3.5), (r"[A-Za-z0-9+/_=-]+", 3.7)]
     allowed = [
         r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
         r"(?i)example|dummy|placeholder|sample|changeme|xxxx|lorem", r"(?i)0123456789|abcdefghijkl",
     ]
     out = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
         s = m[0]
-        least = next(x for p, x in classes if re.fullmatch(p, s))
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(re.search(a, s) for a in allowed) and entropy(s) >= least - 1e-9:
+        least = next(x for p, x in classes if re.fullmatch(p, s)) * math.log2(min(len(s), 20)) / math.log2(20)
+        if re.search("[0-9]", s):
+            keyed = bool(re.search("[A-Za-z]", s))
+        else:
+            keyed = len(re.findall("[a-z](?=[A-Z])", s)) * 5 >= len(s) or bool(re.fullmatch("[a-z]{20,}|[A-Z]{20,}", s))
+        if keyed and not any(re.search(a, s) for a in allowed) and entropy(s) >= least - 1e-9:
             if not any(a < m.end() and m.start() < b for a, b in base):
                 out.append(f"entropy:{m.start()}:{m.end()}")
     return ",".join(out)
@@ -98,7 +103,7 @@ def plain_entropy_spans(text):
 
 def test_all_entropy_spans_equal_plain_search(spark):
     rng = random.Random(2)
-    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1", "ABCD2"]
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1", "ABCD2", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"]
     made = [" ".join("".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.1 else rng.choice(a) for _ in range(rng.randrange(10, 60))) for a in rng.choices(alphabets, k=5)) for _ in range(150)]
     table = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     docs = dict(enumerate([*TEXTS, *made, *table, "a-" * 20_000 + "b1"]))
@@ -109,6 +114,17 @@ def test_all_entropy_spans_equal_plain_search(spark):
     assert {r["doc_id"]: r["s"] for r in got} == want
 
 
+def test_random_keys_are_found(spark):
+    """Recall by class of characters and length, as README states it; words and names of words stay out."""
+    rng = random.Random(3)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters, n, least in ((digits + "abcdef", 16, 0.9), (low + digits, 16, 0.9), (low + low.upper() + digits, 16, 0.9), (low + low.upper() + digits, 31, 0.98), (low + low.upper(), 31, 0.7), (low, 40, 0.8)):
+        keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+        rows = secret_scan.scan(spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys)], "doc_id long, text string"))
+        found = rows.where(F.size(F.concat("entropy", "hex")) > 0).count()
+        assert found >= least * len(keys), (letters, n, found)
+
+
 def test_a_long_candidate_costs_its_length(spark):
     """A megabyte without white space, such as an inline image; no window of it reaches the limit."""
     s = "ab12" * 250_000
