@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from ..functions.storage import stored
-from ..functions.text import bullets, json_object
+from ..functions.text import bullets, json_object, stable_session_id
 from ..plans.versioned import Table, Version
 from . import incremental
 
@@ -21,7 +21,7 @@ PAYLOAD = (
     "struct<raw_score:double,normalized_score:double,summary:string,dimension_scores:map<string,double>,failed_dimensions:array<string>,must_fix:array<string>,"
     "which_chunk_underrepresented:array<string>,which_chunk_overweighted:array<string>,rewrite_direction:map<string,array<string>>>"
 )
-EVENT = "struct<type:string,assistantMessageEvent:struct<type:string,delta:string>,message:struct<role:string,model:string,content:array<struct<type:string,text:string>>>,success:boolean,finalError:string,errorMessage:string>"
+EVENT = "struct<type:string,assistantMessageEvent:struct<type:string,delta:string>,message:struct<role:string,model:string,content:array<struct<type:string,text:string>>>,success:boolean,finalError:string,aborted:boolean,errorMessage:string>"
 #: The three documents of a bundle, words for a verdict without a summary, and the rubric's dimensions with their most points.
 BUNDLE = ["project_context.md", "collaboration_guide.md", "patterns.md"]
 PASSED, NOT_PASSED = "通过", "未通过"
@@ -34,6 +34,8 @@ class Request:
     text: str
     attempt: int = 1
     critique: str = ""
+    #: Names the conversation that the tries of one project share.
+    session: str = ""
 
 
 Runner = Callable[[Request], str]
@@ -219,6 +221,12 @@ def parse_validation(text: Column, threshold: float = 35.0) -> Column:
     return F.element_at(F.transform(F.array(F.struct(F.from_json(json_object(text), PAYLOAD).alias("p"))), whole), 1)
 
 
+def rubric_mean(rubric: Column) -> Column:
+    """The mean of a verdict's dimension scores, to two places; 0 without any."""
+    points = F.map_values(rubric)
+    return F.when(F.size(points) > 0, F.bround(F.aggregate(points, F.lit(0.0), lambda a, x: a + x) / F.size(points), 2)).otherwise(F.lit(0.0))
+
+
 def render_bundle(documents: Column) -> Column:
     """The three documents (a map from name to text) behind their markers; null if any is missing or blank."""
     parts = [F.regexp_replace(documents[n], r"(?U)^\s+|\s+\z", "") for n in BUNDLE]
@@ -273,18 +281,83 @@ def build_runner(name: str, command: Callable[[Request], str] | None = None) ->
     raise ValueError(f"unsupported runner: {name}")
 
 
+#: Lines of a run whose deltas are joined in one piece before the pieces are.
+PIECE = 4096
+
+
 def fold_runner_events(lines: DataFrame, key: str = "run_id", order: str = "line_no", text: str = "line") -> DataFrame:
-    """Per run: joined deltas, the last assistant text, the last model and the last error; malformed lines are skipped."""
+    """Per run: joined deltas, the last assistant text, the text that counts (that, or the deltas without one), the last model and the last error.
+
+    Malformed lines are skipped. Deltas are joined in pieces of some thousand lines first, and of a run only its pieces meet.
+    """
     e = F.from_json(text, EVENT)
     rows = lines.select(key, order, e.alias("e")).where("e.type IS NOT NULL")
-    delta = F.when((F.col("e.type") == "message_update") & (F.col("e.assistantMessageEvent.type") == "text_delta"), F.col("e.assistantMessageEvent.delta"))
-    said = F.when((F.col("e.type") == "message_end") & (F.col("e.message.role") == "assistant"), F.array_join(F.transform(F.filter("e.message.content", lambda p: p["type"] == "text"), lambda p: p["text"]), ""))
-    error = F.when((F.col("e.type") == "auto_retry_end") & ~F.col("e.success"), F.col("e.finalError")).when(F.col("e.type") == "compaction_end", F.col("e.errorMessage"))
+    kind, message = F.col("e.type"), F.col("e.message")
+    update, ended = kind == "message_update", (kind == "message_end") & (message["role"] == "assistant")
+    delta = F.when(update & (F.col("e.assistantMessageEvent.type") == "text_delta"), F.col("e.assistantMessageEvent.delta"))
+    parts = F.filter(message["content"], lambda p: p["type"] == "text")
+    said = F.when(ended & (F.size(parts) > 0), F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+    failed = F.when((kind == "auto_retry_end") & ~F.coalesce("e.success", F.lit(False)), F.col("e.finalError")).when((kind == "compaction_end") & F.col("e.aborted"), F.col("e.errorMessage"))
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(order)))
-    return rows.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(delta.isNotNull(), F.struct(F.col(order).alias("o"), delta.alias("d"))))), lambda x: x["d"]), "").alias("streamed"),
-        last(said).alias("final_text"), last(F.col("e.message.model")).alias("model"), last(error).alias("error"),
-    )
+    one = rows.groupBy(key).agg(last(said).alias("final_text"), last(F.when(update | ended, message["model"])).alias("model"), last(F.nullif(failed, F.lit(""))).alias("error"))
+    joined = lambda at, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), value.alias("d")))), lambda x: x["d"]), "")
+    deltas = rows.select(key, order, delta.alias("d")).where("d IS NOT NULL")
+    pieces = deltas.groupBy(key, F.floor(F.col(order) / PIECE).alias("piece")).agg(joined(order, F.col("d")).alias("d"))
+    streamed = pieces.groupBy(key).agg(joined("piece", F.col("d")).alias("streamed"))
+    out = one.join(streamed, key, "left").withColumn("streamed", F.coalesce("streamed", F.lit("")))
+    return out.select(key, "streamed", "final_text", F.coalesce(F.nullif("final_text", F.lit("")), "streamed").alias("text"), "model", "error")
+
+
+def said_by(stdout: str) -> tuple[str, str | None]:
+    """The text that counts and the last error of one run's event lines, as ``fold_runner_events`` has them."""
+    deltas, final, error = [], None, None
+    for line in stdout.splitlines():
+        try:
+            event = json.loads(line)
+        except ValueError:
+            continue
+        if not isinstance(event, dict):
+            continue
+        message = event.get("message") or {}
+        match event.get("type"):
+            case "message_update":
+                update = event.get("assistantMessageEvent") or {}
+                deltas += [update.get("delta") or ""] if update.get("type") == "text_delta" else []
+            case "message_end" if message.get("role") == "assistant":
+                parts = [p.get("text") or "" for p in message.get("content") or [] if p.get("type") == "text"]
+                final = "".join(parts) if parts else final
+            case "auto_retry_end" if not event.get("success"):
+                error = event.get("finalError") or error
+            case "compaction_end" if event.get("aborted"):
+                error = event.get("errorMessage") or error
+    return final or "".join(deltas), error
+
+
+@dataclass(frozen=True)
+class CommandRunner:
+    """A model behind a command line that reads a prompt and prints one JSON event per line.
+
+    ``command`` may hold {task}, {session} and {attempt}. The prompt goes to its standard input: the template of the task (``prompts``),
+    the critique, and the text. It fails with the last error that the events tell, else with what the command says
+    of it, if it ends badly, says nothing, or takes too long.
+    """
+
+    command: tuple[str, ...]
+    prompts: tuple[tuple[str, str], ...] = ()
+    timeout: float = 1200
+
+    def __call__(self, request: Request) -> str:
+        import subprocess
+
+        prompt = "\n\n---\n".join(x for x in (dict(self.prompts).get(request.task, "").strip(), request.critique.strip(), request.text) if x)
+        names = {"task": request.task, "session": request.session, "attempt": request.attempt}
+        done = subprocess.run([c.format(**names) for c in self.command], input=prompt, capture_output=True, text=True, timeout=self.timeout, check=False)
+        text, error = said_by(done.stdout)
+        if done.returncode:
+            raise RuntimeError(error or " ".join(done.stderr.split()) or f"the command ended with {done.returncode}")
+        if not text.strip():
+            raise RuntimeError(error or "the command's events hold no text")
+        return text
 
 
 def synthesise(packet: str, runner: Runner, judge: Callable[[str], float], threshold: float = 35.0, retries: int = 2) -> dict:
@@ -307,16 +380,18 @@ def _asked(rows: DataFrame, runner: Runner, task: str, text: str, attempt: int)
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             said, errors = [], []
-            for t, c in zip(batch.column("text").to_pylist(), batch.column("critique").to_pylist(), strict=True):
+            for t, c, s in zip(*(batch.column(x).to_pylist() for x in ("text", "critique", "session")), strict=True):
                 try:
-                    said.append(runner(Request(task, t or "", attempt, c or "")))
+                    said.append(runner(Request(task, t or "", attempt, c or "", s or "")))
                     errors.append(None)
                 except Exception as error:  # noqa: BLE001  a model may fail in any way
                     said.append(None)
                     errors.append(str(error) or type(error).__name__)
             yield pa.RecordBatch.from_arrays([batch.column("project"), pa.array(said, pa.string()), pa.array(errors, pa.string())], names=["project", "said", "error"])
 
-    return stored(rows.select(F.col("project").cast("string").alias("project"), F.col(text).alias("text"), "critique").mapInArrow(work, "project string, said string, error string"))
+    session = stable_session_id(F.concat(F.lit("distill-"), F.col("project").cast("string")))
+    asked = rows.select(F.col("project").cast("string").alias("project"), F.col(text).alias("text"), "critique", session.alias("session"))
+    return stored(asked.mapInArrow(work, "project string, said string, error string"))
 
 
 def synthesise_projects(packets: DataFrame, runner: Runner, threshold: float = 35.0, retries: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -387,7 +387,8 @@ tt AS (SELECT cluster, string_agg(gram, '|' ORDER BY p) AS top_terms FROM (SELEC
 nm AS (SELECT cluster, sqrt(sum(c * c)) AS norm FROM ce GROUP BY 1), dt AS (SELECT cluster, turn, sum(w * c) AS dot FROM wt JOIN c0 USING (turn) JOIN ce USING (cluster, gram) GROUP BY 1, 2),
 ex AS (SELECT cluster, string_agg(turn, ',' ORDER BY p) AS examples FROM (SELECT cluster, turn, row_number() OVER (PARTITION BY cluster ORDER BY round(coalesce(dot / norm, 0), 6) DESC, turn) AS p FROM c0 JOIN sz USING (cluster) JOIN nm USING (cluster) LEFT JOIN dt USING (cluster, turn)) WHERE p <= 4 GROUP BY 1)
 SELECT cluster, size, top_terms, examples FROM sz LEFT JOIN tt USING (cluster) JOIN ex USING (cluster)""",
-    "runner_event_fold": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2) SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
-arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model, CAST(NULL AS VARCHAR) AS error FROM x GROUP BY 1""",
+    "runner_event_fold": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2), y AS (SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
+arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model FROM x GROUP BY 1)
+SELECT run_id, streamed, final_text, CASE WHEN coalesce(final_text, '') = '' THEN streamed ELSE final_text END AS text, model, CAST(NULL AS VARCHAR) AS error FROM y""",
     "turn_refs": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 's#turn1x' || conv_id END AS session, CAST(CASE WHEN turn % 2 = 0 THEN turn END AS INTEGER) AS turn_index, 'home-x_y-' || role AS project_id FROM conversations""",
 }

@@ -67,6 +67,7 @@ def test_projects_are_tried_until_they_pass(spark, tmp_path):
         with open(f"{calls}/{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
             f.write(f"{request.task} {request.text.split()[-1]} {request.attempt} {bool(request.critique)}")
         project = request.text.split()[-1]
+        assert request.session == f"distill-{project}"
         if request.task == "synthesis":
             if project == "broken":
                 raise RuntimeError("no answer")
@@ -106,6 +107,65 @@ def test_stand_in_writes_reports_and_bundles(spark):
     assert all(set(p["d"]) == set(runners.BUNDLE) and "chunk_00" in p["d"]["patterns.md"] for p in parts)
 
 
+def test_mean_of_a_rubric(spark):
+    rows = spark.sql("SELECT map('a', 1.0D, 'b', 2.0D, 'c', 2.0D) AS m UNION ALL SELECT CAST(map() AS map<string,double>) UNION ALL SELECT NULL")
+    assert [r["v"] for r in rows.select(runners.rubric_mean(F.col("m")).alias("v")).collect()] == [1.67, 0.0, 0.0]
+
+
 def test_prompts():
     assert runners.bundle_prompt("a {{CRITIQUE_BLOCK}}\n{{BUNDLE_FORMAT}}", " fix \n") == "a fix\n=== project_context.md ===\n...markdown...\n\n=== collaboration_guide.md ===\n...markdown...\n\n=== patterns.md ===\n...markdown..."
     assert "no critique" in runners.bundle_prompt("{{CRITIQUE_BLOCK}}") and runners.validation_prompt("{{THRESHOLD}}/{{MAX_RETRIES}}", 35.4, 3) == "35/3"
+
+
+LINES = [
+    {"type": "message_update", "message": {"model": "m1"}, "assistantMessageEvent": {"type": "text_delta", "delta": "he"}},
+    {"type": "message_update", "assistantMessageEvent": {"type": "other", "delta": "no"}},
+    "not json",
+    {"type": "message_end", "message": {"role": "user", "model": "m9", "content": [{"type": "text", "text": "asked"}]}},
+    {"type": "message_update", "assistantMessageEvent": {"type": "text_delta", "delta": "llo"}},
+    {"type": "compaction_end", "errorMessage": "not aborted"},
+    {"type": "auto_retry_end", "success": True, "finalError": "fine"},
+]
+ENDS = {
+    "deltas": ([], ("hello", None)),
+    "end": ([{"type": "message_end", "message": {"role": "assistant", "model": "m2", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}}], ("ab", None)),
+    "empty": ([{"type": "message_end", "message": {"role": "assistant", "content": [{"type": "image"}]}}], ("hello", None)),
+    "retry": ([{"type": "auto_retry_end", "finalError": "gone"}, {"type": "auto_retry_end", "success": False, "finalError": ""}], ("hello", "gone")),
+    "aborted": ([{"type": "compaction_end", "aborted": True, "errorMessage": "full"}], ("hello", "full")),
+}
+
+
+def test_events_fold_alike_in_a_table_and_in_a_runner(spark):
+    rows = [(k, i, x if isinstance(x, str) else json.dumps(x)) for k, (more, _) in ENDS.items() for i, x in enumerate([*LINES, *more])]
+    many = [("long", i, json.dumps({"type": "message_update", "assistantMessageEvent": {"type": "text_delta", "delta": f"{i} "}})) for i in range(3 * runners.PIECE)]
+    got = {r["run_id"]: r for r in runners.fold_runner_events(spark.createDataFrame(rows + many, "run_id string, line_no int, line string").repartition(5)).collect()}
+    for k, (_, want) in ENDS.items():
+        text = "\n".join(line for name, _, line in rows if name == k)
+        assert (got[k]["text"], got[k]["error"]) == runners.said_by(text) == want
+    assert [got[k]["model"] for k in ("deltas", "end", "empty")] == ["m1", "m2", "m1"]
+    assert got["long"]["text"] == "".join(f"{i} " for i in range(3 * runners.PIECE))
+
+
+def test_a_command_is_a_runner(tmp_path):
+    import sys
+
+    import pytest
+
+    program = tmp_path / "model.py"
+    program.write_text("""
+import json, sys
+prompt = sys.stdin.read()
+if "fail" in prompt:
+    print(json.dumps({"type": "auto_retry_end", "finalError": "no quota"})); sys.exit(3)
+if "crash" in prompt:
+    sys.stderr.write(" broken\\n pipe "); sys.exit(1)
+if "silent" not in prompt:
+    print(json.dumps({"type": "message_end", "message": {"role": "assistant", "content": [{"type": "text", "text": " ".join(sys.argv[1:]) + "|" + prompt}]}}))
+""")
+    model = runners.CommandRunner((sys.executable, str(program), "{task}", "{session}", "{attempt}"), (("chunk", "Read this. "),), timeout=60)
+    assert model(runners.Request("chunk", "text", 2, "", "s1")) == "chunk s1 2|Read this.\n\n---\ntext"
+    assert model(runners.Request("synthesis", "packet", 1, "more")) == "synthesis  1|more\n\n---\npacket"
+    for text, message in (("fail", "no quota"), ("crash", "broken pipe"), ("silent", "no text")):
+        with pytest.raises(RuntimeError, match=message):
+            model(runners.Request("chunk", text))
+    assert runners.build_runner("cli-json", model) is model
