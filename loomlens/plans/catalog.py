@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import INVENTED_WORDS, PRIORITY, matched
-from ..functions.storage import checkpointed
-from ..functions.text import is_validation_command, normalize, one_line, parse_turn_ref, project_id
+from ..functions.ordering import numbered
+from ..functions.storage import checkpointed, checkpoints
+from ..functions.text import bullets, display_path, is_validation_command, normalize, normalize_command, one_line, parse_turn_ref, project_id, stable_session_id, unique_head
 from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
 from ..sources import sessions
+from . import routes
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -231,7 +234,7 @@ def stored_candidates(spark, sf):
 
 
 def session_summaries(spark, sf):
-    rows = sessions.session_summaries(sessions.log_from_conversations(_read(spark, sf, "conversations")))
+    rows = sessions.session_summaries(_log(spark, sf))
     tools = F.array_join(F.transform("tools", lambda t: F.concat_ws(":", t["tool"], t["n"].cast("string"))), ",")
     return rows.withColumn("tools", tools).withColumn("models", F.array_join("models", ","))
 
@@ -469,6 +472,121 @@ def turn_refs(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", session.alias("session"), turn.alias("turn_index"), project_id(F.concat(F.lit("/home//x y/"), F.col("role"))).alias("project_id"))
 
 
+def _log(spark, sf):
+    return sessions.log_from_conversations(_read(spark, sf, "conversations"))
+
+
+def log_messages(spark, sf):
+    """Messages read from log lines: text and tool calls of every one."""
+    return sessions.messages_from_entries(_log(spark, sf)).select("session_file", "line_no", "role", F.sha2("text", 256).alias("text_sha256"), "tool_calls")
+
+
+def log_tool_calls(spark, sf):
+    """Tool calls read from log lines, in order, with their arguments."""
+    calls = sessions.tool_calls_from_entries(_log(spark, sf))
+    return calls.select("session", "turn", F.col("ord.line_no").alias("line_no"), F.col("ord.place").alias("place"), "tool", "path", "command")
+
+
+def log_models(spark, sf):
+    """The model that each message was said under."""
+    return sessions.with_model(_log(spark, sf)).where("entry.type = 'message'").select("session_file", "line_no", "model")
+
+
+def model_counts(spark, sf):
+    return sessions.model_counts(_log(spark, sf))
+
+
+def log_metadata(spark, sf):
+    return sessions.session_metadata(_log(spark, sf))
+
+
+def sessions_by_start(spark, sf):
+    """Sessions in order of their start, then name; the start of a conversation is how long its texts are."""
+    began = _messages(spark, sf).groupBy("session_file").agg(F.lpad(F.sum(F.length("text")).cast("string"), 12, "0").alias("start_time"))
+    return numbered(began, ["start_time", "session_file"], "place")
+
+
+def commands_and_paths(spark, sf):
+    """Commands with their project as a placeholder, and paths as they are shown."""
+    docs, n = _read(spark, sf, "documents"), F.col("doc_id") % 6
+    command = normalize_command(F.concat(F.lit("cd /work/app  && cp /tmp/pi-hypa-backup-20260102-030405/x\n"), F.coalesce("text", F.lit(""))), "/work/app")
+    path = F.when(n == 0, "/home/me").otherwise(F.concat(F.when(n == 1, "/work/app/").when(n == 2, "/home/me/").when(n == 3, "/work/apple/").when(n == 4, "/home/meg/").otherwise("/"), "source"))
+    return docs.select("doc_id", F.sha2(command, 256).alias("command_sha256"), F.length(command).alias("n_chars"), display_path(path, "/work/app", "/home/me").alias("path"), stable_session_id(F.concat(F.lit("distill reduce/"), "source", F.lit("!"))).alias("session_id"))
+
+
+def path_bullets(spark, sf):
+    """The first five distinct paths that a turn read, as a list."""
+    return workflow.turns(_calls(spark, sf)).select("session", "turn", bullets(unique_head(F.col("read_paths"), 5)).alias("bullets"))
+
+
+def evidence_lines(spark, sf):
+    """The first three lines of each document that hold one of some terms."""
+    lines = reminders.evidence_lines(F.coalesce("text", F.lit("")), ["tion", "der"], 3)
+    return _read(spark, sf, "documents").select("doc_id", F.size(lines).alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha256"))
+
+
+def rule_validity(spark, sf):
+    """Rows of conversations taken for rules: which of them a rules document may hold."""
+    n = F.col("conv_id") + F.col("turn")
+    rows = _read(spark, sf, "conversations").select("conv_id", "turn", F.when(n % 5 != 0, F.concat(F.lit("r"), n.cast("string"))).alias("id"), F.when(n % 3 == 0, "notify").when(n % 3 == 1, "confirm").otherwise(F.col("role")).alias("mode"), F.when(n % 7 != 0, F.col("text")).otherwise("").alias("message"))
+    return reminders.valid(rows).select("conv_id", "turn", "valid")
+
+
+def registry_upsert(spark, sf):
+    """The index of the run before with what changed since in its place, in order of names."""
+    before, now = _index(spark, sf)
+    changed = incremental.index_diff(before, now).where("status IN ('new', 'changed')").select("session_file")
+    return numbered(incremental.upsert(before, now.join(changed, "session_file"), "session_file"), ["session_file"], "place")
+
+
+def _verdicts(spark, sf):
+    n = F.col("conv_id") * 7 + F.col("turn")
+    points = F.create_map(F.lit("Signal"), (n % 9).cast("double"), F.lit("Routing"), (n % 5).cast("double"), F.lit("Coverage"), F.lit(2.5))
+    return _read(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct((n % 51).cast("double").alias("raw_score"), F.when(n % 4 != 0, points).alias("dimension_scores"))).alias("text"))
+
+
+def rubric_means(spark, sf):
+    """The mean of the dimension scores of every verdict."""
+    return _verdicts(spark, sf).select("conv_id", "turn", runners.rubric_mean(runners.parse_validation(F.col("text"))["rubric"]).alias("mean"))
+
+
+def cached_model_reports(spark, sf):
+    """Two runs of a model over all documents, a seventh of which changed in between: what the second run asks for again."""
+    docs = _read(spark, sf, "documents").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    store = runners.report_store(spark, f"{checkpoints(spark).rstrip('/')}/loomlens-{uuid.uuid4().hex}", 16)
+    run = lambda rows, name: runners.map_chunks_once(rows.withColumn("content_hash", F.sha2("text", 256)), store, name)
+    run(docs, "first")
+    again = run(docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "second")
+    return again.select(F.col("chunk_id").cast("long").alias("doc_id"), "content_hash", "status")
+
+
+def route_sessions(spark, sf):
+    """A route run twice, as sessions were before and as they are now: every session's messages, and the run that counted them."""
+    before, now = _index(spark, sf)
+    counts = _messages(spark, sf).groupBy("session_file").agg(F.count(F.lit(1)).alias("n_messages"))
+    route = routes.Route(f"{checkpoints(spark).rstrip('/')}/loomlens-{uuid.uuid4().hex}", "p", "messages", 16)
+    schema = "session_file string, n_messages long, run string"
+    # a session that is gone now has the name that it had then
+    was = counts.unionByName(counts.withColumn("session_file", F.concat(F.lit("old-"), "session_file")))
+    compute = lambda table, name: lambda work: table.join(work, "session_file").withColumn("run", F.lit(name))
+    routes.run(route, before, compute(was, "r1"), schema, "r1")
+    return routes.run(route, now, compute(counts, "r2"), schema, "r2")[0]
+
+
+def _scored(request: runners.Request) -> str:
+    """A model whose bundles name their packet's length, and whose verdicts rise with every try."""
+    if request.task == "synthesis":
+        return "\n".join(f"=== {n} ===\n{len(request.text)}" for n in runners.BUNDLE)
+    return runners.verdict(int(request.text.rsplit("\n", 1)[1]) % 40 + 8.0 * request.attempt)
+
+
+def project_synthesis(spark, sf):
+    """Every conversation as a project whose bundle is written and judged until it passes."""
+    packets = _messages(spark, sf).groupBy("session_file").agg(F.max_by("text", "line_no").alias("packet"))
+    results, _ = runners.synthesise_projects(packets.withColumnRenamed("session_file", "project"), _scored)
+    return results.select("project", "attempt", "status", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -477,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
         partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, chunk_reports, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, similar_members, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
+        log_messages, log_tool_calls, log_models, model_counts, log_metadata, sessions_by_start, commands_and_paths, path_bullets, evidence_lines, rule_validity, registry_upsert, rubric_means, cached_model_reports, route_sessions, project_synthesis,
     )
 }
 QUERIES |= {

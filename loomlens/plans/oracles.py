@@ -136,6 +136,11 @@ PATHS = f"""{CALLS}, flags AS (
   UNION ALL SELECT 'repeated_tool_sequence', sequence, n, confidence, evidence, first, 1 FROM rs
   UNION ALL SELECT 'repeated_command', command, n, confidence, evidence, first, 2 FROM rc
 )"""
+LOG = """lg AS (
+  SELECT CAST(conv_id AS VARCHAR) AS session_file, turn, role, coalesce(text, '') AS text, CASE WHEN role = 'assistant' THEN least(3, length(coalesce(text, '')) % 4) ELSE 0 END AS n_calls,
+         count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS asked
+  FROM conversations
+)"""
 INDEX = f"""{M}, now AS (
   SELECT session_file, CAST(sum(length(text)) AS VARCHAR) || ':' || CAST(max(line_no) AS VARCHAR) AS fingerprint FROM m GROUP BY 1
 ), before AS (
@@ -390,5 +395,26 @@ SELECT cluster, size, top_terms, examples FROM sz LEFT JOIN tt USING (cluster) J
     "runner_event_fold": """WITH x AS (SELECT * FROM conversations WHERE turn % 3 <> 2), y AS (SELECT conv_id AS run_id, coalesce(string_agg(role, '' ORDER BY turn) FILTER (role <> 'assistant'), '') AS streamed,
 arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || turn, turn) FILTER (role = 'assistant') AS model FROM x GROUP BY 1)
 SELECT run_id, streamed, final_text, CASE WHEN coalesce(final_text, '') = '' THEN streamed ELSE final_text END AS text, model, CAST(NULL AS VARCHAR) AS error FROM y""",
+    "chunk_model_reports": f"""SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'completed' AS status, '# chunk' || chr(10) || '- characters: ' || length(t) || chr(10) || '- begins: ' || h[1:60] || chr(10) AS report
+FROM (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS h FROM documents)""",
+    "log_messages": f"WITH {LOG} SELECT session_file, CAST(turn * 3 + 2 AS INTEGER) AS line_no, role, sha256(text) AS text_sha256, CAST(n_calls AS INTEGER) AS tool_calls FROM lg",
+    "log_tool_calls": f"WITH {LOG} SELECT session_file AS session, CAST(asked AS INTEGER) AS turn, CAST(turn * 3 + 2 AS INTEGER) AS line_no, CAST(k AS INTEGER) AS place, ['read', 'edit', 'bash'][CAST((length(text) + k) % 3 + 1 AS INTEGER)] AS tool, 'f' || turn % 3 || '.py' AS path, CAST(NULL AS VARCHAR) AS command FROM lg, unnest([0, 1, 2]) x(k) WHERE k < n_calls AND asked > 0",
+    "log_models": f"WITH {LOG} SELECT session_file, CAST(turn * 3 + 2 AS INTEGER) AS line_no, last_value(CASE WHEN turn % 4 = 1 THEN role || '/m' || length(text) % 5 END IGNORE NULLS) OVER (PARTITION BY session_file ORDER BY turn) AS model FROM lg",
+    "model_counts": f"WITH {LOG} SELECT role || '/m' || length(text) % 5 AS model, count(*) AS n, count(DISTINCT session_file) AS n_sessions FROM lg WHERE turn % 4 = 1 GROUP BY 1",
+    "log_metadata": f"WITH {LOG} SELECT session_file, max('s' || session_file) FILTER (turn = 1) AS session_id, max('t' || session_file) FILTER (turn = 1) AS started_at, CAST(NULL AS VARCHAR) AS last_message_at, count(*) AS message_count, count(*) FILTER (role = 'user') AS user_turn_count, CAST(sum(n_calls) AS BIGINT) AS tool_call_count FROM lg GROUP BY 1",
+    "sessions_by_start": f"WITH {M} SELECT session_file, start_time, row_number() OVER (ORDER BY start_time, session_file) - 1 AS place FROM (SELECT session_file, lpad(CAST(sum(length(text)) AS VARCHAR), 12, '0') AS start_time FROM m GROUP BY 1)",
+    "commands_and_paths": f"""WITH c AS (SELECT doc_id, source, {_flat("replace('cd /work/app  && cp /tmp/pi-hypa-backup-<TIMESTAMP>/x' || chr(10) || regexp_replace(coalesce(text, ''), '/tmp/pi-hypa-backup-[0-9]{8}-[0-9]{6}', '/tmp/pi-hypa-backup-<TIMESTAMP>', 'g'), '/work/app', '<PROJECT>')")} AS t FROM documents)
+SELECT doc_id, sha256(t) AS command_sha256, CAST(length(t) AS INTEGER) AS n_chars, CASE doc_id % 6 WHEN 0 THEN '~' WHEN 1 THEN '<PROJECT>/' || source WHEN 2 THEN '~/' || source WHEN 3 THEN '/work/apple/' || source WHEN 4 THEN '/home/meg/' || source ELSE '/' || source END AS path,
+'distill-reduce-' || source AS session_id FROM c""",
+    "path_bullets": f"""WITH {CALLS}, f AS (SELECT session, turn, path, min((ts, event_id)) AS first FROM calls WHERE tool = 'read' GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY session, turn ORDER BY first) AS r FROM f),
+b AS (SELECT session, turn, string_agg('- ' || path, chr(10) ORDER BY r) AS bullets FROM g WHERE r <= 5 GROUP BY 1, 2) SELECT session, turn, coalesce(bullets, '- none') AS bullets FROM turns LEFT JOIN b USING (session, turn)""",
+    "evidence_lines": "WITH e AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: contains(x, 'tion') OR contains(x, 'der'))[1:3] AS l FROM documents) SELECT doc_id, CAST(len(l) AS INTEGER) AS n, sha256(array_to_string(l, chr(10))) AS lines_sha256 FROM e",
+    "rule_validity": "SELECT conv_id, turn, (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 3 <> 2 AND (conv_id + turn) % 7 <> 0 AND coalesce(text, '') <> '' AS valid FROM conversations",
+    "registry_upsert": f"WITH {INDEX}, u AS (SELECT session_file, fingerprint FROM now WHERE session_file IN (SELECT session_file FROM diff WHERE status IN ('new', 'changed')) UNION ALL SELECT session_file, fingerprint FROM before WHERE session_file NOT IN (SELECT session_file FROM diff WHERE status IN ('new', 'changed'))) SELECT session_file, fingerprint, row_number() OVER (ORDER BY session_file) - 1 AS place FROM u",
+    "rubric_means": "WITH x AS (SELECT conv_id, turn, conv_id * 7 + turn AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n % 4 <> 0 THEN round_even(CAST((n % 9 + n % 5 + 2.5) AS DOUBLE) / 3, 2) ELSE 0 END AS mean FROM x",
+    "cached_model_reports": "SELECT doc_id, sha256(max(coalesce(text, '')) || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS content_hash, CASE WHEN doc_id % 7 = 0 THEN 'completed' ELSE 'cached' END AS status FROM documents GROUP BY doc_id",
+    "route_sessions": f"WITH {INDEX} SELECT m.session_file, count(*) AS n_messages, CASE WHEN any_value(status) IN ('new', 'changed') THEN 'r2' ELSE 'r1' END AS run FROM m JOIN diff USING (session_file) GROUP BY 1",
+    "project_synthesis": f"""WITH {M}, p AS (SELECT session_file AS project, length(arg_max(text, line_no)) % 40 AS s FROM m GROUP BY 1), a AS (SELECT project, s, CASE WHEN s + 8 >= 35 THEN 1 WHEN s + 16 >= 35 THEN 2 ELSE 3 END AS attempt FROM p)
+SELECT project, attempt, CASE WHEN s + 8 * attempt >= 35 THEN 'completed' ELSE 'needs_review' END AS status, CAST(s + 8 * attempt AS DOUBLE) AS score FROM a""",
     "turn_refs": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 's#turn1x' || conv_id END AS session, CAST(CASE WHEN turn % 2 = 0 THEN turn END AS INTEGER) AS turn_index, 'home-x_y-' || role AS project_id FROM conversations""",
 }
