@@ -12,7 +12,7 @@ from ..functions.patterns import INVENTED_WORDS, PRIORITY, matched
 from ..functions.ordering import numbered
 from ..functions.storage import checkpointed, checkpoints
 from ..functions.text import bullets, display_path, is_validation_command, normalize, normalize_command, one_line, parse_turn_ref, project_id, stable_session_id, unique_head
-from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, runners, workflow
+from ..operators import blindspot, chunking, corrections, incremental, packet, phrases, reminders, reports, runners, workflow
 from ..sources import sessions
 from . import routes
 from .oracles import ORACLE_SQL
@@ -472,6 +472,13 @@ def turn_refs(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", session.alias("session"), turn.alias("turn_index"), project_id(F.concat(F.lit("/home//x y/"), F.col("role"))).alias("project_id"))
 
 
+def report_patterns(spark, sf):
+    """What the workflow report says of its twelve candidates, line by line (a top-k report)."""
+    top = workflow.in_order(workflow.candidates_of(_stored_partials(spark, sf))).limit(12).collect()
+    lines = [(i, j, line) for i, r in enumerate(top, 1) for j, line in enumerate(reports.pattern_lines(r.asDict(recursive=True)), 1)]
+    return spark.createDataFrame(lines, "place int, line_no int, line string")
+
+
 def _log(spark, sf):
     return sessions.log_from_conversations(_read(spark, sf, "conversations"))
 
@@ -595,7 +602,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repeated_sequences, repeated_commands, candidate_patterns, representative_turns, compact_counters, asset_suggestions, compact_turns, pattern_summaries, event_summaries, validation_commands, index_diff, worklist,
         partial_final_counters, stored_top_counters, stored_candidates, session_summaries, trace_metadata, blocks, chunk_pack, chunk_records, chunk_reports, synthesis_selection, synthesis_rollup, synthesis_heads, synthesis_input, run_stats, run_stats_of_one, cache_hits, reminder_matches, reminder_visible, reminder_cooldown,
         char_ngrams, frequent_phrases, tfidf_weights, similar_pairs, similar_members, dbscan_clusters, dbscan_report, kmeans_clusters, kmeans_report, project_totals, frequent_commands, validation_parse, bundle_round_trip, runner_event_fold, chunk_model_reports, turn_refs,
-        log_messages, log_tool_calls, log_models, model_counts, log_metadata, sessions_by_start, commands_and_paths, path_bullets, evidence_lines, rule_validity, registry_upsert, rubric_means, cached_model_reports, route_sessions, project_synthesis,
+        report_patterns, log_messages, log_tool_calls, log_models, model_counts, log_metadata, sessions_by_start, commands_and_paths, path_bullets, evidence_lines, rule_validity, registry_upsert, rubric_means, cached_model_reports, route_sessions, project_synthesis,
     )
 }
 QUERIES |= {

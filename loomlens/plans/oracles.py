@@ -397,6 +397,11 @@ arg_max(text, turn) FILTER (role = 'assistant') AS final_text, arg_max('m' || tu
 SELECT run_id, streamed, final_text, CASE WHEN coalesce(final_text, '') = '' THEN streamed ELSE final_text END AS text, model, CAST(NULL AS VARCHAR) AS error FROM y""",
     "chunk_model_reports": f"""SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'completed' AS status, '# chunk' || chr(10) || '- characters: ' || length(t) || chr(10) || '- begins: ' || h[1:60] || chr(10) AS report
 FROM (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS h FROM documents)""",
+    "report_patterns": f"""WITH {PATHS}, tp AS (SELECT row_number() OVER (ORDER BY CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, n DESC, tk, first, name) AS place, type, name, n, evidence FROM cand),
+ls AS (SELECT place, list_concat(CASE type WHEN 'hot_file_workflow' THEN ['- Path: `' || name || '`', '- Interactions: ' || tp.n, '- Read count: ' || read_count, '- Edit count: ' || edit_count, '- Read→edit turns: ' || read_edit, '- Edit→validate turns: ' || edit_validate, '- Tools: ' || replace(tools, ',', ', ')]
+  WHEN 'repeated_tool_sequence' THEN ['- Sequence: `' || replace(name, '>', ' -> ') || '`', '- Count: ' || tp.n] ELSE ['- Command: `' || name || '`', '- Count: ' || tp.n] END, ['- Evidence: ' || replace(tp.evidence, ',', ', ')]) AS l
+  FROM tp LEFT JOIN hot ON type = 'hot_file_workflow' AND hot.path = name WHERE place <= 12)
+SELECT CAST(place AS INTEGER) AS place, CAST(i AS INTEGER) AS line_no, l[i] AS line FROM ls, unnest(range(1, len(l) + 1)) t(i)""",
     "log_messages": f"WITH {LOG} SELECT session_file, CAST(turn * 3 + 2 AS INTEGER) AS line_no, role, sha256(text) AS text_sha256, CAST(n_calls AS INTEGER) AS tool_calls FROM lg",
     "log_tool_calls": f"WITH {LOG} SELECT session_file AS session, CAST(asked AS INTEGER) AS turn, CAST(turn * 3 + 2 AS INTEGER) AS line_no, CAST(k AS INTEGER) AS place, ['read', 'edit', 'bash'][CAST((length(text) + k) % 3 + 1 AS INTEGER)] AS tool, 'f' || turn % 3 || '.py' AS path, CAST(NULL AS VARCHAR) AS command FROM lg, unnest([0, 1, 2]) x(k) WHERE k < n_calls AND asked > 0",
     "log_models": f"WITH {LOG} SELECT session_file, CAST(turn * 3 + 2 AS INTEGER) AS line_no, last_value(CASE WHEN turn % 4 = 1 THEN role || '/m' || length(text) % 5 END IGNORE NULLS) OVER (PARTITION BY session_file ORDER BY turn) AS model FROM lg",
