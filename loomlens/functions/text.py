@@ -54,9 +54,11 @@ def normalize_command(c: Column, cwd: str = "") -> Column:
 
 
 def display_path(c: Column, cwd: str, home: str) -> Column:
-    inside = F.concat(F.lit("<PROJECT>/"), F.substring(c, F.lit(len(cwd) + 2), F.length(c)))
-    below = F.concat(F.lit("~/"), F.substring(c, F.lit(len(home) + 2), F.length(c)))
-    return F.when(c == cwd, "<PROJECT>").when(F.startswith(c, F.lit(f"{cwd}/")), inside).when(c == home, "~").when(F.startswith(c, F.lit(f"{home}/")), below).otherwise(c)
+    """A path as it is shown: below the project's folder or the home folder by their marks."""
+    path, cwd = sanitize(c), cwd.rstrip("/")
+    inside = F.concat(F.lit("<PROJECT>/"), F.substring(path, F.lit(len(cwd) + 2), F.length(path)))
+    below = F.concat(F.lit("~/"), F.substring(path, F.lit(len(home) + 2), F.length(path)))
+    return F.when(F.startswith(path, F.lit(f"{cwd}/")), inside).when(path == home, "~").when(F.startswith(path, F.lit(f"{home}/")), below).otherwise(path)
 
 
 def is_resume_artifact(c: Column) -> Column:
