@@ -47,7 +47,8 @@ def plain_viterbi(model, table, text):
 def test_encoding_is_the_best_segmentation(spark, model):
     with open(pieces.MODEL, "rb") as f:
         table = {p.encode(): i for i, (p, _, k) in enumerate(pieces.load_pieces(f.read())) if k in (pieces.NORMAL, pieces.USER) and p}
-    docs = [r["text"][:1500] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(15).collect()]
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(12).collect()]
+    docs.append(max((r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), key=len))  # one very long text, whole
     texts = TEXTS + docs
     ids, n = model.encode(*text_bytes(pa.array(texts)))
     first = np.concatenate([[0], np.cumsum(n)])
@@ -122,7 +123,8 @@ def plain_sections(encoder, text):
 
 
 def test_sections_equal_plain_attribution(spark, encoder, odd, none):
-    texts = TEXTS + [r["text"][:800] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(10).collect()]
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = TEXTS + [t[:800] for t in docs[:10]] + sorted((t for t in docs if len(t) < 9000), key=len)[-1:]  # and a long text, whole
     rows = token_counts.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in rows:
         assert (r["n_tokens"], r["n_crossing"], [tuple(s) for s in r["sections"]]) == plain_sections(encoder, texts[r["doc_id"]])
