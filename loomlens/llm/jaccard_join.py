@@ -6,10 +6,14 @@ the order is by the slot's count, then by hash, so every set is sorted alike, wh
 are worth. The order is cut into fragments of equal mass, and a set's part in a fragment is a
 segment.
 
-Sets that reach the threshold share some of their first n-grams of the order (prefix filter, with
-more than one n-gram asked for, in proportion to size). Sets that share too few of them with any
-other have no partner. The others form groups by chains of shared first n-grams; a group is dealt
-in blocks of bounded size, and two blocks that share such an n-gram are one cell. In every cell
+Sets that reach the threshold share some of their first n-grams of an order (prefix filter, with
+more than one n-gram asked for, in proportion to size). Slots hold ever more n-grams as the corpus
+grows, so this order goes by the words first: words are far fewer, and an n-gram of rare words is
+rare at any size (n-grams whose slot stands out, as those of repeated lines, come last). Sets that
+share too few of them with others of a size that allows a link have no partner. The others form groups by chains of shared first n-grams; a group is dealt
+in blocks of bounded size; a block is a cell, and so are two blocks with those of their sets that
+share enough of their first n-grams with the other block, so that chains of unlike sets, which grow
+with the corpus, are not sent from block to block. In every cell
 and every fragment the overlaps of the segments are counted apart, each by its own task; pairs
 that cannot reach the threshold, whatever the other fragments hold, are left out there. The
 partial counts are then summed per pair, and the threshold decides.
@@ -44,10 +48,17 @@ STEP_GRAMS = 1 << 18
 DENSE, COLUMNS = 48, 2048
 
 _LOW = np.uint64(64 - SLOT_BITS)
+#: An n-gram of a slot with more than a HOT-th of all n-grams is dealt in so many shares.
+HOT, SHARES = 1024, 64
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct n-grams of words, sorted within the text, and the rows."""
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> _LOW).astype(np.int64)
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, n: int = N, cost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct n-grams of words, sorted within the text, the rows, and the sums of the words' costs
+    by slot (without costs: the hashes of all words)."""
     low = LOWER[data]
     starts, ends, row = runs(~SPACE[low], offs)
     h = span_hashes(low, starts, ends)
@@ -60,16 +71,41 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray
     for i in range(n):
         more = i < size[begin]
         out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + h[begin[more] + i] + np.uint64(i + 1))
-    return _sorted(out, row[begin])
+    if cost is None:
+        return *_sorted(out, row[begin]), h
+    total, by_word = np.zeros(len(begin), np.int64), cost[_slot(h)]
+    for i in range(n):
+        more = i < size[begin]
+        total[more] += by_word[begin[more] + i]
+    return _sorted(out, row[begin], total)
 
 
-def _sorted(out: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each owner in ascending order; owners ascend already."""
+def _sorted(out: np.ndarray, owner: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values of each owner in ascending order, with what else belongs to a value; owners ascend already."""
     order = np.lexsort((out, owner))
     out, owner = out[order], owner[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-    return out[new], owner[new]
+    return out[new], owner[new], *[x[order][new] for x in more]
+
+
+class Rarity:
+    """The order of prefixes, rare n-grams first, from counts of slots of n-grams and of words.
+
+    Slots of many n-grams have counts near the mean; only what stands out by far tells of a frequent n-gram, by its
+    magnitude. The others go by the frequencies of their words, then by hash.
+    """
+
+    def __init__(self, grams: np.ndarray, words: np.ndarray):
+        excess = (grams - grams.mean()) / (4 * np.sqrt(grams.mean()) + 1)
+        self.level = np.floor(np.log2(np.maximum(excess, 1))).astype(np.int64)
+        self.hot = grams * HOT > grams.sum()
+        self.cost = np.rint(8 * np.log2(1.0 + words)).astype(np.int64)
+
+    def sort(self, h: np.ndarray, owner: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams of each owner's set in this order; they come sorted by owner and hash."""
+        order = np.argsort((owner << 24) | (self.level[_slot(h)] << 16) | np.minimum(total, 0xFFFF), kind="stable")
+        return h[order], owner[order]
 
 
 class Order:
@@ -120,13 +156,14 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _parts(batches, words: int):
-    """Bounded steps of the batches' texts: first row, last row, hashes, owners, sizes and fingerprints of the sets."""
+def _parts(batches, words: int, cost: np.ndarray | None = None):
+    """Bounded steps of the batches' texts: first row, last row, hashes, owners, what else ``shingles`` gives, sizes and
+    fingerprints of the sets."""
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         for lo, hi in steps(offs):
-            h, owner = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-            yield batch, lo, hi, h, owner, np.bincount(owner, minlength=hi - lo), _fingerprints(h, owner, hi - lo)
+            h, owner, more = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words, cost)
+            yield batch, lo, hi, h, owner, more, np.bincount(owner, minlength=hi - lo), _fingerprints(h, owner, hi - lo)
 
 
 SETS, SLOTS = 0, 1
@@ -134,13 +171,15 @@ SETS, SLOTS = 0, 1
 
 def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFrame:
     """Two kinds of rows in one pass. SETS: doc_id, node (the set's 64-bit fingerprint, null without words) and size
-    of every row. SLOTS: in node a slot, in size its count; each task sends a slot once."""
+    of every row. SLOTS: in node a slot (of n-grams, then of words), in size its count; each task sends a slot once."""
     ship(docs.sparkSession)
 
     def work(batches):
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch, lo, hi, h, _, size, fp in _parts(batches, words):
-            counts += np.bincount((h >> _LOW).astype(np.int64), minlength=len(counts))
+        counts = np.zeros(2 << SLOT_BITS, np.int64)
+        by_gram, by_word = counts[: 1 << SLOT_BITS], counts[1 << SLOT_BITS :]
+        for batch, lo, hi, h, _, word, size, fp in _parts(batches, words):
+            by_gram += np.bincount(_slot(h), minlength=len(by_gram))
+            by_word += np.bincount(_slot(word), minlength=len(by_word))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, SETS, np.int32)), batch.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=names)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 1 << 16):
@@ -154,29 +193,59 @@ def sets(docs: DataFrame, text_col: str, id_col: str, words: int = N) -> DataFra
     return rows.mapInArrow(work, schema)
 
 
-def _postings(docs: DataFrame, order, text_col: str, threshold: int, words: int) -> DataFrame:
-    """(gram, node, need) of the first n-grams of every row's set, once per task's step of copies."""
+def _postings(docs: DataFrame, rarity, text_col: str, threshold: int, words: int) -> DataFrame:
+    """(gram, node, need, size, share) of the first n-grams of every row's set, once per task's step of copies; share is 0,
+    or else a hot n-gram's share. Sets too small for a link with a different one have none."""
 
     def work(batches):
-        for _, _, _, h, owner, size, fp in _parts(batches, words):
+        rank = rarity.value
+        for _, _, _, h, owner, total, size, fp in _parts(batches, words, rank.cost):
             once = np.zeros(len(size), bool)
             once[np.unique(fp, return_index=True)[1]] = True
+            once &= size * 100 >= threshold * (size + 1)
             use = once[owner]
-            g, own = order.value.place(h[use], owner[use])
+            g, own = rank.sort(h[use], owner[use], total[use])
             size = np.where(once, size, 0)
             first = np.concatenate([[0], np.cumsum(size)])[:-1]
             length, need = prefix(size, threshold)
             head = np.arange(len(g)) - first[own] < length[own]
-            yield pa.RecordBatch.from_arrays([_signed(g[head]), _signed(fp[own[head]]), pa.array(need[own[head]].astype(np.int32))], names=["gram", "node", "need"])
+            g, own = g[head], own[head]
+            share = np.where(rank.hot[_slot(g)], 1 + (mix(fp[own]) % np.uint64(SHARES)).astype(np.int32), 0)
+            yield pa.RecordBatch.from_arrays([_signed(g), _signed(fp[own]), pa.array(need[own].astype(np.int32)), pa.array(size[own].astype(np.int32)), pa.array(share.astype(np.int32))], names=["gram", "node", "need", "size", "share"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "gram long, node long, need int, size int, share int")
+
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "gram long, node long, need int")
+def shared_postings(batches, threshold: int):
+    """(gram, node, need, size), each once, of nodes whose n-gram another node has whose size allows a link; from postings
+    sorted by gram, share, size and node. All of a share stay. Of a run no more than a row is held from batch to batch."""
+    held, met_before = None, False
+
+    def out(t, keep):
+        return t.select(["gram", "node", "need", "size"]).filter(pa.array(keep))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        gram, node, size, share = (t.column(c).to_numpy() for c in ("gram", "node", "size", "share"))
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        t, gram, size, share = t.filter(pa.array(new)), gram[new], size[new].astype(np.int64), share[new]
+        # of all sizes the next one allows most
+        near = (gram[1:] == gram[:-1]) & (size[:-1] * 100 >= size[1:] * threshold)
+        keep = np.append(near, False) | np.append(met_before, near) | (share > 0)
+        yield from out(t.slice(0, t.num_rows - 1), keep[:-1]).to_batches()
+        held, met_before = t.slice(t.num_rows - 1), bool(keep[-1])
+    if held is not None:
+        yield from out(held, [met_before]).to_batches()
 
 
 def _segments(docs: DataFrame, order, nodes: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
     """node, size, fragment, before (n-grams in the fragments before) and grams, a row per segment, for the nodes given with one document each."""
 
     def work(batches):
-        for _, _, _, h, owner, size, fp in _parts(batches, words):
+        for _, _, _, h, owner, _, size, fp in _parts(batches, words):
             g, own = order.value.place(h, owner)
             part = order.value.fragment(g)
             new = np.ones(len(g), bool)
@@ -308,6 +377,22 @@ def partial_overlaps(batches, threshold: int):
         yield pa.RecordBatch.from_arrays([*[t.column(c).take(pa.array(where)).combine_chunks() for c in columns], pa.array(np.diff(cut).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs)], names=[*columns, "width", "pairs"])
 
 
+def other_blocks(batches):
+    """(node, other) for the blocks but its own with which a node shares as many n-grams as it needs; from rows of a node's
+    n-grams, sorted by node, with the blocks that hold them."""
+    for t in _whole_groups(batches, ["node"], STEP_GRAMS, "width"):
+        edge = _runs_of(t.column("node").to_numpy())
+        width = t.column("width").to_numpy().astype(np.int64)
+        of = np.repeat(np.repeat(np.arange(len(edge) - 1), np.diff(edge)), width)
+        block = _flat(t.column("blocks")).to_numpy(zero_copy_only=False).astype(np.int64)
+        base = int(block.max(initial=0)) + 1
+        key, count = np.unique(of * base + block, return_counts=True)
+        of, block, at = key // base, key % base, edge[:-1][key // base]
+        need, own, node = (t.column(c).to_numpy() for c in ("need", "block", "node"))
+        keep = (count >= need[at]) & (block != own[at])
+        yield pa.RecordBatch.from_arrays([pa.array(node[at][keep]), pa.array(block[keep].astype(np.int32))], names=["node", "other"])
+
+
 def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least number that links reach from each of 0..n-1."""
     label = np.arange(n)
@@ -381,25 +466,26 @@ def _size_class(size, threshold: int):
 def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col: str, id_col: str, threshold: int, home: str, words: int = N) -> DataFrame:
     """(node, low, links) per cell and linked node: a linked node of the cell, and how many rows of other sets link.
 
-    ``known`` has node, first_id, copies and size of each set, ``slots`` the counts of the order's slots.
+    ``known`` has node, first_id, copies and size of each set, ``slots`` the counts of both orders' slots.
     """
     spark = docs.sparkSession
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    table = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SLOT_BITS rows
+    counts = np.zeros(2 << SLOT_BITS, np.int64)
+    table = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * 2**SLOT_BITS rows
     counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
-    order = spark.sparkContext.broadcast(Order(counts))
-    postings = _postings(docs, order, text_col, threshold, words)
-    several = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
-    members = stored(postings.join(several, "gram").distinct(), f"{home}/members")
-    # sets that share enough of their first n-grams, first with any set, then with sets of a size that allows a link
-    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
-    able = able.join(known.select("node", "size"), "node").select("node", "need", _size_class(F.col("size"), threshold).alias("class"))
+    by_gram, by_word = counts[: 1 << SLOT_BITS], counts[1 << SLOT_BITS :]
+    order, rarity = spark.sparkContext.broadcast(Order(by_gram)), spark.sparkContext.broadcast(Rarity(by_gram, by_word))
+    # one shuffle: what no other set has goes where the n-grams meet
+    dealt = _postings(docs, rarity, text_col, threshold, words).repartition("gram", "share").sortWithinPartitions("gram", "share", "size", "node")
+    members = stored(dealt.mapInArrow(lambda b: shared_postings(b, threshold), "gram long, node long, need int, size int"), f"{home}/members")
+    # sets that share enough of their first n-grams with sets of a size that allows a link, then with such sets alone
+    able = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("size").alias("size")).where("n >= need")
+    able = able.select("node", "need", _size_class(F.col("size"), threshold).alias("class"))
     keyed = members.select("gram", "node").join(able, "node").withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
     keyed = keyed.select(F.xxhash64("gram", "class").alias("key"), "gram", "node", "need")
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     keyed = stored(keyed.join(several, "key"), f"{home}/keyed")
     able = keyed.groupBy("node").agg(F.count_distinct("gram").alias("n"), F.first("need").alias("need"), F.min("key").alias("first")).where("n >= need")
-    able = stored(able.select("node", "first").join(known, "node"), f"{home}/able")
+    able = stored(able.select("node", "first", "need").join(known, "node"), f"{home}/able")
     members = stored(keyed.select("key", "node").join(able.select("node"), "node", "left_semi"), f"{home}/members2")
     low = members.groupBy("key").agg(F.min("node").alias("a"))
     label = components(members.join(low, "key").select("a", F.col("node").alias("b")), f"{home}/groups")
@@ -410,14 +496,15 @@ def node_links(docs: DataFrame, known: DataFrame, slots: DataFrame, *, text_col:
     firsts = placed.groupBy("label", "first").agg((F.count(F.lit(1)) > BLOCK).alias("many"))
     dealt = placed.join(groups, "label").join(firsts, ["label", "first"])
     block = F.pmod(F.xxhash64("first", F.when(F.col("many"), F.col("node"))), F.col("blocks")).cast("int")
-    dealt = stored(dealt.select("node", "copies", "first_id", F.col("label").alias("group"), "blocks", block.alias("block")), f"{home}/dealt")
-    # cells: a group of one block, or two blocks (or one) that share an n-gram
-    own = dealt.where("blocks = 1").select("group", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct()
-    held = members.join(dealt.where("blocks > 1").select("node", "group", "block"), "node").select("group", "key", "block").distinct()
-    other = held.join(held.withColumnRenamed("block", "j"), ["group", "key"]).where("block <= j").select("group", F.col("block").alias("i"), "j").distinct()
-    cells = stored(own.union(other), f"{home}/cells")
-    sides = cells.select(*_KEY, F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.where("i < j").select(*_KEY, F.col("j").alias("block"), F.lit(1).alias("side")))
-    where = dealt.join(sides, ["group", "block"]).select("node", "copies", *_KEY, "side")
+    dealt = stored(dealt.select("node", "need", "copies", "first_id", F.col("label").alias("group"), "blocks", block.alias("block")), f"{home}/dealt")
+    # cells: each block, and two blocks for those of their sets that share enough n-grams with the other one
+    held = members.join(dealt.where("blocks > 1").select("node", "need", "group", "block"), "node")
+    many = held.groupBy("group", "key").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1)
+    met_blocks = held.join(many, ["group", "key"]).select("node", "need", "block", "blocks", F.size("blocks").alias("width"))
+    reached = met_blocks.repartition("node").sortWithinPartitions("node").mapInArrow(other_blocks, "node long, other int")
+    reached = stored(reached, f"{home}/reached").join(dealt, "node")
+    own = dealt.select("node", "copies", "group", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"))
+    where = own.union(reached.select("node", "copies", "group", F.least("block", "other"), F.greatest("block", "other"), (F.col("block") > F.col("other")).cast("int")))
 
     segments = _segments(docs, order, dealt.select("node", "first_id"), text_col, id_col, words)
     segments = stored(segments.dropDuplicates(["node", "fragment"]).join(dealt.select("node"), "node", "left_semi"), f"{home}/segments")

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomlens.llm import jaccard_join as jj
@@ -149,3 +151,37 @@ def test_odd_rows(odd, none):
     assert rows.where("n_shingles = 0 AND NOT component_id <=> doc_id").count() == 0
     kept = jj.one_per_component(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.where("text = 'word'").collect()} == {3}
+
+
+def test_stored_steps_free_their_shuffle_files(spark, tmp_path):
+    from loomlens.llm.common import FREED, stored
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in re.findall(r"shuffle_\d+_", disk.getAllBlocks().mkString(" "))}
+    before = shuffles()
+    assert stored(spark.range(1000).repartition(7, "id"), str(tmp_path / "t")).count() == 1000
+    assert spark.conf.get(FREED, "false") == "false"
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:  # removed in the background
+        time.sleep(0.2)
+    stored_left = shuffles() - before
+    assert len(stored_left) <= 1  # that of the count just above
+
+
+def test_postings_stay_where_a_set_of_a_fitting_size_shares_the_gram():
+    rng = random.Random(4)
+    rows = sorted({(g, 1 + n % 2 if g % 5 == 0 else 0, 5 + n * 3, n) for g in range(40) for n in rng.sample(range(60), g % 4 + 1)})
+    rows = sorted([*rows, *rows[::3]])  # copies in several tasks
+    want = {(g, n) for g, s, z, n in rows if s or any(g == h and n != m and min(z, y) * 100 >= max(z, y) * 80 for h, t, y, m in rows)}
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("need", pa.int32()), ("size", pa.int32()), ("share", pa.int32())])
+    for step in (1, 3, 1000):
+        batches = [pa.RecordBatch.from_pylist([{"gram": g, "node": n, "need": 1, "size": z, "share": s} for g, s, z, n in rows[i : i + step]], schema) for i in range(0, len(rows), step)]
+        got = [(r["gram"], r["node"]) for b in jj.shared_postings(batches, 80) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == len({(g, s, n) for g, s, _, n in rows if (g, n) in want})
+
+
+def test_chains_of_unlike_sets_are_not_sent_between_blocks():
+    rows = [(1, 3, 0, [0, 1]), (1, 3, 0, [0, 2]), (1, 3, 0, [0, 2]), (1, 3, 0, [0, 2]), (2, 1, 1, [0, 1]), (3, 2, 1, [1, 2])]
+    schema = pa.schema([("node", pa.int64()), ("need", pa.int32()), ("block", pa.int32()), ("blocks", pa.list_(pa.int32())), ("width", pa.int32())])
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, (*r, len(r[3])), strict=True)) for r in rows], schema)
+    assert [tuple(r.values()) for b in jj.other_blocks([batch]) for r in b.to_pylist()] == [(1, 2), (2, 0)]
