@@ -13,13 +13,22 @@ from loomlens.llm import decontaminate, exact_dedup, jaccard_join, language_id,
 from loomlens.llm.common import read, ship, work_dir
 
 
+#: Bytes of an Arrow batch: 10,000 whole texts fill tens of MB in an executor, and again in each of its Python workers.
+BATCH_BYTES = "8m"
+
+
+def ready(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: null texts, texts without a letter, and texts that no
     language's codeword fits better than chance; the model is trained on the documents that name a language.
 
     Repeated rows are each judged; without any language, every document goes; extra columns stay.
     """
-    ship(spark)
+    ready(spark)
     marked = language_id.predict(docs, language_id.train(docs), keep=docs.columns)
     return marked.where(~F.col("rejected")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
@@ -27,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest original of each group of texts that differ in white space at most (ties: the least id; rows with
     null ids last; repeated rows once). Null counts as empty; no rows give none; extra columns stay."""
-    ship(spark)
+    ready(spark)
     return exact_dedup.dedup(docs)
 
 
@@ -36,7 +45,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts are no copies and stay, as do rows with null ids; extra columns stay.
     """
-    ship(spark)
+    ready(spark)
     return jaccard_join.one_per_component(docs, threshold=80, words=5)
 
 
@@ -45,13 +54,13 @@ def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts stay; repeated rows are each judged; extra columns stay.
     """
-    ship(spark)
+    ready(spark)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_bytes, decoded_ok and the token ids; null and empty texts have none."""
-    ship(spark)
+    ready(spark)
     return pieces.encode(docs)
 
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomlens.llm import pieces
@@ -68,3 +69,10 @@ def test_stages_take_odd_rows_and_keep_columns(spark, odd, none):
             assert out.columns == docs.columns, name
             docs = out
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() <= odd.count()
+
+
+def test_batches_of_the_stages_are_bounded_by_bytes(spark):
+    corpus_pipeline.ready(spark)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 1000).alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) >= 32_000_000 and max(r["n"] for r in sizes) < 9_000_000
