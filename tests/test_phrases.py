@@ -82,3 +82,57 @@ def test_numbers_follow_the_order(spark):
     got = numbered(rows, ["x", "id"], "place").orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(5000)) and [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
     assert numbered(rows.limit(0), ["x"], "place").count() == 0
+
+
+def made_turns(spark, n, seed):
+    """Invented texts of two kinds of syllables, some of them equal."""
+    rng = random.Random(seed)
+    kinds = [["the", "on", "er", "and", "in", "re", "st", "ble"], ["que", "la", "do", "mi", "rra", "os", "ga", "cion"]]
+    made = []
+    for i in range(n):
+        say = rng.choice(kinds)
+        made.append((f"s{i % 7}#{i}", " ".join("".join(rng.choices(say, k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 12)))))
+    return spark.createDataFrame([*made, *[(f"z#{k}", t) for k, t in made[::9]]], "turn string, normalized string")
+
+
+@pytest.mark.parametrize("block,columns,rare", [(5000, 2048, 12), (40, 2048, 12), (30, 16, 2)])
+def test_pairs_and_links_of_vectors_equal_plain_products(spark, monkeypatch, block, columns, rare):
+    for name, value in (("BLOCK", block), ("COLUMNS", columns), ("RARE", rare), ("TILE", 11), ("STEP", 50), ("PIVOTS", 4)):
+        monkeypatch.setattr(phrases, f"SIMILAR_{name}", value)
+    nodes, members = phrases.folded(made_turns(spark, 150, block), "turn")
+    nodes = nodes.persist()
+    long = phrases.tfidf(nodes, ["turn"], copies="copies").persist()
+    vectors = phrases.tfidf_vectors(nodes, "turn", copies="copies")
+    own = {(r["turn"], r["gram"]): r["w"] for r in phrases._by_gram(vectors).collect()}
+    assert own == pytest.approx({(r["turn"], r["gram"]): r["w"] for r in long.collect()})
+    of = {}
+    for (turn, gram), w in own.items():
+        of.setdefault(turn, {})[gram] = w
+    want = {(a, b): x for a in of for b in of if a < b and (x := round(sum(w * of[b].get(g, 0) for g, w in of[a].items()), 6)) >= 0.25}
+    pairs = phrases.similar_pairs(vectors, "turn", least=0.25)
+    got = {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()}
+    assert got == pytest.approx(want, abs=2e-6) and pairs.count() == len(got) > 100
+    links = phrases.similar_links(vectors, "turn", least=0.25)
+    clusters = [{r["turn"]: (r["cluster"], r["size"]) for r in phrases.similar_clusters(nodes, members, edges, w, "turn").collect()} for edges, w in ((pairs, long), (links, vectors))]
+    assert clusters[0] == clusters[1] and len({c for c, _ in clusters[0].values()}) > 2
+    assert links.count() < pairs.count() and {tuple(sorted(r)) for r in links.select("a", "b").collect()} <= {(a, b) for a in of for b in of if a < b}
+    members = members.join(spark.createDataFrame([(t, c) for t, (c, _) in clusters[0].items()], "turn string, cluster string"), "turn")
+    reports = [sorted(map(str, phrases.cluster_report(w, members.select("turn", "cluster"), "turn", of=members.select("turn", "of")).collect())) for w in (long, vectors)]
+    assert reports[0] == reports[1] and reports[0]
+
+
+def test_a_round_deals_out_three_times_the_vectors_at_most(spark, monkeypatch):
+    """However many blocks there are; each vector went to every block at once before."""
+    monkeypatch.setattr(phrases, "SIMILAR_BLOCK", 16)
+    nodes, _ = phrases.folded(made_turns(spark, 300, 1), "turn")
+    dealt, blocks = phrases._dealt(phrases.tfidf_vectors(nodes, "turn", copies="copies"), "turn", None)
+    size = dict(dealt.groupBy("block").count().collect())
+    n, met = sum(size.values()), set()
+    assert blocks > 16 and set(size) <= set(range(blocks))
+    for now in phrases._rounds(blocks):
+        rows = phrases._round(dealt, now, blocks).join(dealt.select("key", "block"), "key").select("i", "side", "block").collect()
+        assert len(rows) <= 3 * n
+        seen = [(r["i"], r["block"]) for r in rows if r["side"] == 1]
+        assert all(r["i"] == r["block"] for r in rows if r["side"] == 0) and len(seen) == sum(size[b] for i in now for b in size if b > i)
+        met |= set(seen)
+    assert met == {(i, j) for i in range(blocks) for j in size if i < j}
