@@ -127,8 +127,8 @@ def run_blindspot(messages: DataFrame, project: Project, folder: str | Path, pat
     said = checkpointed(phrases.frequent_phrases(phrases.gram_counts(turns, ["session_file", "turn_index"])))
     nodes, members = phrases.folded(turns.select("turn", "normalized"), "turn")
     nodes = checkpointed(nodes)
-    weights = checkpointed(phrases.tfidf(nodes, ["turn"], copies="copies"))
-    near = checkpointed(phrases.similar_clusters(nodes, members, checkpointed(phrases.similar_pairs(weights, "turn", n_texts=nodes.count())), weights, "turn"))
+    weights = phrases.tfidf_vectors(nodes, "turn", copies="copies")
+    near = checkpointed(phrases.similar_clusters(nodes, members, phrases.similar_links(weights, "turn"), weights, "turn"))
     whole = checkpointed(phrases.tfidf(turns.select("turn", "normalized"), ["turn"]))
     topics = checkpointed(phrases.kmeans(whole, "turn"))
     preview = turns.select("turn", "session_file", "turn_index", "preview")
