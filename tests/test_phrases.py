@@ -136,3 +136,27 @@ def test_a_round_deals_out_three_times_the_vectors_at_most(spark, monkeypatch):
         assert all(r["i"] == r["block"] for r in rows if r["side"] == 0) and len(seen) == sum(size[b] for i in now for b in size if b > i)
         met |= set(seen)
     assert met == {(i, j) for i in range(blocks) for j in size if i < j}
+
+
+@pytest.mark.parametrize("n,block", [(300, 16), (300, 5000), (40, 3)])
+def test_links_shuffle_nothing_and_store_no_vectors(spark, monkeypatch, n, block):
+    """Vectors were stored twice, and dealt out anew in each round."""
+    monkeypatch.setattr(phrases, "SIMILAR_BLOCK", block)
+    nodes, members = phrases.folded(made_turns(spark, n, 2), "turn")
+    nodes = nodes.persist()
+    plain, near = (phrases.tfidf_vectors(nodes, "turn", copies="copies", near=x) for x in (False, True))
+    own = {r["turn"]: sorted(r["weights"]) for r in plain.collect()}
+    assert own == {r["turn"]: sorted(r["weights"]) for r in near.collect()} and own
+    pairs = phrases.similar_pairs(plain, "turn", least=0.3)
+    kept, keep = [], phrases.stored
+    monkeypatch.setattr(phrases, "stored", lambda rows: kept.append(rows) or keep(rows))
+    links = phrases.similar_links(near, "turn", least=0.3)
+    assert len(kept) == -(-len(own) // block)
+    assert all(rows.columns == ["a", "b"] and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() for rows in kept)
+    clusters = [{tuple(r) for r in phrases.similar_clusters(nodes, members, edges, w, "turn").collect()} for edges, w in ((pairs, plain), (links, near))]
+    assert clusters[0] == clusters[1] and len(clusters[0]) == n + -(-n // 9)
+
+
+def test_links_of_texts_that_share_nothing(spark):
+    nodes, _ = phrases.folded(spark.createDataFrame([("a", "xy"), ("b", "zw"), ("c", "")], "turn string, normalized string"), "turn")
+    assert phrases.similar_links(phrases.tfidf_vectors(nodes, "turn", copies="copies", near=True), "turn").isEmpty()
